@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, lang_id, token_counts, url_filters
+from graphloom.llm import bpe, lang_id, licenses, token_counts, topk, url_filters, warc
 from graphloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -23,6 +23,48 @@ URL_RULES = [
 ]
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_table(spark, table(spark, sf_dir, "pages"))
+
+
+def base32_sql(hex_digest: str) -> str:
+    """DuckDB SQL for the base32 of a 40-digit hex string: 5 hex digits are 20 bits are 4 letters."""
+    part = f"CAST('0x' || substr({hex_digest}, 5 * CAST(i AS BIGINT) + 1, 5) AS BIGINT)"
+    letters = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(({part} >> {s}) & 31 AS BIGINT) + 1, 1)" for s in (15, 10, 5, 0))
+    return f"array_to_string(list_transform(range(8), lambda i: {letters}), '')"
+
+
+OP2_SQL = f"""
+WITH owners AS (SELECT coalesce(html, '') AS payload, max(page_id) AS owner FROM pages GROUP BY 1)
+SELECT page_id, octet_length(encode(payload)) AS payload_bytes, {base32_sql("sha1(payload)")} AS payload_digest,
+       CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = owner THEN NULL ELSE owner END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS payload FROM pages) JOIN owners USING (payload)
+"""
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT * FROM (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+WHERE rank <= 5
+"""
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -67,7 +109,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licenses": op1_licenses,
+        "op2_warc": op2_warc,
         "op3_bpe": op3_bpe,
+        "op5_topk": op5_topk,
         "op6_token_counts": op6_token_counts,
         "op9_url_filters": op9_url_filters,
         "op10_language_id": op10_language_id,
@@ -75,4 +120,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filters": OP9_SQL}
+    return {"op1_licenses": licenses.scan_sql(), "op2_warc": OP2_SQL, "op5_topk": OP5_SQL, "op9_url_filters": OP9_SQL}
