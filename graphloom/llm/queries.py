@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, lang_id, licenses, minhash, token_counts, topk, url_filters, warc
+from graphloom.llm import bpe, decontaminate, lang_id, licenses, minhash, token_counts, topk, url_filters, warc
 from graphloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -77,6 +77,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, url_filters.RULE_SCHEMA)
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), rules, default="allow")
@@ -119,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_topk": op5_topk,
         "op6_token_counts": op6_token_counts,
         "op7_minhash": op7_minhash,
+        "op8_decontamination": op8_decontamination,
         "op9_url_filters": op9_url_filters,
         "op10_language_id": op10_language_id,
     }
