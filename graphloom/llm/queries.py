@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, decontaminate, lang_id, licenses, minhash, token_counts, topk, url_filters, warc
+from graphloom.llm import bpe, decontaminate, lang_id, licenses, minhash, suffix_dedup, token_counts, topk, url_filters, warc
 from graphloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -47,6 +47,10 @@ FROM (SELECT page_id, coalesce(html, '') AS payload FROM pages) JOIN owners USIN
 """
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -120,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_licenses": op1_licenses,
         "op2_warc": op2_warc,
         "op3_bpe": op3_bpe,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_topk": op5_topk,
         "op6_token_counts": op6_token_counts,
         "op7_minhash": op7_minhash,
