@@ -232,6 +232,9 @@ class Bpe:
         return b"".join([get.get(i, b"") for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
+DIGESTS = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
+DIGESTS_DDL = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
 _CODECS: dict[str, Bpe] = {}
 
 
@@ -288,11 +291,15 @@ def roundtrip_digests(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id
         decoded = own.decode(ids).encode()
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
-    fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
-    return _run(docs, vocabulary, id_col, text_col, row, fields, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _run(docs, vocabulary, id_col, text_col, row, DIGESTS, DIGESTS_DDL)
+
 
+def encoded_digests(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of :func:`roundtrip_digests` and the ids themselves (``ids array<int>``)."""
+
+    def row(own: Bpe, ids: bytes) -> tuple[int, str, str, np.ndarray]:
+        decoded = own.decode(ids).encode()
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), np.frombuffer(ids, "<i4")
 
-def roundtrip_texts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, text, n_tokens)``: every text after encoding and decoding; null texts come back empty."""
-    fields = [pa.field("text", pa.string()), pa.field("n_tokens", pa.int64())]
-    return _run(docs, vocabulary, id_col, text_col, lambda own, x: (own.decode(x), len(x) // 4), fields, "text string, n_tokens long")
+    fields = [*DIGESTS, pa.field("ids", pa.list_(pa.int32()))]
+    return _run(docs, vocabulary, id_col, text_col, row, fields, f"{DIGESTS_DDL}, ids array<int>")

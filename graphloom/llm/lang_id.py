@@ -143,10 +143,13 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, lang_pred, score)`` of every row of ``docs``."""
+def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(id_col, *carry, lang_pred, score)`` of every row of ``docs``; ``carry`` names further columns of
+    ``docs`` that the result keeps."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kept = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *kept)
+    extra = [f"carry_{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -159,8 +162,10 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
                 langs += more[0]
                 scores += more[1]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"]
+                [batch.column("id"), *(batch.column(c) for c in extra), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                names=["id", *extra, "lang_pred", "score"],
             )
 
-    id_type = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {id_type}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    fields = ", ".join(f"{c} {narrow.schema[c].dataType.simpleString()}" for c in ["id", *extra])
+    out = narrow.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return out.toDF(id_col, *carry, "lang_pred", "score")
