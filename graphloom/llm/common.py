@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -43,7 +44,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    # nothing reads the shuffle files behind the table again; Spark drops them once their owners are collected
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote, when no later step reads it."""
+    for t in tables:
+        drop_path(t.sparkSession, t.written_to)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import discard, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -24,6 +24,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         down = both.groupBy(F.col("a").alias("from")).agg(F.least(F.min("b"), F.first("a")).alias("to"))
         down = materialize(down.filter(F.col("from") != F.col("to")), "down")
+        before = (labels, edges, down)
         labels = materialize(
             labels.join(down, F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component")), "labels"
         )
@@ -35,4 +36,6 @@ def connected_components(links: DataFrame) -> DataFrame:
             .filter("x <> y")
         )
         edges = materialize(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        discard(*before)
+    discard(edges)
     return labels

@@ -15,7 +15,7 @@ There is no cap on lists or partners: the components are those of all links.
 
 Edge cases: a null or empty text, or one of white space, has the empty set and is linked with nothing; a text
 with fewer words than a shingle has one shingle, all its words; rows with equal ids get the same answer if
-their texts are equal; rows without an id are alone; an empty table gives an empty result; other columns are
+their texts are equal, and count as linked through their id if not; rows without an id are alone; an empty table gives an empty result; other columns are
 not read.
 """
 
@@ -30,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import discard, materialize
 from graphloom.llm.components import connected_components
 from graphloom.llm.hashing import mix, prefix_hashes, spans
 
 M, T = 32, 13
 SHORT_LIST = 16
 PACK = 512
+#: A list of at most so many ids (8 bytes each) is broadcast.
+BROADCAST_IDS = 2_000_000
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 63, M, np.uint64)
@@ -67,8 +69,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     """The smallest value of each of ``M`` hash functions over the set."""
     out = np.empty(M, np.uint64)
     for a in range(0, M, 8):
-        h = (shingles[:, None] ^ _XOR[a : a + 8]) * _MUL[a : a + 8]
-        out[a : a + 8] = (h ^ (h >> np.uint64(32))).min(0)
+        out[a : a + 8] = ((_XOR[a : a + 8, None] ^ shingles) * _MUL[a : a + 8, None]).min(1)
     return out
 
 
@@ -116,26 +117,35 @@ def prefix_postings(reps: DataFrame) -> DataFrame:
     return ranked.filter(F.col("rank") <= M - T + 1).select("c", "v", "rep")
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` with enough equal coordinates whose full sets are similar enough."""
+def alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of representatives with ``T`` equal coordinates."""
+    left = reps.select(F.col("rep").alias("a_id"), F.col("sig").alias("a_v"))
+    right = reps.select(F.col("rep").alias("b_id"), F.col("sig").alias("b_v"))
+    equal = F.size(F.filter(F.zip_with("a_v", "b_v", lambda x, y: x == y), lambda x: x))
+    return (
+        pairs.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id")).filter(equal >= T).select("a", "b")
+    )
 
-    def side(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-        return df.select(F.col(key).alias(f"{name}_id"), F.col(value).alias(f"{name}_v"))
 
-    alike = F.size(F.filter(F.zip_with("a_v", "b_v", lambda x, y: x == y), lambda x: x)) >= T
-    near = (
-        pairs.join(side(reps, "rep", "sig", "a"), F.col("a") == F.col("a_id"))
-        .join(side(reps, "rep", "sig", "b"), F.col("b") == F.col("b_id"))
-        .filter(alike)
-        .select("a", "b")
-    )
-    both = near.join(side(sets, "id", "shingles", "a"), F.col("a") == F.col("a_id")).join(
-        side(sets, "id", "shingles", "b"), F.col("b") == F.col("b_id")
-    )
-    common = F.size(F.array_intersect("a_v", "b_v"))
-    return both.select("a", "b", common.alias("n"), F.size("a_v").alias("na"), F.size("b_v").alias("nb")).filter(
-        F.col("n") * 100 >= (F.col("na") + F.col("nb") - F.col("n")) * percent
-    ).select("a", "b")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets are similar enough."""
+    left = sets.select(F.col("id").alias("a_id"), F.col("shingles").alias("a_v"))
+    right = sets.select(F.col("id").alias("b_id"), F.col("shingles").alias("b_v"))
+    both = pairs.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id"))
+    sizes = both.select("a", "b", F.size(F.array_intersect("a_v", "b_v")).alias("n"), F.size("a_v").alias("na"), F.size("b_v").alias("nb"))
+    return sizes.filter(F.col("n") * 100 >= (F.col("na") + F.col("nb") - F.col("n")) * percent).select("a", "b")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """Full sets of the documents in ``wanted(m)``. A list of ids that is short enough is broadcast, so the
+    texts stay where they are; a longer one is joined by a shuffle."""
+    chosen = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    wanted = materialize(wanted.distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_IDS
+    chosen = chosen.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("m"), "left_semi")
+    out = materialize(full_sets(chosen, words, "id", "text"), "sets")
+    discard(wanted)
+    return out
 
 
 def _search_packs(percent: int):
@@ -183,12 +193,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     stars = postings.join(ends, (F.col("c") == F.col("lc")) & (F.col("v") == F.col("lv"))).filter("rep <> hub")
     stars = materialize(stars.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "stars")
 
-    met = stars.select(F.col("a").alias("m")).union(stars.select("b")).distinct()
-    chosen = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    chosen = chosen.join(met, F.col("id") == F.col("m"), "left_semi").dropDuplicates(["id"])
-    sets = materialize(full_sets(chosen, words, "id", "text"), "sets")
-
-    first = materialize(confirmed(stars, reps, sets, percent), "links")
+    near = materialize(alike(stars, reps), "near")
+    sets = sets_of(docs, near.select(F.col("a").alias("m")).union(near.select("b")), words, id_col, text_col)
+    first = materialize(confirmed(near, sets, percent).distinct(), "links")
+    discard(near, sets)
     labels = connected_components(first)
 
     # lists that hold more than one component still
@@ -203,11 +211,14 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     short = open_.filter(F.col("members") <= SHORT_LIST)
     other = short.select(F.col("c").alias("oc"), F.col("v").alias("ov"), F.col("rep").alias("b"), F.col("component").alias("other"))
     across = short.join(other, (F.col("c") == F.col("oc")) & (F.col("v") == F.col("ov")) & (F.col("rep") < F.col("b")) & (F.col("component") != F.col("other")))
-    across = across.select(F.col("rep").alias("a"), "b").distinct()
-    across = materialize(across.join(stars, ["a", "b"], "left_anti"), "across")
+    across = across.select(F.col("rep").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti")
+    across = materialize(alike(across, reps), "across")
 
+    long = open_.filter(F.col("members") > SHORT_LIST)
+    wanted = across.select(F.col("a").alias("m")).union(across.select("b")).union(long.select("rep"))
+    sets = sets_of(docs, wanted, words, id_col, text_col)
     n_packs = F.ceil(F.col("members") / PACK).cast("int")
-    dealt = open_.filter(F.col("members") > SHORT_LIST).withColumn("pack", F.pmod(F.xxhash64("rep"), n_packs).cast("int"))
+    dealt = long.withColumn("pack", F.pmod(F.xxhash64("rep"), n_packs).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), n_packs - 1))).select(
         "c", "v", "rep", "component", "pack", F.least("pack", "with").alias("low"), F.greatest("pack", "with").alias("high")
     )
@@ -215,8 +226,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     full = full.select("c", "v", "low", "high", "rep", "component", "pack", "sig", "shingles")
     wide = full.groupBy("c", "v", "low", "high").applyInPandas(_search_packs(percent), "a long, b long")
 
-    links = materialize(first.union(confirmed(across, reps, sets, percent)).union(wide), "links")
+    links = materialize(first.union(confirmed(across, sets, percent)).union(wide), "links")
+    discard(labels, placed, open_, across, sets, first, stars, postings)
     final = connected_components(links)
+    discard(links)
     named = classes.join(final, F.col("rep") == F.col("node"), "left").select(
         *(F.col(k).alias(f"k_{k}") for k in keys), F.coalesce("component", "rep").alias("component")
     )
