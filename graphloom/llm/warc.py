@@ -160,7 +160,7 @@ def write_archives(
             nonlocal held, size, seq
             raw = archive_bytes(held)
             file = f"{folder}/{name}-{seq:05d}.warc.zst"
-            with target.open_output_stream(file) as out:
+            with target.open_output_stream(file, compression=None) as out:
                 out.write(raw)
             row = pa.RecordBatch.from_pydict({"archive": [f"{path}/{name}-{seq:05d}.warc.zst"], "n_records": [len(held)], "n_bytes": [len(raw)]})
             held, size, seq = [], 0, seq + 1
@@ -193,7 +193,7 @@ def read_archives(manifest: DataFrame, *, with_payload: bool = False) -> DataFra
         for batch in batches:
             for uri in batch.column("archive").to_pylist():
                 source, file = _open(uri)
-                with source.open_input_stream(file) as f:
+                with source.open_input_stream(file, compression=None) as f:
                     raw = f.read()
                 rows: dict[str, list] = {c: [] for c in ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")}
                 held = 0
