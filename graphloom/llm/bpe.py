@@ -33,7 +33,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 NONE = np.int64(1 << 62)
 WIDE = 64
-KNOWN = 700_000
+KNOWN = 250_000
 BLOCK = 1 << 15
 
 

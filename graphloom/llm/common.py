@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import ctypes.util
 import gc
 import shutil
 import tempfile
@@ -80,3 +82,12 @@ def by_bytes(rows: list[str], limit: int) -> Iterator[tuple[int, int]]:
         size += len(row)
     if start < len(rows):
         yield start, len(rows)
+
+
+def trim_memory() -> None:
+    """Give what a worker has freed back to the system: workers live on between tasks, and beside them the
+    executor's heap needs the room."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(lib := ctypes.CDLL(libc), "malloc_trim"):
+        lib.malloc_trim(0)

@@ -37,11 +37,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import trim_memory
 from graphloom.llm.hashing import mix, prefix_hashes, spans, window_hashes
 
 K, GRAM = 50, 25
-PACK_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
+PACK_BYTES = 3 << 20
+BUCKET_BYTES = 4 << 20
 #: Text is hashed in stretches of about so many bytes, for the processor's caches.
 STRETCH = 256 << 10
 #: A gram with more different runs than this is sent window by window.
@@ -109,6 +110,20 @@ class Runs:
         return self.texts[self.doc[r]][a : a + int(self.count[r]) + K - 1]
 
 
+def _trimmed(f, two: bool = False):
+    """``f`` with the memory of the group before given back first."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        trim_memory()
+        return f(pdf)
+
+    def both(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        trim_memory()
+        return f(pdf, answers)
+
+    return both if two else one
+
+
 def _pack(pdf: pd.DataFrame) -> tuple[Runs, np.ndarray, np.ndarray]:
     """Runs of a pack, its distinct grams in order, and each run's gram's place among these."""
     own = pdf[pdf["id"].notna()]
@@ -128,7 +143,7 @@ def _group_min_max(slot: np.ndarray, values: np.ndarray, n: int) -> tuple[np.nda
 def _messages(pid: int, kind: int, bucket: np.ndarray, records: np.ndarray) -> pd.DataFrame:
     """A row for each bucket, of records that are in bucket order."""
     head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-    ends = np.append(head[1:], len(bucket))
+    ends = np.append(head[1:], len(bucket)) if len(head) else head
     return pd.DataFrame(
         {"bucket": bucket[head].astype(np.int32), "pid": np.int32(pid), "kind": np.int32(kind), "n": (ends - head).astype(np.int32),
          "data": [records[a:b].tobytes() for a, b in zip(head, ends, strict=True)]}
@@ -377,7 +392,7 @@ def _meet_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
     edge = np.concatenate([[True], key[1:] != key[:-1]])
     size = np.diff(np.append(np.flatnonzero(edge), len(key)))
     met = order[np.repeat(size > 1, size)]
-    step = 1 << 17  # pieces at a time, whole keys
+    step = 1 << 13  # pieces at a time, whole keys
     ends = np.cumsum(size[size > 1])
     a = 0
     while a < len(met):
@@ -489,12 +504,15 @@ def remove_repeats(
     by_pack = dealt.groupBy("pid")
 
     def meet(messages: DataFrame, f) -> DataFrame:
-        return messages.groupBy("bucket").applyInPandas(f, MESSAGE).repartition("pid")
+        return messages.groupBy("bucket").applyInPandas(_trimmed(f), MESSAGE).repartition("pid")
+
+    def answered(known: DataFrame, f, schema: str = MESSAGE) -> DataFrame:
+        return by_pack.cogroup(known.groupBy("pid")).applyInPandas(_trimmed(f, two=True), schema)
 
-    shared = meet(by_pack.applyInPandas(_send_grams(buckets), MESSAGE), _meet_grams)
-    runs = meet(by_pack.cogroup(shared.groupBy("pid")).applyInPandas(_send_runs(buckets), MESSAGE), lambda pdf: _meet_runs(pdf, many_runs))
+    shared = meet(by_pack.applyInPandas(_trimmed(_send_grams(buckets)), MESSAGE), _meet_grams)
+    runs = meet(answered(shared, _send_runs(buckets)), lambda pdf: _meet_runs(pdf, many_runs))
     known = shared.union(runs)
-    pieces = meet(by_pack.cogroup(known.groupBy("pid")).applyInPandas(_send_pieces(buckets), MESSAGE), _meet_pieces)
-    out = by_pack.cogroup(known.union(pieces).groupBy("pid")).applyInPandas(_apply(with_kept), RESULT)
+    pieces = meet(answered(known, _send_pieces(buckets)), _meet_pieces)
+    out = answered(known.union(pieces), _apply(with_kept), RESULT)
     out = out.withColumnRenamed("id", id_col)
     return out if with_kept else out.drop("kept")

@@ -25,7 +25,7 @@ from graphloom.llm.common import by_bytes, texts
 from graphloom.llm.pieces import special_splitter, split_words
 
 BATCH_BYTES = 1 << 20
-KNOWN = 600_000
+KNOWN = 250_000
 
 
 class PieceCounter:
