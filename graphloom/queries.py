@@ -793,4 +793,107 @@ def stream_running_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", "n", F.round("total", 2).alias("total"), "largest")
 
 
+
+# -- reshaping
+
+
+@query("SELECT vec_id, CAST(label AS BIGINT) AS label, CASE WHEN label < 4 THEN list_extract(['a', 'b', 'c', 'd'], label + 1) ELSE 'UNK_' || label END AS name FROM embeddings")
+def label_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators.columns import decoded_label
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"))
+    return e.withColumn("name", decoded_label(F.col("label"), list("abcd")))
+
+
+@query("SELECT vec_id, unnest([vec_id, vec_id + 2, vec_id + 4]) AS src, unnest([vec_id + 1, vec_id + 3, vec_id + 5]) AS dst FROM embeddings")
+def edge_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators.columns import oriented
+
+    v = F.col("vec_id")
+    tall = F.array(F.array(v, v + 1), F.array(v + 2, v + 3), F.array(v + 4, v + 5))
+    wide = F.array(F.array(v, v + 2, v + 4), F.array(v + 1, v + 3, v + 5))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.when(v % 2 == 0, tall).otherwise(wide).alias("edges"))
+    rows = e.select("vec_id", F.explode(oriented(F.col("edges"))).alias("pair"))
+    return rows.select("vec_id", F.get("pair", F.lit(0)).alias("src"), F.get("pair", F.lit(1)).alias("dst"))
+
+
+@query(f"""WITH {SQL_ATOMS}, {SQL_ELEMENTS} SELECT atom_id, round(0.1::DOUBLE * alpha_free - 0.2::DOUBLE * r_free + 2 * x + 0.5::DOUBLE, 6) AS h0,
+round(0.3::DOUBLE * alpha_free + 0.1::DOUBLE * r_free - x, 6) AS h1 FROM atoms JOIN elements USING (z_num)""")
+def joint_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators.columns import joint_embedding as embed
+
+    codes = F.broadcast(elements(spark).select("z_num", "alpha_free", "r_free"))  # five rows
+    out = embed(atoms_of(spark, sf_dir), "z_num", codes, [F.col("x")], [([0.1, -0.2, 2.0], 0.5), ([0.3, 0.1, -1.0], 0.0)], ["h0", "h1"])
+    return out.select("atom_id", r6("h0").alias("h0"), r6("h1").alias("h1"))
+
+
+@query(f"WITH {SQL_HALF} SELECT graph_id, i, j, round(2 * dx / (dist + 1e-8), 6) AS w0x, round(-0.5::DOUBLE * dz / (dist + 1e-8), 6) AS w1z FROM half")
+def weighted_harmonics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators.columns import weighted_harmonics as outer
+
+    n = F.col("dist") + 1e-8
+    y = F.array(*[F.col(c) / n for c in ("dx", "dy", "dz")])
+    p = pairs_of(spark, sf_dir).withColumn("o", outer(F.array(F.lit(2.0), F.lit(-0.5)), y))
+    return p.select("graph_id", "i", "j", r6(F.get("o", F.lit(0))).alias("w0x"), r6(F.get("o", F.lit(5))).alias("w1z"))
+
+
+@query(f"WITH {SQL_ATOMS} SELECT atom_id, round((x + 0.5::DOUBLE * (y * z)) / sqrt(1.25::DOUBLE), 6) AS mixed FROM atoms")
+def residual_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators.columns import residual
+
+    return atoms_of(spark, sf_dir).select("atom_id", r6(residual(F.col("x"), F.col("y") * F.col("z"), 0.5)).alias("mixed"))
+
+
+@query(f"WITH {SQL_ATOMS} SELECT atom_id, round(x + y, 6) AS energy, round(x - y, 6) AS charge FROM atoms")
+def multi_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators.columns import merge_columns
+
+    out = merge_columns(atoms_of(spark, sf_dir), {"energy": r6(F.col("x") + F.col("y"))}, {"charge": r6(F.col("x") - F.col("y"))})
+    return out.select("atom_id", "energy", "charge")
+
+
+@query(f"WITH {SQL_ATOMS} SELECT graph_id, atom_id, z_num FROM atoms WHERE graph_id = 3")
+def read_one_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.plans.cache import read_one
+
+    return read_one(atoms_of(spark, sf_dir), 3).select("graph_id", "atom_id", "z_num")
+
+
+@query("SELECT event_id FROM events WHERE event_id % 6 IN (0, 1)")
+def channel_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators.runlog import under
+
+    i = F.col("event_id") % 6
+    channel = F.when(i == 0, "train").when(i == 1, "train.loss").when(i == 2, "trainer").otherwise("eval")
+    return table(spark, sf_dir, "events").filter(under(channel, "train")).select("event_id")
+
+
+@query(f"WITH {SQL_ATOMS} SELECT graph_id, count(*) AS num_atoms, max(atom_id) AS last_atom FROM atoms GROUP BY graph_id")
+def nest_and_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.schema import nest_atoms, unnest_atoms
+
+    back = unnest_atoms(nest_atoms(atoms_of(spark, sf_dir)))
+    return back.groupBy("graph_id").agg(F.count("*").alias("num_atoms"), F.max("atom_id").alias("last_atom"))
+
+
+@query(f"""WITH {SQL_PARAMS}, p AS (SELECT graph_id, sum(q_i * q_j / dist) AS energy FROM mixed GROUP BY graph_id)
+SELECT graph_id, round(energy - (SELECT avg(energy) FROM p), 6) AS energy FROM p""")
+def mean_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.plans.pipeline import Pipeline
+    from graphloom.plans.tasks import MeanShift
+
+    e = mixed_of(spark, sf_dir).groupBy("graph_id").agg(F.sum(F.col("q_i") * F.col("q_j") / F.col("dist")).alias("energy"))
+    spec = Pipeline("shift").add(MeanShift("energy"), "mean").build()
+    return spec.run(e).select("graph_id", r6("energy").alias("energy"))
+
+
+@query("SELECT CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) AS day, count(*) AS n FROM events GROUP BY 1")
+def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.streaming.metrics import parquet_stream, run_available, windowed_speed
+
+    events = parquet_stream(spark, f"{sf_dir}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
+    out = run_available(windowed_speed(events, "at", "1 day"), "complete")
+    return out.select((F.unix_micros("start") / 86_400_000_000).cast("long").alias("day"), "n")
+
+
 QUERIES["pair_energy_by_graph"], SQL["pair_energy_by_graph"] = QUERIES["dispersion_energy"], SQL["dispersion_energy"]
