@@ -81,6 +81,28 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+         ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+  FROM words),
+classes AS (SELECT list_sort(s) AS s, min(doc_id) AS rep, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY 1, 3),
+posted AS (SELECT rep, n, unnest(s) AS shingle FROM classes),
+links AS (
+  SELECT a.rep AS a, b.rep AS b FROM posted a JOIN posted b ON a.shingle = b.shingle AND a.rep < b.rep AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+either AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, found) AS (
+  SELECT DISTINCT a, a FROM either UNION SELECT r.node, e.b FROM reach r JOIN either e ON r.found = e.a),
+components AS (SELECT node, min(found) AS component FROM reach GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(component, rep, s.doc_id) AS component_id, s.doc_id = coalesce(component, rep, s.doc_id) AS kept
+FROM sets s LEFT JOIN classes c ON c.s = list_sort(s.s) AND len(s.s) > 0 LEFT JOIN components ON rep = node
+"""
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -135,4 +157,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.scan_sql(), "op2_warc": OP2_SQL, "op5_topk": OP5_SQL, "op9_url_filters": OP9_SQL}
+    return {"op1_licenses": licenses.scan_sql(), "op2_warc": OP2_SQL, "op5_topk": OP5_SQL, "op7_minhash": OP7_SQL, "op9_url_filters": OP9_SQL}
