@@ -51,6 +51,25 @@ def spherical_basis(x: Column, y: Column, z: Column, compat: bool = False) -> li
     return [F.lit(c0), y * c1, z * c1, x * c1, x * y * xy, y * z * c2, (z * z * 3 - 1) * c20, x * z * c2, (x * x - y * y) * (c2 / 2)]
 
 
+def spherical_harmonics(x: Column, y: Column, z: Column, l_max: int) -> list[Column]:
+    """Orthonormal real harmonics of a unit vector up to ``l_max`` <= 3, by degree and then m from -l to l."""
+    if not 0 <= l_max <= 3:
+        raise ValueError("degrees 0 to 3 only")
+    low = spherical_basis(x, y, z)
+    out = [low[0], *low[1:4], *low[4:9]]
+    a, b, c, d = (math.sqrt(v / math.pi) for v in (35 / 2, 105.0, 21 / 2, 7.0))
+    out += [
+        y * (x * x * 3 - y * y) * (a / 4),
+        x * y * z * (b / 2),
+        y * (z * z * 5 - 1) * (c / 4),
+        z * (z * z * 5 - 3) * (d / 4),
+        x * (z * z * 5 - 1) * (c / 4),
+        z * (x * x - y * y) * (b / 4),
+        x * (x * x - y * y * 3) * (a / 4),
+    ]
+    return out[: (l_max + 1) ** 2]
+
+
 def rotate(x: Column, y: Column, z: Column, matrix: list[list[float]]) -> tuple[Column, Column, Column]:
     """``v @ R^T``."""
     return tuple(x * row[0] + y * row[1] + z * row[2] for row in matrix)

@@ -896,4 +896,82 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select((F.unix_micros("start") / 86_400_000_000).cast("long").alias("day"), "n")
 
 
+
+# -- layers
+
+SPECIES_ROWS = [(z, 0.1 * k + 0.2, 0.05 * k - 0.1, 0.3 - 0.02 * k, 0.01 * k, 0.5 - 0.1 * k) for k, z in enumerate(ELEMENTS)]
+SQL_SPECIES = "species(z_num, w0, w1, w2, w3, w4) AS (VALUES " + ", ".join("(" + ", ".join([str(r[0]), *(f"{v!r}::DOUBLE" for v in r[1:])]) + ")" for r in SPECIES_ROWS) + ")"
+
+
+def species(spark: SparkSession) -> DataFrame:
+    """A row for each of five species."""
+    return spark.createDataFrame(SPECIES_ROWS, "z_num int, w0 double, w1 double, w2 double, w3 double, w4 double")
+
+
+@query(f"WITH {SQL_ATOMS}, {SQL_SPECIES} SELECT atom_id, round(x + w0 * y + w1 * z, 6) AS h0, round(y + w2 * y + w3 * z, 6) AS h1 FROM atoms JOIN species USING (z_num)")
+def element_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators import equivariant as eq
+
+    x, y, z, w = F.col("x"), F.col("y"), F.col("z"), [F.col(f"w{k}") for k in range(4)]
+    h = eq.element_update([x, y], [y, z], [w[:2], w[2:]])
+    return eq.by_species(atoms_of(spark, sf_dir), species(spark)).select("atom_id", r6(h[0]).alias("h0"), r6(h[1]).alias("h1"))
+
+
+@query(f"""WITH {SQL_ATOMS}, {SQL_SPECIES}, v AS (SELECT *, 1 + x AS s, x*x + y*y + z*z AS vv FROM atoms JOIN species USING (z_num))
+SELECT atom_id, round(w0*s + w1*s*s + w2*vv + w3*s*s*s + w4*s*vv, 6) AS product FROM v""")
+def symmetric_contraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators import equivariant as eq
+
+    v = (F.col("x"), F.col("y"), F.col("z"))
+    out = eq.symmetric_contraction(F.col("x") + 1, v, [F.col(f"w{k}") for k in range(5)])
+    return eq.by_species(atoms_of(spark, sf_dir), species(spark)).select("atom_id", r6(out).alias("product"))
+
+
+@query(f"""WITH {SQL_FULL}, t AS (SELECT e.graph_id, e.dst, s.x AS s, s.x AS vx, s.y AS vy, s.z AS vz, sqrt(3)*dx/(dist+1e-8) AS ux, sqrt(3)*dy/(dist+1e-8) AS uy, sqrt(3)*dz/(dist+1e-8) AS uz
+ FROM edges e JOIN atoms s ON e.graph_id = s.graph_id AND e.src = s.atom_id)
+SELECT graph_id, dst AS atom_id, round(sum((vx*ux+vy*uy+vz*uz)/sqrt(3)), 5) AS scalar, round(sum(s*ux), 5) AS outer_x, round(sum((vy*uz-vz*uy)/sqrt(2)), 5) AS cross_x FROM t GROUP BY graph_id, dst""")
+def tensor_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators import equivariant as eq
+
+    e = neighbors.with_ends(edges_of(spark, sf_dir), atoms_of(spark, sf_dir), "x", "y", "z")
+    n = F.col("dist") + 1e-8
+    y1 = tuple(F.col(c) * 3**0.5 / n for c in ("dx", "dy", "dz"))
+    scalars, vectors = eq.tensor_product(F.col("x_src"), (F.col("x_src"), F.col("y_src"), F.col("z_src")), F.lit(1.0), y1)
+    sums = e.groupBy("graph_id", F.col("dst").alias("atom_id")).agg(F.sum(scalars[1]).alias("scalar"), F.sum(vectors[0][0]).alias("outer_x"), F.sum(vectors[2][0]).alias("cross_x"))
+    return sums.select("graph_id", "atom_id", *[r6(c, 5).alias(c) for c in ("scalar", "outer_x", "cross_x")])
+
+
+@query(f"""WITH {SQL_ATOMS}, h AS (SELECT graph_id, 0.5::DOUBLE*x - 0.25::DOUBLE*y + z + 0.1::DOUBLE AS a, 0.75::DOUBLE*x + 0.5::DOUBLE*y - 0.5::DOUBLE*z - 0.2::DOUBLE AS b FROM atoms)
+SELECT graph_id, round(sum(1.5::DOUBLE * a / (1 + exp(-a)) - b / (1 + exp(-b)) + 0.05::DOUBLE), 5) AS energy FROM h GROUP BY graph_id""")
+def energy_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators import equivariant as eq
+
+    return eq.energy_head(atoms_of(spark, sf_dir), [F.col(a) for a in "xyz"], MLP).select("graph_id", r6("energy", 5).alias("energy"))
+
+
+@query(f"WITH {SQL_ATOMS} SELECT atom_id, round(ln(1 + exp(2*x - y + 0.5::DOUBLE)) + 0.0001::DOUBLE, 6) AS eps, round(ln(1 + exp(z - 0.25::DOUBLE)) + 0.0001::DOUBLE, 6) AS sigma FROM atoms")
+def parameter_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators import equivariant as eq
+
+    eps, sigma = eq.parameter_head([F.col(a) for a in "xyz"], [([[2.0, -1.0, 0.0], [0.0, 0.0, 1.0]], [0.5, -0.25])])
+    return atoms_of(spark, sf_dir).select("atom_id", r6(eps).alias("eps"), r6(sigma).alias("sigma"))
+
+
+@query(f"""WITH {SQL_ATOMS}, q AS (SELECT graph_id, atom_id, x - 2*y + 0.1::DOUBLE AS q FROM atoms)
+SELECT graph_id, atom_id, round(q - (sum(q) OVER (PARTITION BY graph_id) + 1) / count(*) OVER (PARTITION BY graph_id), 6) AS q FROM q""")
+def charge_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators import equivariant as eq
+
+    out = eq.charge_head(atoms_of(spark, sf_dir), [F.col("x"), F.col("y")], [([[1.0, -2.0]], [0.1])], F.lit(-1.0))
+    return out.select("graph_id", "atom_id", r6("q").alias("q"))
+
+
+@query(f"""WITH {SQL_HALF}, u AS (SELECT graph_id, i, j, dx/(dist+1e-8) AS x, dy/(dist+1e-8) AS y, dz/(dist+1e-8) AS z FROM half)
+SELECT graph_id, i, j, round(sqrt(105/pi())/2*x*y*z, 6) AS xyz, round(sqrt(7/pi())/4*z*(5*z*z-3), 6) AS zzz, round(sqrt(35/(2*pi()))/4*x*(x*x-3*y*y), 6) AS xxx FROM u""")
+def harmonics_degree_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("dist") + 1e-8
+    s = ft.spherical_harmonics(F.col("dx") / n, F.col("dy") / n, F.col("dz") / n, 3)
+    return pairs_of(spark, sf_dir).select("graph_id", "i", "j", r6(s[10]).alias("xyz"), r6(s[12]).alias("zzz"), r6(s[15]).alias("xxx"))
+
+
 QUERIES["pair_energy_by_graph"], SQL["pair_energy_by_graph"] = QUERIES["dispersion_energy"], SQL["dispersion_energy"]

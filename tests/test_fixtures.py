@@ -221,3 +221,13 @@ def test_sources(spark, tmp_path):
         parse_xyz(df, "file", targets=["nothing"])
     text = "\n".join([*(f"h{k}" for k in range(9)), "7 x", "end"])
     assert [r.id for r in exclusion_ids(spark.createDataFrame([(text,)], "value string")).collect()] == [7]
+
+
+def test_harmonics_add_up(spark):
+    df = spark.createDataFrame([(0.6, 0.0, 0.8), (0.36, 0.48, 0.8), (-1.0, 0.0, 0.0)], "x double, y double, z double")
+    s = ft.spherical_harmonics(F.col("x"), F.col("y"), F.col("z"), 3)
+    for row in df.select(*[c.alias(f"s{k}") for k, c in enumerate(s)]).collect():
+        for l in range(4):
+            assert sum(v * v for v in row[l * l : (l + 1) ** 2]) == pytest.approx((2 * l + 1) / (4 * math.pi))
+    with pytest.raises(ValueError):
+        ft.spherical_harmonics(F.col("x"), F.col("y"), F.col("z"), 4)
