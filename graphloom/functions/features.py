@@ -111,7 +111,8 @@ PROXY_ELEMENTS = [1, 6, 7, 8, 9, 15, 16, 17, 35, 53]
 
 def proxy_label(z_num: Column) -> Column:
     """Position in :data:`PROXY_ELEMENTS`, or their number."""
-    return F.coalesce(F.array_position(F.array(*map(F.lit, PROXY_ELEMENTS)), z_num) - 1, F.lit(-1)).cast("int").alias("label")
+    at = F.array_position(F.array(*map(F.lit, PROXY_ELEMENTS)), z_num)
+    return F.when(at > 0, at - 1).otherwise(len(PROXY_ELEMENTS)).cast("int")
 
 
 def irreps(dim: int, l_max: int) -> str:

@@ -689,8 +689,7 @@ def rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SQL_ATOMS} SELECT atom_id, CAST(coalesce(list_position([1, 6, 7, 8], z_num), 11) - 1 AS INTEGER) AS label FROM (SELECT atom_id, CASE WHEN z_num = 9 THEN 99 ELSE z_num END AS z_num FROM atoms)")
 def proxy_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = F.when(F.col("z_num") == 9, 99).otherwise(F.col("z_num"))
-    label = F.array_position(F.array(*map(F.lit, ft.PROXY_ELEMENTS)), z)
-    return atoms_of(spark, sf_dir).select("atom_id", F.when(label > 0, label - 1).otherwise(len(ft.PROXY_ELEMENTS)).cast("int").alias("label"))
+    return atoms_of(spark, sf_dir).select("atom_id", ft.proxy_label(z).alias("label"))
 
 
 @query(f"WITH {SQL_ATOMS}, {SQL_ELEMENTS}, v AS (SELECT *, 1 + abs(x) AS v FROM atoms JOIN elements USING (z_num)) SELECT atom_id, round(c6_free * v * v, 5) AS c6, round(alpha_free * v, 5) AS alpha, round(r_free * pow(v, 1/3::DOUBLE), 5) AS r_star FROM v")

@@ -13,8 +13,6 @@ SYMBOLS = {"H": 1, "He": 2, "Li": 3, "Be": 4, "B": 5, "C": 6, "N": 7, "O": 8, "F
 #: The graph targets on a record's second line, after two leading tokens.
 TARGETS = ["A", "B", "C", "mu", "alpha", "homo", "lumo", "gap", "r2", "zpve", "U0", "U", "H", "G", "Cv"]
 
-READ_ERROR = "missing: {}"
-
 
 def number(c):
     """A number that may write its exponent as ``*^``."""
@@ -136,7 +134,7 @@ class _NpzReader(DataSourceReader):
             with np.load(p) as data:
                 missing = [k for k in NpzFrames.KEYS if k not in data]
                 if missing:
-                    raise KeyError(READ_ERROR.format(", ".join(missing)))
+                    raise KeyError("missing: " + ", ".join(missing))
                 n = len(data["energies"])
             out += [InputPartition((p, a, min(n, a + self.step))) for a in range(0, n, self.step)]
         return out
