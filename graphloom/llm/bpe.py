@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import by_bytes, texts
+from graphloom.llm.common import by_bytes, texts, trim_memory
 from graphloom.llm.pieces import special_splitter, split_words
 
 #: Fixed value: the public pattern of byte-level BPE.
@@ -201,12 +201,14 @@ class Bpe:
         get = self.words.__getitem__
         known.update((piece, b"".join(map(get, ws))) for piece, ws in cut.items())
 
+    def forget(self) -> None:
+        """Drop the pieces and words known so far."""
+        self.first, self.later, self.words = {}, {}, {}
+
     def encode(self, rows: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian uint32 bytes."""
         if len(self.first) + len(self.later) + len(self.words) > KNOWN:
-            self.first.clear()
-            self.later.clear()
-            self.words.clear()
+            self.forget()
         parts, first, later = [], set(), set()
         for row in rows:
             segments = self.split.split(row) if self.split and self.split.search(row) else [row]
@@ -261,6 +263,8 @@ def _run(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, row, fiel
                     [batch.column("id").slice(a, b - a), *(pa.array(c, f.type) for c, f in zip(columns, fields, strict=True))],
                     names=["id", *(f.name for f in fields)],
                 )
+        own.forget()
+        trim_memory()
 
     return narrow.mapInArrow(run, f"id {id_type}, {ddl}").withColumnRenamed("id", id_col)
 

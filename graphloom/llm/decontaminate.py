@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import trim_memory
 from graphloom.llm.hashing import prefix_hashes, window_hashes
 
 Q = 8
@@ -183,6 +184,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
                     [batch.column("id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
                     names=["id", "item_id", "first_char", "end_char", "edits"],
                 )
+            trim_memory()
 
         found = narrow.mapInArrow(run, f"id {id_type}, {SCHEMA}")
         out = found if out is None else out.union(found)

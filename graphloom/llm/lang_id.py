@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import by_bytes, texts
+from graphloom.llm.common import by_bytes, texts, trim_memory
 
 BUCKETS = 1 << 15
 #: Bound of the matrix' other side; more labels than this are an error, not languages.
@@ -120,6 +120,7 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(row[at], pa.int64())], names=["lang", "bucket", "n"]
             )
+        trim_memory()
 
     counted = narrow.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     langs = sorted(r["lang"] for r in labelled.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang")).distinct().limit(MAX_LANGUAGES + 1).collect())
@@ -165,6 +166,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
                 [batch.column("id"), *(batch.column(c) for c in extra), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                 names=["id", *extra, "lang_pred", "score"],
             )
+        trim_memory()
 
     fields = ", ".join(f"{c} {narrow.schema[c].dataType.simpleString()}" for c in ["id", *extra])
     out = narrow.mapInArrow(run, f"{fields}, lang_pred string, score double")

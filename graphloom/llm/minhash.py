@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, materialize
+from graphloom.llm.common import discard, materialize, trim_memory
 from graphloom.llm.components import connected_components
 from graphloom.llm.hashing import mix, prefix_hashes, spans
 
@@ -90,6 +90,7 @@ def features(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
                 [batch.column("id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.list_(pa.int64()))],
                 names=["id", "n_shingles", "set_hi", "set_lo", "sig"],
             )
+        trim_memory()
 
     id_type = narrow.schema["id"].dataType.simpleString()
     return narrow.mapInArrow(run, f"id {id_type}, n_shingles long, set_hi long, set_lo long, sig array<long>")

@@ -42,7 +42,7 @@ from graphloom.llm.hashing import mix, prefix_hashes, spans, window_hashes
 
 K, GRAM = 50, 25
 PACK_BYTES = 3 << 20
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 3 << 20
 #: Text is hashed in stretches of about so many bytes, for the processor's caches.
 STRETCH = 256 << 10
 #: A gram with more different runs than this is sent window by window.

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import by_bytes, texts
+from graphloom.llm.common import by_bytes, texts, trim_memory
 from graphloom.llm.pieces import special_splitter, split_words
 
 BATCH_BYTES = 1 << 20
@@ -52,6 +52,10 @@ class PieceCounter:
             batch = self.tokenizer.encode_batch_fast([space + x for x in todo[a:b]], add_special_tokens=False)
             known.update(zip(todo[a:b], (len(e) for e in batch), strict=True))
 
+    def forget(self) -> None:
+        """Drop the lengths known so far."""
+        self.first, self.later = {}, {}
+
     def counts(self, rows: list[str]) -> list[int]:
         if not self.safe:
             out: list[int] = []
@@ -59,8 +63,7 @@ class PieceCounter:
                 out += [len(e) for e in self.tokenizer.encode_batch_fast(rows[a:b], add_special_tokens=False)]
             return out
         if len(self.first) + len(self.later) > KNOWN:
-            self.first.clear()
-            self.later.clear()
+            self.forget()
         parts, first, later = [], set(), set()
         for row in rows:
             segments = self.split.split(row) if self.split and self.split.search(row) else [row]
@@ -89,6 +92,9 @@ class PieceModelCounter:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
 
+    def forget(self) -> None:
+        """Nothing is kept between texts."""
+
     def counts(self, rows: list[str]) -> list[int]:
         out: list[int] = []
         for a, b in by_bytes(rows, BATCH_BYTES):
@@ -124,6 +130,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
                 [batch.column("id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=["id", "n_bytes", "n_tokens", "over_limit"],
             )
+        own.forget()
+        trim_memory()
 
     out = narrow.mapInArrow(run, f"id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", id_col)
