@@ -501,6 +501,7 @@ def params_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixed parameters of the pairs that the SQL takes: those closer than 0.05 stay out there and here."""
     from graphloom.operators.potentials import mix_pairs
 
     p = pairs_of(spark, sf_dir).filter("dist >= 0.05")
@@ -637,7 +638,7 @@ def polarization(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.operators.kernels import polarization as solve
 
     a = params_of(spark, sf_dir).withColumn("alpha", F.lit(0.0001))
-    return solve(a, edges_of(spark, sf_dir).filter("dist >= 0.05"))
+    return solve(a, edges_of(spark, sf_dir))
 
 
 @query()
