@@ -6,17 +6,24 @@ item, on diagonals (place in the text minus place in the item) that lie within `
 q-grams are counted in bands of ``2 * (e + 1)`` diagonals that overlap by half, so some band holds all of
 them. Bands that reach the bound are verified by an alignment banded to their diagonals.
 
-The items' q-gram index is broadcast in shards of at most :data:`SHARD_CHARS` characters, one pass over the
+Grams are :data:`Q` characters long, and shorter for items whose bound would fall below
+:data:`LEAST_SHARED`, so every item has the whole edit budget.
+
+Items shorter than ``min_chars`` are searched without edits and as whole words: places that start and end at
+word boundaries and have the hash of an item of their length are compared with it.
+
+The items' index is broadcast in shards of at most :data:`SHARD_CHARS` characters, one pass over the
 texts for each shard, so its size on a worker is bounded however many items there are.
 
-Edge cases: items that are null or shorter than ``min_chars`` are too short to be evidence and are not
-searched; a null or empty text has no match; rows that repeat an id are searched each; an item that stands
+Edge cases: items that are null or have nothing but white space are not searched; letters of scripts
+without spaces between words are words by themselves; a null or empty text has no match; rows that repeat an id are searched each; an item that stands
 in a text several times gives a row for each place; texts are searched whole; an empty table on either side
 gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,14 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import trim_memory
-from graphloom.llm.hashing import prefix_hashes, window_hashes
+from graphloom.llm.hashing import prefix_hashes, spans, window_hashes
 
 Q = 8
+#: Items under this length are searched without edits.
 MIN_CHARS = 32
 #: Edits allowed, as a share of an item's length.
 EDITS = 0.1
-#: Shared q-grams that the bound asks for at least; short items get a smaller edit budget for it.
+#: Shared q-grams that the bound asks for at least; short items get shorter grams for it.
 LEAST_SHARED = 6
+#: Code points of scripts without spaces between words: Thai to Burmese, Khmer, and Chinese to Korean.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xAC00, 0xD7FF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 SHARD_CHARS = 8 << 20
 FILTER_BITS = 22
 
@@ -48,8 +58,31 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def edit_budget(m: int, q: int = Q) -> int:
-    return max(0, min(int(EDITS * m), (m - q + 1 - LEAST_SHARED) // q))
+def edit_budget(m: int) -> int:
+    return int(EDITS * m)
+
+
+def gram_length(m: int) -> int:
+    """The longest gram up to :data:`Q` that leaves the bound of an item of ``m`` characters at
+    :data:`LEAST_SHARED`; for the shortest items, the longest that leaves it at one."""
+    pieces = edit_budget(m) + 1
+    return min(Q, (m + 1 - LEAST_SHARED) // pieces if m + 1 - LEAST_SHARED >= 4 * pieces else m // pieces)
+
+
+def in_word(text: np.ndarray) -> np.ndarray:
+    """Whether each code point is a letter, digit or mark of a word that may go on beside it."""
+    chars, at = np.unique(text, return_inverse=True)
+    known = [not any(a <= c <= b for a, b in UNSPACED) and ((s := chr(c)).isalnum() or unicodedata.category(s)[0] == "M") for c in chars.tolist()]
+    return np.array(known, bool)[at]
+
+
+def apart(places: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """``(first, end, edits)`` of places, the best of those that overlap."""
+    kept: list[tuple[int, int, int]] = []
+    for place in sorted(places, key=lambda p: (p[2], p[0], p[1])):
+        if all(place[1] <= k[0] or place[0] >= k[1] for k in kept):
+            kept.append(place)
+    return kept
 
 
 def banded_end(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
@@ -94,7 +127,7 @@ class ItemIndex:
         self.seen = np.zeros(1 << FILTER_BITS, bool)
         self.seen[(self.keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         self.length = np.array([len(c) for c in self.codes], np.int64)
-        self.budget = np.array([edit_budget(len(c), self.q) for c in self.codes], np.int64)
+        self.budget = np.array([edit_budget(len(c)) for c in self.codes], np.int64)
         self.bound = self.length - self.q + 1 - self.q * self.budget
 
     def regions(self, text: np.ndarray) -> list[tuple[int, int, int]]:
@@ -144,19 +177,59 @@ class ItemIndex:
             back = text[max(0, end - len(pattern) - e) : end][::-1]
             _, length = banded_end(pattern[::-1], back, -e, e)
             found.setdefault(which, []).append((end - length, end, edits))
-        out = []
-        for which, places in found.items():
-            kept: list[tuple[int, int, int]] = []
-            for place in sorted(places, key=lambda p: (p[2], p[0], p[1])):
-                if all(place[1] <= k[0] or place[0] >= k[1] for k in kept):
-                    kept.append(place)
-            out += [(self.ids[which], *place) for place in kept]
-        return sorted(out)
+        return [(self.ids[which], *place) for which, places in found.items() for place in apart(places)]
+
+
+@dataclass
+class WholeIndex:
+    """Items that are searched without edits, by length and hash."""
+
+    ids: list[int]
+    codes: list[np.ndarray]
+
+    def __post_init__(self) -> None:
+        self.tables: dict[int, tuple[np.ndarray, dict[int, list[int]]]] = {}
+        for m in sorted({len(c) for c in self.codes}):
+            own: dict[int, list[int]] = {}
+            for k, c in enumerate(self.codes):
+                if len(c) == m:
+                    own.setdefault(int(spans(prefix_hashes(c), np.array([0]), np.array([m]))[0]), []).append(k)
+            self.tables[m] = (np.array(sorted(own), np.uint64), own)
+
+    def matches(self, text: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """``(item id, first, end, 0)`` of places that are whole words, those of an item apart."""
+        if not self.tables or not len(text):
+            return []
+        word = in_word(text)
+        edge = np.ones(len(text) + 1, bool)
+        edge[1:-1] = ~(word[1:] & word[:-1])
+        starts, prefix = np.flatnonzero(edge), prefix_hashes(text)
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for m, (keys, own) in self.tables.items():
+            at = starts[: np.searchsorted(starts, len(text) - m, "right")]
+            at = at[edge[at + m]]
+            h = spans(prefix, at, at + m)
+            real = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
+            for first, key in zip(at[real].tolist(), h[real].tolist(), strict=True):
+                for which in own[key]:
+                    if np.array_equal(self.codes[which], text[first : first + m]):
+                        found.setdefault(which, []).append((first, first + m, 0))
+        return [(self.ids[which], *place) for which, places in found.items() for place in apart(places)]
+
+
+def indexes(items: list[tuple[int, str]], min_chars: int) -> list[ItemIndex | WholeIndex]:
+    """What finds the items: an index for each length of grams, and one of those that stand as they are."""
+    kinds: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for i, t in items:
+        # without a budget of edits, an item is a gram itself
+        q = gram_length(len(t)) if len(t) >= min_chars and edit_budget(len(t)) else 0
+        kinds.setdefault(q, []).append((i, code_points(t)))
+    return [ItemIndex([i for i, _ in own], [c for _, c in own], q) if q else WholeIndex([i for i, _ in own], [c for _, c in own]) for q, own in sorted(kinds.items())]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``(id_col, item_id, first_char, end_char, edits)`` of every place of an item in a text; places count
-    characters of the normalized text."""
+    characters of the normalized text. Items under ``min_chars`` are searched whole and without edits."""
     spark = docs.sparkSession
     wanted = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter(F.col("text").isNotNull())
     total = wanted.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -167,15 +240,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     for shard in range(n_shards):
         own = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_shards)) == shard).collect()
         pairs = [(r["item_id"], normal(r["text"])) for r in own]
-        shared = spark.sparkContext.broadcast([(i, t) for i, t in pairs if len(t) >= min_chars])
+        shared = spark.sparkContext.broadcast([(i, t) for i, t in pairs if t])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex([i for i, _ in shared.value], [code_points(t) for _, t in shared.value])
+            known = indexes(shared.value, min_chars)
             for batch in batches:
                 at: list[int] = []
                 rows: list[tuple] = []
                 for k, text in enumerate(batch.column("text").to_pylist()):
-                    found = index.matches(code_points(normal(text))) if text else []
+                    codes = code_points(normal(text))
+                    found = sorted(x for index in known for x in index.matches(codes))
                     at += [k] * len(found)
                     rows += found
                 columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
