@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,20 @@ def cached(df: DataFrame, parts: list[str], *, overwrite: bool = False) -> DataF
     return spark.read.parquet(path)
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` through a Parquet table of its own, so that its lineage ends there, and the table's path."""
+    spark = df.sparkSession
+    path = f"{cache_root(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_written(spark: SparkSession, path: str) -> None:
+    """Delete a table of :func:`written` that nothing reads again."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def read_one(table: DataFrame, graph_id: int) -> DataFrame:
     """The rows of one graph; IndexError if there are none."""
     out = table.filter(F.col("graph_id") == graph_id)
