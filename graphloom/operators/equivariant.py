@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import physics as ph
 from graphloom.functions.features import mlp, softplus
+from graphloom.operators.neighbors import lookup
 from graphloom.operators.potentials import conserve_charge
 
 Vector = tuple[Column, Column, Column]
@@ -33,8 +34,11 @@ def tensor_product(s: Column, v: Vector, y0: Column, y1: Vector) -> tuple[list[C
 
 
 def by_species(atoms: DataFrame, weights: DataFrame, key: str = "z_num") -> DataFrame:
-    """Atoms beside their species' weights ``weights(key, w0, w1, ...)``; atoms of other species go."""
-    return atoms.join(weights, key)
+    """Atoms beside their species' weights ``weights(key, w0, w1, ...)``; an atom of another species, or of none, is
+    an error when its key or a weight is read."""
+    found = lookup(atoms, weights, key)
+    # a weight reads the checked key, so that the check is not left out with it
+    return found.withColumns({c: F.when(F.col(key).isNotNull(), F.col(c)) for c in weights.columns if c != key})
 
 
 def element_update(h: list[Column], m: list[Column], weights: list[list[Column]]) -> list[Column]:
