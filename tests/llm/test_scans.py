@@ -184,6 +184,13 @@ def test_url_filters_match_sql(spark):
     assert url_filters.filter_urls(df.limit(0), rules).count() == 0
 
 
+def test_host_and_path_are_told_apart(spark):
+    rules = spark.createDataFrame([("com", "x", "block"), ("org", "", "block"), ("a.net", "b", "block")], url_filters.RULE_SCHEMA)
+    urls = [(1, "http://comx"), (2, "http://a.org/x"), (3, "http://com/x"), (4, "http://a.netb"), (5, "http://x.a.net/b"), (6, "http://orgx/")]
+    got = {r.page_id: r.rule for r in url_filters.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()}
+    assert got == {1: None, 2: "org", 3: None, 4: None, 5: None, 6: None}
+
+
 def test_language_id(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = lang_id.train(rows.filter(~lang_id.held_out("doc_id")))
