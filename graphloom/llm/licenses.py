@@ -3,12 +3,15 @@
 All rolling 2-word grams of all texts are joined, on their hash and then on their words, to the positions of
 the same grams in license templates. A meeting of word ``p`` of a text with word ``t`` of a template votes
 for the diagonal ``p - t``. Votes are aggregated by diagonal; a diagonal with every gram of its template is a
-place where the template stands word for word. Neighbouring diagonals (a word added or missing shifts the
-rest of a match by one) are merged, and a merged span is verified by the share of the template's grams that
-it holds.
+place where the template stands word for word. A word added or missing shifts the rest of a match by one, so
+neighbouring diagonals are merged into spans, of :data:`DRIFT` diagonals at most. A span is verified by an
+alignment: the words that its votes tell (others count as unknown) are compared with the template's by edit
+distance. What a span is worth is the smaller of the share of the template's grams that it holds and the share
+of the template's words that the alignment leaves unedited.
 
-The templates are a fixed list in this module (or a caller's list, which is checked to be short), so they are
-broadcast; the only shuffle carries votes. A text's votes are bounded by its own length.
+The templates are a fixed list in this module or a caller's list; lists of up to :data:`BROADCAST_WORDS` words
+are broadcast, longer ones are joined by a shuffle of the grams. Otherwise the only shuffle carries votes. A
+text's votes are bounded by its own length.
 
 Edge cases: a null or empty text has no words, no places and score 0; a text of one word has no gram; rows
 that repeat an id and text give the same result each, rows that repeat an id with another text are told apart
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,7 +32,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words, in ASCII-lower-cased text.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-MAX_TEMPLATE_WORDS = 100_000
+BROADCAST_WORDS = 100_000
+
+#: A span's diagonals lie so close together: so many words may be added to a match, or left out of it.
+DRIFT = 4
+
+UNKNOWN = "-"
+
+
+def word_codes(words: list[str]) -> str:
+    """A character for each word, the same for the same word."""
+    known = list(dict.fromkeys(words))
+    return "".join(chr(ord("a") + k) if k < 26 else chr(0x100 + k) for k in map(known.index, words))
 
 
 @dataclass(frozen=True)
@@ -73,22 +87,27 @@ def scan_licenses(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    slack: int = 2,
+    drift: int = DRIFT,
     coverage: float = 0.8,
 ) -> DataFrame:
     """``(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score)`` of every row.
 
-    ``score`` is the largest share of a template's grams that one merged span of the text holds."""
+    A label of the method's own asks for a span that is worth ``coverage``; ``score`` is what the best span of
+    the text is worth."""
     templates = BASE + OWN if templates is None else templates
-    if sum(len(t.words) for t in templates) > MAX_TEMPLATE_WORDS:
-        raise ValueError("the templates are too long to broadcast")
     if any(len(t.words) < 2 for t in templates):
         raise ValueError("a template needs two words")
     spark = docs.sparkSession
     grams = spark.createDataFrame(
-        [(k, t.label, t.base, len(t.words) - 1, i, a, b) for k, t in enumerate(templates) for i, (a, b) in enumerate(zip(t.words, t.words[1:], strict=False))],
-        "template int, label string, base boolean, n_grams int, at int, ta string, tb string",
+        [
+            (k, t.label, t.base, word_codes(t.words), i, a, b)
+            for k, t in enumerate(templates)
+            for i, (a, b) in enumerate(zip(t.words, t.words[1:], strict=False))
+        ],
+        "template int, label string, base boolean, code string, at int, ta string, tb string",
     ).withColumn("gram", F.xxhash64("ta", "tb"))
+    if sum(len(t.words) for t in templates) <= BROADCAST_WORDS:
+        grams = F.broadcast(grams)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -104,33 +123,26 @@ def scan_licenses(
             )
         ).alias("pos", "g"),
     )
-    met = rolling.select("id", "text_hash", "pos", "g.*").join(F.broadcast(grams), "gram").filter("a = ta AND b = tb")
-    votes = met.select("id", "text_hash", "template", "label", "base", "n_grams", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
-    keys = ["id", "text_hash", "template", "label", "base", "n_grams"]
+    met = rolling.select("id", "text_hash", "pos", "g.*").join(grams, "gram").filter("a = ta AND b = tb")
+    votes = met.select("id", "text_hash", "template", "label", "base", "code", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
+    keys = ["id", "text_hash", "template", "label", "base", "code"]
     diagonals = votes.groupBy(*keys, "diagonal").agg(F.collect_set("at").alias("ats"))
 
-    order = W.partitionBy("id", "text_hash", "template").orderBy("diagonal")
-    spans = (
-        diagonals.withColumn("new", (F.col("diagonal") - F.coalesce(F.lag("diagonal").over(order), F.lit(-1_000_000_000)) > slack).cast("int"))
-        .withColumn("span", F.sum("new").over(order))
-        .groupBy(*keys, "span")
+    near = W.partitionBy("id", "text_hash", "template").orderBy("diagonal").rangeBetween(0, drift)
+    merged = diagonals.withColumn("near", F.collect_list(F.struct("diagonal", "ats")).over(near))
+    worth = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(drift)), _span_worth))
+    found = (
+        merged.withColumns({"worth": worth, "exact": F.size("ats") == F.length("code") - 1})
+        .withColumns({"is_base": F.col("base") & F.col("exact"), "own": ~F.col("base") & (F.col("worth") >= coverage)})
+        .groupBy("id", "text_hash")
         .agg(
-            F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"),
-            F.sum((F.size("ats") == F.col("n_grams")).cast("long")).alias("exact"),
-            F.min(F.when(F.size("ats") == F.col("n_grams"), F.col("diagonal"))).alias("first_exact"),
-            F.max(F.when(F.size("ats") == F.col("n_grams"), F.col("diagonal"))).alias("last_exact"),
+            F.count_if("is_base").alias("n_base"),
+            F.min(F.when(F.col("is_base"), F.col("diagonal"))).alias("first_word"),
+            F.max(F.when(F.col("is_base"), F.col("diagonal"))).alias("last_word"),
+            F.array_join(F.sort_array(F.collect_set(F.when(F.col("is_base"), F.col("label")))), ",").alias("base_labels"),
+            F.array_join(F.sort_array(F.collect_set(F.when(F.col("is_base") | F.col("own"), F.col("label")))), ",").alias("labels"),
+            F.max("worth").alias("score"),
         )
-        .withColumn("share", F.size("ats") / F.col("n_grams"))
-    )
-    is_base = F.col("base") & (F.col("exact") > 0)
-    own = ~F.col("base") & (F.col("share") >= coverage)
-    found = spans.groupBy("id", "text_hash").agg(
-        F.sum(F.when(is_base, F.col("exact"))).alias("n_base"),
-        F.min(F.when(is_base, F.col("first_exact"))).alias("first_word"),
-        F.max(F.when(is_base, F.col("last_exact"))).alias("last_word"),
-        F.array_join(F.sort_array(F.collect_set(F.when(is_base, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.sort_array(F.collect_set(F.when(is_base | own, F.col("label")))), ",").alias("labels"),
-        F.max("share").alias("score"),
     )
     counted = keyed.select("id", "text_hash", F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"))
     found = found.withColumnsRenamed({"id": "fid", "text_hash": "fhash"})
@@ -146,45 +158,66 @@ def scan_licenses(
     )
 
 
-def scan_sql(templates: list[Template] | None = None, slack: int = 2, coverage: float = 0.8) -> str:
-    """The same scan of ``documents`` in DuckDB SQL, by joining word pairs themselves."""
+def _span_worth(width: Column) -> Column:
+    """What the span of ``near``'s diagonals up to ``width`` above the first is worth."""
+    own = F.filter("near", lambda d: d["diagonal"] <= F.col("diagonal") + width)
+    votes = F.flatten(F.transform(own, lambda d: F.transform(d["ats"], lambda t: F.struct((d["diagonal"] + t).alias("p"), t.alias("t")))))
+    places = F.transform(votes, lambda v: v["p"])
+    share = F.size(F.array_distinct(F.transform(votes, lambda v: v["t"]))) / (F.length("code") - 1)
+
+    def told(q: Column, back: int) -> Column:
+        """The template's word that a vote at ``q - back`` tells of word ``q``."""
+        vote = F.get(F.filter(votes, lambda v: v["p"] == q - back), F.lit(0))
+        return F.substring(F.col("code"), vote["t"] + 1 + back, F.lit(1))
+
+    span = F.transform(F.sequence(F.array_min(places), F.array_max(places) + 1), lambda q: F.coalesce(told(q, 0), told(q, 1), F.lit(UNKNOWN)))
+    aligned = 1 - F.levenshtein("code", F.array_join(span, "")) / F.length("code")
+    return F.greatest(F.lit(0.0), F.least(share, aligned))
+
+
+def scan_sql(templates: list[Template] | None = None, drift: int = DRIFT, coverage: float = 0.8) -> str:
+    """The same scan of ``documents`` in DuckDB SQL, by joining word pairs themselves; for templates of up to 26
+    different words, since its edit distance counts bytes."""
     templates = BASE + OWN if templates is None else templates
     rows = ", ".join(
-        f"({k}, '{t.label}', {t.base}, {len(t.words) - 1}, {i}, '{a}', '{b}')"
+        f"({k}, '{t.label}', {t.base}, '{word_codes(t.words)}', {i}, '{a}', '{b}')"
         for k, t in enumerate(templates)
         for i, (a, b) in enumerate(zip(t.words, t.words[1:], strict=False))
     )
     return rf"""
-WITH grams(template, label, base, n_grams, nth, ta, tb) AS (VALUES {rows}),
+WITH grams(template, label, base, code, nth, ta, tb) AS (VALUES {rows}),
 docs AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{GAP}'), lambda x: x <> '') AS w
   FROM documents),
 rolling AS (SELECT doc_id, w, unnest(range(1, len(w))) AS p FROM docs),
 votes AS (
-  SELECT doc_id, template, label, base, n_grams, nth, p - 1 - nth AS diagonal
+  SELECT doc_id, template, label, base, code, nth, p - 1 - nth AS diagonal
   FROM rolling JOIN grams ON w[p] = ta AND w[p + 1] = tb),
 diagonals AS (
-  SELECT doc_id, template, label, base, n_grams, diagonal, list(DISTINCT nth) AS ats FROM votes GROUP BY ALL),
-marked AS (
-  SELECT *, CASE WHEN diagonal - coalesce(lag(diagonal) OVER o, -1000000000) > {slack} THEN 1 ELSE 0 END AS fresh
-  FROM diagonals WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM marked),
+  SELECT doc_id, template, label, base, code, diagonal, list(DISTINCT nth) AS ats FROM votes GROUP BY ALL),
+near AS (
+  SELECT *, list({{'d': diagonal, 'ats': ats}}) OVER (PARTITION BY doc_id, template ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {drift} FOLLOWING) AS near
+  FROM diagonals),
 spans AS (
-  SELECT doc_id, template, label, base, n_grams, span,
-         count(*) FILTER (WHERE len(ats) = n_grams) AS exact,
-         min(diagonal) FILTER (WHERE len(ats) = n_grams) AS first_exact,
-         max(diagonal) FILTER (WHERE len(ats) = n_grams) AS last_exact,
-         len(list_distinct(flatten(list(ats)))) / n_grams AS share
-  FROM numbered GROUP BY doc_id, template, label, base, n_grams, span),
+  SELECT *, flatten(list_transform(list_filter(near, lambda d: d.d <= diagonal + width), lambda d: list_transform(d.ats, lambda t: {{'p': d.d + t, 't': t}}))) AS vs
+  FROM (SELECT *, unnest(range({drift} + 1)) AS width FROM near)),
+coded AS (
+  SELECT *, array_to_string(list_transform(range(list_min(list_transform(vs, lambda v: v.p)), list_max(list_transform(vs, lambda v: v.p)) + 2), lambda q: coalesce(
+    substr(code, CAST(list_filter(vs, lambda v: v.p = q)[1].t AS BIGINT) + 1, 1), substr(code, CAST(list_filter(vs, lambda v: v.p = q - 1)[1].t AS BIGINT) + 2, 1), '{UNKNOWN}')), '') AS span
+  FROM spans),
+judged AS (
+  SELECT doc_id, template, label, base, diagonal, any_value(len(ats) = length(code) - 1) AS exact,
+         max(greatest(0, least(len(list_distinct(list_transform(vs, lambda v: v.t))) / (length(code) - 1), 1 - levenshtein(code, span) / length(code)))) AS worth
+  FROM coded GROUP BY ALL),
 found AS (
   SELECT doc_id,
-         sum(exact) FILTER (WHERE base AND exact > 0) AS n_base,
-         min(first_exact) FILTER (WHERE base AND exact > 0) AS first_word,
-         max(last_exact) FILTER (WHERE base AND exact > 0) AS last_word,
-         array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE base AND exact > 0)), ',') AS base_labels,
-         array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE base AND exact > 0 OR NOT base AND share >= {coverage})), ',') AS labels,
-         max(share) AS score
-  FROM spans GROUP BY doc_id)
+         count(*) FILTER (WHERE base AND exact) AS n_base,
+         min(diagonal) FILTER (WHERE base AND exact) AS first_word,
+         max(diagonal) FILTER (WHERE base AND exact) AS last_word,
+         array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE base AND exact)), ',') AS base_labels,
+         array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE base AND exact OR NOT base AND worth >= {coverage})), ',') AS labels,
+         max(worth) AS score
+  FROM judged GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
        CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score

@@ -54,6 +54,32 @@ def test_licenses_by_hand(spark):
         licenses.scan_licenses(df, [licenses.Template("one", "x")])
 
 
+def test_license_spans_are_aligned(spark, monkeypatch):
+    mit = "permission is hereby granted free of charge to any person obtaining a copy"
+    twice = " ".join(f"{w} {w}" for w in mit.split())
+    texts = [
+        (1, mit, True),
+        (2, twice, False),  # drifts over all diagonals
+        (3, mit.replace("hereby", "hereby freely"), True),
+        (4, mit.replace("free of charge ", ""), False),
+        (5, f"{mit} {mit}", True),
+        (6, " ".join(reversed(mit.split())), False),
+        (7, mit.replace("granted", "x y granted"), True),
+        (10, mit.replace("granted", "x y z granted"), False),  # three edits of thirteen words
+        (8, "to any person obtaining a copy permission is hereby granted free of charge", False),
+        (9, "x " * 50 + mit + " y" * 50, True),
+    ]
+    df = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    for words in (licenses.BROADCAST_WORDS, 0):  # and by a shuffle of the grams
+        monkeypatch.setattr(licenses, "BROADCAST_WORDS", words)
+        got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+        assert {i: "mit" in r.labels.split(",") for i, r in got.items()} == {i: found for i, _, found in texts}
+        assert got[1].score == got[5].score == got[9].score == 1.0 and got[2].score < 0.5
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert sorted(con.execute(licenses.scan_sql()).fetchall()) == sorted(map(tuple, got.values()))
+
+
 PAGES = [
     (1, "http://a.example/x", "<p>one</p>"),
     (2, None, "<p>one</p>"),
