@@ -1,29 +1,36 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts and items are lower-cased and runs of white space become one space. If an item of ``m`` characters
-stands in a text with at most ``e`` edits, the place shares at least ``m - q + 1 - q * e`` q-grams with the
-item, on diagonals (place in the text minus place in the item) that lie within ``e`` of each other. Shared
-q-grams are counted in bands of ``2 * (e + 1)`` diagonals that overlap by half, so some band holds all of
-them. Bands that reach the bound are verified by an alignment banded to their diagonals.
+Texts and items are lower-cased and runs of white space become one space. Every item has one edit budget,
+:data:`EDITS` of its length. If an item of ``m`` characters stands in a text with at most ``e`` edits, the place
+shares at least ``m - q + 1 - q * e`` q-grams with the item, on diagonals (place in the text minus place in the
+item) that lie within ``e`` of each other. Shared q-grams are counted in bands of ``2 * (e + 1)`` diagonals that
+overlap by half, so some band holds all of them. Neighbouring bands that reach the bound form a region, which
+is verified by an alignment banded to its diagonals.
 
 Grams are :data:`Q` characters long, and shorter for items whose bound would fall below
-:data:`LEAST_SHARED`, so every item has the whole edit budget.
+:data:`LEAST_SHARED`, down to a bound of one, so every item has the whole edit budget.
 
-Items shorter than ``min_chars`` are searched without edits and as whole words: places that start and end at
-word boundaries and have the hash of an item of their length are compared with it.
+Items shorter than :data:`WORD_CHARS` must stand as whole words: a place starts and ends at word boundaries. Of
+these, items whose budget is no edit are looked up whole, by the hash of their length's strings, and compared.
+
+The places of an item in a text are the ends where the alignment is within the budget and not worse than at the
+ends beside it; of places that overlap, the one with fewest edits (then the first) stays.
 
 The items' index is broadcast in shards of at most :data:`SHARD_CHARS` characters, one pass over the
-texts for each shard, so its size on a worker is bounded however many items there are.
+texts for each shard, so its size on a worker is bounded however many items there are. A worker makes a shard's
+index once.
 
 Edge cases: items that are null or have nothing but white space are not searched; letters of scripts
 without spaces between words are words by themselves; a null or empty text has no match; rows that repeat an id are searched each; an item that stands
-in a text several times gives a row for each place; texts are searched whole; an empty table on either side
-gives an empty result; other columns are not read.
+in a text several times gives a row for each place, also where it overlaps with itself shifted (periodic items);
+texts are searched whole; an empty table on either side gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import unicodedata
+import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,15 +43,17 @@ from graphloom.llm.common import trim_memory
 from graphloom.llm.hashing import prefix_hashes, spans, window_hashes
 
 Q = 8
-#: Items under this length are searched without edits.
-MIN_CHARS = 32
+#: Items under this length must stand as whole words.
+WORD_CHARS = 32
 #: Edits allowed, as a share of an item's length.
 EDITS = 0.1
 #: Shared q-grams that the bound asks for at least; short items get shorter grams for it.
 LEAST_SHARED = 6
 #: Code points of scripts without spaces between words: Thai to Burmese, Khmer, and Chinese to Korean.
 UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xAC00, 0xD7FF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
-SHARD_CHARS = 8 << 20
+SHARD_CHARS = 4 << 20
+#: Diagonals that are aligned at a time.
+ALIGNED = 1 << 16
 FILTER_BITS = 22
 
 SCHEMA = "item_id long, first_char long, end_char long, edits int"
@@ -76,36 +85,49 @@ def in_word(text: np.ndarray) -> np.ndarray:
     return np.array(known, bool)[at]
 
 
-def apart(places: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """``(first, end, edits)`` of places, the best of those that overlap."""
-    kept: list[tuple[int, int, int]] = []
-    for place in sorted(places, key=lambda p: (p[2], p[0], p[1])):
-        if all(place[1] <= k[0] or place[0] >= k[1] for k in kept):
-            kept.append(place)
-    return kept
+def word_edges(text: np.ndarray) -> np.ndarray:
+    """Whether a word can begin or end at each of the ``len(text) + 1`` places."""
+    edge = np.ones(len(text) + 1, bool)
+    if len(text):
+        word = in_word(text)
+        edge[1:-1] = ~(word[1:] & word[:-1])
+    return edge
+
+
+class Apart:
+    """Places ``(first, end, edits)`` that do not overlap, in the order in which they are offered."""
 
+    def __init__(self) -> None:
+        self.places: list[tuple[int, int, int]] = []
 
-def banded_end(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
-    """Smallest edit distance of ``pattern`` to a substring of ``text`` that ends on a diagonal in
-    ``[low, high]`` and stays in the band, and the substring's (last best) end."""
+    def free(self, first: int, end: int) -> bool:
+        i = bisect_right(self.places, (first, 1 << 62, 0))
+        return (i == 0 or self.places[i - 1][1] <= first) and (i == len(self.places) or self.places[i][0] >= end)
+
+    def add(self, first: int, end: int, edits: int) -> None:
+        self.places.insert(bisect_right(self.places, (first, end, edits)), (first, end, edits))
+
+
+def banded_edits(pattern: np.ndarray, text: np.ndarray, low: int, high: int, anchored: bool = False) -> np.ndarray:
+    """For each diagonal in ``[low, high]``, the smallest edit distance of ``pattern`` to a substring of ``text``
+    that ends on it, ``len(pattern)`` places after the diagonal, by alignments inside the band; the substring
+    begins at any diagonal of the band, or at the text's start if ``anchored``. Ends outside the text have
+    ``len(pattern) + 1``."""
     width = high - low + 1
     lane = np.arange(width)
     padded = np.full(width + len(pattern), 0xFFFFFFFF, np.uint32)
     a, b = max(0, low), min(len(text), low + len(padded))
     if b > a:
         padded[a - low : b - low] = text[a:b]
-    inside = (lane + low >= 0) & (lane + low <= len(text))
     big = len(pattern) + 1
-    d = np.where(inside, 0, big)
+    start = lane + low
+    d = np.where((start >= 0) & (start <= len(text)), np.where(start > 0, start, 0) if anchored else 0, big)
     for i in range(1, len(pattern) + 1):
         step = d + (padded[i - 1 : i - 1 + width] != pattern[i - 1])
         step[:-1] = np.minimum(step[:-1], d[1:] + 1)
-        step[-1] = min(step[-1], big)
         d = np.minimum.accumulate(step - lane) + lane
     ends = lane + low + len(pattern)
-    d = np.where((ends >= 0) & (ends <= len(text)), d, big)
-    k = width - 1 - int(d[::-1].argmin())
-    return int(d[k]), int(ends[k])
+    return np.minimum(np.where((ends >= 0) & (ends <= len(text)), d, big), big)
 
 
 @dataclass
@@ -122,7 +144,7 @@ class ItemIndex:
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         offset = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])
         order = np.argsort(h, kind="stable")
-        self.item, self.offset = item[order], offset[order]
+        self.item, self.offset = item[order].astype(np.int32), offset[order].astype(np.int32)
         self.keys, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
         self.seen = np.zeros(1 << FILTER_BITS, bool)
         self.seen[(self.keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
@@ -143,7 +165,7 @@ class ItemIndex:
         if not len(n):
             return []
         slot = np.repeat(self.first[i], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, diagonal = self.item[slot], np.repeat(at, n) - self.offset[slot]
+        item, diagonal = self.item[slot].astype(np.int64), np.repeat(at, n) - self.offset[slot]
         step = self.budget[item] + 1
         # diagonals count from the longest item's length below zero
         shift = int(self.length.max()) + 1
@@ -167,17 +189,62 @@ class ItemIndex:
         return out
 
     def matches(self, text: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """``(item id, first, end, edits)`` of verified places, overlapping places of an item as one."""
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        for which, low, high in self.regions(text):
-            pattern, e = self.codes[which], int(self.budget[which])
-            edits, end = banded_end(pattern, text, low - e, high + e)
-            if edits > e:
+        """``(item id, first, end, edits)`` of verified places, those of an item apart."""
+        regions = self.regions(text)
+        edge = word_edges(text) if any(self.length[which] < WORD_CHARS for which, _, _ in regions) else None
+        ends: dict[int, list[tuple[int, int]]] = {}
+        for which, low, high in regions:
+            ends.setdefault(which, []).extend(self._ends(which, text, low, high, edge))
+        out: list[tuple[int, int, int, int]] = []
+        for which, found in ends.items():
+            places = self._places(which, text, sorted(set(found)), edge)
+            out += [(self.ids[which], *place) for place in places]
+        return out
+
+    def _ends(self, which: int, text: np.ndarray, low: int, high: int, edge: np.ndarray | None) -> list[tuple[int, int]]:
+        """``(edits, end)`` of a region's ends that are within the budget and no worse than those beside them."""
+        pattern, e = self.codes[which], int(self.budget[which])
+        m, found = len(pattern), []
+        for a in range(low - e, high + e + 1, ALIGNED):
+            b = min(a + ALIGNED, high + e + 1)
+            # an alignment within the budget stays within e diagonals of its end; one more on each side to compare with
+            d = banded_edits(pattern, text, a - e - 1, b + e)[e : e + b - a + 2]
+            own = d[1:-1]
+            good = own <= e
+            if m >= WORD_CHARS:
+                good &= (own <= d[:-2]) & (own <= d[2:])
+            at = np.flatnonzero(good)
+            if m < WORD_CHARS:  # any end at a word's end counts
+                at = at[edge[at + a + m]]
+            found += zip(own[at].tolist(), (at + a + m).tolist(), strict=True)
+        return found
+
+    def _places(self, which: int, text: np.ndarray, ends: list[tuple[int, int]], edge: np.ndarray | None) -> list[tuple[int, int, int]]:
+        """Places of the ends, best first, that do not overlap with better ones."""
+        pattern, e = self.codes[which], int(self.budget[which])
+        m, kept, later = len(pattern), Apart(), []
+        for edits, end in ends:
+            # the shortest place that can end here already overlaps
+            if not kept.free(end - max(1, m - e), end):
+                continue
+            back = text[max(0, end - m - e) : end][::-1]
+            d = banded_edits(pattern[::-1], back, -e, e, anchored=True)
+            length = m - e + np.arange(2 * e + 1)
+            if m < WORD_CHARS:
+                d = np.where((length <= end) & edge[np.maximum(end - length, 0)], d, m + 1)
+            best = int(d.min())
+            if best > e:
                 continue
-            back = text[max(0, end - len(pattern) - e) : end][::-1]
-            _, length = banded_end(pattern[::-1], back, -e, e)
-            found.setdefault(which, []).append((end - length, end, edits))
-        return [(self.ids[which], *place) for which, places in found.items() for place in apart(places)]
+            # of equally good beginnings, the first
+            place = (end - int(length[np.flatnonzero(d == best)[-1]]), end, best)
+            if best > edits:
+                later.append(place)  # word boundaries made it worse: after those that are better
+            elif kept.free(*place[:2]):
+                kept.add(*place)
+        for first, end, edits in sorted(later, key=lambda p: (p[2], p[1])):
+            if kept.free(first, end):
+                kept.add(first, end, edits)
+        return kept.places
 
 
 @dataclass
@@ -200,11 +267,9 @@ class WholeIndex:
         """``(item id, first, end, 0)`` of places that are whole words, those of an item apart."""
         if not self.tables or not len(text):
             return []
-        word = in_word(text)
-        edge = np.ones(len(text) + 1, bool)
-        edge[1:-1] = ~(word[1:] & word[:-1])
+        edge = word_edges(text)
         starts, prefix = np.flatnonzero(edge), prefix_hashes(text)
-        found: dict[int, list[tuple[int, int, int]]] = {}
+        found: dict[int, Apart] = {}
         for m, (keys, own) in self.tables.items():
             at = starts[: np.searchsorted(starts, len(text) - m, "right")]
             at = at[edge[at + m]]
@@ -212,24 +277,36 @@ class WholeIndex:
             real = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
             for first, key in zip(at[real].tolist(), h[real].tolist(), strict=True):
                 for which in own[key]:
-                    if np.array_equal(self.codes[which], text[first : first + m]):
-                        found.setdefault(which, []).append((first, first + m, 0))
-        return [(self.ids[which], *place) for which, places in found.items() for place in apart(places)]
+                    kept = found.setdefault(which, Apart())
+                    if np.array_equal(self.codes[which], text[first : first + m]) and kept.free(first, first + m):
+                        kept.add(first, first + m, 0)
+        return [(self.ids[which], *place) for which, kept in found.items() for place in kept.places]
 
 
-def indexes(items: list[tuple[int, str]], min_chars: int) -> list[ItemIndex | WholeIndex]:
+def indexes(items: list[tuple[int, str]]) -> list[ItemIndex | WholeIndex]:
     """What finds the items: an index for each length of grams, and one of those that stand as they are."""
     kinds: dict[int, list[tuple[int, np.ndarray]]] = {}
     for i, t in items:
         # without a budget of edits, an item is a gram itself
-        q = gram_length(len(t)) if len(t) >= min_chars and edit_budget(len(t)) else 0
+        q = gram_length(len(t)) if edit_budget(len(t)) else 0
         kinds.setdefault(q, []).append((i, code_points(t)))
     return [ItemIndex([i for i, _ in own], [c for _, c in own], q) if q else WholeIndex([i for i, _ in own], [c for _, c in own]) for q, own in sorted(kinds.items())]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+#: The worker's indexes of the shard that it met last.
+_KNOWN: dict[str, list[ItemIndex | WholeIndex]] = {}
+
+
+def known_indexes(key: str, items: list[tuple[int, str]]) -> list[ItemIndex | WholeIndex]:
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[key] = indexes(items)
+    return _KNOWN[key]
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``(id_col, item_id, first_char, end_char, edits)`` of every place of an item in a text; places count
-    characters of the normalized text. Items under ``min_chars`` are searched whole and without edits."""
+    characters of the normalized text. ``id_col`` can have any type."""
     spark = docs.sparkSession
     wanted = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter(F.col("text").isNotNull())
     total = wanted.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -240,16 +317,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     for shard in range(n_shards):
         own = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_shards)) == shard).collect()
         pairs = [(r["item_id"], normal(r["text"])) for r in own]
-        shared = spark.sparkContext.broadcast([(i, t) for i, t in pairs if t])
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [(i, t) for i, t in pairs if t]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = indexes(shared.value, min_chars)
+            known = known_indexes(*shared.value)
             for batch in batches:
                 at: list[int] = []
                 rows: list[tuple] = []
                 for k, text in enumerate(batch.column("text").to_pylist()):
                     codes = code_points(normal(text))
-                    found = sorted(x for index in known for x in index.matches(codes))
+                    found = sorted((x for index in known for x in index.matches(codes)), key=lambda x: (x[0] is None, x[0] or 0, *x[1:]))
                     at += [k] * len(found)
                     rows += found
                 columns = list(zip(*rows, strict=True)) or [(), (), (), ()]

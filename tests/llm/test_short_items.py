@@ -1,4 +1,4 @@
-"""Short benchmark items: whole without edits below 32 characters, the whole edit budget from there on."""
+"""Short benchmark items stand as whole words; every item has one edit budget and gives all its places."""
 
 import random
 
@@ -15,7 +15,7 @@ DOCS = [
     (4, "(42)", {3, 8}),
     (5, "他在北京大学学习", {4}),
     (6, "q: What is the capital of France? a: paris", {7}),
-    (7, "what is the capitol of france?", set()),
+    (7, "what is the capitol of france?", {7}),
     (8, "", set()),
     (9, None, set()),
     (10, "42 42", {3, 8}),
@@ -50,6 +50,66 @@ def test_whole_edit_budget(spark, m):
     assert [(r.doc_id, r.edits) for r in got] == [(1, edits)]
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("m", [10, 15, 20, 31])
+def test_short_items_with_edits_match_brute_force(spark, m):
+    rng = random.Random(m)
+    letters = "abcd   "
+
+    def words(n):
+        t = "x" + "".join(rng.choices(letters, k=n)) + "y"
+        return decontaminate.normal(t)
+
+    items = []
+    while len(items) < 6:
+        t = words(m)[:m]
+        if len(t) == m and t == t.strip():
+            items.append((len(items), t))
+    docs = []
+    for i in range(40):
+        p = list(rng.choice(items)[1])
+        for _ in range(rng.randint(0, m // 10 + 1)):
+            k = rng.randrange(len(p))
+            p[k : k + rng.randint(0, 1)] = rng.choice(letters)
+        docs.append((i, decontaminate.normal(f"{words(10)}{rng.choice([' ', ''])}{''.join(p)}{rng.choice([' ', 'z'])}{words(10)}")))
+    want = set()
+    for i, t in docs:
+        edges = [k for k in range(len(t) + 1) if k in (0, len(t)) or not (t[k - 1].isalnum() and t[k].isalnum())]
+        for k, item in items:
+            e = decontaminate.edit_budget(m)
+            if any(plain_distance(item, t[a:b]) <= e for a in edges for b in edges if m - e <= b - a <= m + e):
+                want.add((i, k))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_leaks(df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 10
+    texts, known = dict(docs), dict(items)
+    assert all(plain_distance(known[r.item_id], texts[r.doc_id][r.first_char : r.end_char]) == r.edits for r in got)
+
+
+def test_every_place_of_a_periodic_item(spark, monkeypatch):
+    item = ("ab cd " * 8).strip()
+    text = " ".join([item] * 4)
+    df = spark.createDataFrame([(1, text), (2, "b" * 1000), (3, "zz " + text)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "b" * 100)], "item_id long, text string")
+    for size in (decontaminate.ALIGNED, 7):
+        monkeypatch.setattr(decontaminate, "ALIGNED", size)
+        index = decontaminate.indexes([(1, item), (2, "b" * 100)])
+        places = [sorted(x for one in index for x in one.matches(decontaminate.code_points(r.text))) for r in df.collect()]
+        assert places[0] == [(1, 48 * k, 48 * k + 47, 0) for k in range(4)]
+        assert places[1] == [(2, 100 * k, 100 * k + 100, 0) for k in range(10)]
+        assert places[2] == [(1, 48 * k + 3, 48 * k + 50, 0) for k in range(4)]
+    rows = decontaminate.find_leaks(df, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.first_char, r.end_char, r.edits) for r in rows) == [(i, *p) for i, own in enumerate(places, 1) for p in own]
+
+
 def test_bound_of_shared_grams():
     for m in range(10, 400):
         q, e = decontaminate.gram_length(m), decontaminate.edit_budget(m)
