@@ -69,6 +69,43 @@ def test_long_lists_are_searched_in_packs(spark, monkeypatch):
     assert got == brute_components(rows)[0]
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_different_texts_are_never_one_class(spark):
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, other.upper()), (4, f"{word} {other}"), (5, f"{other} {word}")]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5}
+
+
+def test_links_are_confirmed_on_the_words(spark, monkeypatch):
+    # hash functions that see nothing: every pair looks alike, and only the texts tell
+    monkeypatch.setattr(minhash, "signature", lambda s: np.zeros(minhash.M, np.uint64))
+    rows = list(enumerate(near_copies(12, 5) + near_copies(12, 6) + ["a b c", "d e f", "a b c d"]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, words=2).collect()}
+    assert got == brute_components(rows)[0]
+
+
+def test_rows_of_one_id_and_different_texts(spark):
+    a, b = near_copies(2, 11, edits=0)[0], near_copies(1, 12)[0]
+    rows = [(1, a), (2, b), (5, a), (5, b), (5, b), (7, "x y z"), (7, "u v w")]
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect())
+    assert got == [(1, 1), (2, 2), (5, 1), (5, 2), (5, 2), (7, 7), (7, 7)]
+
+
+def test_long_texts_are_read_in_steps(monkeypatch):
+    text = "one two  three\tfour five six seven " * 40 + thue_morse(300)
+    whole = [minhash.shingle_hashes(text, k) for k in (1, 2, 5)]
+    monkeypatch.setattr(minhash, "STEP", 11)
+    for k, want in zip((1, 2, 5), whole, strict=True):
+        assert (minhash.shingle_hashes(text, k) == want).all() and len(want) == len(shingles(text, k))
+    assert len(minhash.shingle_hashes("a b", 5)) == 1 and len(minhash.shingle_hashes(" ", 5)) == 0
+
+
 def test_near_duplicates_of_nothing_and_of_rows_without_an_id(spark):
     df = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c")], "doc_id long, text string")
     got = sorted(tuple(r) for r in minhash.near_duplicates(df, words=2).filter("doc_id IS NOT NULL").collect())
