@@ -5,7 +5,8 @@ root yields the leftmost pair of the lowest rank. A merge changes three leaves,
 update; the word is done when the root is empty. Short words are merged many at a time: their trees are the
 rows of one numpy array. Words of more than :data:`WIDE` bytes have a tree of their own.
 
-Texts are cut into pieces at safe boundaries, and a worker remembers the ids of pieces up to a bound.
+Texts are cut into pieces at safe boundaries. A worker remembers the ids of short pieces and words, up to a bound
+in bytes; long pieces, such as those of scripts that write no spaces, are put together from their words each time.
 
 Edge cases: a null text is the empty text (0 ids); special strings inside texts become their ids, as the
 library does by default, and decode to themselves; ids outside the vocabulary decode to nothing; byte
@@ -21,19 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import by_bytes, texts, trim_memory
-from graphloom.llm.pieces import special_splitter, split_words
-
-#: Fixed value: the public pattern of byte-level BPE.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+from graphloom.llm import pieces
+from graphloom.llm.pieces import special_splitter, split_words, tokens_of
 
 NONE = np.int64(1 << 62)
 WIDE = 64
-KNOWN = 250_000
 BLOCK = 1 << 15
 
 
@@ -66,10 +63,7 @@ class Bpe:
         self.rank_of = {int(k): r for r, k in reversed(list(enumerate(keys)))}
         unique, first = np.unique(keys, return_index=True)
         self.keys, self.ranks = np.append(unique, NONE), np.append(first, 0).astype(np.int64)
-        self.pattern = regex.compile(PATTERN)
-        self.words: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.forget()
 
     # -- merging
 
@@ -192,22 +186,37 @@ class Bpe:
 
     # -- texts
 
+    def _learn_words(self, words: set[str]) -> None:
+        new = list(words.difference(self.words))
+        self.held += pieces.known_bytes(new)
+        self.words.update(zip(new, self.merge([w.encode() for w in new]), strict=True))
+
     def _learn(self, known: dict[str, bytes], wanted: set[str], space: str) -> None:
-        find = self.pattern.findall
         # letters alone, with the space before them, are one token of the pattern
-        cut = {piece: [space + piece] if piece.isalpha() else find(space + piece) for piece in wanted}
-        new = list({w for ws in cut.values() for w in ws}.difference(self.words))
-        self.words.update(zip(new, self.merge([w.encode() for w in new]), strict=True))
+        cut = {piece: [space + piece] if piece.isalpha() else tokens_of(space + piece) for piece in wanted}
+        self._learn_words({w for ws in cut.values() for w in ws})
+        self.held += pieces.known_bytes(wanted)
         get = self.words.__getitem__
         known.update((piece, b"".join(map(get, ws))) for piece, ws in cut.items())
 
+    def _long(self, piece: str) -> bytes:
+        """Ids of a long piece; its words are remembered if they are short."""
+        words = tokens_of(piece)
+        self._learn_words({w for w in words if len(w) <= pieces.LONG})
+        rest = list({w for w in words if len(w) > pieces.LONG})
+        own = dict(zip(rest, self.merge([w.encode() for w in rest]), strict=True))
+        return b"".join([own[w] if len(w) > pieces.LONG else self.words[w] for w in words])
+
     def forget(self) -> None:
         """Drop the pieces and words known so far."""
-        self.first, self.later, self.words = {}, {}, {}
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def encode(self, rows: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian uint32 bytes."""
-        if len(self.first) + len(self.later) + len(self.words) > KNOWN:
+        if self.held > pieces.KNOWN_BYTES:
             self.forget()
         parts, first, later = [], set(), set()
         for row in rows:
@@ -219,6 +228,9 @@ class Bpe:
                 elif segment:
                     words = split_words(segment)
                     head = words.pop(0)
+                    if len(segment) > pieces.LONG and (len(head) > pieces.LONG or max(map(len, words), default=0) > pieces.LONG):
+                        self._cut(own, head, words, first, later)
+                        continue
                     first.add(head)
                     later.update(words)
                     own.append((head, words))
@@ -228,6 +240,24 @@ class Bpe:
         one, more = self.first.__getitem__, self.later.__getitem__
         return [b"".join(x if isinstance(x, bytes) else one(x[0]) + b"".join(map(more, x[1])) for x in own) for own in parts]
 
+    def _cut(self, own: list[bytes | tuple[str, list[str]]], head: str, words: list[str], first: set[str], later: set[str]) -> None:
+        """Add a segment with long pieces to ``own``: runs of short pieces, and ids of long ones."""
+        run: list[str] = []
+        if len(head) > pieces.LONG:
+            own.append(self._long(head))
+            head = ""
+        for word in words:
+            if len(word) <= pieces.LONG:
+                run.append(word)
+                continue
+            own += [(head, run), self._long(f" {word}")]
+            first.add(head)
+            later.update(run)
+            head, run = "", []
+        own.append((head, run))
+        first.add(head)
+        later.update(run)
+
     def decode(self, ids: bytes) -> str:
         """The text of ids, special ones included."""
         get = self.bytes_of

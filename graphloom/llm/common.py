@@ -21,14 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; on a session without one (as in tests) a
-    temporary folder is made, set as the checkpoint folder and removed at exit."""
+    """The folder that ``spark.checkpoint.dir`` names. A session on one machine (as in tests) may have none:
+    then a temporary folder is made, set as the checkpoint folder and removed at exit. On a cluster that is an
+    error, since other machines would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rsplit("/", 1)[0]
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines see")
     path = tempfile.mkdtemp(prefix="graphloom-")
     atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{path}")
@@ -48,7 +51,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
-    # nothing reads the shuffle files behind the table again; Spark drops them once their owners are collected
+    # nothing reads the shuffle files behind the table again; Spark drops them once their owners are collected,
+    # which a driver with much free memory would put off until the disks are full
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
@@ -72,14 +76,20 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def n_bytes(text: str) -> int:
+    """The length of ``text`` in UTF-8."""
+    return len(text) if text.isascii() else len(text.encode())
+
+
 def by_bytes(rows: list[str], limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges ``[start, end)`` of rows of about ``limit`` characters each, one row at least."""
+    """Ranges ``[start, end)`` of rows of about ``limit`` bytes each, one row at least."""
     start = size = 0
     for i, row in enumerate(rows):
-        if size and size + len(row) > limit:
+        own = n_bytes(row)
+        if size and size + own > limit:
             yield start, i
             start, size = i, 0
-        size += len(row)
+        size += own
     if start < len(rows):
         yield start, len(rows)
 

@@ -1,10 +1,11 @@
 """Token counts: lengths from batch encoding inside Arrow functions.
 
 Texts are split at safe boundaries (:mod:`graphloom.llm.pieces`) for a ``.json`` vocabulary of the byte-level
-kind; the pieces that a worker has not met yet go to the library in batches of about equal bytes, and only
-their lengths are kept. A text's count is the sum over its pieces. The memory of known lengths is emptied
-when it is full, so a worker's memory is bounded; that changes speed only, never a count. Other
-vocabularies get whole texts, in batches balanced by bytes.
+kind: before words, and in long pieces (of scripts that write no spaces, say) wherever letters, digits and
+others change. The pieces that a worker has not met yet go to the library in batches of about equal bytes, and only
+their lengths are kept. A text's count is the sum over its pieces. Long pieces are not remembered, and the memory of
+known lengths is emptied when it holds so many bytes (:data:`graphloom.llm.pieces.KNOWN_BYTES`); that changes speed
+only, never a count. Other vocabularies get whole texts, in batches balanced by bytes.
 
 Edge cases: a null text counts as empty (0 tokens); special strings inside texts count as one token each, as
 the library does by default; texts of any length are split, never cut off; rows with equal ids stay apart;
@@ -21,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import by_bytes, texts, trim_memory
+from graphloom.llm.common import by_bytes, n_bytes, texts, trim_memory
+from graphloom.llm import pieces
 from graphloom.llm.pieces import special_splitter, split_words
 
 BATCH_BYTES = 1 << 20
-KNOWN = 250_000
 
 
 class PieceCounter:
@@ -42,19 +43,34 @@ class PieceCounter:
             spec = json.load(f)
         self.split = special_splitter([t["content"] for t in spec.get("added_tokens", [])])
         pre = spec.get("pre_tokenizer") or {}
-        self.safe = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        self.first: dict[str, int] = {}
-        self.later: dict[str, int] = {}
+        plain = not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+        self.safe = pre.get("type") == "ByteLevel" and plain
+        self.forget()
 
     def _learn(self, known: dict[str, int], wanted: set[str], space: str) -> None:
         todo = list(wanted)
+        self.held += pieces.known_bytes(todo)
         for a, b in by_bytes(todo, BATCH_BYTES):
             batch = self.tokenizer.encode_batch_fast([space + x for x in todo[a:b]], add_special_tokens=False)
-            known.update(zip(todo[a:b], (len(e) for e in batch), strict=True))
+            known.update(zip(todo[a:b], map(len, batch), strict=True))
 
     def forget(self) -> None:
         """Drop the lengths known so far."""
-        self.first, self.later = {}, {}
+        self.first: dict[str, int] = {}
+        self.later: dict[str, int] = {}
+        self.held = 0
+
+    def _long(self, parts: list[str]) -> int:
+        """The tokens of long pieces, cut where the pattern cuts."""
+        out = 0
+        tokens = [t for p in parts for t in pieces.tokens_of(p)]
+        short = {t for t in tokens if len(t) <= pieces.LONG}
+        self._learn(self.first, short.difference(self.first), "")
+        out += sum(self.first[t] for t in tokens if len(t) <= pieces.LONG)
+        rest = [t for t in tokens if len(t) > pieces.LONG]
+        for a, b in by_bytes(rest, BATCH_BYTES):
+            out += sum(map(len, self.tokenizer.encode_batch_fast(rest[a:b], add_special_tokens=False)))
+        return out
 
     def counts(self, rows: list[str]) -> list[int]:
         if not self.safe:
@@ -62,26 +78,32 @@ class PieceCounter:
             for a, b in by_bytes(rows, BATCH_BYTES):
                 out += [len(e) for e in self.tokenizer.encode_batch_fast(rows[a:b], add_special_tokens=False)]
             return out
-        if len(self.first) + len(self.later) > KNOWN:
+        if self.held > pieces.KNOWN_BYTES:
             self.forget()
         parts, first, later = [], set(), set()
         for row in rows:
             segments = self.split.split(row) if self.split and self.split.search(row) else [row]
-            own = []
+            own: list[tuple[str, list[str]]] = []
+            extra = 0
             for i, segment in enumerate(segments):
                 if i % 2:
-                    own.append(None)
+                    extra += 1
                 elif segment:
                     words = split_words(segment)
                     head = words.pop(0)
+                    if len(segment) > pieces.LONG and (len(head) > pieces.LONG or max(map(len, words), default=0) > pieces.LONG):
+                        long = [p for p in (head, *(f" {w}" for w in words if len(w) > pieces.LONG)) if len(p) > pieces.LONG]
+                        head = head if len(head) <= pieces.LONG else ""
+                        words = [w for w in words if len(w) <= pieces.LONG]
+                        extra += self._long(long)
                     first.add(head)
                     later.update(words)
                     own.append((head, words))
-            parts.append(own)
+            parts.append((extra, own))
         self._learn(self.first, first.difference(self.first), "")
         self._learn(self.later, later.difference(self.later), " ")
         one, more = self.first.__getitem__, self.later.__getitem__
-        return [sum(1 if x is None else one(x[0]) + sum(map(more, x[1])) for x in own) for own in parts]
+        return [extra + sum(one(head) + sum(map(more, words)) for head, words in own) for extra, own in parts]
 
 
 class PieceModelCounter:
@@ -125,7 +147,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
             n: list[int] = []
             for a, b in by_bytes(rows, 4 * BATCH_BYTES):
                 n += own.counts(rows[a:b])
-            size = [len(r.encode()) for r in rows]
+            size = list(map(n_bytes, rows))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=["id", "n_bytes", "n_tokens", "over_limit"],

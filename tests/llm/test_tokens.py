@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from graphloom.llm import bpe, token_counts
+from graphloom.llm import bpe, common, pieces, token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PARTS = ["a", "  b", "\n", " ", "\t", "\u2003", "<|endoftext|>", "   ", "é", "中", "١", "½", "\x1c", "\x85", "\u00a0", "'s", "'LL", "don't", "!!", "\u200b", "🙂", "x" * 70, "ab" * 100, "1" * 90]
@@ -46,10 +46,43 @@ def test_counts_match_the_library(library):
 
 
 def test_counts_survive_a_full_memory(library, monkeypatch):
-    monkeypatch.setattr(token_counts, "KNOWN", 3)
+    monkeypatch.setattr(pieces, "KNOWN_BYTES", 3)
     own = token_counts.PieceCounter(PATH)
     for _ in range(3):
         assert own.counts(["a b c d", "e f g"]) == [4, 3]
+    codec, rows = bpe.Bpe(PATH), samples()
+    want = codec.encode(rows)
+    assert codec.encode(rows) == want == codec.encode(rows)
+
+
+UNSPACED = "今天天气很好，我们去公园散步。ภาษาไทยไม่มีการเว้นวรรค2024年12月、日本語の文章もスペースなしで書きます！"
+
+
+@pytest.mark.parametrize("limit", [0, 3, 48])
+def test_texts_without_spaces_match_the_library(library, monkeypatch, limit):
+    monkeypatch.setattr(pieces, "LONG", limit)
+    rng = random.Random(limit)
+    rows = [UNSPACED * 30, f"x {UNSPACED} y  {UNSPACED}\n\n{UNSPACED}\n \n z", "a" * 400 + "1" * 90 + "!?" * 60 + "'s'll" * 20, UNSPACED[:50] + "<|endoftext|>" + UNSPACED]
+    rows += ["".join(rng.choice([*PARTS, *UNSPACED]) for _ in range(150)) for _ in range(60)] + samples()
+    want = [e.ids for e in library.encode_batch(rows, add_special_tokens=False)]
+    own = bpe.Bpe(PATH)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(rows)] == want
+    assert token_counts.PieceCounter(PATH).counts(rows) == list(map(len, want))
+
+
+def test_long_pieces_are_not_remembered():
+    rng = random.Random(2)
+    counter, codec = token_counts.PieceCounter(PATH), bpe.Bpe(PATH)
+    for _ in range(20):
+        rows = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(2000)) for _ in range(5)]
+        counter.counts(rows)
+        codec.encode(rows)
+    assert counter.held < 10_000 and codec.held < 10_000
+
+
+def test_batches_are_balanced_by_bytes():
+    rows = ["é" * 10, "a" * 10, "中" * 10, "b" * 30]
+    assert list(common.by_bytes(rows, 30)) == [(0, 2), (2, 3), (3, 4)]
 
 
 def test_other_vocabularies():
