@@ -4,8 +4,10 @@ Each task writes archives of bounded size below the shared folder. An archive's
 from records spread over that archive, up to :data:`SAMPLE_BYTES`, and stands, itself compressed, in a
 skippable frame at the head of the file; each record is a frame of its own, so any of them can be read alone.
 A payload that occurs more than once is stored once, by the row with the largest id; the others are
-``revisit`` records that refer to it. The owner of a payload is found by a pre-aggregated ``max`` on the
-payload's digest, and one join on the digest (which adaptive execution can split) carries it to the pages.
+``revisit`` records that refer to it. Payloads are equal if their SHA-256 and length are; the owner of one that
+several rows have is found by a pre-aggregated ``max`` on these. A list of such payloads that is short enough is
+broadcast to the pages, which then stay where they are; a longer one is joined by a shuffle (which adaptive
+execution can split). The SHA-1 of the records' headers decides nothing.
 
 Archives of failed or repeated task attempts have other names and are not in the manifest. The reader streams
 the archives that the manifest names, one per row, and checks each payload against its digest.
@@ -30,13 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, work_dir
+from graphloom.llm.common import discard, drop_path, materialize, work_dir
 
 #: The frame that holds a dictionary, and the revisit profile.
 DICT_FRAME = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 ARCHIVE_BYTES = 16 << 20
+#: A list of at most so many repeated payloads (some 60 bytes each) is broadcast.
+BROADCAST_PAYLOADS = 250_000
 DICT_BYTES = 64 << 10
 SAMPLE_BYTES = 2 << 20
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -137,15 +141,14 @@ def write_archives(
     path = path or work_dir(pages.sparkSession, "warc")
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(
-        F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest")
+        F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("digest")
     )
-    owners = rows.groupBy(F.col("digest").alias("owned")).agg(F.max("id").alias("owner"))
-    roles = rows.join(owners, F.col("digest") == F.col("owned")).select(
-        "id",
-        "url",
-        "payload",
-        "owner",
-        ((F.octet_length("payload") >= min_revisit_bytes) & ~F.col("id").eqNullSafe(F.col("owner"))).alias("revisit"),
+    repeated = rows.groupBy(F.col("digest").alias("owned"), F.octet_length("payload").alias("size")).agg(F.max("id").alias("owner"), F.count("*").alias("n"))
+    repeated = materialize(repeated.filter((F.col("n") > 1) & (F.col("size") >= min_revisit_bytes)).select("owned", "size", "owner"), "payloads")
+    few = repeated.count() <= BROADCAST_PAYLOADS
+    same = (F.col("digest") == F.col("owned")) & (F.octet_length("payload") == F.col("size"))
+    roles = rows.join(F.broadcast(repeated) if few else repeated, same, "left").select(
+        "id", "url", "payload", "owner", (F.col("owned").isNotNull() & ~F.col("id").eqNullSafe(F.col("owner"))).alias("revisit")
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +179,16 @@ def write_archives(
         if held:
             yield flush()
 
-    return materialize(roles.mapInArrow(write, "archive string, n_records long, n_bytes long"), "warc-manifest")
+    manifest = materialize(roles.mapInArrow(write, "archive string, n_records long, n_bytes long"), "warc-manifest")
+    discard(repeated)
+    manifest.archives_in = path
+    return manifest
+
+
+def drop_archives(manifest: DataFrame) -> None:
+    """Delete the archives of :func:`write_archives` and their manifest."""
+    drop_path(manifest.sparkSession, manifest.archives_in)
+    discard(manifest)
 
 
 READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -213,8 +225,8 @@ def read_archives(manifest: DataFrame, *, with_payload: bool = False) -> DataFra
                 yield pa.RecordBatch.from_pydict(rows, schema=READ_ARROW)
 
     n = max(1, manifest.count())
-    # a task for each archive
-    spread = manifest.select("archive").repartition(min(n, 100_000), "archive")
+    # dealt out in turn: a task for each archive
+    spread = manifest.select("archive").repartition(min(n, 100_000))
     return spread.mapInArrow(read, READ_SCHEMA)
 
 
