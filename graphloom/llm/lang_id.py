@@ -1,6 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Texts are lower-cased; every code point that is not a letter becomes a space and runs of spaces become one.
+Texts are lower-cased; every code point that is neither a letter nor a mark (as in the middle of Indic words)
+becomes a space and runs of spaces become one.
 The n-grams of one to three code points are hashed into a fixed number of buckets. Training sums bucket
 counts by language in Spark, over all labelled rows, and keeps a matrix of log probabilities, whose size is
 buckets times languages however many documents there are. The matrix is broadcast; scoring gathers its rows
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +34,14 @@ SMOOTHING = 0.5
 BLOCK_CHARS = 1 << 18
 UNKNOWN = "und"
 
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER, _OTHER_ASCII = regex.compile(r"[^\p{L}\p{M}]+"), re.compile("[^A-Za-z]+")
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
 def clean(text: str) -> str:
     """Letters in lower case, anything between them as one space, spaces at both ends."""
-    return f" {_OTHER.sub(' ', text).lower().strip(' ')} "
+    other = _OTHER_ASCII if text.isascii() else _OTHER
+    return f" {other.sub(' ', text).lower().strip(' ')} "
 
 
 def has_letter(cleaned: str) -> bool:

@@ -123,6 +123,23 @@ def test_warc_payloads_and_layout(spark):
         list(warc.read_archive(b"\x28\xb5\x2f\xfd" + b"\0" * 20))
 
 
+def test_warc_many_archives(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4000)
+    rows = [(i, f"http://a.example/{i}", f"<p>{i % 40}</p>" * (1 + i % 7) if i % 11 else "z" * 9000) for i in range(120)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    owner = {h: i for i, _, h in rows}
+    for limit in (warc.BROADCAST_PAYLOADS, 0):  # and by a shuffle
+        monkeypatch.setattr(warc, "BROADCAST_PAYLOADS", limit)
+        manifest = warc.write_archives(df)
+        assert manifest.count() > 5
+        back = warc.read_archives(manifest, with_payload=True).collect()
+        assert sorted((r.page_id, r.payload_bytes, r.refers_to) for r in back) == [(i, len(h), owner[h] if owner[h] != i else None) for i, _, h in rows]
+        assert all(bytes(r.payload).decode() == rows[r.page_id][2] for r in back if r.record_type == "response")
+        warc.drop_archives(manifest)
+    alone = warc.read_archives(warc.write_archives(df, min_revisit_bytes=1 << 20))
+    assert alone.filter("record_type = 'response' AND refers_to IS NULL").count() == len(rows)
+
+
 def brute_topk(rows, k):
     v = {}
     valid = [(i, [int(np.floor(256 * float(x))) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
@@ -231,6 +248,49 @@ def test_language_id(spark):
     assert {r.lang_pred for r in lang_id.identify(odd, nothing).collect()} == {"und"}
 
 
+def plain_ngrams(text):
+    """Buckets of a text's n-grams, one at a time."""
+    out = []
+    clean = lang_id.clean(text)
+    for n in (1, 2, 3):
+        for k in range(len(clean) - n + 1):
+            acc = 0
+            for j in range(n):
+                acc = ((acc ^ ord(clean[k + j])) * int(lang_id._MULTIPLIERS[j]) + j) & 0xFFFFFFFF
+                acc ^= acc >> 15
+            out.append(((acc * 0x27D4EB2F) & 0xFFFFFFFF) >> (32 - lang_id.BUCKETS.bit_length() + 1))
+    return out
+
+
+def test_language_id_matches_plain_naive_bayes(spark):
+    rng = random.Random(4)
+    letters = {"aa": "abcdeé ", "bb": "cdefgß ", "cc": "नमस्ते हिंदी "}
+    rows = [(i, "".join(rng.choices(letters[lang], k=rng.randint(1, 60))) + rng.choice(["", "1!", "\n"]), lang) for i in range(90) for lang in [rng.choice(list(letters))]]
+    rows += [(90, None, "aa"), (91, "12", "bb"), (92, "unlabelled", None), (93, "x" * 3000, "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taught = [(plain_ngrams(t), lang) for _, t, lang in rows if t and lang and any(map(str.isalpha, t))]
+    langs = sorted({lang for _, lang in taught})
+    counts = {lang: np.zeros(lang_id.BUCKETS) for lang in langs}
+    for grams, lang in taught:
+        np.add.at(counts[lang], grams, 1)
+    logs = {lang: np.log((c + lang_id.SMOOTHING) / (c + lang_id.SMOOTHING).sum()) for lang, c in counts.items()}
+    prior = {lang: np.log(sum(x == lang for _, x in taught) / len(taught)) for lang in langs}
+    got = {r.doc_id: r for r in lang_id.identify(df, lang_id.train(df)).collect()}
+    for i, text, _ in rows:
+        if not text or not any(map(str.isalpha, text)):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        total = np.array([prior[lang] + logs[lang][plain_ngrams(text)].sum() for lang in langs])
+        posterior = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+        assert got[i].lang_pred == langs[int(posterior.argmax())] and got[i].score == pytest.approx(posterior.max(), rel=1e-9)
+
+
+def test_equal_posteriors_go_to_the_first_language(spark):
+    rows = [(1, "same text", "zz"), (2, "same text", "aa"), (3, "same text", "mm")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {(r.lang_pred, round(r.score, 9)) for r in lang_id.identify(df, lang_id.train(df)).collect()} == {("aa", round(1 / 3, 9))}
+
+
 def test_language_scores_do_not_depend_on_neighbours(spark):
     model = lang_id.LanguageModel(("a", "b"), np.random.default_rng(0).normal(size=(lang_id.BUCKETS + 1, 2)) * [[1, 1]] * np.r_[np.ones(lang_id.BUCKETS), 0][:, None], np.log([0.5, 0.5]))
     rows = ["alpha beta", "x", "gamma delta epsilon", "é"]
