@@ -7,38 +7,44 @@ content, level by level, and only those that a cheaper level leaves open are sor
 1. Every window of ``K`` bytes is assigned to its minimizer, the leftmost smallest hash among its grams of
    ``GRAM`` bytes. Equal windows have equal minimizers. Neighbouring windows of one minimizer form a run.
 2. Gram hashes meet in buckets; grams of one document only are done with.
-3. For the others, the hash of the run's bytes says whether the gram always stands in the same bytes; then
-   all documents but the smallest lose the run.
+3. For the others, a 128-bit BLAKE2b digest of the run's bytes says whether the gram always stands in the same
+   bytes; then all documents but the smallest lose the run.
 4. The bytes of the remaining runs meet by gram. Their suffixes that start a window, at the same distance
    from the gram, are sorted: prefix polynomial hashes and binary search find the common extension of two
    suffixes, so a comparison is logarithmic, inside a mergesort whose comparisons are made for a whole level
-   at once. Neighbours that share ``K`` bytes by hash are verified byte by byte; of such a set of windows, all
-   but the smallest document's go.
+   at once. The order is verified byte by byte; where hashes that collide have led it astray, the bytes
+   themselves decide. Of a set of windows that share ``K`` bytes, all but the smallest document's go.
 
-Documents are dealt to packs of about :data:`PACK_BYTES` by their id's hash. Each pack combines what it sends
+Polynomial hashes only bring bytes together: inside a pack, bytes are compared as such.
+
+Documents are dealt to packs by their id's hash. Each pack combines what it sends
 (one entry for each gram, or gram and run), so a passage that stands in a third of all documents is at most
 one entry per pack in any task. A gram with very many different runs (a common line between
-different neighbours) is sent window by window instead, dealt by the windows' own hashes.
+different neighbours) is sent window by window instead, dealt by the windows' own hashes. Packs and the buckets in
+which they meet hold :data:`PACK_BYTES` at least and grow with the root of the input, so that a message from a pack to
+a bucket is not much smaller than its head (10 MB each at 1 TB, 100 MB at 100 TB).
 
 The texts are shuffled once: every level is one lazy plan over the same exchange, and answers go back to the
 packs as bits.
 
 Edge cases: a null text is empty; texts shorter than ``K`` lose nothing; rows with equal ids count as one
-document (they do not remove each other's bytes); rows without an id lose nothing and remove nothing; an
-empty table gives an empty result; matches never cross documents; other columns are not read.
+document (they do not remove each other's bytes); rows without an id lose nothing, remove nothing and stay out of the
+packs; an empty table gives an empty result; matches never cross documents; columns that are not carried are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import trim_memory
-from graphloom.llm.hashing import mix, prefix_hashes, spans, window_hashes
+from graphloom.llm.hashing import prefix_hashes, spans, window_hashes
 
 K, GRAM = 50, 25
 PACK_BYTES = 3 << 20
@@ -53,8 +59,7 @@ MESSAGE = "bucket int, pid int, kind int, n int, data binary"
 
 class Runs:
     """Runs of the windows of a pack's documents: ``doc`` (position in the pack), ``first`` (of the run's
-    windows, in its document), ``count`` of windows, ``gram`` and ``run`` hashes, ``lead`` (bytes before the
-    gram)."""
+    windows, in its document), ``count`` of windows, ``gram`` hashes, ``lead`` (bytes before the gram)."""
 
     def __init__(self, texts: list[bytes], ids: np.ndarray) -> None:
         self.texts, self.ids = texts, ids
@@ -71,8 +76,8 @@ class Runs:
         if held:
             parts.append(self._stretch(held))
         empty = np.zeros(0, np.int64)
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty]
-        self.doc, self.first, self.count, self.gram, self.run, self.lead = columns
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [empty, empty, empty, empty.astype(np.uint64), empty]
+        self.doc, self.first, self.count, self.gram, self.lead = columns
 
     def _stretch(self, docs: list[int]) -> tuple[np.ndarray, ...]:
         data = np.frombuffer(b"".join(self.texts[i] for i in docs), np.uint8)
@@ -101,14 +106,19 @@ class Runs:
         head = np.flatnonzero(new)
         count = np.diff(np.append(head, len(place)))
         begin, anchor = place[head], anchor[head].astype(np.int64)
-        run = mix(spans(prefix, begin, begin + count + (K - 1)) + count.astype(np.uint64))
         which = np.searchsorted(ends, begin, side="right")
-        return np.array(docs, np.int64)[which], begin - starts[which], count, h[anchor], run, anchor - begin
+        return np.array(docs, np.int64)[which], begin - starts[which], count, h[anchor], anchor - begin
 
     def bytes_of(self, r: int) -> bytes:
         a = int(self.first[r])
         return self.texts[self.doc[r]][a : a + int(self.count[r]) + K - 1]
 
+    def numbers(self, which: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """A number for each of these runs, the same for the same bytes, and the bytes of each number."""
+        known: dict[bytes, int] = {}
+        number = np.fromiter((known.setdefault(self.bytes_of(r), len(known)) for r in which.tolist()), np.int64, len(which))
+        return number, list(known)
+
 
 def _trimmed(f, two: bool = False):
     """``f`` with the memory of the group before given back first."""
@@ -126,8 +136,7 @@ def _trimmed(f, two: bool = False):
 
 def _pack(pdf: pd.DataFrame) -> tuple[Runs, np.ndarray, np.ndarray]:
     """Runs of a pack, its distinct grams in order, and each run's gram's place among these."""
-    own = pdf[pdf["id"].notna()]
-    runs = Runs([t or b"" for t in own["text"]], own["id"].to_numpy(np.int64))
+    runs = Runs([t or b"" for t in pdf["text"]], pdf["id"].to_numpy(np.int64))
     grams, slot = np.unique(runs.gram, return_inverse=True)
     return runs, grams, slot
 
@@ -210,7 +219,7 @@ def _shared(answers: pd.DataFrame, grams: np.ndarray) -> np.ndarray:
 
 # -- level 3: which of these grams stand in the same bytes everywhere
 
-RUN_ENTRY = np.dtype([("gram", "<u8"), ("run", "<u8"), ("doc", "<i8"), ("runs", "<i4")])
+RUN_ENTRY = np.dtype([("gram", "<u8"), ("high", "<u8"), ("low", "<u8"), ("doc", "<i8"), ("runs", "<i4")])
 DONE_HERE, DONE_ELSEWHERE, OPEN, OPEN_MANY = 1, 2, 3, 4
 
 
@@ -227,9 +236,13 @@ def _send_runs(buckets: int):
             own = (np.cumsum(shared) - 1)[slot[keep]]
             out["gram"] = grams[shared]
             out["doc"] = _group_min_max(own, runs.ids[runs.doc[keep]], n)[0]
-            out["run"] = _group_min_max(own, runs.run[keep], n)[0]
-            pairs = np.unique(np.rec.fromarrays([own, runs.run[keep]]))
-            out["runs"] = np.bincount(pairs["f0"], minlength=n)
+            number, raw = runs.numbers(keep)
+            pairs = np.unique(own * len(raw) + number)
+            out["runs"] = np.bincount(pairs // len(raw), minlength=n)
+            # where a gram has several runs here, which of them is named does not matter
+            named = (pairs % len(raw))[np.searchsorted(pairs // len(raw), np.arange(n))]
+            digest = np.frombuffer(b"".join(blake2b(raw[k], digest_size=16).digest() for k in named.tolist()), "<u8").reshape(-1, 2)
+            out["high"], out["low"] = digest[:, 0], digest[:, 1]
         return _messages(int(pdf["pid"].iloc[0]), 0, _bucket_of(out["gram"], buckets), out)
 
     return run
@@ -238,11 +251,14 @@ def _send_runs(buckets: int):
 def _meet_runs(pdf: pd.DataFrame, many_runs: int) -> pd.DataFrame:
     rec, origin = _records(pdf, RUN_ENTRY)
     grams, slot = np.unique(rec["gram"], return_inverse=True)
-    low, high = _group_min_max(slot, rec["run"], len(grams))
     doc, _ = _group_min_max(slot, rec["doc"], len(grams))
     _, most = _group_min_max(slot, rec["runs"], len(grams))
     total = np.bincount(slot, rec["runs"])
-    one = ((low == high) & (most == 1))[slot]
+    one = most == 1
+    for half in ("high", "low"):
+        least, largest = _group_min_max(slot, rec[half], len(grams))
+        one &= least == largest
+    one = one[slot]
     codes = np.where(one, np.where(rec["doc"] == doc[slot], DONE_HERE, DONE_ELSEWHERE), np.where(total[slot] > many_runs, OPEN_MANY, OPEN))
     return _answers(pdf, 2, codes.astype(np.uint8), origin)
 
@@ -267,14 +283,16 @@ def _open_pieces(runs: Runs, slot: np.ndarray, codes: np.ndarray) -> tuple[np.nd
     whole, many = np.flatnonzero(code == OPEN), np.flatnonzero(code == OPEN_MANY)
     owner = [whole]
     window = [np.full(len(whole), -1)]
-    key, sub = [runs.gram[whole]], [runs.run[whole]]
+    # what tells pieces of one key apart: a number for the same bytes
+    key, sub = [runs.gram[whole]], [runs.numbers(whole)[0]]
+    known: dict[bytes, int] = {}
     for r in many.tolist():
-        raw = np.frombuffer(runs.bytes_of(r), np.uint8)
-        h = window_hashes(prefix_hashes(raw), K)
+        raw = runs.bytes_of(r)
+        h = window_hashes(prefix_hashes(np.frombuffer(raw, np.uint8)), K)
         owner.append(np.full(len(h), r))
         window.append(np.arange(len(h)))
         key.append(h)
-        sub.append(h)
+        sub.append(np.array([-1 - known.setdefault(raw[w : w + K], len(known)) for w in range(len(h))], np.int64))
     owner, window, key, sub = (np.concatenate(x) for x in (owner, window, key, sub))
     order = np.lexsort((runs.ids[runs.doc[owner]], sub, key))
     owner, window, key, sub = owner[order], window[order], key[order], sub[order]
@@ -363,24 +381,41 @@ def sort_suffixes(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, group
     return order
 
 
+def _in_order(data: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the ``K`` bytes at ``before`` equal those at ``after``, and whether they do not sort behind them."""
+    lanes = np.arange(K)
+    same, good = np.empty(len(before), bool), np.empty(len(before), bool)
+    for a in range(0, len(before), 1 << 15):
+        part = slice(a, a + (1 << 15))
+        x, y = data[before[part, None] + lanes], data[after[part, None] + lanes]
+        other = x != y
+        at = other.argmax(1)
+        rows = np.arange(len(x))
+        same[part] = ~other[rows, at]
+        good[part] = x[rows, at] <= y[rows, at]
+    return same, good
+
+
 def _repeated(data: np.ndarray, start: np.ndarray, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each suffix, whether a suffix of its group with a smaller document has the same ``K`` bytes."""
-    prefix = prefix_hashes(data)
-    order = sort_suffixes(data, prefix, start, group)
+    if not len(start):
+        return np.zeros(0, bool)
+    order = sort_suffixes(data, prefix_hashes(data), start, group)
     s, g = start[order], group[order]
-    equal = np.zeros(len(s), bool)
     near = np.flatnonzero(g[1:] == g[:-1]) + 1
-    equal[near] = common_extension(prefix, s[near], s[near - 1]) >= K
-    lanes = np.arange(K)
-    hits = np.flatnonzero(equal)
-    for a in range(0, len(hits), 1 << 15):  # hashes agree: compare the bytes
-        part = hits[a : a + (1 << 15)]
-        if not (data[s[part][:, None] + lanes] == data[s[part - 1][:, None] + lanes]).all():
-            raise ArithmeticError("two different strings have one polynomial hash")
-    same = np.cumsum(~equal) - 1
-    least, _ = _group_min_max(same, doc[order], int(same[-1]) + 1 if len(same) else 0) if len(same) else (doc, doc)
+    same, good = _in_order(data, s[near - 1], s[near])
+    if not good.all():  # hashes collided: the bytes themselves decide
+        raw = data[start[:, None] + np.arange(K)]
+        order = np.lexsort((*raw.T[::-1], group))
+        s, g = start[order], group[order]
+        near = np.flatnonzero(g[1:] == g[:-1]) + 1
+        same, _ = _in_order(data, s[near - 1], s[near])
+    equal = np.zeros(len(s), bool)
+    equal[near] = same
+    place = np.cumsum(~equal) - 1
+    least, _ = _group_min_max(place, doc[order], int(place[-1]) + 1)
     out = np.zeros(len(s), bool)
-    out[order] = doc[order] > least[same] if len(same) else False
+    out[order] = doc[order] > least[place]
     return out
 
 
@@ -423,13 +458,21 @@ def _meet_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
 
 # -- the result
 
-RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
 
+def _parts(text: bytes, cover: np.ndarray) -> list[bytes]:
+    """What is left between the bytes that are covered."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], cover, [True]]).astype(np.int8)))
+    return [text[a:b] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+
+
+def _apply(with_text: bool, carry: list[str]):
+    names = ["id", *carry, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
 
-def _apply(with_kept: bool):
     def run(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame({c: [] for c in ("id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")})
+            return pd.DataFrame({c: [] for c in names})
         runs, grams, slot = _pack(pdf)
         shared = _shared(answers, grams)
         codes = _codes(answers, shared)
@@ -463,19 +506,19 @@ def _apply(with_kept: bool):
         rows: list[tuple] = []
         for i, text in enumerate(runs.texts):
             a, b = bounds[i], bounds[i + 1]
-            removed = spans_ = 0
-            kept = text
+            parts, removed, spans_ = [text], 0, 0
             if b > a:
                 cover = np.cumsum(np.bincount(begin[a:b], minlength=len(text) + 1) - np.bincount(end[a:b], minlength=len(text) + 1))[: len(text)] > 0
                 removed = int(cover.sum())
                 spans_ = int((np.diff(cover.astype(np.int8), prepend=0) == 1).sum())
-                kept = np.frombuffer(text, np.uint8)[~cover].tobytes()
-            rows.append((int(runs.ids[i]), len(text), removed, spans_, hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
-        for text in pdf.loc[pdf["id"].isna(), "text"]:
-            rows.append((None, len(text or b""), 0, 0, hashlib.sha256(text or b"").hexdigest(), (text or b"") if with_kept else None))
-        out = pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-        out["id"] = out["id"].astype("Int64")
-        return out
+                parts = _parts(text, cover)
+            # a character that a cut divides goes with the part that is removed
+            kept = ("".join(p.decode("utf-8", "ignore") for p in parts),) if with_text else ()
+            rows.append((len(text), removed, spans_, hashlib.sha256(b"".join(parts)).hexdigest(), *kept))
+        out = pd.DataFrame(rows, columns=names[1 + len(carry) :])
+        for c in ("id", *carry):
+            out[c] = pdf[c].to_numpy()
+        return out[names]
 
     return run
 
@@ -485,22 +528,23 @@ def remove_repeats(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    with_kept: bool = False,
-    pack_bytes: int = PACK_BYTES,
-    bucket_bytes: int = BUCKET_BYTES,
+    carry: tuple[str, ...] = (),
+    with_text: bool = False,
+    pack_bytes: int | None = None,
+    bucket_bytes: int | None = None,
     many_runs: int = MANY_RUNS,
 ) -> DataFrame:
-    """``(id_col, n_bytes, n_removed, n_spans, kept_sha256[, kept binary])`` of every row. The sizes change
-    how the work is dealt out, never the result."""
+    """``(id_col, *carry, n_bytes, n_removed, n_spans, kept_sha256[, kept string])`` of every row. ``carry`` names
+    string columns of ``docs`` that the result keeps; ``kept`` is the text that is left, without characters of
+    which a cut has taken some bytes. The sizes change how the work is dealt out, never the result."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("n")).first()["n"] or 0
-    packs = max(1, -(-total // pack_bytes))
+    grown = math.isqrt(100 * total)
+    packs = max(1, -(-total // (pack_bytes or max(PACK_BYTES, grown))))
     # about one minimizer for each 13 bytes, of 9 bytes in a message
-    buckets = max(1, -(-total * 9 // 13 // bucket_bytes))
-    dealt = docs.select(
-        F.col(id_col).cast("long").alias("id"),
-        F.col(text_col).cast("binary").alias("text"),
-        F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(packs)).cast("int").alias("pid"),
-    )
+    buckets = max(1, -(-total * 9 // 13 // (bucket_bytes or max(BUCKET_BYTES, grown))))
+    names = [f"carry_{k}" for k in range(len(carry))]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)])
+    dealt = rows.filter("id IS NOT NULL").withColumn("pid", F.pmod(F.xxhash64("id"), F.lit(packs)).cast("int"))
     by_pack = dealt.groupBy("pid")
 
     def meet(messages: DataFrame, f) -> DataFrame:
@@ -513,6 +557,10 @@ def remove_repeats(
     runs = meet(answered(shared, _send_runs(buckets)), lambda pdf: _meet_runs(pdf, many_runs))
     known = shared.union(runs)
     pieces = meet(answered(known, _send_pieces(buckets)), _meet_pieces)
-    out = answered(known.union(pieces), _apply(with_kept), RESULT)
-    out = out.withColumnRenamed("id", id_col)
-    return out if with_kept else out.drop("kept")
+    schema = ", ".join(["id long", *(f"{n} string" for n in names), RESULT, *(["kept string"] if with_text else [])])
+    out = answered(known.union(pieces), _apply(with_text, names), schema)
+
+    text: Column = F.coalesce("text", F.lit(b""))
+    untouched = [F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256")]
+    alone = rows.filter("id IS NULL").select("id", *names, *untouched, *([F.decode(text, "utf-8").alias("kept")] if with_text else []))
+    return out.union(alone).withColumnsRenamed({"id": id_col, **dict(zip(names, carry, strict=True))})

@@ -166,6 +166,33 @@ def test_repeats_match_brute_force(spark, sizes):
     assert got == brute_repeats(rows)
 
 
+def test_repeats_carry_columns_and_whole_characters(spark):
+    shared = "0123456789" * 5
+    rows = [(1, "é" + shared + "ü", "a"), (2, "x" + "é" + shared + "ü" + "\ufffdz", None), (None, shared, "c"), (3, "中" * 20, "d"), (4, "文" + "中" * 17 + "丐", "e"), (5, None, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    got = {r.doc_id: (r.source, r.n_removed, r.kept) for r in suffix_dedup.remove_repeats(df.withColumnRenamed("kept", "source"), carry=("source",), with_text=True).collect()}
+    assert got[2] == (None, 54, "x\ufffdz")
+    assert got[None] == ("c", 0, shared) and got[5] == ("f", 0, "") and got[1] == ("a", 0, rows[0][1])
+    # the last character's first two bytes are those of the one in document 3
+    assert got[4] == ("e", 53, "文")
+    flat = suffix_dedup.remove_repeats(df.withColumnRenamed("kept", "source")).collect()
+    assert {r.doc_id: r.n_removed for r in flat} == {i: x[1] for i, x in got.items()}
+
+
+def test_colliding_hashes_are_decided_by_the_bytes(monkeypatch):
+    rng = random.Random(3)
+    data = np.frombuffer("".join(rng.choices("ab", k=300)).encode() * 3, np.uint8)
+    start = np.arange(0, 840, 2)
+    group, doc = start % 3, np.array([rng.randrange(9) for _ in start])
+    want = []
+    for s, g, d in zip(start, group, doc, strict=True):
+        want.append(any(h == g and e < d and bytes(data[t : t + 50]) == bytes(data[s : s + 50]) for t, h, e in zip(start, group, doc, strict=True)))
+    assert suffix_dedup._repeated(data, start, group, doc).tolist() == want and any(want)
+    for wrong in (lambda p, a, b: np.zeros(len(a), np.uint64), lambda p, a, b: p[a] & np.uint64(1)):
+        monkeypatch.setattr(suffix_dedup, "spans", wrong)
+        assert suffix_dedup._repeated(data, start, group, doc).tolist() == want
+
+
 def test_repeats_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.remove_repeats(df).count() == 0
