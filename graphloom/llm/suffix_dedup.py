@@ -348,9 +348,10 @@ def suffix_less(data: np.ndarray, prefix: np.ndarray, a: np.ndarray, b: np.ndarr
     return np.where(end, or_equal, data[a + n] < data[b + n])
 
 
-def sort_suffixes(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, group: np.ndarray) -> np.ndarray:
+def sort_suffixes(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, group: np.ndarray) -> np.ndarray | None:
     """Order of suffixes by group, then by their first ``K`` bytes: a bottom-up mergesort in which all
-    merges of a level are one batch. Each suffix finds its rank in the neighbouring run by binary search."""
+    merges of a level are one batch. Each suffix finds its rank in the neighbouring run by binary search.
+    None if hashes collide so that ranks contradict each other."""
     order = np.argsort(group, kind="stable")
     g = group[order]
     first = np.searchsorted(g, g)  # a group's first place
@@ -374,8 +375,10 @@ def sort_suffixes(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, group
             high[live] = np.where(before, high[live], mid)
             live = live[low[live] < high[live]]
         to = first + pair + (index - mine * width) + low
-        moved = np.empty_like(order)
+        moved = np.full(len(order), -1, order.dtype)
         moved[to] = order
+        if (moved < 0).any():
+            return None
         order = moved
         width *= 2
     return order
@@ -401,20 +404,22 @@ def _repeated(data: np.ndarray, start: np.ndarray, group: np.ndarray, doc: np.nd
     if not len(start):
         return np.zeros(0, bool)
     order = sort_suffixes(data, prefix_hashes(data), start, group)
-    s, g = start[order], group[order]
-    near = np.flatnonzero(g[1:] == g[:-1]) + 1
-    same, good = _in_order(data, s[near - 1], s[near])
+
+    def neighbours(order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        s, g = start[order], group[order]
+        near = np.flatnonzero(g[1:] == g[:-1]) + 1
+        return near, *_in_order(data, s[near - 1], s[near])
+
+    near, same, good = neighbours(order) if order is not None else (None, None, np.zeros(1, bool))
     if not good.all():  # hashes collided: the bytes themselves decide
         raw = data[start[:, None] + np.arange(K)]
         order = np.lexsort((*raw.T[::-1], group))
-        s, g = start[order], group[order]
-        near = np.flatnonzero(g[1:] == g[:-1]) + 1
-        same, _ = _in_order(data, s[near - 1], s[near])
-    equal = np.zeros(len(s), bool)
+        near, same, _ = neighbours(order)
+    equal = np.zeros(len(start), bool)
     equal[near] = same
     place = np.cumsum(~equal) - 1
     least, _ = _group_min_max(place, doc[order], int(place[-1]) + 1)
-    out = np.zeros(len(s), bool)
+    out = np.zeros(len(start), bool)
     out[order] = doc[order] > least[place]
     return out
 
