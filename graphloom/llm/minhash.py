@@ -210,7 +210,7 @@ def dealt_packs(long: DataFrame, reps: DataFrame) -> DataFrame:
     )
 
 
-PROMISING = "c int, v long, low int, high int, pack int, rep long, component long"
+PROMISING = "c int, v long, low int, high int, pack int, rep long, component long, sig array<long>"
 
 
 def _promising(rows: pd.DataFrame) -> pd.DataFrame:
@@ -226,9 +226,9 @@ def _promising(rows: pd.DataFrame) -> pd.DataFrame:
             hit[x] = near.any()
             met |= near
         for pack, mask in ((i, hit | met),) if i == j else ((i, hit), (j, met)):
-            reps, components, _ = of[pack]
-            out.append(pd.DataFrame({"pack": pack, "rep": reps[mask], "component": components[mask]}))
-    found = pd.concat(out) if out else pd.DataFrame({"pack": [], "rep": [], "component": []}, dtype="int64")
+            reps, components, sigs = of[pack]
+            out.append(pd.DataFrame({"pack": pack, "rep": reps[mask], "component": components[mask], "sig": list(sigs[mask])}))
+    found = pd.concat(out) if out else pd.DataFrame({"pack": [], "rep": [], "component": [], "sig": []})
     first = rows.iloc[0]
     return found.assign(c=first["c"], v=first["v"], low=i, high=j)
 
@@ -240,13 +240,16 @@ def _search_packs(percent: int):
         i, j = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
         comp, ids, pack = (rows[c].to_numpy() for c in ("component", "rep", "pack"))
         sets = [np.asarray(s, np.int64) for s in rows["shingles"]]
-        size = np.array([len(s) for s in sets])
+        size, sig = np.array([len(s) for s in sets]), np.stack([np.asarray(s, np.int64) for s in rows["sig"]])
         left, right = np.flatnonzero(pack == i), np.flatnonzero(pack == j)
         done: set[tuple[int, int]] = set()
         out: list[tuple[int, int]] = []
         for x in left:
             fits = (size[right] * 100 >= size[x] * percent) & (size[x] * 100 >= size[right] * percent)
-            for y in right[(comp[right] != comp[x]) & fits & ((ids[right] > ids[x]) if i == j else True)]:
+            others = right[(comp[right] != comp[x]) & fits & ((ids[right] > ids[x]) if i == j else True)]
+            matches = (sig[others] == sig[x]).sum(1)
+            # the most alike first, so that few pairs of two components are compared
+            for y in others[np.argsort(-matches, kind="stable")][: int((matches >= T).sum())]:
                 key = (min(comp[x], comp[y]), max(comp[x], comp[y]))
                 if key in done:
                     continue
@@ -264,7 +267,7 @@ def long_list_links(docs: DataFrame, long: DataFrame, reps: DataFrame, words: in
     promising = materialize(dealt_packs(long, reps).groupBy(*DEALT).applyInPandas(_promising, PROMISING), "promising")
     wanted = materialize(promising.select(F.col("rep").alias("m")).distinct(), "wanted")
     sets = hash_sets(rows_of(docs, wanted, id_col, text_col), words)
-    full = promising.join(sets, F.col("rep") == F.col("id")).select(*DEALT, "pack", "rep", "component", "shingles")
+    full = promising.join(sets, F.col("rep") == F.col("id")).select(*DEALT, "pack", "rep", "component", "sig", "shingles")
     out = materialize(full.groupBy(*DEALT).applyInPandas(_search_packs(percent), "a long, b long").distinct(), "across")
     discard(promising, wanted)
     return out
@@ -302,13 +305,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     short = open_.filter(F.col("members") <= SHORT_LIST)
     other = short.select(F.col("c").alias("oc"), F.col("v").alias("ov"), F.col("rep").alias("b"), F.col("component").alias("other"))
     across = short.join(other, (F.col("c") == F.col("oc")) & (F.col("v") == F.col("ov")) & (F.col("rep") < F.col("b")) & (F.col("component") != F.col("other")))
-    across = collisions(across.select(F.col("rep").alias("a"), "b", "c")).join(stars, ["a", "b"], "left_anti")
+    across = materialize(collisions(across.select(F.col("rep").alias("a"), "b", "c")).join(stars, ["a", "b"], "left_anti"), "across")
     wide = long_list_links(docs, open_.filter(F.col("members") > SHORT_LIST), reps, words, percent, id_col, text_col)
     near = materialize(alike(across, reps).union(wide).distinct(), "near")
     texts = words_of(docs, near, id_col, text_col)
 
     links = materialize(first.union(confirmed(near, texts, words, percent)), "links")
-    discard(labels, placed, open_, wide, near, texts, first, stars, postings)
+    discard(labels, placed, open_, across, wide, near, texts, first, stars, postings)
     final = connected_components(links)
     discard(links)
     named = classes.join(final, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("named_key"), F.coalesce("component", "rep").alias("component"))

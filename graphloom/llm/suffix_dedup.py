@@ -115,9 +115,15 @@ class Runs:
 
     def numbers(self, which: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
         """A number for each of these runs, the same for the same bytes, and the bytes of each number."""
-        known: dict[bytes, int] = {}
-        number = np.fromiter((known.setdefault(self.bytes_of(r), len(known)) for r in which.tolist()), np.int64, len(which))
-        return number, list(known)
+        return numbered([self.bytes_of(r) for r in which.tolist()])
+
+
+def numbered(strings: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """A number for each string, the same for the same bytes, and the bytes of each number. Numbers are in the
+    strings' order, since the order of a pack's documents can change from one reading to the next."""
+    distinct = sorted(set(strings))
+    number = {x: k for k, x in enumerate(distinct)}
+    return np.fromiter(map(number.__getitem__, strings), np.int64, len(strings)), distinct
 
 
 def _trimmed(f, two: bool = False):
@@ -285,14 +291,15 @@ def _open_pieces(runs: Runs, slot: np.ndarray, codes: np.ndarray) -> tuple[np.nd
     window = [np.full(len(whole), -1)]
     # what tells pieces of one key apart: a number for the same bytes
     key, sub = [runs.gram[whole]], [runs.numbers(whole)[0]]
-    known: dict[bytes, int] = {}
+    windows: list[bytes] = []
     for r in many.tolist():
         raw = runs.bytes_of(r)
         h = window_hashes(prefix_hashes(np.frombuffer(raw, np.uint8)), K)
         owner.append(np.full(len(h), r))
         window.append(np.arange(len(h)))
         key.append(h)
-        sub.append(np.array([-1 - known.setdefault(raw[w : w + K], len(known)) for w in range(len(h))], np.int64))
+        windows += [raw[w : w + K] for w in range(len(h))]
+    sub.append(numbered(windows)[0])
     owner, window, key, sub = (np.concatenate(x) for x in (owner, window, key, sub))
     order = np.lexsort((runs.ids[runs.doc[owner]], sub, key))
     owner, window, key, sub = owner[order], window[order], key[order], sub[order]

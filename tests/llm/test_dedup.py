@@ -166,6 +166,19 @@ def test_repeats_match_brute_force(spark, sizes):
     assert got == brute_repeats(rows)
 
 
+def test_pieces_do_not_depend_on_the_order_of_documents():
+    rng = random.Random(9)
+    rows = [(i, t.encode()) for i, t in repeated_texts(6) if i is not None and t]
+    found = []
+    for _ in range(3):
+        rng.shuffle(rows)
+        runs = suffix_dedup.Runs([t for _, t in rows], np.array([i for i, _ in rows]))
+        grams, slot = np.unique(runs.gram, return_inverse=True)
+        codes = np.where(grams % np.uint64(3) == 0, suffix_dedup.OPEN_MANY, suffix_dedup.OPEN).astype(np.uint8)
+        found.append(suffix_dedup._open_pieces(runs, slot, codes)[0].tobytes())
+    assert found[0] == found[1] == found[2]
+
+
 def test_repeats_carry_columns_and_whole_characters(spark):
     shared = "0123456789" * 5
     rows = [(1, "é" + shared + "ü", "a"), (2, "x" + "é" + shared + "ü" + "\ufffdz", None), (None, shared, "c"), (3, "中" * 20, "d"), (4, "文" + "中" * 17 + "丐", "e"), (5, None, "f")]
