@@ -217,7 +217,7 @@ def _promising(rows: pd.DataFrame) -> pd.DataFrame:
     """Members of two packs of one list that have ``T`` matches with one of another component."""
     i, j = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
     of = {int(r.pack): (np.asarray(r.reps), np.asarray(r.components), np.asarray(r.sigs).reshape(-1, M)) for r in rows.itertuples()}
-    out = []
+    packs, places, sigs = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)], []
     if i in of and j in of:
         (_, comp, sig), (_, other, signed) = of[i], of[j]
         hit, met = np.zeros(len(comp), bool), np.zeros(len(other), bool)
@@ -226,10 +226,12 @@ def _promising(rows: pd.DataFrame) -> pd.DataFrame:
             hit[x] = near.any()
             met |= near
         for pack, mask in ((i, hit | met),) if i == j else ((i, hit), (j, met)):
-            reps, components, sigs = of[pack]
-            out.append(pd.DataFrame({"pack": pack, "rep": reps[mask], "component": components[mask], "sig": list(sigs[mask])}))
-    found = pd.concat(out) if out else pd.DataFrame({"pack": [], "rep": [], "component": [], "sig": []})
-    first = rows.iloc[0]
+            reps, components, own = of[pack]
+            packs.append(np.full(mask.sum(), pack))
+            places.append(np.stack([reps[mask], components[mask]], axis=1))
+            sigs += list(own[mask])
+    place, first = np.concatenate(places), rows.iloc[0]
+    found = pd.DataFrame({"pack": np.concatenate(packs), "rep": place[:, 0], "component": place[:, 1], "sig": pd.Series(sigs, dtype=object)})
     return found.assign(c=first["c"], v=first["v"], low=i, high=j)
 
 

@@ -109,20 +109,18 @@ class Runs:
         which = np.searchsorted(ends, begin, side="right")
         return np.array(docs, np.int64)[which], begin - starts[which], count, h[anchor], anchor - begin
 
-    def bytes_of(self, r: int) -> bytes:
-        a = int(self.first[r])
-        return self.texts[self.doc[r]][a : a + int(self.count[r]) + K - 1]
-
-    def numbers(self, which: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-        """A number for each of these runs, the same for the same bytes, and the bytes of each number."""
-        return numbered([self.bytes_of(r) for r in which.tolist()])
-
-
-def numbered(strings: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    """A number for each string, the same for the same bytes, and the bytes of each number. Numbers are in the
-    strings' order, since the order of a pack's documents can change from one reading to the next."""
-    distinct = sorted(set(strings))
-    number = {x: k for k, x in enumerate(distinct)}
+    def bytes_of(self, which: np.ndarray) -> list[bytes]:
+        """The bytes of each of these runs."""
+        texts, first = self.texts, self.first[which]
+        ends = first + self.count[which] + (K - 1)
+        return [texts[d][a:b] for d, a, b in zip(self.doc[which].tolist(), first.tolist(), ends.tolist(), strict=True)]
+
+
+def numbered(strings: list[bytes], in_order: bool = False) -> tuple[np.ndarray, list[bytes]]:
+    """A number for each string, the same for the same bytes, and the bytes of each number. Where numbers must be those
+    of another reading of the pack, whose documents may come in another order, they are in the strings' order."""
+    distinct = sorted(set(strings)) if in_order else list(dict.fromkeys(strings))
+    number = dict(zip(distinct, range(len(distinct)), strict=True))
     return np.fromiter(map(number.__getitem__, strings), np.int64, len(strings)), distinct
 
 
@@ -242,7 +240,7 @@ def _send_runs(buckets: int):
             own = (np.cumsum(shared) - 1)[slot[keep]]
             out["gram"] = grams[shared]
             out["doc"] = _group_min_max(own, runs.ids[runs.doc[keep]], n)[0]
-            number, raw = runs.numbers(keep)
+            number, raw = numbered(runs.bytes_of(keep))
             pairs = np.unique(own * len(raw) + number)
             out["runs"] = np.bincount(pairs // len(raw), minlength=n)
             # where a gram has several runs here, which of them is named does not matter
@@ -290,16 +288,17 @@ def _open_pieces(runs: Runs, slot: np.ndarray, codes: np.ndarray) -> tuple[np.nd
     owner = [whole]
     window = [np.full(len(whole), -1)]
     # what tells pieces of one key apart: a number for the same bytes
-    key, sub = [runs.gram[whole]], [runs.numbers(whole)[0]]
+    raws = runs.bytes_of(whole)
+    key, sub = [runs.gram[whole]], [numbered(raws, in_order=True)[0]]
     windows: list[bytes] = []
-    for r in many.tolist():
-        raw = runs.bytes_of(r)
+    for r, raw in zip(many.tolist(), runs.bytes_of(many), strict=True):
         h = window_hashes(prefix_hashes(np.frombuffer(raw, np.uint8)), K)
         owner.append(np.full(len(h), r))
         window.append(np.arange(len(h)))
         key.append(h)
         windows += [raw[w : w + K] for w in range(len(h))]
-    sub.append(numbered(windows)[0])
+    sub.append(numbered(windows, in_order=True)[0])
+    raws += windows
     owner, window, key, sub = (np.concatenate(x) for x in (owner, window, key, sub))
     order = np.lexsort((runs.ids[runs.doc[owner]], sub, key))
     owner, window, key, sub = owner[order], window[order], key[order], sub[order]
@@ -309,11 +308,8 @@ def _open_pieces(runs: Runs, slot: np.ndarray, codes: np.ndarray) -> tuple[np.nd
     head = np.flatnonzero(new)
     out = np.zeros(len(head), PIECE)
     out["key"], out["doc"] = key[head], runs.ids[runs.doc[owner[head]]]
-    for i, (r, w) in enumerate(zip(owner[head].tolist(), window[head].tolist(), strict=True)):
-        raw = runs.bytes_of(r)
-        if w >= 0:
-            raw = raw[w : w + K]
-        out[i]["bytes"], out[i]["length"] = raw, len(raw)
+    chosen = [raws[k] for k in order[head].tolist()]
+    out["bytes"], out["length"] = chosen, [len(raw) for raw in chosen]
     out["lead"] = np.where(window[head] >= 0, 0, runs.lead[owner[head]])
     return out, piece, owner, window
 
@@ -393,16 +389,13 @@ def sort_suffixes(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, group
 
 def _in_order(data: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether the ``K`` bytes at ``before`` equal those at ``after``, and whether they do not sort behind them."""
-    lanes = np.arange(K)
+    rows = np.lib.stride_tricks.sliding_window_view(data, K)
     same, good = np.empty(len(before), bool), np.empty(len(before), bool)
     for a in range(0, len(before), 1 << 15):
         part = slice(a, a + (1 << 15))
-        x, y = data[before[part, None] + lanes], data[after[part, None] + lanes]
-        other = x != y
-        at = other.argmax(1)
-        rows = np.arange(len(x))
-        same[part] = ~other[rows, at]
-        good[part] = x[rows, at] <= y[rows, at]
+        x, y = (np.ascontiguousarray(rows[at[part]]).view(f"S{K}")[:, 0] for at in (before, after))
+        same[part] = x == y
+        good[part] = x <= y
     return same, good
 
 
