@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from graphloom.functions.physics import erfc
+
 
 def bessel(r: Column, cutoff: float, n: int, eps: float = 1e-8) -> list[Column]:
     """``sqrt(2/rc) sin(k pi r / rc) / (r + eps)`` for k = 1..n."""
@@ -24,9 +27,9 @@ def bessel_statistics(cutoff: float, n: int, points: int = 4096, eps: float = 1e
 
 
 def gaussian(r: Column, cutoff: float, n: int) -> list[Column]:
-    """``exp(-((r - c) / w)^2)`` at n even centers over [0, cutoff], ``w = cutoff / n``."""
+    """``exp(-((r - c) / w)^2)`` at n even centers over [0, cutoff], ``w = cutoff / n``; a single center is 0."""
     w = cutoff / n
-    return [F.exp(-((r - c) / w) * ((r - c) / w)) for c in (cutoff * k / (n - 1) for k in range(n))]
+    return [F.exp(-((r - c) / w) * ((r - c) / w)) for c in (cutoff * k / max(1, n - 1) for k in range(n))]
 
 
 def cosine_cutoff(r: Column, cutoff: float) -> Column:
@@ -84,6 +87,35 @@ def axis_rotation(axis: str, angle: float) -> list[list[float]]:
     return m
 
 
+def random_rotation(seed: int) -> list[list[float]]:
+    """A rotation drawn evenly from all rotations, by a unit quaternion."""
+    rng = random.Random(seed)
+    q = [rng.gauss(0, 1) for _ in range(4)]
+    n = math.sqrt(sum(v * v for v in q))
+    w, x, y, z = (v / n for v in q)
+    return [
+        [1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)],
+        [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)],
+        [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)],
+    ]
+
+
+def rotate_irreps(features: list[Column], irreps: str, matrix: list[list[float]]) -> list[Column]:
+    """Feature columns under a rotation, for names such as ``16x0e + 16x1o``: scalars stay, vectors (all x, then all y,
+    then all z of a block) are rotated, and blocks of higher degree stay as they are."""
+    blocks = [(int(count), int(kind.strip("eo"))) for count, kind in (b.strip().split("x") for b in irreps.split("+"))]
+    if sum(n * (2 * degree + 1) for n, degree in blocks) != len(features):
+        raise ValueError(f"{irreps} does not have {len(features)} columns")
+    out: list[Column] = []
+    for n, degree in blocks:
+        own = features[len(out) : len(out) + n * (2 * degree + 1)]
+        if degree == 1:
+            turned = [rotate(own[k], own[n + k], own[2 * n + k], matrix) for k in range(n)]
+            own = [turned[k][axis] for axis in range(3) for k in range(n)]
+        out += own
+    return out
+
+
 def silu(x: Column) -> Column:
     return x / (1 + F.exp(-x))
 
@@ -92,7 +124,13 @@ def softplus(x: Column) -> Column:
     return F.when(x > 20, x).otherwise(F.log1p(F.exp(x)))
 
 
-ACTIVATIONS = {"silu": silu, "relu": lambda x: F.greatest(x, F.lit(0.0)), "tanh": F.tanh, "softplus": softplus}
+def gelu(x: Column) -> Column:
+    """``x/2 (1 + erf(x / sqrt 2))``, with erf to 1.5e-7."""
+    tail = erfc(F.abs(x) / math.sqrt(2))
+    return x * 0.5 * F.when(x < 0, tail).otherwise(2 - tail)
+
+
+ACTIVATIONS = {"silu": silu, "relu": lambda x: F.greatest(x, F.lit(0.0)), "gelu": gelu, "tanh": F.tanh, "softplus": softplus}
 
 
 def softmax(xs: Column) -> Column:

@@ -133,3 +133,42 @@ def dihedral(b1: tuple[Column, ...], b2: tuple[Column, ...], b3: tuple[Column, .
     """Signed angle of four atoms from three bonds; the difference to a minimum is not wrapped."""
     n1, n2 = unit(cross(b1, b2)), unit(cross(b2, b3))
     return F.atan2(dot(cross(n1, n2), unit(b2)), bounded(dot(n1, n2)))
+
+
+def scaled(a: tuple[Column, ...], by: Column | float) -> tuple[Column, ...]:
+    return tuple(c * by for c in a)
+
+
+def plus(*vectors: tuple[Column, ...]) -> tuple[Column, ...]:
+    return tuple(sum(parts[1:], parts[0]) for parts in zip(*vectors, strict=True))
+
+
+def distance_gradient(b: tuple[Column, ...]) -> list[tuple[Column, ...]]:
+    """Gradients of ``|b|`` at both atoms of a bond ``b = p2 - p1``."""
+    u = scaled(b, 1 / clamped(norm(b)))
+    return [scaled(u, -1.0), u]
+
+
+def angle_gradient(u: tuple[Column, ...], v: tuple[Column, ...]) -> list[tuple[Column, ...]]:
+    """Gradients of the angle between ``u = p1 - p2`` and ``v = p3 - p2`` at the three atoms; none at a straight or
+    folded angle."""
+    nu, nv = clamped(norm(u)), clamped(norm(v))
+    a, b = scaled(u, 1 / nu), scaled(v, 1 / nv)
+    cos = bounded(dot(a, b))
+    sin = F.sqrt(1 - cos * cos)
+    inverse = F.when(sin > 1e-8, -1 / sin).otherwise(0.0)
+    first = scaled(plus(b, scaled(a, -cos)), inverse / nu)
+    last = scaled(plus(a, scaled(b, -cos)), inverse / nv)
+    return [first, scaled(plus(first, last), -1.0), last]
+
+
+def dihedral_gradient(b1: tuple[Column, ...], b2: tuple[Column, ...], b3: tuple[Column, ...]) -> list[tuple[Column, ...]]:
+    """Gradients of the signed angle of four atoms at each of them; none where three atoms are in line."""
+    m, n, g = cross(b1, b2), cross(b2, b3), clamped(norm(b2))
+    mm, nn = dot(m, m), dot(n, n)
+    live = (mm > 1e-16) & (nn > 1e-16)
+    first = scaled(m, F.when(live, -g / mm).otherwise(0.0))
+    last = scaled(n, F.when(live, g / nn).otherwise(0.0))
+    s, t = dot(b1, b2) / (g * g), dot(b3, b2) / (g * g)
+    second = plus(scaled(first, -1 - s), scaled(last, t))
+    return [first, second, plus(scaled(first, s), scaled(last, -1 - t)), last]

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.features import mlp
 from graphloom.operators.metrics import throughput, value_stats
 
 
@@ -20,6 +21,26 @@ def merge_columns(df: DataFrame, *heads: dict[str, Column]) -> DataFrame:
     return df.withColumns({n: c for h in heads for n, c in h.items()})
 
 
+def dense_column(df: DataFrame, inputs: list[str], output: str, weights: list, activation: str = "silu") -> DataFrame:
+    """``df`` with one column made of others by a small network."""
+    return df.withColumn(output, mlp([F.col(c) for c in inputs], weights, activation)[0])
+
+
+def nested(df: DataFrame, path: tuple[str, ...]) -> Column:
+    """The column at a path of names; KeyError if the schema has no such path."""
+    kind = df.schema
+    for name in path:
+        if not hasattr(kind, "fieldNames") or name not in kind.fieldNames():
+            raise KeyError(".".join(path))
+        kind = kind[name].dataType
+    return F.col(".".join(f"`{name}`" for name in path))
+
+
+def distinct_in_order(names: Column) -> Column:
+    """An array's entries without repetitions, in the order in which they come first."""
+    return F.array_distinct(names)
+
+
 def strip_inputs(df: DataFrame, *names: str) -> DataFrame:
     """Without targets and extras."""
     return df.drop(*(names or ("targets", "extras")))

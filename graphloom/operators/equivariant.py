@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import physics as ph
-from graphloom.functions.features import mlp, softplus
+from graphloom.functions.features import argmax, mlp, softmax, softplus
+from graphloom.operators.columns import decoded_label
 from graphloom.operators.neighbors import lookup
+from graphloom.operators.pooling import pool
 from graphloom.operators.potentials import conserve_charge
 
 Vector = tuple[Column, Column, Column]
@@ -52,6 +54,30 @@ def symmetric_contraction(s: Column, v: Vector, w: list[Column]) -> Column:
     return w[0] * s + w[1] * s * s + w[2] * square + w[3] * s * s * s + w[4] * s * square
 
 
+def scalar_contraction(h: list[Column], w: list[list[Column]]) -> list[Column]:
+    """Products of each scalar channel with itself, ``w1 h + w2 h^2 + ...``, with the species' own weights: a list of
+    orders for each channel."""
+    return [sum((weight * ph.power(x, k) for k, weight in enumerate(orders, 1)), F.lit(0.0)) for x, orders in zip(h, w, strict=True)]
+
+
+def product_head(h: list[Column], w: list[list[Column]], weights: list[list[float]], bias: list[float]) -> list[Column]:
+    """Many-body products of the channels, then a dense layer."""
+    return [x + b for x, b in zip(linear_scalars(scalar_contraction(h, w), weights), bias, strict=True)]
+
+
+def scalar_head(atoms: DataFrame, graphs: DataFrame, inputs: list[str], weights: list, pooling: str = "mean") -> DataFrame:
+    """``(graph_id, value)``: a small network over pooled features (mean, sum or max) of the atoms of each graph."""
+    pooled = pool(atoms, graphs, ["graph_id"], inputs, pooling)
+    return pooled.select("graph_id", mlp([F.col(c) for c in inputs], weights)[0].alias("value"))
+
+
+def type_head(atoms: DataFrame, inputs: list[Column], weights: list, names: list[str]) -> DataFrame:
+    """Atoms with the most likely of ``names`` as ``label`` and its probability as ``confidence``."""
+    scored = atoms.withColumn("_logits", F.array(*mlp(inputs, weights)))
+    at = argmax(F.col("_logits"))
+    return scored.withColumns({"label": decoded_label(at, names), "confidence": F.array_max(softmax(F.col("_logits")))}).drop("_logits")
+
+
 def energy_head(atoms: DataFrame, inputs: list[Column], weights: list) -> DataFrame:
     """``(graph_id, energy)``: a small network's output of each atom, summed."""
     return atoms.select("graph_id", mlp(inputs, weights)[0].alias("e")).groupBy("graph_id").agg(F.sum("e").alias("energy"))

@@ -50,9 +50,34 @@ def weighted_loss(df: DataFrame, terms: list[tuple[float, str, str, str]]) -> Da
     return df.agg(total.alias("loss"))
 
 
-def value_stats(value: Column) -> list[Column]:
-    """Mean, population deviation, median, 95th percentile (interpolated), least and largest."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
+def loss(df: DataFrame, kind: str, pred: str, target: str, reduction: str = "mean") -> DataFrame:
+    """A squared (``mse``) or absolute (``mae``) loss as ``loss``: its mean, its sum, or that of each row."""
+    d = F.col(pred) - F.col(target)
+    each = {"mse": d * d, "mae": F.abs(d)}[kind]
+    if reduction == "none":
+        return df.withColumn("loss", each)
+    if reduction not in ("mean", "sum"):
+        raise ValueError(f"unknown reduction: {reduction}")
+    return df.agg(F.coalesce((F.avg if reduction == "mean" else F.sum)(each), F.lit(0.0)).alias("loss"))
+
+
+def mergeable(df: DataFrame, pred: str, target: str, by: list[str] | None = None) -> DataFrame:
+    """Sums from which ``mae``, ``mse`` and ``rmse`` follow: states of parts of a table add up (:func:`merged`)."""
+    d = F.col(pred) - F.col(target)
+    sums = [F.count(d).alias("n"), F.coalesce(F.sum(F.abs(d)), F.lit(0.0)).alias("sum_abs"), F.coalesce(F.sum(d * d), F.lit(0.0)).alias("sum_square")]
+    return df.groupBy(*(by or [])).agg(*sums)
+
+
+def merged(states: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Metrics of all parts whose states are given; 0 where there is no row."""
+    n, a, s = (F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "sum_abs", "sum_square"))
+    return states.groupBy(*(by or [])).agg((a / F.greatest(n, F.lit(1))).alias("mae"), (s / F.greatest(n, F.lit(1))).alias("mse"), F.sqrt(s / F.greatest(n, F.lit(1))).alias("rmse"))
+
+
+def value_stats(value: Column, exact: bool = True) -> list[Column]:
+    """Mean, population deviation, median, 95th percentile (interpolated), least and largest. Exact percentiles keep
+    all different values of a group in one task; otherwise they are close to a hundred-thousandth of the ranks."""
+    p = (F.percentile if exact else lambda c, at: F.percentile_approx(c, at, 100_000))(value, F.array(F.lit(0.5), F.lit(0.95)))
     return [
         F.avg(value).alias("mean"),
         F.stddev_pop(value).alias("std"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -21,31 +22,37 @@ def _within(d2: Column, cutoff: float, inclusive: bool) -> Column:
     return (d2 > 0) & ((d2 <= cutoff * cutoff) if inclusive else (d2 < cutoff * cutoff))
 
 
+#: A cell and those around it that come after it in order: each two neighboring cells meet once.
+FORWARD = [(0, 0, 0), *(step for step in product((-1, 0, 1), repeat=3) if step > (0, 0, 0))]
+
+
 def neighbor_pairs(atoms: DataFrame, cutoff: float, *, inclusive: bool = True) -> DataFrame:
     """Half list ``(graph_id, i, j, dx, dy, dz, dist)`` with ``i > j``, ``d = pos[i] - pos[j]`` and
     ``0 < dist <= cutoff``; never cut short.
 
     Space is binned into cells as wide as the cutoff and the join's key is the cell, so a graph that holds
-    most of all atoms is spread over as many keys as it has cells."""
+    most of all atoms is spread over as many keys as it has cells. An atom is sent to its own cell and to the half
+    of the cells around it that come later; two atoms of different cells meet there whichever has the larger id."""
     cells = atoms.withColumns({f"c{a}": F.floor(F.col(a) / cutoff) for a in "xyz"})
     left, right = _sides(cells, ("cx", "cy", "cz"))
     right = right.withColumnsRenamed({"cx": "bx", "cy": "by", "cz": "bz"})
-    around = F.array(*[F.struct(*[F.lit(s).alias(f"s{a}") for a, s in zip("xyz", step, strict=True)]) for step in product((-1, 0, 1), repeat=3)])
-    left = left.withColumn("step", F.explode(around)).select(
-        "graph_id", "i", "xi", "yi", "zi", *[(F.col(f"c{a}") + F.col(f"step.s{a}")).alias(f"n{a}") for a in "xyz"]
+    around = F.array(*[F.struct(*[F.lit(s).alias(f"s{a}") for a, s in zip("xyz", step, strict=True)]) for step in FORWARD])
+    sent = left.withColumn("step", F.explode(around))
+    here = (F.col("step.sx") == 0) & (F.col("step.sy") == 0) & (F.col("step.sz") == 0)
+    sent = sent.select("graph_id", "i", "xi", "yi", "zi", here.alias("here"), *[(F.col(f"c{a}") + F.col(f"step.s{a}")).alias(f"n{a}") for a in "xyz"])
+    d = {a: F.col(f"{a}i") - F.col(f"{a}j") for a in "xyz"}
+    d2 = d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"]
+    same_cell = (F.col("graph_id") == F.col("g2")) & (F.col("nx") == F.col("bx")) & (F.col("ny") == F.col("by")) & (F.col("nz") == F.col("bz"))
+    once = F.when(F.col("here"), F.col("i") > F.col("j")).otherwise(F.col("i") != F.col("j"))
+    met = sent.join(right, same_cell & once & _within(d2, cutoff, inclusive))
+    first = F.col("i") > F.col("j")
+    return met.select(
+        "graph_id",
+        F.greatest("i", "j").alias("i"),
+        F.least("i", "j").alias("j"),
+        *[F.when(first, c).otherwise(-c).alias(f"d{a}") for a, c in d.items()],
+        F.sqrt(d2).alias("dist"),
     )
-    dx, dy, dz = (F.col(f"{a}i") - F.col(f"{a}j") for a in "xyz")
-    d2 = dx * dx + dy * dy + dz * dz
-    met = left.join(
-        right,
-        (F.col("graph_id") == F.col("g2"))
-        & (F.col("nx") == F.col("bx"))
-        & (F.col("ny") == F.col("by"))
-        & (F.col("nz") == F.col("bz"))
-        & (F.col("i") > F.col("j"))
-        & _within(d2, cutoff, inclusive),
-    )
-    return met.select("graph_id", "i", "j", dx.alias("dx"), dy.alias("dy"), dz.alias("dz"), F.sqrt(d2).alias("dist"))
 
 
 def neighbor_pairs_simple(atoms: DataFrame, cutoff: float, *, inclusive: bool = True) -> DataFrame:
@@ -66,9 +73,36 @@ def minimum_image(dx: Column, dy: Column, dz: Column, cell: list[list[float]]) -
 
 
 def neighbor_pairs_periodic(atoms: DataFrame, cutoff: float, cell: list[list[float]], *, inclusive: bool = True) -> DataFrame:
-    """Half list under the minimum image convention; exact for cutoffs up to half the cell's width."""
-    left, right = _sides(atoms)
-    met = left.join(right, (F.col("graph_id") == F.col("g2")) & (F.col("i") > F.col("j")))
+    """Half list under the minimum image convention; exact for cutoffs up to half the cell's width.
+
+    Fractional coordinates along each axis are binned, modulo the number of bins, into bins at least as wide as
+    the cutoff, and neighboring bins are joined, those at the ends of an axis with each other. An axis with room for
+    fewer than three bins is not binned."""
+    (ax, _, _), (bx, by, _), (cx, cy, cz) = cell
+    # the distance between a cell's opposite faces, for lower triangular rows
+    heights = [
+        abs(ax * by * cz) / math.sqrt((by * cz) ** 2 + (bx * cz) ** 2 + (bx * cy - by * cx) ** 2),
+        abs(by * cz) / math.hypot(cz, cy),
+        abs(cz),
+    ]
+    # a little wider than the cutoff, so that rounding cannot put neighbors two bins apart
+    bins = [n if (n := int(h / (cutoff * (1 + 1e-9)))) >= 3 else 1 for h in heights]
+    w = F.col("z") / cz
+    v = (F.col("y") - w * cy) / by
+    u = (F.col("x") - v * bx - w * cx) / ax
+    binned = atoms.withColumns({f"c{k}": F.pmod(F.floor(f * n), F.lit(n)) for k, (f, n) in enumerate(zip((u, v, w), bins, strict=True))})
+    names = ("c0", "c1", "c2")
+    left, right = _sides(binned, names)
+    right = right.withColumnsRenamed({n: f"b{n}" for n in names})
+    shifts = [(0,) if n == 1 else (-1, 0, 1) for n in bins]
+    around = F.array(*[F.struct(*[F.lit(s).alias(f"s{k}") for k, s in enumerate(step)]) for step in product(*shifts)])
+    sent = left.withColumn("step", F.explode(around)).select(
+        "graph_id", "i", "xi", "yi", "zi", *[F.pmod(F.col(n) + F.col(f"step.s{k}"), F.lit(bins[k])).alias(f"n{k}") for k, n in enumerate(names)]
+    )
+    on = (F.col("graph_id") == F.col("g2")) & (F.col("i") > F.col("j"))
+    for k in range(3):
+        on = on & (F.col(f"n{k}") == F.col(f"bc{k}"))
+    met = sent.join(right, on)
     dx, dy, dz = minimum_image(*(F.col(f"{a}i") - F.col(f"{a}j") for a in "xyz"), cell)
     moved = met.select("graph_id", "i", "j", dx.alias("dx"), dy.alias("dy"), dz.alias("dz"))
     d2 = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")
@@ -76,10 +110,26 @@ def neighbor_pairs_periodic(atoms: DataFrame, cutoff: float, cell: list[list[flo
 
 
 def directed_edges(pairs: DataFrame) -> DataFrame:
-    """Both directions ``(graph_id, src, dst, dx, dy, dz, dist)`` of a half list, ``d = pos[dst] - pos[src]``."""
-    one = pairs.select("graph_id", F.col("i").alias("src"), F.col("j").alias("dst"), *[(-F.col(f"d{a}")).alias(f"d{a}") for a in "xyz"], "dist")
-    two = pairs.select("graph_id", F.col("j").alias("src"), F.col("i").alias("dst"), "dx", "dy", "dz", "dist")
-    return one.unionAll(two)
+    """Both directions ``(graph_id, src, dst, dx, dy, dz, dist)`` of a half list, ``d = pos[dst] - pos[src]``, in one
+    pass over it."""
+
+    def way(src: str, dst: str, sign: int) -> Column:
+        return F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), *[(F.col(f"d{a}") * sign).alias(f"d{a}") for a in "xyz"], F.col("dist"))
+
+    return pairs.select("graph_id", F.inline(F.array(way("i", "j", -1), way("j", "i", 1))))
+
+
+def neighbor_graph(atoms: DataFrame, cutoff: float, max_neighbors: int | None = None) -> DataFrame:
+    """Directed edges shorter than the cutoff. Of an atom with more than ``max_neighbors`` of them, the nearest stay;
+    other atoms keep all."""
+    edges = directed_edges(neighbor_pairs(atoms, cutoff, inclusive=False))
+    return edges if max_neighbors is None else nearest_edges(edges, max_neighbors).drop("rank")
+
+
+def pair_capacity(pairs: DataFrame, max_pairs: int) -> DataFrame:
+    """``(graph_id, num_pairs, over)``: the pairs of each graph, and whether a list of ``max_pairs`` would be too short.
+    Lists here are never cut."""
+    return pairs.groupBy("graph_id").agg(F.count("*").alias("num_pairs")).withColumn("over", F.col("num_pairs") > max_pairs)
 
 
 def nearest_edges(edges: DataFrame, k: int) -> DataFrame:
@@ -94,9 +144,9 @@ def without_pairs(pairs: DataFrame, excluded: DataFrame) -> DataFrame:
     return pairs.join(both, ["graph_id", "i", "j"], "left_anti")
 
 
-def with_ends(edges: DataFrame, atoms: DataFrame, *columns: str) -> DataFrame:
-    """Edges with atom columns of both ends, as ``<column>_src`` and ``<column>_dst``."""
-    for end in ("src", "dst"):
+def with_ends(edges: DataFrame, atoms: DataFrame, *columns: str, ends: tuple[str, ...] = ("src", "dst")) -> DataFrame:
+    """Edges with atom columns of their ends, as ``<column>_src`` and ``<column>_dst``."""
+    for end in ends:
         own = atoms.select(F.col("graph_id"), F.col("atom_id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
         edges = edges.join(own, ["graph_id", end])
     return edges

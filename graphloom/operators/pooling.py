@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.operators.neighbors import with_ends
+
 
 def dense(grouped: DataFrame, spine: DataFrame, keys: list[str], fill: dict[str, float]) -> DataFrame:
     """Every key of ``spine`` once, with ``fill`` where ``grouped`` has none."""
@@ -13,10 +16,12 @@ def dense(grouped: DataFrame, spine: DataFrame, keys: list[str], fill: dict[str,
 
 
 def scatter_sum(df: DataFrame, index: str, value: str, dim_size: int | None = None) -> DataFrame:
-    """``(index, value)`` for 0 .. dim_size - 1 (by default the largest index), empty places 0."""
+    """``(index, value)`` for 0 .. dim_size - 1 (by default up to the largest index), empty places 0; no rows give
+    no places."""
     summed = df.groupBy(F.col(index).cast("long").alias(index)).agg(F.sum(value).alias(value))
     if dim_size is None:
-        dim_size = (df.agg(F.max(index)).first()[0] or -1) + 1
+        largest = df.agg(F.max(index)).first()[0]
+        dim_size = 0 if largest is None else largest + 1
     spine = df.sparkSession.range(dim_size).withColumnRenamed("id", index)
     return dense(summed, spine, [index], {value: 0.0})
 
@@ -66,3 +71,17 @@ def degree(edges: DataFrame, atoms: DataFrame, end: str = "src") -> DataFrame:
     """``(graph_id, atom_id, degree)``, atoms without an edge included."""
     n = edges.groupBy("graph_id", F.col(end).alias("atom_id")).agg(F.count("*").alias("degree"))
     return dense(n, atoms, ["graph_id", "atom_id"], {"degree": 0})
+
+
+def messages(edges: DataFrame, atoms: DataFrame, sent: dict[str, str], weight: Column) -> DataFrame:
+    """Columns of the edges' sources, times a weight of the edge, summed at the targets: ``sent`` maps the sums' names
+    to the columns."""
+    own = with_ends(edges, atoms, *sent.values(), ends=("src",))
+    weighted = own.select("graph_id", "dst", *[(F.col(f"{c}_src") * weight).alias(n) for n, c in sent.items()])
+    return edge_to_node(weighted, atoms, list(sent), "sum")
+
+
+def environment(value: str) -> Column:
+    """The sum of an edge column over all edges of the source, over the root of their number."""
+    w = W.partitionBy("graph_id", "src")
+    return F.sum(value).over(w) / F.sqrt(F.greatest(F.count("*").over(w), F.lit(1)))

@@ -40,14 +40,56 @@ def compose(pairs: DataFrame, terms: dict[str, Column], bidirectional: bool = Fa
     return rows.withColumn("total", total).groupBy("graph_id").agg(*[F.sum(k).alias(k) for k in [*terms, "total"]])
 
 
+#: The parameters that each named pair term mixes, and how.
+MIXINGS = {
+    "repulsion": {"geometric": ["eps"], "arithmetic": ["lam", "r_star"]},
+    "dispersion": {"geometric": ["c6"], "arithmetic": ["r_star"]},
+    "charge_transfer": {"geometric": ["eps"], "arithmetic": ["lam", "r_star"]},
+    "lennard_jones": {"geometric": ["eps"], "arithmetic": ["sigma"]},
+}
+
+
+def mix_for(term: str, pairs: DataFrame, params: DataFrame) -> DataFrame:
+    """Pairs with the mixed parameters of a named term."""
+    return mix_pairs(pairs, params, **MIXINGS[term])
+
+
+def pair_energy(pairs: DataFrame, energy: Column, *, by_graph: bool = True, bidirectional: bool = False, scale: float = 1.0) -> DataFrame:
+    """A term's energy by graph, or of all pairs together; halved for lists of both directions, and scaled."""
+    total = F.coalesce(F.sum(energy), F.lit(0.0)) * (scale * (0.5 if bidirectional else 1.0))
+    grouped = pairs.groupBy("graph_id") if by_graph else pairs.groupBy()
+    return grouped.agg(total.alias("energy"))
+
+
+def compose_forces(pairs: DataFrame, terms: dict[str, tuple[Column, Column]], atoms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Energies of all terms ``name -> (energy, slope)`` with their total, by graph, and the forces ``-dE/dpos`` of the
+    total, by atom: the slopes are added up before anything is summed. Where ``pairs`` has no displacements, they are
+    taken from the atoms' positions."""
+    if not terms:
+        raise ValueError("no terms to compose")
+    if "dist" not in pairs.columns:
+        pairs = placed_pairs(pairs, atoms)
+    total = sum((slope for _, slope in terms.values()), F.lit(0.0))
+    return compose(pairs, {k: e for k, (e, _) in terms.items()}), forces(pairs, total, atoms)
+
+
+def placed_pairs(pairs: DataFrame, atoms: DataFrame) -> DataFrame:
+    """Pairs with ``d = pos[i] - pos[j]`` and ``dist`` from the atoms' positions."""
+    for end in ("i", "j"):
+        own = atoms.select("graph_id", F.col("atom_id").alias(end), *[F.col(a).alias(f"{a}_{end}") for a in "xyz"])
+        pairs = pairs.join(own, ["graph_id", end])
+    d = {f"d{a}": F.col(f"{a}_i") - F.col(f"{a}_j") for a in "xyz"}
+    return pairs.withColumns(d).withColumn("dist", ph.norm((F.col("dx"), F.col("dy"), F.col("dz")))).drop(*[f"{a}_{e}" for a in "xyz" for e in "ij"])
+
+
 def forces(pairs: DataFrame, slope: Column, atoms: DataFrame) -> DataFrame:
     """``(graph_id, atom_id, fx, fy, fz)`` of a half list with ``d = pos[i] - pos[j]`` and ``slope = dE/dr``; atoms
     without a pair have none."""
     s = -slope / F.greatest("dist", F.lit(ph.R_MIN))
     rows = pairs.select("graph_id", "i", "j", *[(s * F.col(f"d{a}")).alias(f"f{a}") for a in "xyz"])
-    both = rows.select("graph_id", F.col("i").alias("atom_id"), "fx", "fy", "fz").unionAll(
-        rows.select("graph_id", F.col("j").alias("atom_id"), *[(-F.col(f"f{a}")).alias(f"f{a}") for a in "xyz"])
-    )
+    # both ends of a pair in one pass
+    ends = [F.struct(F.col(end).alias("atom_id"), *[(F.col(f"f{a}") * sign).alias(f"f{a}") for a in "xyz"]) for end, sign in (("i", 1), ("j", -1))]
+    both = rows.select("graph_id", F.inline(F.array(*ends)))
     summed = both.groupBy("graph_id", "atom_id").agg(*[F.sum(f"f{a}").alias(f"f{a}") for a in "xyz"])
     out = atoms.select("graph_id", "atom_id").join(summed, ["graph_id", "atom_id"], "left")
     return out.select("graph_id", "atom_id", *[F.coalesce(f"f{a}", F.lit(0.0)).alias(f"f{a}") for a in "xyz"])
@@ -60,31 +102,54 @@ def stress(pairs: DataFrame, slope: Column, volume: float) -> DataFrame:
     return pairs.groupBy("graph_id").agg(*[(F.sum(s * F.col(f"d{a}") * F.col(f"d{b}")) / volume).alias(a + b) for a, b in parts])
 
 
-def bonded_energy(atoms: DataFrame, topology: DataFrame, kinds: DataFrame, what: str) -> DataFrame:
-    """Harmonic energy by graph of a topology ``(graph_id, a1, a2[, a3[, a4]], kind)`` with parameters
-    ``kinds(kind, k, x0)``; a graph without a term has no row."""
-    n = {"bond": 2, "angle": 3, "dihedral": 4}[what]
+def _bonded_rows(atoms: DataFrame, topology: DataFrame, kinds: DataFrame, n: int) -> DataFrame:
     rows = topology
     for k in range(1, n + 1):
         own = atoms.select("graph_id", F.col("atom_id").alias(f"a{k}"), *[F.col(a).alias(f"{a}{k}") for a in "xyz"])
         rows = rows.join(own, ["graph_id", f"a{k}"])
+    return rows.join(kinds, "kind")
+
+
+def _between(a: int, b: int) -> tuple[Column, ...]:
+    return tuple(F.col(f"{c}{b}") - F.col(f"{c}{a}") for c in "xyz")
 
-    def vector(a: int, b: int) -> tuple[Column, ...]:
-        return tuple(F.col(f"{c}{b}") - F.col(f"{c}{a}") for c in "xyz")
 
-    value = {
-        "bond": lambda: ph.norm(vector(1, 2)),
-        "angle": lambda: ph.angle(vector(2, 1), vector(2, 3)),
-        "dihedral": lambda: ph.dihedral(vector(1, 2), vector(2, 3), vector(3, 4)),
-    }[what]()
-    terms = rows.join(kinds, "kind").withColumn("value", value)
+#: Atoms, value and gradients of each kind of bonded term.
+BONDED = {
+    "bond": (2, lambda: ph.norm(_between(1, 2)), lambda: ph.distance_gradient(_between(1, 2))),
+    "angle": (3, lambda: ph.angle(_between(2, 1), _between(2, 3)), lambda: ph.angle_gradient(_between(2, 1), _between(2, 3))),
+    "dihedral": (
+        4,
+        lambda: ph.dihedral(_between(1, 2), _between(2, 3), _between(3, 4)),
+        lambda: ph.dihedral_gradient(_between(1, 2), _between(2, 3), _between(3, 4)),
+    ),
+}
+
+
+def bonded_energy(atoms: DataFrame, topology: DataFrame, kinds: DataFrame, what: str) -> DataFrame:
+    """Harmonic energy by graph of a topology ``(graph_id, a1, a2[, a3[, a4]], kind)`` with parameters
+    ``kinds(kind, k, x0)``; a graph without a term has no row."""
+    n, value, _ = BONDED[what]
+    terms = _bonded_rows(atoms, topology, kinds, n).withColumn("value", value())
     return terms.groupBy("graph_id").agg(F.sum(ph.harmonic(F.col("value"), F.col("k"), F.col("x0"))).alias("energy"))
 
 
+def bonded_forces(atoms: DataFrame, topology: DataFrame, kinds: DataFrame, what: str) -> DataFrame:
+    """``(graph_id, atom_id, fx, fy, fz)`` of the same terms; atoms in no term have none."""
+    n, value, gradients = BONDED[what]
+    rows = _bonded_rows(atoms, topology, kinds, n).withColumn("slope", F.col("k") * (value() - F.col("x0")))
+    ends = [F.struct(F.col(f"a{k}").alias("atom_id"), *[(-F.col("slope") * c).alias(f"f{a}") for a, c in zip("xyz", g, strict=True)]) for k, g in enumerate(gradients(), 1)]
+    summed = rows.select("graph_id", F.inline(F.array(*ends))).groupBy("graph_id", "atom_id").agg(*[F.sum(f"f{a}").alias(f"f{a}") for a in "xyz"])
+    out = atoms.select("graph_id", "atom_id").join(summed, ["graph_id", "atom_id"], "left")
+    return out.select("graph_id", "atom_id", *[F.coalesce(f"f{a}", F.lit(0.0)).alias(f"f{a}") for a in "xyz"])
+
+
 def conserve_charge(atoms: DataFrame, charge: str, total: Column) -> DataFrame:
-    """Charges shifted evenly so that each graph's sum is ``total``; no join."""
-    w = W.partitionBy("graph_id")
-    return atoms.withColumn(charge, F.col(charge) - (F.sum(charge).over(w) - total) / F.greatest(F.count("*").over(w), F.lit(1)))
+    """Charges shifted evenly so that each graph's sum is ``total``. Sums are made before the shuffle and joined
+    back, so a graph with most of the atoms is no hot group."""
+    sums = atoms.groupBy(F.col("graph_id").alias("_graph")).agg(F.sum(charge).alias("_sum"), F.greatest(F.count("*"), F.lit(1)).alias("_n"))
+    joined = atoms.join(sums, F.col("graph_id").eqNullSafe(F.col("_graph")))
+    return joined.withColumn(charge, F.col(charge) - (F.col("_sum") - total) / F.col("_n")).drop("_graph", "_sum", "_n")
 
 
 def volume_scaling(atoms: DataFrame, ratio: str) -> DataFrame:

@@ -47,23 +47,83 @@ def every_n(step: Column, n: int, shifted: bool = True) -> Column:
     return ((step + 1) % n == 0) if shifted else (step % n == 0)
 
 
-LEVELS = ["debug", "info", "warning", "error"]
+#: Levels in order, and the kinds of rows of the metrics table.
+LEVELS = ["debug", "info", "warning", "error", "critical"]
+TABLE_KINDS = ("header", "row")
 
 
-def sinks(channel: Column, kind: Column, level: Column, console: str = "info") -> Column:
-    """The sinks of a row: ``metrics.csv`` for metric rows, ``events.log`` for events, ``train.log`` for the
-    rest, ``warnings.log`` for warnings and worse, and ``stdout`` from the console's level on."""
-    rank = F.array_position(F.array(*map(F.lit, LEVELS)), level)
-    own = (
-        F.when(under(channel, "metrics") | (kind == "metric"), F.array(F.lit("metrics.csv")))
-        .when(under(channel, "events") | (kind == "event"), F.array(F.lit("events.log")))
-        .otherwise(F.array(F.lit("train.log")))
-    )
-    warn = F.when(rank >= LEVELS.index("warning") + 1, F.array(F.lit("warnings.log"))).otherwise(F.array().cast("array<string>"))
-    shown = F.when((rank >= LEVELS.index(console) + 1) & (kind != "metric"), F.array(F.lit("stdout"))).otherwise(F.array().cast("array<string>"))
-    return F.concat(own, warn, shown)
+def rank(level: Column | str) -> Column | int:
+    """A level's place in :data:`LEVELS`, from 1; an unknown one has 0."""
+    return LEVELS.index(level) + 1 if isinstance(level, str) else F.array_position(F.array(*map(F.lit, LEVELS)), level)
+
+
+def sinks(channel: Column, kind: Column, level: Column, *, metrics: str = "metrics", events: str = "events", console: str = "warning", file: str = "info") -> Column:
+    """The sinks of a row, by channel, kind and level.
+
+    ``stdout`` shows the metrics and events channels (and those below them), and everything from the console's level on; ``train.log`` is a
+    full record from the file's level on; ``metrics.csv`` has header and table rows of the metrics channel and
+    ``events.log`` the events channel, both from ``info`` on; ``warnings.log`` has warnings and worse."""
+    measured, told, at = under(channel, metrics), under(channel, events), rank(level)
+    informed = at >= rank("info")
+    gates = {
+        "stdout": measured | told | (at >= rank(console)),
+        "train.log": at >= rank(file),
+        "metrics.csv": informed & measured & kind.isin(*TABLE_KINDS),
+        "events.log": informed & told,
+        "warnings.log": at >= rank("warning"),
+    }
+    return F.array_compact(F.array(*[F.when(gate, F.lit(name)) for name, gate in gates.items()]))
+
+
+def first_headers(rows: DataFrame, by: list[str], order: list[str], kind: str = "kind", columns: str = "columns") -> DataFrame:
+    """Rows without the headers whose columns are those of the header before; other rows pass untouched."""
+    header = F.col(kind).eqNullSafe(F.lit("header"))
+    before = F.last(F.when(header, F.col(columns)), ignorenulls=True).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumn("_before", before).filter(~header | ~F.col(columns).eqNullSafe(F.col("_before"))).drop("_before")
 
 
 def csv_field(value: Column) -> Column:
-    """A CSV field: empty for null, NaN and infinities."""
+    """A number's CSV field: empty for null, NaN and infinities."""
     return F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), "").otherwise(value.cast("string"))
+
+
+def csv_text(value: Column) -> Column:
+    """A text's CSV field: quoted if it holds a comma, a quote or a line break."""
+    return F.when(value.isNull(), "").when(value.rlike('[,"\n\r]'), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
+
+
+def csv_lines(wide: DataFrame, columns: list[str]) -> Column:
+    """A row's line of a CSV file."""
+    kinds = {c: wide.schema[c].dataType.simpleString() for c in columns}
+    field = {"double": csv_field, "float": csv_field, "boolean": lambda c: csv_text(c.cast("int").cast("string"))}
+    return F.concat_ws(",", *[field.get(k, lambda c: csv_text(c.cast("string")))(F.col(c)) for c, k in kinds.items()])
+
+
+def write_metrics_csv(wide: DataFrame, columns: list[str], path: str) -> None:
+    """A folder of CSV files with one header each; fields as in :func:`csv_lines`."""
+    numbers = ("double", "float")
+    shown = [csv_field(F.col(c)).alias(c) if wide.schema[c].dataType.simpleString() in numbers else F.col(c) for c in columns]
+    wide.select(*shown).write.option("header", True).option("emptyValue", "").option("nullValue", "").option("escape", '"').csv(path)
+
+
+def logged_metrics(long: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """The wide table of long rows ``(step, key, value)``, a column for each listed key; a key that a step lacks is null."""
+    return long.groupBy(*(by or ["step"])).agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys])
+
+
+def tracked_scalars(long: DataFrame, prefixes: list[str], every: int = 1) -> DataFrame:
+    """Rows ``(step, key, value)`` for a scalar tracker: keys that begin with a prefix, each ``every`` steps."""
+    chosen = F.lit(False)
+    for p in prefixes:
+        chosen = chosen | F.col("key").startswith(p)
+    return long.filter(chosen & every_n(F.col("step"), every, shifted=False))
+
+
+def kept_checkpoints(steps: DataFrame, by: list[str], order: list[str], value: str, *, every: int, mode: str = "min") -> DataFrame:
+    """Rows with why a checkpoint of their step is kept: ``best`` so far, ``periodic``, or the ``last`` of its run."""
+    w = W.partitionBy(*by).orderBy(*order)
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    place = F.row_number().over(w)
+    last = place == F.count("*").over(whole)
+    why = F.array_compact(F.array(F.when(is_best(by, order, value, mode), F.lit("best")), F.when(place % every == 0, F.lit("periodic")), F.when(last, F.lit("last"))))
+    return steps.withColumn("kept_as", why).filter(F.size("kept_as") > 0)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import json
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.plans.pipeline import PipelineSpec
+
 
 def cache_key(*parts: str, extra: dict[str, str] | None = None) -> str:
     """Twelve hex digits of the SHA-256 of the parts, joined by ``|``; ``extra`` in key order."""
@@ -22,13 +27,18 @@ def key_column(*parts: Column | str) -> Column:
 
 
 def cache_root(spark: SparkSession) -> str:
-    """Below the shared folder of the session; a temporary folder of this machine only where none is set."""
+    """Below the shared folder of the session. A session on one machine may have none: then a temporary folder is
+    made and remembered. On a cluster that is an error, since other machines would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return f"{base.rstrip('/')}/graphloom-cache"
     known = spark.conf.get("graphloom.cache.dir", None)
     if not known:
-        known = f"file://{tempfile.mkdtemp(prefix='graphloom-cache-')}"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines see")
+        path = tempfile.mkdtemp(prefix="graphloom-cache-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        known = f"file://{path}"
         spark.conf.set("graphloom.cache.dir", known)
     return known
 
@@ -48,6 +58,47 @@ def cached(df: DataFrame, parts: list[str], *, overwrite: bool = False) -> DataF
     return spark.read.parquet(path)
 
 
+def source_id(kind: str, version: str, total: int | None = None, targets: list[str] | None = None) -> str:
+    """What a source holds, whatever its path: its kind and version, and what was selected from it."""
+    parts = [f"{kind}:{version}"]
+    if total is not None:
+        parts.append(f"total={total}")
+    if targets is not None:
+        parts.append("targets=" + "+".join(targets))
+    return ":".join(parts)
+
+
+def memory_id(name: str, n: int) -> str:
+    return f"memory:{name}:{n}"
+
+
+def subset_id(source: str, index: DataFrame, key: str) -> str:
+    """A source's id with that of the chosen rows, whatever their order: the sum and number of their keys' hashes."""
+    h = F.xxhash64(key)
+    row = index.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(20,0)")).alias("s"), F.bit_xor(h).alias("x")).first()
+    return f"{source}:subset={hashlib.sha256(f'{row.n}|{row.s}|{row.x}'.encode()).hexdigest()[:12]}"
+
+
+FORMAT_VERSION = 1
+
+
+def run_cached(spec: PipelineSpec, source: DataFrame, source_key: str, *, fit_source: DataFrame | None = None, fit_key: str | None = None, overwrite: bool = False) -> DataFrame:
+    """The result of a pipeline through a cache named by the pipeline, the source and what its tasks were fitted on
+    (the source itself by default); the fitted states are stored beside it, and restored when it is read again."""
+    spark = source.sparkSession
+    path = f"{cache_root(spark)}/{cache_key(spec.id, source_key, fit_key or source_key)}"
+    if overwrite or not is_ready(spark, f"{path}/states"):
+        spec.run(source, fit_source).write.mode("overwrite").parquet(f"{path}/data")
+        states = [(FORMAT_VERSION, name, json.dumps(state)) for name, state in spec.states().items()]
+        # written last: a cache without states is not finished
+        spark.createDataFrame(states, "format int, name string, state string").coalesce(1).write.mode("overwrite").parquet(f"{path}/states")
+    rows = spark.read.parquet(f"{path}/states").collect()  # a row for each task
+    if any(r.format != FORMAT_VERSION for r in rows):
+        raise ValueError(f"{path} has another format")
+    spec.load({r.name: json.loads(r.state) for r in rows})
+    return spark.read.parquet(f"{path}/data")
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` through a Parquet table of its own, so that its lineage ends there, and the table's path."""
     spark = df.sparkSession

@@ -9,6 +9,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 
+def hook_order(hooks: list[object]) -> list[object]:
+    """Hooks by their ``priority`` (100 if they have none); those of one priority stay in order."""
+    return sorted(hooks, key=lambda h: getattr(h, "priority", 100))
+
+
 @dataclass(frozen=True)
 class Entry:
     name: str

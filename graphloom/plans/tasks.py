@@ -43,7 +43,9 @@ class AtomicDress:
         return {"energies": dict(self.energies)}
 
     def load(self, state: dict) -> None:
-        self.energies = dict(state["energies"])
+        # names of a stored state are texts
+        kind = type(self.elements[0])
+        self.energies = {kind(k): v for k, v in state["energies"].items()}
 
 
 @dataclass

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import tarfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-#: Symbols and atomic numbers of the light elements.
-SYMBOLS = {"H": 1, "He": 2, "Li": 3, "Be": 4, "B": 5, "C": 6, "N": 7, "O": 8, "F": 9, "Ne": 10, "P": 15, "S": 16, "Cl": 17, "Br": 35, "I": 53}
+from graphloom.operators.collate import sample
+
+#: The symbols of the elements, in the order of their atomic numbers from 1.
+ELEMENTS = """
+H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru
+Rh Pd Ag Cd In Sn Sb Te I Xe Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At
+Rn Fr Ra Ac Th Pa U Np Pu Am Cm Bk Cf Es Fm Md No Lr Rf Db Sg Bh Hs Mt Ds Rg Cn Nh Fl Mc Lv Ts Og
+"""
+SYMBOLS = {symbol: z for z, symbol in enumerate(ELEMENTS.split(), 1)}
 
 #: The graph targets on a record's second line, after two leading tokens.
 TARGETS = ["A", "B", "C", "mu", "alpha", "homo", "lumo", "gap", "r2", "zpve", "U0", "U", "H", "G", "Cv"]
@@ -20,8 +30,9 @@ def number(c):
 
 
 def atomic_number(symbol):
-    known = F.create_map(*[F.lit(x) for kv in SYMBOLS.items() for x in kv])
-    return F.get(F.array(known[symbol]), F.lit(0)).cast("int")
+    """The number of an element's symbol; another text is an error when it is read."""
+    at = F.array_position(F.array(*map(F.lit, SYMBOLS)), symbol)
+    return F.when(symbol.isNull() | (at > 0), at).otherwise(F.raise_error(F.concat(F.lit("no element "), symbol)).cast("bigint")).cast("int")
 
 
 def parse_xyz(records: DataFrame, text: str = "value", targets: list[str] | None = None) -> DataFrame:
@@ -46,6 +57,29 @@ def parse_xyz(records: DataFrame, text: str = "value", targets: list[str] | None
     )
 
 
+def extract_archive(archive: str, folder: str) -> int:
+    """Extract the XYZ files of a tar archive (compressed or not) once, so that Spark can read them in parallel; the
+    number of files. An archive that was extracted before is left as it is."""
+    done = Path(folder) / "_EXTRACTED"
+    if done.exists():
+        return int(done.read_text())
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    n = 0
+    with tarfile.open(archive, "r|*") as f:
+        for member in f:
+            if member.isfile() and member.name.endswith(".xyz"):
+                (Path(folder) / Path(member.name).name).write_bytes(f.extractfile(member).read())
+                n += 1
+    done.write_text(str(n))
+    return n
+
+
+def select_records(records: DataFrame, name: str, excluded: DataFrame | None = None, total: int | None = None, seed: int = 42) -> DataFrame:
+    """Records ``(id, name, ...)`` without the excluded ids; of more than ``total``, a seeded sample; in order of name."""
+    kept = records if excluded is None else records.join(excluded, "id", "left_anti")
+    return (kept if total is None else sample(kept, "id", total, seed)).orderBy(name, "id")
+
+
 def read_xyz(spark: SparkSession, path: str, targets: list[str] | None = None, excluded: DataFrame | None = None) -> DataFrame:
     """Atoms of a folder of extracted XYZ files, without the graphs in ``excluded(id)``."""
     atoms = parse_xyz(spark.read.text(path, wholetext=True), "value", targets)
