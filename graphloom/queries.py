@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import features as ft
 from graphloom.functions import physics as ph
-from graphloom.operators import collate, metrics, neighbors, pooling
+from graphloom.operators import collate, columns, metrics, neighbors, pooling, runlog
+from graphloom.schema import GraphBatch
 from graphloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,7 +88,7 @@ def scan_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SQL_ATOMS} SELECT graph_id, atom_id, z_num FROM atoms WHERE atom_id IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)")
 def subset_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("atom_id"))
-    return atoms_of(spark, sf_dir).join(index, "atom_id", "left_semi").select("graph_id", "atom_id", "z_num")
+    return collate.chosen_rows(atoms_of(spark, sf_dir), index, "atom_id").select("graph_id", "atom_id", "z_num")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (3, 17, 44)")
@@ -101,8 +102,10 @@ def exclusion_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_name FROM (SELECT * FROM part ORDER BY sha256('42|' || p_partkey), p_partkey LIMIT 100) ORDER BY p_name, p_partkey")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").withColumn("_order", collate.seeded_order("p_partkey", 42))
-    return part.orderBy("_order", "p_partkey").limit(100).orderBy("p_name", "p_partkey").select("p_partkey", "p_name")
+    from graphloom.sources.molecules import select_records
+
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name")
+    return select_records(part, "p_name", total=100).select(F.col("id").alias("p_partkey"), "p_name")
 
 
 @query("SELECT o_orderkey AS graph_id, o_totalprice AS energy FROM orders")
@@ -110,7 +113,7 @@ def target_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("graph_id"), F.struct(F.col("o_totalprice").alias("energy"), F.col("o_custkey").alias("gap")).alias("targets")
     )
-    return nested.select("graph_id", "targets.energy")
+    return nested.select("graph_id", columns.nested(nested, ("targets", "energy")).alias("energy"))
 
 
 @query(f"WITH {SQL_ATOMS} SELECT graph_id, atom_id, z_num, x, y, z FROM atoms")
@@ -427,10 +430,8 @@ def step_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # the small summand keeps exact halves from being rounded either way
 @query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1e-7, 4) AS running FROM events")
 def running_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphloom.operators.runlog import running_mean
-
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", r6(running_mean(e, ["event_type"], ["ts", "event_id"], "value") + 1e-7, 4).alias("running"))
+    e = collate.running_sums(table(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"], "value")
+    return e.select("event_id", r6(F.col("running_sum") / F.col("running_count") + 1e-7, 4).alias("running"))
 
 
 @query("""SELECT event_id, user_id, value FROM (SELECT *, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events)
@@ -485,8 +486,7 @@ SQL_PARAMS = SQL_HALF + """, params AS (
          0.1::DOUBLE * (atom_id % 3 - 1) AS q FROM atoms),
 pp AS (SELECT h.*, a.eps AS eps_i, b.eps AS eps_j, a.sigma AS sigma_i, b.sigma AS sigma_j, a.c6 AS c6_i, b.c6 AS c6_j,
          a.r_star AS r_i, b.r_star AS r_j, a.lam AS lam_i, b.lam AS lam_j, a.q AS q_i, b.q AS q_j
-       FROM half h JOIN params a ON h.graph_id = a.graph_id AND h.i = a.atom_id JOIN params b ON h.graph_id = b.graph_id AND h.j = b.atom_id
-       WHERE h.dist >= 0.05::DOUBLE),
+       FROM half h JOIN params a ON h.graph_id = a.graph_id AND h.i = a.atom_id JOIN params b ON h.graph_id = b.graph_id AND h.j = b.atom_id),
 mixed AS (SELECT graph_id, i, j, dx, dy, dz, dist, sqrt(eps_i * eps_j + 1e-12) AS eps, 0.5::DOUBLE * (sigma_i + sigma_j) AS sigma,
          sqrt(c6_i * c6_j + 1e-12) AS c6, 0.5::DOUBLE * (r_i + r_j) AS r_star, 0.5::DOUBLE * (lam_i + lam_j) AS lam, q_i, q_j FROM pp)"""
 
@@ -501,11 +501,10 @@ def params_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mixed parameters of the pairs that the SQL takes: those closer than 0.05 stay out there and here."""
+    """Mixed parameters of all pairs, the closest ones too."""
     from graphloom.operators.potentials import mix_pairs
 
-    p = pairs_of(spark, sf_dir).filter("dist >= 0.05")
-    return mix_pairs(p, params_of(spark, sf_dir), geometric=["eps", "c6"], arithmetic=["sigma", "r_star", "lam"], carry=["q"])
+    return mix_pairs(pairs_of(spark, sf_dir), params_of(spark, sf_dir), geometric=["eps", "c6"], arithmetic=["sigma", "r_star", "lam"], carry=["q"])
 
 
 @query(f"WITH {SQL_PARAMS} SELECT graph_id, i, j, round(eps, 6) AS eps, round(sigma, 6) AS sigma, round(c6, 6) AS c6, round(r_star, 6) AS r_star, round(lam, 6) AS lam FROM mixed")
@@ -513,6 +512,15 @@ def mixing_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_of(spark, sf_dir).select("graph_id", "i", "j", *[r6(c).alias(c) for c in ("eps", "sigma", "c6", "r_star", "lam")])
 
 
+def sql_logged(e: str) -> str:
+    """A steep sum on a logarithmic scale, so that every pair can count: the closest alone can give 1e15."""
+    return f"round(sign({e}) * ln(1 + abs({e})), 6) + 0.0"
+
+
+def logged(e: Column) -> Column:
+    return r6(F.signum(e) * F.log1p(F.abs(e))) + 0.0
+
+
 SQL_TERMS = {
     "lj": "eps * 4 * (pow(sigma / dist, 12) - pow(sigma / dist, 6))",
     "repulsion": "eps * exp(lam * (1 - dist / r_star)) + pow(0.02::DOUBLE / dist, 12)",
@@ -531,11 +539,15 @@ def terms() -> dict[str, Column]:
     }
 
 
-def _term(name: str, key: str, digits: int = 4):
-    @query(f"WITH {SQL_PARAMS} SELECT graph_id, round(sum({SQL_TERMS[key]}), {digits}) AS energy, count(*) AS n_pairs FROM mixed GROUP BY graph_id")
+def _term(name: str, key: str, digits: int | None = None):
+    total = f"sum({SQL_TERMS[key]})"
+    shown = f"{sql_logged(total)} AS log_energy" if digits is None else f"round({total}, {digits}) AS energy"
+
+    @query(f"WITH {SQL_PARAMS} SELECT graph_id, {shown}, count(*) AS n_pairs FROM mixed GROUP BY graph_id")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = mixed_of(spark, sf_dir).withColumn("e", terms()[key])
-        return e.groupBy("graph_id").agg(r6(F.sum("e"), digits).alias("energy"), F.count("*").alias("n_pairs"))
+        energy = logged(F.sum("e")).alias("log_energy") if digits is None else r6(F.sum("e"), digits).alias("energy")
+        return e.groupBy("graph_id").agg(energy, F.count("*").alias("n_pairs"))
 
     QUERIES[name], SQL[name] = QUERIES.pop("run"), SQL.pop("run")
 
@@ -546,33 +558,33 @@ _term("dispersion_energy", "dispersion", 6)
 _term("charge_transfer", "charge_transfer", 3)
 
 
-@query(f"WITH {SQL_PARAMS} SELECT graph_id, " + ", ".join(f"round(sum({SQL_TERMS[k]}), 3) AS {k}" for k in SQL_TERMS) + ", round(sum(" + " + ".join(f"({s})" for s in SQL_TERMS.values()) + "), 3) AS total FROM mixed GROUP BY graph_id")
+@query(f"WITH {SQL_PARAMS} SELECT graph_id, " + ", ".join(f"{sql_logged(f'sum({SQL_TERMS[k]})')} AS log_{k}" for k in SQL_TERMS) + ", " + sql_logged("sum(" + " + ".join(f"({s})" for s in SQL_TERMS.values()) + ")") + " AS log_total FROM mixed GROUP BY graph_id")
 def composed_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.operators.potentials import compose
 
     out = compose(mixed_of(spark, sf_dir), terms())
-    return out.select("graph_id", *[r6(c, 3).alias(c) for c in [*SQL_TERMS, "total"]])
+    return out.select("graph_id", *[logged(F.col(c)).alias(f"log_{c}") for c in [*SQL_TERMS, "total"]])
 
 
 @query(f"""WITH {SQL_PARAMS}, f AS (SELECT graph_id, i, j, -(4 * eps * (6 * pow(sigma / dist, 6) - 12 * pow(sigma / dist, 12)) / dist) / dist AS s, dx, dy, dz FROM mixed),
 sides AS (SELECT graph_id, i AS atom_id, s * dx AS fx, s * dy AS fy, s * dz AS fz FROM f UNION ALL SELECT graph_id, j, -s * dx, -s * dy, -s * dz FROM f)
-SELECT a.graph_id, a.atom_id, round(coalesce(sum(fx), 0), 4) + 0.0 AS fx, round(coalesce(sum(fy), 0), 4) + 0.0 AS fy, round(coalesce(sum(fz), 0), 4) + 0.0 AS fz
+SELECT a.graph_id, a.atom_id, """ + ", ".join(f"{sql_logged(f'coalesce(sum(f{a}), 0)')} AS log_f{a}" for a in "xyz") + """
 FROM atoms a LEFT JOIN sides b ON a.graph_id = b.graph_id AND a.atom_id = b.atom_id GROUP BY a.graph_id, a.atom_id""")
 def pair_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.operators.potentials import forces
 
     slope = ph.lennard_jones_slope(F.col("dist"), F.col("eps"), F.col("sigma"))
     out = forces(mixed_of(spark, sf_dir), slope, atoms_of(spark, sf_dir))
-    return out.select("graph_id", "atom_id", *[(r6(c, 4) + 0.0).alias(c) for c in ("fx", "fy", "fz")])
+    return out.select("graph_id", "atom_id", *[logged(F.col(c)).alias(f"log_{c}") for c in ("fx", "fy", "fz")])
 
 
 @query(f"""WITH {SQL_PARAMS}, s AS (SELECT *, (4 * eps * (6 * pow(sigma / dist, 6) - 12 * pow(sigma / dist, 12)) / dist) / dist AS s FROM mixed)
-SELECT graph_id, round(sum(s * dx * dx) / 8, 4) AS xx, round(sum(s * dy * dy) / 8, 4) AS yy, round(sum(s * dz * dz) / 8, 4) AS zz, round(sum(s * dx * dy) / 8, 4) AS xy FROM s GROUP BY graph_id""")
+SELECT graph_id, """ + ", ".join(f"{sql_logged(f'(sum(s * d{a} * d{b}) / 8)')} AS log_{a}{b}" for a, b in ("xx", "yy", "zz", "xy")) + """ FROM s GROUP BY graph_id""")
 def virial_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.operators.potentials import stress
 
     out = stress(mixed_of(spark, sf_dir), ph.lennard_jones_slope(F.col("dist"), F.col("eps"), F.col("sigma")), volume=8.0)
-    return out.select("graph_id", *[r6(c, 4).alias(c) for c in ("xx", "yy", "zz", "xy")])
+    return out.select("graph_id", *[logged(F.col(c)).alias(f"log_{c}") for c in ("xx", "yy", "zz", "xy")])
 
 
 SQL_CHAIN = SQL_ATOMS + """, c AS (
@@ -731,58 +743,99 @@ SELECT a.graph_id, a.atom_id, round(0.5::DOUBLE * coalesce(sum(mx), 0) - 2 * coa
 def message_aggregation(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = atoms_of(spark, sf_dir)
     cut = ft.cosine_cutoff(F.col("dist"), CUTOFF)
-    m = neighbors.with_ends(edges_of(spark, sf_dir), a, "x", "y").select("graph_id", "dst", (F.col("x_src") * cut).alias("mx"), (F.col("y_src") * cut).alias("my"))
-    pooled = pooling.edge_to_node(m, a, ["mx", "my"], "sum")
+    pooled = pooling.messages(edges_of(spark, sf_dir), a, {"mx": "x", "my": "y"}, cut)
     return pooled.select("graph_id", "atom_id", r6(F.col("mx") * 0.5 - F.col("my") * 2 + 0.1, 5).alias("message"))
 
 
 @query(f"""WITH {SQL_FULL}, y AS (SELECT graph_id, src, dst, dx / (dist + 1e-8) AS yx FROM edges)
 SELECT graph_id, src, dst, round(sum(yx) OVER w / sqrt(greatest(count(*) OVER w, 1)), 5) AS env FROM y WINDOW w AS (PARTITION BY graph_id, src)""")
 def allegro_env(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = W.partitionBy("graph_id", "src")
-    y = F.col("dx") / (F.col("dist") + 1e-8)
-    e = edges_of(spark, sf_dir).withColumn("y", y)
-    return e.select("graph_id", "src", "dst", r6(F.sum("y").over(w) / F.sqrt(F.greatest(F.count("*").over(w), F.lit(1))), 5).alias("env"))
+    e = edges_of(spark, sf_dir).withColumn("y", F.col("dx") / (F.col("dist") + 1e-8))
+    return e.select("graph_id", "src", "dst", r6(pooling.environment("y"), 5).alias("env"))
 
 
 @query()
 def mace_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphloom.operators.kernels import node_encoder
+    from graphloom.operators import encoders
 
-    out = node_encoder(atoms_of(spark, sf_dir), edges_of(spark, sf_dir), cutoff=CUTOFF, species=ELEMENTS)
-    return out.select("graph_id", "atom_id", *[r6(F.get("features", F.lit(k)), 5).alias(f"f{k}") for k in (0, 7, 8, 15)])
+    weights = encoders.weights_table(spark, encoders.seeded_weights(encoders.node_shapes(len(ELEMENTS))))
+    out = encoders.node_encoder(atoms_of(spark, sf_dir), edges_of(spark, sf_dir), cutoff=CUTOFF, species=ELEMENTS, weights=weights, avg_neighbors=64.0)
+    return out.select("graph_id", "atom_id", *[r6(F.get("features", F.lit(k)), 5).alias(f"f{k}") for k in (0, 7, 8, 15)], r6(F.get("vectors", F.lit(0)), 5).alias("v0x"))
 
 
 @query()
 def allegro_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphloom.operators.kernels import edge_encoder
+    from graphloom.operators import encoders
 
-    out = edge_encoder(atoms_of(spark, sf_dir), edges_of(spark, sf_dir), cutoff=CUTOFF, species=ELEMENTS)
-    return out.select("graph_id", "src", "dst", *[r6(F.get("features", F.lit(k)), 5).alias(f"f{k}") for k in (0, 7)])
+    weights = encoders.weights_table(spark, encoders.seeded_weights(encoders.edge_shapes(len(ELEMENTS))))
+    out = encoders.edge_encoder(atoms_of(spark, sf_dir), edges_of(spark, sf_dir), cutoff=CUTOFF, species=ELEMENTS, weights=weights)
+    return out.select("graph_id", "src", "dst", *[r6(F.get("features", F.lit(k)), 5).alias(f"f{k}") for k in (0, 7)], r6(F.get("vectors", F.lit(0)), 5).alias("v0x"))
 
 
 # -- logs and streams
 
 
-@query("""SELECT user_id, coalesce(CAST(count(*) FILTER (WHERE event_type = 'click') AS VARCHAR), '') AS clicks, coalesce(CAST(count(*) FILTER (WHERE event_type = 'view') AS VARCHAR), '') AS views FROM events GROUP BY user_id""")
+@query("""SELECT user_id, user_id || ',' || clicks || ',' || CASE WHEN clicks % 2 = 0 THEN '' ELSE CAST(clicks / 4 AS VARCHAR) END || ',' || CASE WHEN clicks % 3 = 0 THEN '"a ""b"", c"' WHEN clicks % 3 = 1 THEN 'plain' ELSE '' END AS line
+FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS clicks FROM events GROUP BY user_id)""")
 def metrics_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = table(spark, sf_dir, "events").groupBy("user_id").agg(*[F.count_if(F.col("event_type") == k).alias(f"{k}s") for k in ("click", "view")])
-    return wide.select("user_id", *[F.col(c).cast("string").alias(c) for c in ("clicks", "views")])
+    n = F.col("clicks")
+    wide = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("clicks"))
+    half = F.when(n % 4 == 0, F.lit(None)).when(n % 4 == 2, float("nan")).otherwise(n / 4)
+    wide = wide.withColumns({"half": half, "note": F.when(n % 3 == 0, 'a "b", c').when(n % 3 == 1, "plain")})
+    return wide.select("user_id", runlog.csv_lines(wide, ["user_id", "clicks", "half", "note"]).alias("line"))
 
 
-@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'metrics.train' WHEN event_id % 7 = 1 THEN 'events' ELSE 'trainer' END AS channel,
-CASE WHEN event_id % 7 = 0 THEN 'metric' ELSE 'text' END AS kind, CASE WHEN event_id % 11 = 0 THEN 'warning' WHEN event_id % 5 = 0 THEN 'debug' ELSE 'info' END AS level FROM events)
-SELECT event_id, CASE WHEN kind = 'metric' THEN 'metrics.csv' WHEN channel = 'events' THEN 'events.log' ELSE 'train.log' END AS sink FROM e
-UNION ALL SELECT event_id, 'warnings.log' FROM e WHERE level = 'warning' UNION ALL SELECT event_id, 'stdout' FROM e WHERE level IN ('warning', 'info') AND kind <> 'metric'""")
-def log_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphloom.operators.runlog import sinks
+SQL_LOG = """e AS (SELECT event_id, user_id, ts, value, event_type,
+  CASE event_id % 4 WHEN 0 THEN 'metrics' WHEN 1 THEN 'metrics.train' WHEN 2 THEN 'events' ELSE 'metricsx' END AS channel,
+  CASE event_id % 3 WHEN 0 THEN 'row' WHEN 1 THEN 'text' END AS kind,
+  CASE WHEN event_id % 11 = 0 THEN 'warning' WHEN event_id % 5 = 0 THEN 'debug' WHEN event_id % 13 = 0 THEN 'error' ELSE 'info' END AS level FROM events)"""
+
 
+def log_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
-    channel = F.when(i % 7 == 0, "metrics.train").when(i % 7 == 1, "events").otherwise("trainer")
-    kind = F.when(i % 7 == 0, "metric").otherwise("text")
-    level = F.when(i % 11 == 0, "warning").when(i % 5 == 0, "debug").otherwise("info")
-    rows = table(spark, sf_dir, "events").select("event_id", channel.alias("channel"), kind.alias("kind"), level.alias("level"))
-    return rows.select("event_id", F.explode(sinks(F.col("channel"), F.col("kind"), F.col("level"))).alias("sink"))
+    channel = F.when(i % 4 == 0, "metrics").when(i % 4 == 1, "metrics.train").when(i % 4 == 2, "events").otherwise("metricsx")
+    kind = F.when(i % 3 == 0, "row").when(i % 3 == 1, "text")
+    level = F.when(i % 11 == 0, "warning").when(i % 5 == 0, "debug").when(i % 13 == 0, "error").otherwise("info")
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", "event_type", channel.alias("channel"), kind.alias("kind"), level.alias("level"))
+
+
+@query(f"""WITH {SQL_LOG} SELECT event_id, 'stdout' AS sink FROM e WHERE channel = 'metrics' OR starts_with(channel, 'metrics.') OR channel = 'events' OR level IN ('warning', 'error')
+UNION ALL SELECT event_id, 'train.log' FROM e WHERE level <> 'debug'
+UNION ALL SELECT event_id, 'metrics.csv' FROM e WHERE level <> 'debug' AND (channel = 'metrics' OR starts_with(channel, 'metrics.')) AND kind IN ('header', 'row')
+UNION ALL SELECT event_id, 'events.log' FROM e WHERE level <> 'debug' AND channel = 'events'
+UNION ALL SELECT event_id, 'warnings.log' FROM e WHERE level IN ('warning', 'error')""")
+def log_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = runlog.sinks(F.col("channel"), F.col("kind"), F.col("level"))
+    return log_of(spark, sf_dir).select("event_id", F.explode(to).alias("sink"))
+
+
+@query(f"""WITH {SQL_LOG}, h AS (SELECT *, event_id % 3 = 0 AS header FROM e),
+b AS (SELECT *, last_value(CASE WHEN header THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h)
+SELECT event_id, header FROM b WHERE NOT header OR before IS DISTINCT FROM event_type""")
+def header_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = log_of(spark, sf_dir).withColumns({"kind": F.when(F.col("kind") == "row", "header").otherwise("row"), "columns": F.col("event_type")})
+    rows = rows.withColumn("kind", F.coalesce("kind", F.lit("row")))
+    return runlog.first_headers(rows, ["user_id"], ["ts", "event_id"]).select("event_id", (F.col("kind") == "header").alias("header"))
+
+
+@query("""SELECT user_id AS step, max(value) FILTER (WHERE event_type = 'click') AS click, max(value) FILTER (WHERE event_type = 'view') AS view, max(value) FILTER (WHERE event_type = 'absent') AS absent FROM events GROUP BY user_id""")
+def metrics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = table(spark, sf_dir, "events").select(F.col("user_id").alias("step"), F.col("event_type").alias("key"), "value")
+    return runlog.logged_metrics(long, ["click", "view", "absent"])
+
+
+@query("SELECT event_id AS step, event_type AS key, value FROM events WHERE (starts_with(event_type, 'cl') OR starts_with(event_type, 'p')) AND event_id % 10 = 0")
+def tracked_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("key"), "value")
+    return runlog.tracked_scalars(long, ["cl", "p"], every=10)
+
+
+@query("""WITH w AS (SELECT event_id, value < min(value) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS better, row_number() OVER o AS rn, count(*) OVER (PARTITION BY user_id) AS n
+FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, concat_ws(',', CASE WHEN coalesce(better, true) THEN 'best' END, CASE WHEN rn % 5 = 0 THEN 'periodic' END, CASE WHEN rn = n THEN 'last' END) AS kept_as FROM w WHERE coalesce(better, true) OR rn % 5 = 0 OR rn = n""")
+def kept_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runlog.kept_checkpoints(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", every=5)
+    return out.select("event_id", F.array_join("kept_as", ",").alias("kept_as"))
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total, max(value) AS largest FROM events GROUP BY event_type")
@@ -933,7 +986,7 @@ SELECT graph_id, dst AS atom_id, round(sum((vx*ux+vy*uy+vz*uz)/sqrt(3)), 5) AS s
 def tensor_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.operators import equivariant as eq
 
-    e = neighbors.with_ends(edges_of(spark, sf_dir), atoms_of(spark, sf_dir), "x", "y", "z")
+    e = neighbors.with_ends(edges_of(spark, sf_dir), atoms_of(spark, sf_dir), "x", "y", "z", ends=("src",))
     n = F.col("dist") + 1e-8
     y1 = tuple(F.col(c) * 3**0.5 / n for c in ("dx", "dy", "dz"))
     scalars, vectors = eq.tensor_product(F.col("x_src"), (F.col("x_src"), F.col("y_src"), F.col("z_src")), F.lit(1.0), y1)
@@ -974,4 +1027,146 @@ def harmonics_degree_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs_of(spark, sf_dir).select("graph_id", "i", "j", r6(s[10]).alias("xyz"), r6(s[12]).alias("zzz"), r6(s[15]).alias("xxx"))
 
 
+# -- neighbor builders, collation, forces, heads
+
+
+@query(f"""WITH {SQL_FULL}, near AS (SELECT * FROM edges WHERE dist < 0.15::DOUBLE), ranked AS (SELECT *, row_number() OVER (PARTITION BY graph_id, src ORDER BY dist, dst) AS rank FROM near)
+SELECT graph_id, src, dst, round(dist, 6) AS dist FROM ranked WHERE rank <= 6""")
+def neighbor_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbors.neighbor_graph(atoms_of(spark, sf_dir), 0.15, 6).select("graph_id", "src", "dst", r6("dist").alias("dist"))
+
+
+@query(f"WITH {SQL_HALF} SELECT graph_id, count(*) AS num_pairs, count(*) > 300 AS over FROM half GROUP BY graph_id")
+def pair_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbors.pair_capacity(pairs_of(spark, sf_dir), 300)
+
+
+def graph_batch(spark: SparkSession, sf_dir: str) -> tuple[GraphBatch, DataFrame]:
+    """Atoms and edges of all graphs, and a batch for each three graphs."""
+    atoms = atoms_of(spark, sf_dir)
+    members = atoms.select("graph_id").distinct().withColumn("batch_id", F.floor(F.col("graph_id") / 3))
+    return GraphBatch(atoms, edges_of(spark, sf_dir)), members
+
+
+SQL_PLACED = SQL_FULL + """, sizes AS (SELECT graph_id, CAST(floor(graph_id / 3) AS BIGINT) AS batch_id, count(*) AS n FROM atoms GROUP BY graph_id),
+offsets AS (SELECT *, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, row_number() OVER w - 1 AS pos FROM sizes WINDOW w AS (PARTITION BY batch_id ORDER BY graph_id)),
+placed AS (SELECT a.graph_id, atom_id, batch_id, CAST(pos AS BIGINT) AS graph, CAST(off + row_number() OVER (PARTITION BY a.graph_id ORDER BY atom_id) - 1 AS BIGINT) AS index FROM atoms a JOIN offsets o ON a.graph_id = o.graph_id)"""
+
+
+@query(f"WITH {SQL_PLACED} SELECT batch_id, graph_id, atom_id, graph, index FROM placed")
+def collated_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch, members = graph_batch(spark, sf_dir)
+    out = collate.collated(batch, members).atoms
+    return out.select("batch_id", "graph_id", "atom_id", F.col("graph").cast("long").alias("graph"), F.col("index").cast("long").alias("index"))
+
+
+@query(f"""WITH {SQL_PLACED} SELECT s.batch_id, s.index AS src, d.index AS dst, round(e.dist, 6) AS dist FROM edges e JOIN placed s ON e.graph_id = s.graph_id AND e.src = s.atom_id
+JOIN placed d ON e.graph_id = d.graph_id AND e.dst = d.atom_id""")
+def collated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch, members = graph_batch(spark, sf_dir)
+    out = collate.collated(batch, members).edges
+    return out.select("batch_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), r6("dist").alias("dist"))
+
+
+@query("""SELECT o_orderkey AS graph_id, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS n_ptr, CAST(coalesce(sum(m) OVER w, 0) AS BIGINT) AS m_ptr
+FROM (SELECT o_orderkey, o_custkey % 9 AS n, o_custkey % 4 AS m FROM orders) WINDOW w AS (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def pack_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("graph_id"), (F.col("o_custkey") % 9).alias("n"), (F.col("o_custkey") % 4).alias("m"))
+    return collate.pack_pointers(g, sizes=("n", "m")).select("graph_id", "n_ptr", "m_ptr")
+
+
+@query("""WITH n AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('7|3|' || vec_id), vec_id) - 1 AS index FROM embeddings)
+SELECT vec_id, CAST(index % 4 AS BIGINT) AS shard, CAST(floor(index / 48) AS BIGINT) AS batch FROM n WHERE index < (SELECT count(*) // 48 * 48 FROM embeddings)""")
+def epoch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id")
+    g = collate.numbered(rows.withColumn("_order", collate.epoch_order("vec_id", 7, 3)), ["_order", "vec_id"])
+    full = g.filter(collate.full_batches(F.col("index"), 48, rows.count()))
+    return full.select("vec_id", collate.shard_of(F.col("index"), 4).alias("shard"), collate.batch_of(F.col("index"), 48).alias("batch"))
+
+
+@query(f"""WITH {SQL_PARAMS}, f AS (SELECT graph_id, i, j, dx, dy, dz, (-(4 * eps * (6 * pow(sigma / dist, 6) - 12 * pow(sigma / dist, 12)) / dist) - c6 * 6 * pow(dist, 5) / pow(120 * pow(r_star, 6) + pow(dist, 6), 2)) / dist AS s FROM mixed),
+sides AS (SELECT graph_id, i AS atom_id, s * dx AS fx, s * dy AS fy FROM f UNION ALL SELECT graph_id, j, -s * dx, -s * dy FROM f)
+SELECT a.graph_id, a.atom_id, """ + ", ".join(f"{sql_logged(f'coalesce(sum(f{a}), 0)')} AS log_f{a}" for a in "xy") + """ FROM atoms a LEFT JOIN sides b ON a.graph_id = b.graph_id AND a.atom_id = b.atom_id GROUP BY a.graph_id, a.atom_id""")
+def composed_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators.potentials import compose_forces
+
+    d, eps, sigma, c6, rs = (F.col(c) for c in ("dist", "eps", "sigma", "c6", "r_star"))
+    parts = {"lj": (terms()["lj"], ph.lennard_jones_slope(d, eps, sigma)), "dispersion": (terms()["dispersion"], ph.dispersion_slope(d, c6, rs))}
+    _, out = compose_forces(mixed_of(spark, sf_dir), parts, atoms_of(spark, sf_dir))
+    return out.select("graph_id", "atom_id", logged(F.col("fx")).alias("log_fx"), logged(F.col("fy")).alias("log_fy"))
+
+
+@query(f"""WITH {SQL_CHAIN}, b AS (SELECT c.graph_id, atom_id, a2, x2-x AS bx, y2-y AS by_, z2-z AS bz, sqrt((x2-x)*(x2-x) + (y2-y)*(y2-y) + (z2-z)*(z2-z)) AS r, k, x0 FROM c JOIN kinds ON kind = (rn - 1) % 3 WHERE a2 IS NOT NULL),
+sides AS (SELECT graph_id, atom_id, k * (r - x0) * bx / r AS fx, k * (r - x0) * bz / r AS fz FROM b UNION ALL SELECT graph_id, a2, -k * (r - x0) * bx / r, -k * (r - x0) * bz / r FROM b)
+SELECT a.graph_id, a.atom_id, round(coalesce(sum(fx), 0), 5) + 0.0 AS fx, round(coalesce(sum(fz), 0), 5) + 0.0 AS fz FROM atoms a LEFT JOIN sides s ON a.graph_id = s.graph_id AND a.atom_id = s.atom_id GROUP BY a.graph_id, a.atom_id""")
+def bond_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators.potentials import bonded_forces
+
+    out = bonded_forces(*chain_of(spark, sf_dir, 2), "bond")
+    return out.select("graph_id", "atom_id", (r6("fx", 5) + 0.0).alias("fx"), (r6("fz", 5) + 0.0).alias("fz"))
+
+
+@query(f"WITH {SQL_ATOMS} SELECT atom_id, round(CASE WHEN 3*x < 0 THEN 3*x*0.5::DOUBLE*e ELSE 3*x*0.5::DOUBLE*(2 - e) END, 6) AS gelu, round(greatest(y, 0), 6) AS relu, round((exp(2*z) - 1) / (exp(2*z) + 1), 6) AS tanh FROM (SELECT *, " + SQL_ERFC.replace("(3*dist)", "(abs(3*x)/sqrt(2))") + " AS e FROM atoms)")
+def activations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    act = ft.ACTIVATIONS
+    return atoms_of(spark, sf_dir).select("atom_id", *[r6(act[n](c)).alias(n) for n, c in (("gelu", F.col("x") * 3), ("relu", F.col("y")), ("tanh", F.col("z")))])
+
+
+@query(f"""WITH {SQL_ATOMS}, {SQL_SPECIES}, p AS (SELECT atom_id, w0*x + w1*x*x AS a, w2*y + w3*y*y AS b FROM atoms JOIN species USING (z_num))
+SELECT atom_id, round(2*a - b + 0.5::DOUBLE, 6) AS out0, round(0.25::DOUBLE*a + 0.75::DOUBLE*b, 6) AS out1 FROM p""")
+def product_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators import equivariant as eq
+
+    w = [F.col(f"w{k}") for k in range(4)]
+    out = eq.product_head([F.col("x"), F.col("y")], [w[:2], w[2:]], [[2.0, -1.0], [0.25, 0.75]], [0.5, 0.0])
+    return eq.by_species(atoms_of(spark, sf_dir), species(spark)).select("atom_id", r6(out[0]).alias("out0"), r6(out[1]).alias("out1"))
+
+
+@query(f"""WITH {SQL_ATOMS}, p AS (SELECT graph_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM atoms GROUP BY graph_id UNION ALL SELECT 999, 0, 0, 0),
+h AS (SELECT graph_id, 0.5::DOUBLE*x - 0.25::DOUBLE*y + z + 0.1::DOUBLE AS a, 0.75::DOUBLE*x + 0.5::DOUBLE*y - 0.5::DOUBLE*z - 0.2::DOUBLE AS b FROM p)
+SELECT graph_id, round(1.5::DOUBLE * a / (1 + exp(-a)) - b / (1 + exp(-b)) + 0.05::DOUBLE, 6) AS value FROM h""")
+def scalar_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators import equivariant as eq
+
+    out = eq.scalar_head(atoms_of(spark, sf_dir), graph_spine(spark, sf_dir), ["x", "y", "z"], MLP)
+    return out.select("graph_id", r6("value").alias("value"))
+
+
+@query(f"""WITH {SQL_ATOMS}, l AS (SELECT atom_id, x - y AS a, 2*y + 0.1::DOUBLE AS b, z - x AS c FROM atoms)
+SELECT atom_id, CASE WHEN a >= b AND a >= c THEN 'p' WHEN b >= c THEN 'q' ELSE 'UNK_2' END AS label, round(exp(greatest(a, b, c)) / (exp(a) + exp(b) + exp(c)), 6) AS confidence FROM l""")
+def type_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators import equivariant as eq
+
+    weights = [([[1.0, -1.0, 0.0], [0.0, 2.0, 0.0], [-1.0, 0.0, 1.0]], [0.0, 0.1, 0.0])]
+    out = eq.type_head(atoms_of(spark, sf_dir), [F.col(a) for a in "xyz"], weights, ["p", "q"])
+    return out.select("atom_id", "label", r6("confidence").alias("confidence"))
+
+
+@query(f"WITH {SQL_PRED} SELECT l_returnflag, round(sum(abs(pred - target)), 3) AS loss FROM p GROUP BY l_returnflag")
+def loss_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = metrics.loss(predictions(spark, sf_dir), "mae", "pred", "target", "none")
+    return each.groupBy("l_returnflag").agg(r6(F.sum("loss"), 3).alias("loss"))
+
+
+@query(f"WITH {SQL_PRED} SELECT round(avg(abs(pred - target)), 5) AS mae, round(avg((pred - target) * (pred - target)), 4) AS mse, round(sqrt(avg((pred - target) * (pred - target))), 5) AS rmse FROM p")
+def metrics_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.merged(metrics.mergeable(predictions(spark, sf_dir), "pred", "target", ["l_returnflag"]))
+    return out.select(r6("mae", 5).alias("mae"), r6("mse", 4).alias("mse"), r6("rmse", 5).alias("rmse"))
+
+
+@query(f"WITH {SQL_ATOMS} SELECT atom_id, round(x, 6) AS s0, round(x * cos(0.7::DOUBLE) - y * sin(0.7::DOUBLE), 6) AS v0x, round(x * sin(0.7::DOUBLE) + z * cos(0.7::DOUBLE), 6) AS v1y, round(z, 6) AS v0z FROM atoms")
+def rotate_irreps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    # one scalar, and the vectors (x, y, z) and (x, z, y): all first components, then all second and third ones
+    out = ft.rotate_irreps([x, x, x, y, z, z, y], "1x0e + 2x1o", ft.axis_rotation("z", 0.7))
+    return atoms_of(spark, sf_dir).select("atom_id", *[r6(out[k]).alias(n) for k, n in ((0, "s0"), (1, "v0x"), (4, "v1y"), (5, "v0z"))])
+
+
+@query("SELECT vec_id, CAST(len(list_distinct([label % 3, label % 2, label % 5])) AS DOUBLE) AS n FROM embeddings")
+def ordered_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label")
+    names = columns.distinct_in_order(F.array(label % 3, label % 2, label % 5))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(names).cast("double").alias("n"))
+
+
 QUERIES["pair_energy_by_graph"], SQL["pair_energy_by_graph"] = QUERIES["dispersion_energy"], SQL["dispersion_energy"]
