@@ -8,6 +8,7 @@ import ctypes.util
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -51,13 +52,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
-    # nothing reads the shuffle files behind the table again; Spark drops them once their owners are collected,
-    # which a driver with much free memory would put off until the disks are full
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    _let_go(spark)
     return out
 
 
+_LAST_LET_GO = [0.0]
+
+
+def _let_go(spark: SparkSession, every: float = 3.0) -> None:
+    """Nothing reads the shuffle files behind a written table again. Spark drops them once their owners are collected,
+    which a driver with much free memory would put off until the disks are full; so that is asked for, not more
+    often than each few seconds."""
+    if time.monotonic() - _LAST_LET_GO[0] >= every:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _LAST_LET_GO[0] = time.monotonic()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what :func:`materialize` wrote, when no later step reads it."""
     for t in tables:
