@@ -7,7 +7,7 @@ multiply. Representatives are posted under each (coordinate, value) of their sig
 its coordinates by how rare their values are; only these prefixes are posted. A pair's collisions in the posted
 lists are counted; pairs that reach ``T`` there are kept, and for the others the lists that were skipped for their
 length are probed in the two signatures. A pair of similarity 0.8 has fewer than ``T`` of ``M`` matches with
-probability 2e-7.
+probability 2e-7. Only pairs whose sets are of sizes that allow the similarity are looked at.
 
 No list is turned into all its pairs. Each list first links its members to its smallest and its largest
 one (two stars). Pairs that then lie in one component need no further look. In lists that still hold more
@@ -114,14 +114,19 @@ def features(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
     return narrow.mapInArrow(run, f"id {id_type}, text_hash long, n_shingles long, set_key binary, sig array<long>")
 
 
+def sizes_fit(n: Column, other: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return (n * 100 >= other * percent) & (other * 100 >= n * percent)
+
+
 def prefix_postings(reps: DataFrame) -> DataFrame:
-    """``(c, v, rep)``: representatives under the coordinates of their prefix that others share."""
-    posted = reps.select("rep", F.posexplode("sig").alias("c", "v"))
+    """``(c, v, rep, n)``: representatives under the coordinates of their prefix that others share."""
+    posted = reps.select("rep", "n", F.posexplode("sig").alias("c", "v"))
     shared = posted.groupBy(F.col("c").alias("sc"), F.col("v").alias("sv")).agg(F.count("*").alias("df")).filter("df > 1")
     met = posted.join(shared, (F.col("c") == F.col("sc")) & (F.col("v") == F.col("sv")))
     rare_first = W.partitionBy("rep").orderBy("df", "c")
     ranked = met.withColumn("rank", F.row_number().over(rare_first) + M - F.count("*").over(W.partitionBy("rep")))
-    return ranked.filter(F.col("rank") <= M - T + 1).select("c", "v", "rep")
+    return ranked.filter(F.col("rank") <= M - T + 1).select("c", "v", "rep", "n")
 
 
 def collisions(met: DataFrame) -> DataFrame:
@@ -194,45 +199,50 @@ DEALT = ["c", "v", "low", "high"]
 
 
 def dealt_packs(long: DataFrame, reps: DataFrame) -> DataFrame:
-    """Lists ``(c, v, rep, component, members)`` cut into packs, a row for each pack and each pack that it meets:
-    ``(c, v, low, high, pack, reps, components, sigs)``."""
+    """Lists ``(c, v, rep, n, component, members)`` cut into packs, a row for each pack and each pack that it meets:
+    ``(c, v, low, high, pack, reps, components, sizes, sigs)``."""
     n_packs = F.ceil(F.col("members") / PACK).cast("int")
-    signed = long.withColumn("packs", n_packs).join(reps.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"))
+    signed = long.withColumn("packs", n_packs).join(reps.select(F.col("rep").alias("r"), "sig"), F.col("rep") == F.col("r"))
     packs = (
         signed.withColumn("pack", F.pmod(F.xxhash64("rep"), F.col("packs")).cast("int"))
         .groupBy("c", "v", "pack", "packs")
-        .agg(F.collect_list(F.struct("rep", "component", "sig")).alias("m"))
+        .agg(F.collect_list(F.struct("rep", "component", "n", "sig")).alias("m"))
     )
     packs = packs.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("packs") - 1)))
     return packs.select(
         "c", "v", F.least("pack", "with").alias("low"), F.greatest("pack", "with").alias("high"), "pack", F.col("m.rep").alias("reps"),
-        F.col("m.component").alias("components"), F.flatten(F.col("m.sig")).alias("sigs"),
+        F.col("m.component").alias("components"), F.col("m.n").alias("sizes"), F.flatten(F.col("m.sig")).alias("sigs"),
     )
 
 
 PROMISING = "c int, v long, low int, high int, pack int, rep long, component long, sig array<long>"
 
 
-def _promising(rows: pd.DataFrame) -> pd.DataFrame:
-    """Members of two packs of one list that have ``T`` matches with one of another component."""
-    i, j = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
-    of = {int(r.pack): (np.asarray(r.reps), np.asarray(r.components), np.asarray(r.sigs).reshape(-1, M)) for r in rows.itertuples()}
-    packs, places, sigs = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)], []
-    if i in of and j in of:
-        (_, comp, sig), (_, other, signed) = of[i], of[j]
-        hit, met = np.zeros(len(comp), bool), np.zeros(len(other), bool)
-        for x in range(len(comp)):
-            near = (other != comp[x]) & ((signed == sig[x]).sum(1) >= T)
-            hit[x] = near.any()
-            met |= near
-        for pack, mask in ((i, hit | met),) if i == j else ((i, hit), (j, met)):
-            reps, components, own = of[pack]
-            packs.append(np.full(mask.sum(), pack))
-            places.append(np.stack([reps[mask], components[mask]], axis=1))
-            sigs += list(own[mask])
-    place, first = np.concatenate(places), rows.iloc[0]
-    found = pd.DataFrame({"pack": np.concatenate(packs), "rep": place[:, 0], "component": place[:, 1], "sig": pd.Series(sigs, dtype=object)})
-    return found.assign(c=first["c"], v=first["v"], low=i, high=j)
+def _promising(percent: int):
+    """Members of two packs of one list that have ``T`` matches with one of another component and of a size that fits."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
+        of = {int(r.pack): (np.asarray(r.reps), np.asarray(r.components), np.asarray(r.sizes), np.asarray(r.sigs).reshape(-1, M)) for r in rows.itertuples()}
+        packs, places, sigs = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)], []
+        if i in of and j in of:
+            (_, comp, size, sig), (_, other, sizes, signed) = of[i], of[j]
+            hit, met = np.zeros(len(comp), bool), np.zeros(len(other), bool)
+            for x in range(len(comp)):
+                near = (other != comp[x]) & (sizes * 100 >= size[x] * percent) & (size[x] * 100 >= sizes * percent)
+                near[near] = (signed[near] == sig[x]).sum(1) >= T
+                hit[x] = near.any()
+                met |= near
+            for pack, mask in ((i, hit | met),) if i == j else ((i, hit), (j, met)):
+                reps, components, _, own = of[pack]
+                packs.append(np.full(mask.sum(), pack))
+                places.append(np.stack([reps[mask], components[mask]], axis=1))
+                sigs += list(own[mask])
+        place, first = np.concatenate(places), rows.iloc[0]
+        found = pd.DataFrame({"pack": np.concatenate(packs), "rep": place[:, 0], "component": place[:, 1], "sig": pd.Series(sigs, dtype=object)})
+        return found.assign(c=first["c"], v=first["v"], low=i, high=j)
+
+    return run
 
 
 def _search_packs(percent: int):
@@ -266,7 +276,7 @@ def _search_packs(percent: int):
 
 def long_list_links(docs: DataFrame, long: DataFrame, reps: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """``(a, b)``: links between components of one list, by packs."""
-    promising = materialize(dealt_packs(long, reps).groupBy(*DEALT).applyInPandas(_promising, PROMISING), "promising")
+    promising = materialize(dealt_packs(long, reps).groupBy(*DEALT).applyInPandas(_promising(percent), PROMISING), "promising")
     wanted = materialize(promising.select(F.col("rep").alias("m")).distinct(), "wanted")
     sets = hash_sets(rows_of(docs, wanted, id_col, text_col), words)
     full = promising.join(sets, F.col("rep") == F.col("id")).select(*DEALT, "pack", "rep", "component", "sig", "shingles")
@@ -279,14 +289,16 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     """``(id_col, n_shingles, component_id, kept)`` of every row, and ``text_hash``, the ``xxhash64`` of the row's
     text, if asked for; documents are linked if ``100 * common >= percent * union`` for their shingle sets."""
     known = materialize(features(docs, words, id_col, text_col), "features")
-    classes = known.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("id", "sig")).alias("r"))
-    classes = materialize(classes.select("set_key", F.col("r.id").cast("long").alias("rep"), F.col("r.sig").alias("sig")), "classes")
-    reps = classes.select("rep", "sig")
+    classes = known.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("id", "n_shingles", "sig")).alias("r"))
+    classes = classes.select("set_key", F.col("r.id").cast("long").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.sig").alias("sig"))
+    classes = materialize(classes, "classes")
+    reps = classes.select("rep", "n", "sig")
 
     postings = materialize(prefix_postings(reps), "postings")
-    lists = postings.groupBy("c", "v").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
-    ends = lists.select(F.col("c").alias("lc"), F.col("v").alias("lv"), F.explode(F.array("low", "high")).alias("hub"))
-    met = postings.join(ends, (F.col("c") == F.col("lc")) & (F.col("v") == F.col("lv"))).filter("rep <> hub")
+    member = F.struct("rep", "n")
+    lists = postings.groupBy("c", "v").agg(F.min(member).alias("low"), F.max(member).alias("high")).filter("low.rep < high.rep")
+    ends = lists.select(F.col("c").alias("lc"), F.col("v").alias("lv"), F.inline(F.array(*[F.struct(F.col(f"{e}.rep").alias("hub"), F.col(f"{e}.n").alias("hub_n")) for e in ("low", "high")])))
+    met = postings.join(ends, (F.col("c") == F.col("lc")) & (F.col("v") == F.col("lv")) & (F.col("rep") != F.col("hub")) & sizes_fit(F.col("n"), F.col("hub_n"), percent))
     stars = materialize(collisions(met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), "c")), "stars")
 
     near = materialize(alike(stars, reps), "near")
@@ -296,17 +308,18 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     labels = connected_components(first)
 
     # lists that hold more than one component still
-    placed = postings.join(labels, F.col("rep") == F.col("node"), "left").select("c", "v", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = postings.join(labels, F.col("rep") == F.col("node"), "left").select("c", "v", "rep", "n", F.coalesce("component", "rep").alias("component"))
     placed = materialize(placed, "placed")
     mixed = placed.groupBy(F.col("c").alias("lc"), F.col("v").alias("lv")).agg(
         F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")
     )
     mixed = mixed.filter("low < high").select("lc", "lv", "members")
-    open_ = materialize(placed.join(mixed, (F.col("c") == F.col("lc")) & (F.col("v") == F.col("lv"))).select("c", "v", "rep", "component", "members"), "open")
+    open_ = materialize(placed.join(mixed, (F.col("c") == F.col("lc")) & (F.col("v") == F.col("lv"))).select("c", "v", "rep", "n", "component", "members"), "open")
 
     short = open_.filter(F.col("members") <= SHORT_LIST)
-    other = short.select(F.col("c").alias("oc"), F.col("v").alias("ov"), F.col("rep").alias("b"), F.col("component").alias("other"))
-    across = short.join(other, (F.col("c") == F.col("oc")) & (F.col("v") == F.col("ov")) & (F.col("rep") < F.col("b")) & (F.col("component") != F.col("other")))
+    other = short.select(F.col("c").alias("oc"), F.col("v").alias("ov"), F.col("rep").alias("b"), F.col("n").alias("other_n"), F.col("component").alias("other"))
+    in_list = (F.col("c") == F.col("oc")) & (F.col("v") == F.col("ov")) & (F.col("rep") < F.col("b")) & (F.col("component") != F.col("other"))
+    across = short.join(other, in_list & sizes_fit(F.col("n"), F.col("other_n"), percent))
     across = materialize(collisions(across.select(F.col("rep").alias("a"), "b", "c")).join(stars, ["a", "b"], "left_anti"), "across")
     wide = long_list_links(docs, open_.filter(F.col("members") > SHORT_LIST), reps, words, percent, id_col, text_col)
     near = materialize(alike(across, reps).union(wide).distinct(), "near")
