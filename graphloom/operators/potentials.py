@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -40,6 +41,43 @@ def compose(pairs: DataFrame, terms: dict[str, Column], bidirectional: bool = Fa
     return rows.withColumn("total", total).groupBy("graph_id").agg(*[F.sum(k).alias(k) for k in [*terms, "total"]])
 
 
+@dataclass(frozen=True)
+class PairPotential:
+    """A pair term as expressions of the distance and of mixed parameters: its energy and the slope of that."""
+
+    name: str
+    energy: Callable[[], Column]
+    slope: Callable[[], Column]
+    mixing: dict[str, list[str]]
+
+    def mixed(self, pairs: DataFrame, params: DataFrame) -> DataFrame:
+        return mix_pairs(pairs, params, **self.mixing)
+
+    def calc_energy(self, pairs: DataFrame, params: DataFrame) -> float:
+        """The energy of all pairs together."""
+        return float(pair_energy(self.mixed(pairs, params), self.energy(), by_graph=False).first().energy)
+
+    def calc_forces(self, pairs: DataFrame, params: DataFrame) -> DataFrame:
+        """``-dE/dpos`` of each atom of ``params``."""
+        return forces(self.mixed(pairs, params), self.slope(), params)
+
+
+def _columns(f: Callable[..., Column], *names: str) -> Callable[[], Column]:
+    return lambda: f(*map(F.col, names))
+
+
+def potential(name: str) -> PairPotential:
+    """One of the named pair terms."""
+    terms = {
+        "lennard_jones": (ph.lennard_jones, ph.lennard_jones_slope, ("dist", "eps", "sigma")),
+        "repulsion": (ph.repulsion, ph.repulsion_slope, ("dist", "eps", "lam", "r_star")),
+        "dispersion": (ph.dispersion, ph.dispersion_slope, ("dist", "c6", "r_star")),
+        "charge_transfer": (ph.charge_transfer, ph.charge_transfer_slope, ("dist", "eps", "lam", "r_star")),
+    }
+    energy, slope, names = terms[name]
+    return PairPotential(name, _columns(energy, *names), _columns(slope, *names), MIXINGS[name])
+
+
 #: The parameters that each named pair term mixes, and how.
 MIXINGS = {
     "repulsion": {"geometric": ["eps"], "arithmetic": ["lam", "r_star"]},

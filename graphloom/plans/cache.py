@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,10 +100,14 @@ def run_cached(spec: PipelineSpec, source: DataFrame, source_key: str, *, fit_so
     return spark.read.parquet(f"{path}/data")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{cache_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` through a Parquet table of its own, so that its lineage ends there, and the table's path."""
     spark = df.sparkSession
-    path = f"{cache_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -113,6 +118,12 @@ def drop_written(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def dataset(spark: SparkSession, path: str, in_memory: bool = False) -> DataFrame:
+    """A written table: read from its files each time, or kept in memory (and on disk where that is full)."""
+    out = spark.read.parquet(path)
+    return out.persist(StorageLevel.MEMORY_AND_DISK) if in_memory else out
+
+
 def read_one(table: DataFrame, graph_id: int) -> DataFrame:
     """The rows of one graph; IndexError if there are none."""
     out = table.filter(F.col("graph_id") == graph_id)

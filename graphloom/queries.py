@@ -80,6 +80,17 @@ def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- sources
 
 
+def text_files(spark: SparkSession, texts: list[str]) -> str:
+    """A pattern of the paths of files with these texts, below the shared folder."""
+    from graphloom.plans.cache import new_path
+
+    path = new_path(spark, "texts")
+    for k, text in enumerate(texts):
+        # a text's file ends with a line break
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/{k}")
+    return f"{path}/*/part-*"
+
+
 @query(f"WITH {SQL_ATOMS} SELECT graph_id, atom_id, z_num, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM atoms")
 def scan_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return atoms_of(spark, sf_dir).select("graph_id", "atom_id", "z_num", *[r6(a).alias(a) for a in "xyz"])
@@ -96,7 +107,7 @@ def exclusion_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.sources.molecules import exclusion_ids
 
     text = "\n".join([f"header {k}" for k in range(9)] + ["3 a", "17 b", "  44   c", "3 excluded"])
-    listed = exclusion_ids(spark.createDataFrame([(text,)], "value string"), "value")
+    listed = exclusion_ids(spark.read.text(text_files(spark, [text]), wholetext=True), "value")
     return table(spark, sf_dir, "part").join(listed.withColumnRenamed("id", "p_partkey"), "p_partkey", "left_anti").select("p_partkey", "p_name")
 
 
@@ -132,11 +143,11 @@ def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 8, 0.0::DOUBLE, -1.5::DOUBLE, 0.25::DOUBLE), (1, 1, 1, 1.0, 2e-6, 0.5), (2, 0, 6, 3.5, 0.0, -2.0)) t(graph_id, atom_id, z_num, x, y, z)")
 def xyz_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphloom.sources.molecules import parse_xyz
+    from graphloom.sources.molecules import read_xyz
 
     header = "gdb {} " + " ".join(["1.0"] * 15)
     records = ["2\n" + header.format(1) + "\nO 0.0 -1.5 0.25 -0.1\nH 1.0 2.*^-6 0.5 0.2\n0 0", "1\n" + header.format(2) + "\nC 3.5 0.0 -2.0 0.0\n0"]
-    return parse_xyz(spark.createDataFrame([(r,) for r in records], "value string"), "value").select("graph_id", "atom_id", "z_num", "x", "y", "z")
+    return read_xyz(spark, text_files(spark, records)).select("graph_id", "atom_id", "z_num", "x", "y", "z")
 
 
 @query("SELECT * FROM (VALUES ('elements', 'atom'), ('positions', 'atom'), ('total', 'graph'), ('partners', 'edge')) t(name, level)")

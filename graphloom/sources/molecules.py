@@ -88,7 +88,8 @@ def read_xyz(spark: SparkSession, path: str, targets: list[str] | None = None, e
 
 def exclusion_ids(files: DataFrame, text: str = "value", header: int = 9, trailer: int = 1) -> DataFrame:
     """Ids at the start of the lines of whole-file rows, without header and trailer."""
-    lines = F.split(text, "\n")
+    # a line break at the end begins no line
+    lines = F.split(F.regexp_replace(text, r"\n$", ""), "\n")
     body = F.slice(lines, F.lit(header + 1), F.greatest(F.size(lines) - (header + trailer), F.lit(0)))
     return files.select(F.explode(body).alias("line")).select(F.get(F.split(F.trim("line"), r"\s+"), F.lit(0)).cast("long").alias("id"))
 

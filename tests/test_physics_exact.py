@@ -142,3 +142,31 @@ def test_neighbor_pairs_against_all_pairs(spark):
     assert (one["i"] > one["j"]).all() and len(one) > 100
     edges = neighbors.directed_edges(neighbors.neighbor_pairs(atoms, 0.7))
     assert edges.count() == 2 * len(one) and edges.filter("dx * dx + dy * dy + dz * dz > 0.491").count() == 0
+
+
+@pytest.mark.parametrize("box", [(3.0, 4.0, 3.5), [[3.0, 0, 0], [0.8, 3.5, 0], [-0.6, 1.1, 4.0]]])
+def test_reciprocal_energy_matches_a_sum_over_waves(spark, box):
+    rng = np.random.default_rng(6)
+    pos, q = rng.uniform(-5, 5, size=(9, 3)), rng.normal(size=9)
+    cell, alpha = kernels.cell_of(box), 1.1
+    inverse, volume, total = np.linalg.inv(cell), abs(np.linalg.det(cell)), 0.0
+    n = range(-8, 9)
+    for m in ((a, b, c) for a in n for b in n for c in n if (a, b, c) != (0, 0, 0)):
+        wave = np.array(m) @ inverse.T
+        k2 = wave @ wave
+        total += math.exp(-(math.pi**2) * k2 / alpha**2) / k2 * abs(np.sum(q * np.exp(2j * math.pi * (pos @ wave)))) ** 2
+    atoms = spark.createDataFrame([(0, i, *map(float, p), float(c)) for i, (p, c) in enumerate(zip(pos, q, strict=True))], "graph_id long, atom_id long, x double, y double, z double, q double")
+    got = kernels.ewald_reciprocal(atoms, box=box, alpha=alpha, grid=24, order=6).first().energy
+    assert got == pytest.approx(total / (2 * math.pi * volume), rel=1e-4)
+
+
+@pytest.mark.parametrize("name", list(potentials.MIXINGS))
+def test_named_potentials(spark, name):
+    h, term = 1e-6, potentials.potential(name)
+    rows = [(g, i, x + (s if i == 2 else 0.0), 0.3 * i, 0.1, 0.5 + 0.1 * i, 1.0, 5.0 + i, 1.5, 3.0) for g, s in ((0, 0.0), (1, h), (2, -h)) for i, x in ((1, 0.0), (2, 1.1), (3, 2.5))]
+    atoms = spark.createDataFrame(rows, "graph_id long, atom_id long, x double, y double, z double, eps double, sigma double, c6 double, r_star double, lam double")
+    pairs = potentials.placed_pairs(spark.createDataFrame([(g, i, j) for g in range(3) for i, j in ((2, 1), (3, 1), (3, 2))], "graph_id long, i long, j long"), atoms)
+    energy = [term.calc_energy(pairs.filter(F.col("graph_id") == g), atoms) for g in range(3)]
+    force = {(r.graph_id, r.atom_id): r.fx for r in term.calc_forces(pairs, atoms).collect()}
+    assert force[0, 2] == pytest.approx(-(energy[1] - energy[2]) / (2 * h), rel=1e-4, abs=1e-6)
+    assert potentials.mix_for(name, pairs, atoms).count() == 9
