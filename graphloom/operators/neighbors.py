@@ -10,16 +10,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _sides(atoms: DataFrame, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    left = atoms.select("graph_id", F.col("atom_id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("z").alias("zi"), *extra)
-    right = atoms.select(
-        F.col("graph_id").alias("g2"), F.col("atom_id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.col("z").alias("zj"), *extra
-    )
-    return left, right
+def literal(x: float) -> str:
+    """A double as SQL writes it. Long expressions here are SQL text: a driver builds them in one step each."""
+    return f"{float(x)!r}D"
 
 
-def _within(d2: Column, cutoff: float, inclusive: bool) -> Column:
-    return (d2 > 0) & ((d2 <= cutoff * cutoff) if inclusive else (d2 < cutoff * cutoff))
+def _within(d2: str, cutoff: float, inclusive: bool) -> str:
+    return f"{d2} > 0 AND {d2} {'<=' if inclusive else '<'} {literal(cutoff * cutoff)}"
+
+
+#: Displacement and squared distance of two atoms side by side.
+APART = {a: f"({a}i - {a}j)" for a in "xyz"}
+SQUARED = " + ".join(f"{d} * {d}" for d in APART.values())
+
+
+def _left(*more: str) -> list[str]:
+    return ["graph_id", "atom_id AS i", "x AS xi", "y AS yi", "z AS zi", *more]
+
+
+def _right(*more: str) -> list[str]:
+    return ["graph_id AS g2", "atom_id AS j", "x AS xj", "y AS yj", "z AS zj", *more]
 
 
 #: A cell and those around it that come after it in order: each two neighboring cells meet once.
@@ -33,35 +43,22 @@ def neighbor_pairs(atoms: DataFrame, cutoff: float, *, inclusive: bool = True) -
     Space is binned into cells as wide as the cutoff and the join's key is the cell, so a graph that holds
     most of all atoms is spread over as many keys as it has cells. An atom is sent to its own cell and to the half
     of the cells around it that come later; two atoms of different cells meet there whichever has the larger id."""
-    cells = atoms.withColumns({f"c{a}": F.floor(F.col(a) / cutoff) for a in "xyz"})
-    left, right = _sides(cells, ("cx", "cy", "cz"))
-    right = right.withColumnsRenamed({"cx": "bx", "cy": "by", "cz": "bz"})
-    around = F.array(*[F.struct(*[F.lit(s).alias(f"s{a}") for a, s in zip("xyz", step, strict=True)]) for step in FORWARD])
-    sent = left.withColumn("step", F.explode(around))
-    here = (F.col("step.sx") == 0) & (F.col("step.sy") == 0) & (F.col("step.sz") == 0)
-    sent = sent.select("graph_id", "i", "xi", "yi", "zi", here.alias("here"), *[(F.col(f"c{a}") + F.col(f"step.s{a}")).alias(f"n{a}") for a in "xyz"])
-    d = {a: F.col(f"{a}i") - F.col(f"{a}j") for a in "xyz"}
-    d2 = d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"]
-    same_cell = (F.col("graph_id") == F.col("g2")) & (F.col("nx") == F.col("bx")) & (F.col("ny") == F.col("by")) & (F.col("nz") == F.col("bz"))
-    once = F.when(F.col("here"), F.col("i") > F.col("j")).otherwise(F.col("i") != F.col("j"))
-    met = sent.join(right, same_cell & once & _within(d2, cutoff, inclusive))
-    first = F.col("i") > F.col("j")
-    return met.select(
-        "graph_id",
-        F.greatest("i", "j").alias("i"),
-        F.least("i", "j").alias("j"),
-        *[F.when(first, c).otherwise(-c).alias(f"d{a}") for a, c in d.items()],
-        F.sqrt(d2).alias("dist"),
-    )
+    width = literal(cutoff)
+    around = ", ".join(f"struct({', '.join(map(str, step))})" for step in FORWARD)
+    sent = atoms.selectExpr(*_left(*[f"floor({a} / {width}) AS c{a}" for a in "xyz"], f"inline(array({around})) AS (sx, sy, sz)"))
+    sent = sent.selectExpr("graph_id", "i", "xi", "yi", "zi", "sx = 0 AND sy = 0 AND sz = 0 AS here", *[f"c{a} + s{a} AS n{a}" for a in "xyz"])
+    own = atoms.selectExpr(*_right(*[f"floor({a} / {width}) AS b{a}" for a in "xyz"]))
+    once = "CASE WHEN here THEN i > j ELSE i <> j END"
+    met = sent.join(own, F.expr(f"graph_id = g2 AND nx = bx AND ny = by AND nz = bz AND {once} AND {_within(f'({SQUARED})', cutoff, inclusive)}"))
+    ways = [f"CASE WHEN i > j THEN {d} ELSE -{d} END AS d{a}" for a, d in APART.items()]
+    return met.selectExpr("graph_id", "greatest(i, j) AS i", "least(i, j) AS j", *ways, f"sqrt({SQUARED}) AS dist")
 
 
 def neighbor_pairs_simple(atoms: DataFrame, cutoff: float, *, inclusive: bool = True) -> DataFrame:
     """The same list by one equi-join on the graph, for sets of small graphs."""
-    left, right = _sides(atoms)
-    dx, dy, dz = (F.col(f"{a}i") - F.col(f"{a}j") for a in "xyz")
-    d2 = dx * dx + dy * dy + dz * dz
-    met = left.join(right, (F.col("graph_id") == F.col("g2")) & (F.col("i") > F.col("j")) & _within(d2, cutoff, inclusive))
-    return met.select("graph_id", "i", "j", dx.alias("dx"), dy.alias("dy"), dz.alias("dz"), F.sqrt(d2).alias("dist"))
+    on = F.expr(f"graph_id = g2 AND i > j AND {_within(f'({SQUARED})', cutoff, inclusive)}")
+    met = atoms.selectExpr(*_left()).join(atoms.selectExpr(*_right()), on)
+    return met.selectExpr("graph_id", "i", "j", *[f"{d} AS d{a}" for a, d in APART.items()], f"sqrt({SQUARED}) AS dist")
 
 
 def minimum_image(dx: Column, dy: Column, dz: Column, cell: list[list[float]]) -> tuple[Column, Column, Column]:
@@ -92,31 +89,23 @@ def neighbor_pairs_periodic(atoms: DataFrame, cutoff: float, cell: list[list[flo
     u = (F.col("x") - v * bx - w * cx) / ax
     binned = atoms.withColumns({f"c{k}": F.pmod(F.floor(f * n), F.lit(n)) for k, (f, n) in enumerate(zip((u, v, w), bins, strict=True))})
     names = ("c0", "c1", "c2")
-    left, right = _sides(binned, names)
-    right = right.withColumnsRenamed({n: f"b{n}" for n in names})
+    own = binned.selectExpr(*_right(*[f"{n} AS b{n}" for n in names]))
     shifts = [(0,) if n == 1 else (-1, 0, 1) for n in bins]
-    around = F.array(*[F.struct(*[F.lit(s).alias(f"s{k}") for k, s in enumerate(step)]) for step in product(*shifts)])
-    sent = left.withColumn("step", F.explode(around)).select(
-        "graph_id", "i", "xi", "yi", "zi", *[F.pmod(F.col(n) + F.col(f"step.s{k}"), F.lit(bins[k])).alias(f"n{k}") for k, n in enumerate(names)]
-    )
-    on = (F.col("graph_id") == F.col("g2")) & (F.col("i") > F.col("j"))
-    for k in range(3):
-        on = on & (F.col(f"n{k}") == F.col(f"bc{k}"))
-    met = sent.join(right, on)
+    around = ", ".join(f"struct({', '.join(map(str, step))})" for step in product(*shifts))
+    sent = binned.selectExpr(*_left(*names, f"inline(array({around})) AS (s0, s1, s2)"))
+    sent = sent.selectExpr("graph_id", "i", "xi", "yi", "zi", *[f"pmod(c{k} + s{k}, {n}L) AS n{k}" for k, n in enumerate(bins)])
+    met = sent.join(own, F.expr("graph_id = g2 AND i > j AND n0 = bc0 AND n1 = bc1 AND n2 = bc2"))
     dx, dy, dz = minimum_image(*(F.col(f"{a}i") - F.col(f"{a}j") for a in "xyz"), cell)
-    moved = met.select("graph_id", "i", "j", dx.alias("dx"), dy.alias("dy"), dz.alias("dz"))
-    d2 = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")
-    return moved.withColumn("d2", d2).filter(_within(F.col("d2"), cutoff, inclusive)).withColumn("dist", F.sqrt("d2")).drop("d2")
+    moved = met.select("graph_id", "i", "j", dx.alias("dx"), dy.alias("dy"), dz.alias("dz")).withColumn("d2", F.expr("dx * dx + dy * dy + dz * dz"))
+    return moved.filter(_within("d2", cutoff, inclusive)).selectExpr("graph_id", "i", "j", "dx", "dy", "dz", "sqrt(d2) AS dist")
 
 
 def directed_edges(pairs: DataFrame) -> DataFrame:
     """Both directions ``(graph_id, src, dst, dx, dy, dz, dist)`` of a half list, ``d = pos[dst] - pos[src]``, in one
     pass over it."""
 
-    def way(src: str, dst: str, sign: int) -> Column:
-        return F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), *[(F.col(f"d{a}") * sign).alias(f"d{a}") for a in "xyz"], F.col("dist"))
-
-    return pairs.select("graph_id", F.inline(F.array(way("i", "j", -1), way("j", "i", 1))))
+    ways = ", ".join(f"named_struct('src', {a}, 'dst', {b}, 'dx', {s}dx, 'dy', {s}dy, 'dz', {s}dz, 'dist', dist)" for a, b, s in (("i", "j", "-"), ("j", "i", "")))
+    return pairs.selectExpr("graph_id", f"inline(array({ways}))")
 
 
 def neighbor_graph(atoms: DataFrame, cutoff: float, max_neighbors: int | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ def mix_pairs(
     rules = {n: ph.geometric for n in geometric} | {n: ph.arithmetic for n in arithmetic} | (custom or {})
     names = [*rules, *carry]
     for end in ("i", "j"):
-        own = params.select("graph_id", F.col("atom_id").alias(end), *[F.col(n).alias(f"{n}_{end}") for n in names])
+        own = params.selectExpr("graph_id", f"atom_id AS {end}", *[f"{n} AS {n}_{end}" for n in names])
         pairs = pairs.join(own, ["graph_id", end])
     kept = ["graph_id", "i", "j", "dx", "dy", "dz", "dist"]
     mixed = [f(F.col(f"{n}_i"), F.col(f"{n}_j")).alias(n) for n, f in rules.items()]
@@ -124,10 +124,10 @@ def forces(pairs: DataFrame, slope: Column, atoms: DataFrame) -> DataFrame:
     """``(graph_id, atom_id, fx, fy, fz)`` of a half list with ``d = pos[i] - pos[j]`` and ``slope = dE/dr``; atoms
     without a pair have none."""
     s = -slope / F.greatest("dist", F.lit(ph.R_MIN))
-    rows = pairs.select("graph_id", "i", "j", *[(s * F.col(f"d{a}")).alias(f"f{a}") for a in "xyz"])
+    rows = pairs.select("graph_id", "i", "j", s.alias("s"), "dx", "dy", "dz")
     # both ends of a pair in one pass
-    ends = [F.struct(F.col(end).alias("atom_id"), *[(F.col(f"f{a}") * sign).alias(f"f{a}") for a in "xyz"]) for end, sign in (("i", 1), ("j", -1))]
-    both = rows.select("graph_id", F.inline(F.array(*ends)))
+    ends = ", ".join(f"named_struct('atom_id', {end}, 'fx', {s} * dx, 'fy', {s} * dy, 'fz', {s} * dz)" for end, s in (("i", "s"), ("j", "-s")))
+    both = rows.selectExpr("graph_id", f"inline(array({ends}))")
     summed = both.groupBy("graph_id", "atom_id").agg(*[F.sum(f"f{a}").alias(f"f{a}") for a in "xyz"])
     out = atoms.select("graph_id", "atom_id").join(summed, ["graph_id", "atom_id"], "left")
     return out.select("graph_id", "atom_id", *[F.coalesce(f"f{a}", F.lit(0.0)).alias(f"f{a}") for a in "xyz"])

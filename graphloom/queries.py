@@ -58,14 +58,10 @@ def r6(c: Column | str, digits: int = 6) -> Column:
 
 
 def atoms_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = lambda k: F.get("embedding", F.lit(k)).cast("double")
-    return table(spark, sf_dir, "embeddings").select(
-        F.col("label").cast("long").alias("graph_id"),
-        F.col("vec_id").alias("atom_id"),
-        F.get(F.array(*map(F.lit, ELEMENTS)), (F.col("vec_id") % 5).cast("int")).alias("z_num"),
-        e(0).alias("x"),
-        e(1).alias("y"),
-        e(2).alias("z"),
+    kinds = ", ".join(map(str, ELEMENTS))
+    place = [f"cast(get(embedding, {k}) AS double) AS {a}" for k, a in enumerate("xyz")]
+    return table(spark, sf_dir, "embeddings").selectExpr(
+        "cast(label AS bigint) AS graph_id", "vec_id AS atom_id", f"get(array({kinds}), cast(vec_id % {len(ELEMENTS)} AS int)) AS z_num", *place
     )
 
 
@@ -167,7 +163,7 @@ HALF_OUT = "SELECT graph_id, i, j, round(dx, 6) AS dx, round(dy, 6) AS dy, round
 
 
 def half_out(p: DataFrame) -> DataFrame:
-    return p.select("graph_id", "i", "j", *[r6(c).alias(c) for c in ("dx", "dy", "dz", "dist")])
+    return p.selectExpr("graph_id", "i", "j", *[f"round({c}, 6) AS {c}" for c in ("dx", "dy", "dz", "dist")])
 
 
 @query(f"WITH {SQL_HALF} {HALF_OUT}")
@@ -503,11 +499,9 @@ mixed AS (SELECT graph_id, i, j, dx, dy, dz, dist, sqrt(eps_i * eps_j + 1e-12) A
 
 
 def params_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = F.col("z_num")
-    return atoms_of(spark, sf_dir).select(
-        "graph_id", "atom_id", "x", "y", "z",
-        (z % 5 * 0.02 + 0.1).alias("eps"), (z % 7 * 0.002 + 0.04).alias("sigma"), (z % 3 * 0.5 + 5).alias("c6"),
-        (z % 4 * 0.02 + 1.5).alias("r_star"), (z % 6 * 0.25 + 3).alias("lam"), ((F.col("atom_id") % 3 - 1) * 0.1).alias("q"),
+    return atoms_of(spark, sf_dir).selectExpr(
+        "graph_id", "atom_id", "x", "y", "z", "z_num % 5 * 0.02D + 0.1D AS eps", "z_num % 7 * 0.002D + 0.04D AS sigma", "z_num % 3 * 0.5D + 5 AS c6",
+        "z_num % 4 * 0.02D + 1.5D AS r_star", "z_num % 6 * 0.25D + 3 AS lam", "(atom_id % 3 - 1) * 0.1D AS q",
     )
 
 
