@@ -287,7 +287,8 @@ def long_list_links(docs: DataFrame, long: DataFrame, reps: DataFrame, words: in
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_text_hash: bool = False) -> DataFrame:
     """``(id_col, n_shingles, component_id, kept)`` of every row, and ``text_hash``, the ``xxhash64`` of the row's
-    text, if asked for; documents are linked if ``100 * common >= percent * union`` for their shingle sets."""
+    text, if asked for; documents are linked if ``100 * common >= percent * union`` for their shingle sets. The
+    result reads the written tables that its attribute ``tables`` lists; a caller may discard them afterwards."""
     known = materialize(features(docs, words, id_col, text_col), "features")
     classes = known.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("id", "n_shingles", "sig")).alias("r"))
     classes = classes.select("set_key", F.col("r.id").cast("long").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.sig").alias("sig"))
@@ -333,4 +334,6 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     joined = known.drop("sig").join(named, F.col("set_key") == F.col("named_key"), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     out = joined.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "text_hash")
-    return out if with_text_hash else out.drop("text_hash")
+    out = out if with_text_hash else out.drop("text_hash")
+    out.tables = (known, classes, final)
+    return out
