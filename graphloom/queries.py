@@ -945,6 +945,16 @@ def mean_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spec.run(e).select("graph_id", r6("energy").alias("energy"))
 
 
+@query("SELECT CAST(event_id // 250 AS BIGINT) AS epoch, CASE WHEN event_type = 'view' THEN 'eval' ELSE 'train' END AS stage, count(*) AS n, round(sum(value), 2) AS total, max(value) AS largest FROM events GROUP BY 1, 2")
+def stream_stage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.streaming.metrics import parquet_stream, run_available, summaries
+
+    stage = F.when(F.col("event_type") == "view", "eval").otherwise("train")
+    events = parquet_stream(spark, f"{sf_dir}/events.parquet").withColumns({"epoch": F.floor(F.col("event_id") / 250), "stage": stage})
+    out = run_available(summaries(events, ["epoch", "stage"], "value"))
+    return out.select("epoch", "stage", "n", F.round("total", 2).alias("total"), "largest")
+
+
 @query("SELECT CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) AS day, count(*) AS n FROM events GROUP BY 1")
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.streaming.metrics import parquet_stream, run_available, windowed_speed

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.plans.cache import new_path
+
 
 def parquet_stream(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet file or folder as a stream; a single file is found by its name in its folder."""
@@ -28,12 +28,23 @@ def windowed_speed(events: DataFrame, ts: str, width: str, late: str = "10 minut
 
 
 def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run over all that is there now; the result table is as small as its groups are few."""
+    """Run over all that is there now, with the result written below the shared folder: the whole result of the
+    last batch (``complete``), or what all batches add (``append``)."""
     spark = stream.sparkSession
-    name = f"stream_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    path = new_path(spark, "stream")
+    batches: set[int] = set()
+
+    def keep(batch: DataFrame, number: int) -> None:
+        # a batch that is run again writes over what it wrote
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        batches.add(number)
+
+    q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}-log").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    read = [max(batches)] if mode == "complete" else sorted(batches)
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/{n}" for n in read])
 
 
 def routed(stream: DataFrame, sink_column: str, path: str, checkpoint: str):

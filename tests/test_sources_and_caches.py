@@ -128,3 +128,17 @@ def test_small_helpers(spark):
         metrics.loss(p, "mae", "p", "t", "max")
     near = spark.range(1, 1001).agg(*metrics.value_stats(F.col("id"), exact=False)).first()
     assert abs(near.p95 - 950) <= 1
+
+
+def test_streams_of_nothing_and_of_files_that_come_later(spark, tmp_path):
+    from graphloom.streaming.metrics import parquet_stream, run_available, summaries
+
+    path = str(tmp_path / "in")
+    spark.createDataFrame([], "k string, v double").write.parquet(path)
+    assert run_available(summaries(parquet_stream(spark, path), ["k"], "v")).count() == 0
+    for rows in ([("a", 1.0), ("b", 2.0)], [("a", 3.0)]):
+        spark.createDataFrame(rows, "k string, v double").write.mode("append").parquet(path)
+    got = {r.k: (r.n, r.total, r.largest) for r in run_available(summaries(parquet_stream(spark, path), ["k"], "v")).collect()}
+    assert got == {"a": (2, 4.0, 3.0), "b": (1, 2.0, 2.0)}
+    flat = parquet_stream(spark, path).filter("v > 1")
+    assert sorted(r.v for r in run_available(flat, "append").collect()) == [2.0, 3.0]
