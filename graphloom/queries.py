@@ -1184,4 +1184,79 @@ def ordered_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size(names).cast("double").alias("n"))
 
 
+# -- schemas, pipelines, small things
+
+
+@query("SELECT o_orderkey AS graph_id, o_totalprice AS energy, o_custkey AS gap FROM orders")
+def flatten_and_unflatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.schema import flatten_columns, unflatten_columns
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("graph_id"), F.struct(F.col("o_totalprice").alias("energy"), F.struct(F.col("o_custkey").alias("gap")).alias("more")).alias("targets"))
+    flat = flatten_columns(unflatten_columns(flatten_columns(o)))
+    return flat.select("graph_id", F.col("`targets.energy`").alias("energy"), F.col("`targets.more.gap`").alias("gap"))
+
+
+@query("SELECT o_orderkey AS graph_id, o_totalprice AS energy FROM orders")
+def strip_and_require(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.schema import require
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("graph_id"), F.col("o_totalprice").alias("energy"), F.lit(1).alias("targets"), F.lit(2).alias("extras"))
+    return require(columns.strip_inputs(o), "graph_id", "energy")
+
+
+@query(f"""WITH {SQL_ATOMS}, twice AS (SELECT graph_id, atom_id FROM atoms UNION ALL SELECT graph_id + 100, atom_id FROM atoms)
+SELECT graph_id, count(*) AS num_atoms FROM twice GROUP BY graph_id""")
+def batch_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = atoms_of(spark, sf_dir)
+    both = GraphBatch(a).concat(GraphBatch(a.withColumn("graph_id", F.col("graph_id") + 100)))
+    return both.pipe(lambda b: GraphBatch(b.atoms.select("graph_id", "atom_id"))).atoms.groupBy("graph_id").agg(F.count("*").alias("num_atoms"))
+
+
+@query("""WITH g AS (SELECT 0.2::DOUBLE * i / 4096 AS r FROM range(1, 4097) t(i)), k AS (SELECT unnest([1, 2, 3, 4]) AS k),
+p AS (SELECT k, sqrt(2 / 0.2::DOUBLE) * sin(k * pi() * r / 0.2::DOUBLE) / (r + 1e-8) AS phi FROM g, k)
+SELECT CAST(k AS INTEGER) AS k, round(avg(phi), 6) AS mean, round(stddev_samp(phi), 6) AS std FROM p GROUP BY k""")
+def bessel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean, std = ft.bessel_statistics(CUTOFF, 4)
+    rows = spark.createDataFrame([(k, m, s) for k, (m, s) in enumerate(zip(mean, std, strict=True), 1)], "k int, mean double, std double")
+    return rows.select("k", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+@query("SELECT r_regionkey AS l_max, '16x0e' || CASE WHEN r_regionkey >= 1 THEN ' + 16x1o' ELSE '' END || CASE WHEN r_regionkey >= 2 THEN ' + 16x2e' ELSE '' END || CASE WHEN r_regionkey >= 3 THEN ' + 16x3o' ELSE '' END || CASE WHEN r_regionkey >= 4 THEN ' + 16x4e' ELSE '' END AS names FROM region")
+def irreps_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(ft.irreps(16, k)) for k in range(5)])
+    return table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("l_max"), F.get(names, F.col("r_regionkey")).alias("names"))
+
+
+@query(f"WITH {SQL_PARAMS} SELECT graph_id, i, j, round(2 * sigma_i * sigma_j / (sigma_i + sigma_j), 8) AS sigma, round(sqrt(c6_i * c6_j + 1e-12), 6) AS c6, q_i, q_j FROM pp")
+def custom_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators.potentials import mix_pairs
+
+    out = mix_pairs(pairs_of(spark, sf_dir), params_of(spark, sf_dir), geometric=["c6"], carry=["q"], custom={"sigma": lambda a, b: a * b * 2 / (a + b)})
+    return out.select("graph_id", "i", "j", r6("sigma", 8).alias("sigma"), r6("c6").alias("c6"), "q_i", "q_j")
+
+
+@query("""WITH t AS (SELECT o_orderkey, o_totalprice / 1000 + 1 AS energy, o_orderkey % 10 = 0 AS fit FROM orders)
+SELECT o_orderkey, round(energy - (SELECT avg(energy) FROM t WHERE fit), 5) AS energy FROM t""")
+def cached_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.plans.cache import run_cached, source_id
+    from graphloom.plans.pipeline import Pipeline
+    from graphloom.plans.tasks import MeanShift
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("energy"))
+    pipeline = Pipeline("orders")
+
+    @pipeline.task
+    def shifted(df: DataFrame) -> DataFrame:
+        return df.withColumn("energy", F.col("energy") + 1)
+
+    spec = pipeline.add(MeanShift("energy"), "mean").build()
+    key = source_id(f"orders-{sf_dir}", "1")
+    out = run_cached(spec, orders, key, fit_source=orders.filter("o_orderkey % 10 = 0"), fit_key=f"{key}:tenth", overwrite=True)
+    # fitted states move to another pipeline of the same tasks
+    again = Pipeline("other").add(MeanShift("energy"), "mean").build()
+    again.load(spec.states())
+    back = again.transform(orders.withColumn("energy", F.col("energy") + 1))
+    return out.select("o_orderkey", r6("energy", 5).alias("energy")).intersect(back.select("o_orderkey", r6("energy", 5).alias("energy")))
+
+
 QUERIES["pair_energy_by_graph"], SQL["pair_energy_by_graph"] = QUERIES["dispersion_energy"], SQL["dispersion_energy"]
