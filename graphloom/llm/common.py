@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import ctypes.util
 import gc
@@ -105,6 +106,19 @@ def by_bytes(rows: list[str], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(rows)
 
 
+@contextlib.contextmanager
+def uncollected() -> Iterator[None]:
+    """Without Python's cycle collector, which would walk through all that a worker remembers again and again, where
+    many objects but no cycles are made."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def trim_memory() -> None:
     """Give what a worker has freed back to the system: workers live on between tasks, and beside them the
     executor's heap needs the room."""

@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, decontaminate, lang_id, licenses, minhash, suffix_dedup, token_counts, topk, url_filters, warc
+from graphloom.llm import align, bpe, decontaminate, lang_id, licenses, minhash, runs, suffix_dedup, token_counts, topk, url_filters, warc
 from graphloom.llm.common import table
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, OTHER_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 #: The rules of op9.
 URL_RULES = [
@@ -141,6 +141,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", lang_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_digests(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, (VOCABULARY, OTHER_VOCABULARY)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": op1_licenses,
@@ -153,6 +161,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_url_filters": op9_url_filters,
         "op10_language_id": op10_language_id,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
