@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import align, bpe, decontaminate, lang_id, licenses, minhash, runs, suffix_dedup, token_counts, topk, url_filters, warc
+from graphloom.llm import align, bpe, decontaminate, lang_id, licenses, minhash, runs, secret_scan, suffix_dedup, token_counts, topk, url_filters, warc
 from graphloom.llm.common import table
 
 VOCABULARY, OTHER_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -141,6 +141,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", lang_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan_secrets(docs, secret_scan.train(docs))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digests(table(spark, sf_dir, "documents"), plant=True)
 
@@ -161,6 +166,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_url_filters": op9_url_filters,
         "op10_language_id": op10_language_id,
+        "op11_secrets": op11_secrets,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_token_alignment": op13_token_alignment,
     }
