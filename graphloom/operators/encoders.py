@@ -1,28 +1,29 @@
 """Equivariant encoders of graphs: message passing between atoms, and an encoder of edges.
 
-Features are channels of real spherical harmonics up to degree ``l_max``: for each channel a scalar, a vector, and
-so on, ``(l_max + 1)^2`` numbers in all, stored channel by channel within each degree. Two features are multiplied by
-coupling coefficients, which are integrals of three harmonics over the sphere. Weights are rows of a table, and a layer is joins and
-sums for each atom, with numpy on batches of rows between them; no task sees a whole graph. Columns of the input that an
-encoder does not name are not sent to it.
+Features are channels of real spherical harmonics up to any degree ``l_max``, see :mod:`graphloom.operators.harmonics`:
+``(l_max + 1)^2`` numbers for each channel. Weights are rows of a table; factors such as the root of a layer's inputs
+belong to them. A layer is joins and sums for each atom, with numpy on batches of rows between them; no task sees a whole
+graph. Columns of the input that an encoder does not name are not sent to it. An end of an edge that is no atom, an element
+without a species and a missing id are errors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 from math import pi
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.harmonics import contract, contraction_shapes, couplings, degree, harmonic_columns, harmonics, paths
 from graphloom.plans.cache import drop_written, written
 
 #: Atoms up to which the node encoder sends their features to all tasks; some dozen MB.
 BROADCAST_ATOMS = 1 << 15
+#: Rows of one atom that wait at most before they are added up.
+MEET_ROWS = 1 << 14
 #: Numbers in a table of weights at most: it is collected, and sent to all tasks.
 MAX_WEIGHTS = 50_000_000
 
@@ -54,127 +55,147 @@ def weights_of(table: DataFrame, shapes: dict[str, tuple[int, ...]]) -> dict[str
     return {k: found[k] for k in shapes}
 
 
-# -- harmonics and couplings
-
-
-def harmonics(u: np.ndarray, l_max: int) -> np.ndarray:
-    """Real harmonics ``[n, (l_max + 1)^2]`` of unit vectors, up to degree 2; the squares of a degree's parts add up to
-    ``2 l + 1``."""
-    if l_max > 2:
-        raise ValueError("degrees above 2 are not there")
-    x, y, z = u.T
-    one, s3, s15 = np.ones(len(u)), np.sqrt(3), np.sqrt(15)
-    parts = [one, s3 * x, s3 * y, s3 * z, s15 * x * y, s15 * y * z, np.sqrt(5) / 2 * (2 * z * z - x * x - y * y), s15 * x * z, s15 / 2 * (x * x - y * y)]
-    return np.stack(parts[: (l_max + 1) ** 2], axis=1)
-
-
-def degree(k: int) -> slice:
-    """The places of a degree among the harmonics."""
-    return slice(k * k, (k + 1) ** 2)
-
-
-@cache
-def couplings(l_max: int) -> dict[tuple[int, int, int], np.ndarray]:
-    """``(l1, l2, l3) -> [2 l1 + 1, 2 l2 + 1, 2 l3 + 1]`` for every product of two degrees that has a part of a third
-    and keeps the parity; the squares add up to ``2 l3 + 1``."""
-    # products of three harmonics are polynomials of degree 6 at most: this rule is exact for them
-    z, weight = np.polynomial.legendre.leggauss(3 * l_max + 2)
-    phi = 2 * pi * np.arange(6 * l_max + 3) / (6 * l_max + 3)
-    r = np.sqrt(1 - z * z)
-    u = np.stack([np.outer(r, np.cos(phi)), np.outer(r, np.sin(phi)), np.outer(z, np.ones(len(phi)))], axis=-1).reshape(-1, 3)
-    w = np.repeat(weight, len(phi))
-    y = harmonics(u, l_max)
-    out = {}
-    for a in range(l_max + 1):
-        for b in range(l_max + 1):
-            for c in range(abs(a - b), min(l_max, a + b) + 1):
-                if (a + b + c) % 2 == 0:
-                    t = np.einsum("n,ni,nj,nk->ijk", w, y[:, degree(a)], y[:, degree(b)], y[:, degree(c)])
-                    t[np.abs(t) < 1e-12 * np.abs(t).max()] = 0
-                    out[a, b, c] = t * np.sqrt((2 * c + 1) / (t * t).sum())
-    return out
+# -- parts of both encoders
+
+
+def silu(x: np.ndarray) -> np.ndarray:
+    # the exponent never grows: large arguments do not overflow
+    grown = np.exp(-np.abs(x))
+    return x * np.where(x >= 0, 1, grown) / (1 + grown)
+
+
+def cosine_envelope(r: np.ndarray, cutoff: float) -> np.ndarray:
+    return np.where(r < cutoff, 0.5 * (np.cos(pi * r / cutoff) + 1), 0.0)
+
 
+def polynomial_envelope(r: np.ndarray, cutoff: float, p: int) -> np.ndarray:
+    x = r / cutoff
+    return np.where(x < 1, 1 - x**p * ((p + 1) * (p + 2) / 2 - p * (p + 2) * x + p * (p + 1) / 2 * x * x), 0.0)
 
-def paths(l_max: int) -> list[tuple[int, int, int]]:
-    return sorted(couplings(l_max))
+
+def bessel(r: np.ndarray, cutoff: float, n: int) -> np.ndarray:
+    return np.sqrt(2 / cutoff) * np.sin(np.outer(r / cutoff, np.arange(1, n + 1) * pi)) / (r[:, None] + 1e-8)
+
+
+def kinds_of(z: np.ndarray, species: list[int]) -> np.ndarray:
+    """Places in ``species``."""
+    order = np.argsort(species)
+    at = order[np.minimum(np.searchsorted(species, z, sorter=order), len(species) - 1)]
+    wrong = np.array(species)[at] != z
+    if wrong.any():
+        raise ValueError(f"no species for {np.unique(np.asarray(z)[wrong]).tolist()}")
+    return at
 
 
 def coupled(x: np.ndarray, y: np.ndarray, l_max: int, weight: np.ndarray) -> list[np.ndarray]:
-    """Products of features ``[n, c, (l_max + 1)^2]`` with others (one channel, or as many): for each degree the
-    channels of all paths that end in it, ``[n, paths * c, 2 l + 1]``, times their weights ``[n or 1, paths, c]``."""
+    """Products of features ``[n, c, (l_max + 1)^2]`` with one channel of others ``[n, (l_max + 1)^2]``: for each degree
+    the channels of all paths that end in it, ``[n, paths * c, 2 l + 1]``, times their weights ``[n or 1, paths, c]``."""
     out: list[list[np.ndarray]] = [[] for _ in range(l_max + 1)]
     for k, (a, b, c) in enumerate(paths(l_max)):
-        other = y[:, :, degree(b)]
-        made = np.einsum("nci,nj,ijk->nck" if other.shape[1] == 1 else "nci,ncj,ijk->nck", x[:, :, degree(a)], other[:, 0] if other.shape[1] == 1 else other, couplings(l_max)[a, b, c], optimize=True)
-        out[c].append(made * weight[:, k, :, None])
+        turned = np.tensordot(y[:, degree(b)], couplings(l_max)[a, b, c], ([1], [1]))
+        out[c].append((x[:, :, degree(a)] @ turned) * weight[:, k, :, None])
     return [np.concatenate(parts, axis=1) for parts in out]
 
 
 def mixed(parts: list[np.ndarray], w: list[np.ndarray]) -> np.ndarray:
     """A dense layer over the channels of each degree, ``[n, c, (l_max + 1)^2]``."""
-    return np.concatenate([np.einsum("nik,io->nok", p, m, optimize=True) for p, m in zip(parts, w, strict=True)], axis=2)
+    return np.concatenate([m.T @ p for p, m in zip(parts, w, strict=True)], axis=2)
 
 
 def by_degree(x: np.ndarray, l_max: int) -> list[np.ndarray]:
     return [x[:, :, degree(k)] for k in range(l_max + 1)]
 
 
-# -- parts of both encoders
+def flat(x: np.ndarray, l_max: int) -> np.ndarray:
+    """Features as one list of numbers: degree by degree, in each the channels of one component side by side."""
+    return np.concatenate([x[:, :, degree(k)].transpose(0, 2, 1).reshape(len(x), -1) for k in range(l_max + 1)], axis=1)
 
 
-def silu(x: np.ndarray) -> np.ndarray:
-    # the exponent never grows: large arguments do not overflow
-    grown = np.exp(-np.abs(x))
-    return x * np.where(x >= 0, 1, grown) / (1 + grown)
+def unflat(x: np.ndarray, c: int, l_max: int) -> np.ndarray:
+    """The features of :func:`flat`'s numbers."""
+    return np.concatenate([x[:, c * k * k : c * (k + 1) ** 2].reshape(len(x), 2 * k + 1, c).transpose(0, 2, 1) for k in range(l_max + 1)], axis=2)
 
 
-def cutoff_envelope(r: np.ndarray, cutoff: float) -> np.ndarray:
-    return np.where(r < cutoff, 0.5 * (np.cos(pi * r / cutoff) + 1), 0.0)
+def dense(x: np.ndarray, w: dict[str, np.ndarray], name: str) -> np.ndarray:
+    return x @ w[name] + w[f"{name}_b"]
 
 
-def radial_basis(r: np.ndarray, cutoff: float, n: int) -> np.ndarray:
-    """Bessel functions times a cosine cutoff."""
-    k = np.arange(1, n + 1)
-    return np.sqrt(2 / cutoff) * np.sin(np.outer(r / cutoff, k * pi)) / (r[:, None] + 1e-8) * cutoff_envelope(r, cutoff)[:, None]
+def _layer(name: str, inputs: int, outputs: int) -> dict[str, tuple[int, ...]]:
+    return {name: (inputs, outputs), f"{name}_b": (outputs,)}
 
 
-def edge_parts(e: pd.DataFrame, cutoff: float, radial: int, l_max: int) -> tuple[np.ndarray, np.ndarray]:
-    """Radial functions ``[n, radial]`` and harmonics ``[n, 1, (l_max + 1)^2]`` of edges."""
-    r = e["dist"].to_numpy(float)
-    unit = e[["dx", "dy", "dz"]].to_numpy(float) / (r[:, None] + 1e-8)
-    return radial_basis(r, cutoff, radial), harmonics(unit, l_max)[:, None, :]
+def _network(name: str, sizes: list[int]) -> dict[str, tuple[int, ...]]:
+    """Shapes of dense layers ``<name>0``, ``<name>1`` and so on, between these sizes."""
+    out: dict[str, tuple[int, ...]] = {}
+    for i, (a, b) in enumerate(zip(sizes, sizes[1:], strict=False)):
+        out |= _layer(f"{name}{i}", a, b)
+    return out
+
 
+def _numbers(batch: pa.RecordBatch, *names: str) -> np.ndarray:
+    """Columns of doubles side by side."""
+    return np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names], axis=1)
 
-def kinds_of(z: pd.Series, species: list[int]) -> np.ndarray:
-    """Places in ``species``; an element that is not there, or an edge's end that is no atom, is an error."""
-    kinds = z.map({z: k for k, z in enumerate(species)})
-    if kinds.isna().any():
-        raise ValueError(f"no species for {z[kinds.isna()].unique().tolist()}")
-    return kinds.to_numpy(int)
 
+def _rows(column: pa.Array, width: int, what: str) -> np.ndarray:
+    """A column of packed doubles as rows."""
+    if column.null_count:
+        raise ValueError(f"{what} that is no atom")
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), width)
 
-def wide(rows: pd.DataFrame, keys: list[str], names: list[str], values: np.ndarray, **more: list) -> pd.DataFrame:
-    """The rows' keys, lists and a column for each of the values."""
-    return pd.concat([rows[keys].reset_index(drop=True).assign(**more), pd.DataFrame(values.reshape(len(rows), len(names)), columns=names)], axis=1)
 
+def _packed(x: np.ndarray) -> pa.Array:
+    """Rows of doubles as binary values."""
+    x = np.ascontiguousarray(x, np.float64)
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] * 8)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(x)])
 
-def stacked(column: pd.Series, *shape: int) -> np.ndarray:
-    return np.stack(column.to_list()).reshape(len(column), *shape)
+
+def _lists(x: np.ndarray) -> pa.Array:
+    """Rows of doubles as lists."""
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(x, np.float64).ravel()))
+
+
+def _known(name: str) -> Column:
+    """An id that must be there."""
+    return F.coalesce(F.col(name).cast("long"), F.raise_error(F.lit(f"a row without {name}")).cast("long")).alias(name)
+
+
+def _few(atoms: DataFrame):
+    """How to join tables with a row for each atom: by broadcast, if the atoms are few."""
+    return F.broadcast if atoms.count() <= BROADCAST_ATOMS else lambda df: df
+
+
+def _near(edges: DataFrame) -> tuple[DataFrame, str]:
+    """The edges, written once: they can be the result of a neighbor join, and are read more than once."""
+    return written(edges.select(_known("graph_id"), _known("src"), _known("dst"), *[F.col(c).cast("double").alias(c) for c in ("dx", "dy", "dz", "dist")]), "edges")
 
 
 # -- atoms
 
 
-def node_shapes(species: int, *, features: int = 8, radial: int = 8, layers: int = 2, l_max: int = 2) -> dict[str, tuple[int, ...]]:
+def node_shapes(
+    species: int, *, features: int = 8, radial: int = 8, layers: int = 2, l_max: int = 2, order: int = 2, products: str = "channels", layer_norm: bool = False
+) -> dict[str, tuple[int, ...]]:
     """The weights of :func:`node_encoder`."""
-    c, n = features, len(paths(l_max))
+    c, n, size = features, len(paths(l_max)), (l_max + 1) ** 2
     into = [sum(p[2] == k for p in paths(l_max)) * c for k in range(l_max + 1)]
-    out: dict[str, tuple[int, ...]] = {"embed": (species, c)}
+    out: dict[str, tuple[int, ...]] = {"embed": (species, c)} | _layer("start", c, c * size if products == "channels" else c)
     for k in range(layers):
-        out |= {f"radial{k}": (radial, c), f"paths{k}": (c, n * c)}
+        out |= _network(f"radial{k}_", [radial, c, c, n * c])
         for d in range(l_max + 1):
-            out |= {f"up{k}_{d}": (c, c), f"down{k}_{d}": (into[d], c), f"pairs{k}_{d}": (into[d], c), f"mix{k}_{d}": (c, c)}
-        out |= {f"orders{k}": (species, 3, c), f"keep{k}": (species, c)}
+            out |= {f"up{k}_{d}": (c, c), f"down{k}_{d}": (into[d], c)}
+        if products == "channels":
+            out |= {f"orders{k}": (species, order, c * size)} | _layer(f"head{k}", c * size, c)
+            if k + 1 < layers:
+                out |= _layer(f"back{k}", c, c * size) | {f"update{k}": (species, c * size, c * size)}
+                if layer_norm:
+                    out |= {f"norm{k}": (c * size,), f"norm{k}_b": (c * size,)}
+        else:
+            out |= {f"products{k}_{name}": s for name, s in contraction_shapes(species, c, l_max, order, list(range(l_max + 1))).items()} | _layer(f"head{k}", c, c)
+            if k + 1 < layers:
+                out |= {f"update{k}_{d}": (species, c, c) for d in range(l_max + 1)}
     return out
 
 
@@ -189,86 +210,194 @@ def node_encoder(
     radial: int = 8,
     layers: int = 2,
     l_max: int = 2,
+    order: int = 2,
     avg_neighbors: float = 1.0,
+    products: str = "channels",
+    layer_norm: bool = False,
     seed: int = 0,
 ) -> DataFrame:
-    """Message passing between atoms: ``(graph_id, atom_id, features array<double>, vectors array<double>)``, the
-    scalars of each layer's end, and the vectors of the last layer's, ``x, y, z`` for each channel.
-
-    A layer multiplies the sources' features with the edges' harmonics, weighted for each path by a small network of
-    the distance, adds the products up at the targets (over ``avg_neighbors``), forms products of these sums of first,
-    second and third order, weighted by species, and adds them to what the atom keeps. ``weights`` has the shapes of
-    :func:`node_shapes`; without it, weights are drawn by ``seed``.
-
-    A layer is a join of the edges with their sources, a sum for each target and a join back; the atoms are written out."""
-    shapes = node_shapes(len(species), features=features, radial=radial, layers=layers, l_max=l_max)
+    """Message passing between atoms: ``(graph_id, atom_id, features array<double>, vectors array<double>)``, ``features``
+    numbers for each layer, one layer behind the other, and the vectors of the last messages, ``x, y, z`` for each channel.
+
+    Atoms begin with their species' embedding, projected to all numbers of a feature. In a layer, the sources' features, mixed
+    within each degree, are multiplied with the edges' harmonics, weighted for each path and channel by a network (two
+    hidden layers) of Bessel functions times a cosine cutoff; the products are added up at the targets, over
+    ``avg_neighbors``, and mixed to the message. Products of the message with itself up to ``order``, weighted by species, and
+    a dense layer give the layer's features. These are projected back, multiplied by the species' own matrix and
+    added to what the atom was before the layer; then the layer can be normalized.
+
+    ``products="channels"`` takes every number of the message for a channel of its own: powers, each with a weight. This and the
+    projections to all numbers treat components of vectors as scalars, so the features change with the frame of reference.
+    ``products="coupled"`` takes all symmetric products of degrees (:func:`graphloom.operators.harmonics.contract`), begins
+    with scalars alone and updates each degree by itself: features stay under rotations, and vectors turn.
+
+    ``weights`` has the shapes of :func:`node_shapes`; without it, weights are drawn by ``seed``. A layer is a join of the
+    edges with their sources, sums for each target in each batch of edges, and one shuffle of these sums and the atoms. The
+    result is read from a table; ``written_to`` on it has the paths that can be dropped after use."""
+    if products not in ("channels", "coupled"):
+        raise ValueError(f"no products named {products}")
+    if products == "coupled" and layer_norm:
+        raise ValueError("layers of coupled products are not normalized")
+    shapes = node_shapes(len(species), features=features, radial=radial, layers=layers, l_max=l_max, order=order, products=products, layer_norm=layer_norm)
     w = seeded_weights(shapes, seed) if weights is None else weights_of(weights, shapes)
     c, size = features, (l_max + 1) ** 2
-    m = [f"m{k}" for k in range(c * size)]
-    keys = ["graph_id", "atom_id", "z_num"]
-
-    def of(name: str, k: int) -> list[np.ndarray]:
-        return [w[f"{name}{k}_{d}"] for d in range(l_max + 1)]
-
-    def start(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for a in parts:
-            h = np.zeros((len(a), c, size))
-            h[:, :, 0] = w["embed"][kinds_of(a["z_num"], species)]
-            yield a.assign(h=list(h.reshape(len(a), -1)), features=[[] for _ in range(len(a))])
-
-    def send(parts: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-        for e in parts:
-            if len(e):
-                basis, y = edge_parts(e, cutoff, radial, l_max)
-                h = mixed(by_degree(stacked(e["h"], c, size), l_max), of("up", k))
-                weight = (silu(basis @ w[f"radial{k}"]) @ w[f"paths{k}"]).reshape(len(e), -1, c)
-                # the layer behind the sum is linear, so it can come before it
-                sent = mixed(coupled(h, y, l_max, weight), of("down", k)) / avg_neighbors
-                yield wide(e, ["graph_id", "dst"], m, sent).groupby(["graph_id", "dst"], as_index=False, sort=False, dropna=False).sum()
-
-    def update(parts: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-        for a in parts:
-            if len(a):
-                kind = kinds_of(a["z_num"], species)
-                one, two, three = (w[f"orders{k}"][kind][:, i, :, None] for i in range(3))
-                s = a[m].to_numpy(float).reshape(len(a), c, size)
-                pairs = mixed(coupled(s, s, l_max, np.ones((1, len(paths(l_max)), c))), of("pairs", k))
-                square = (s * s).sum(2, keepdims=True) / size
-                h = w[f"keep{k}"][kind][:, :, None] * stacked(a["h"], c, size)
-                h = h + mixed(by_degree(one * s + two * pairs + three * square * s, l_max), of("mix", k))
-                grown = [[*f, *x] for f, x in zip(a["features"], h[:, :, 0], strict=True)]
-                yield a[keys].assign(h=list(h.reshape(len(a), -1)), features=grown)
-
-    schema = "graph_id long, atom_id long, z_num int, h array<double>, features array<double>"
-    spark, written_to = atoms.sparkSession, []
-    near = edges.select(F.col("graph_id").alias("graph_id"), "src", "dst", "dx", "dy", "dz", "dist")
-    # the edges can be many times the atoms: they are made anew in each layer, and stay where they are if the atoms are few
-    few = F.broadcast if atoms.count() <= BROADCAST_ATOMS else lambda df: df
-    nodes = atoms.select("graph_id", "atom_id", F.col("z_num").cast("int").alias("z_num")).mapInPandas(start, schema)
+    degrees = list(range(l_max + 1))
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a in batches:
+            made = dense(w["embed"][kinds_of(a.column("z_num").to_numpy(zero_copy_only=False), species)], w, "start")
+            if products == "coupled":
+                made = np.concatenate([made, np.zeros((len(made), c * (size - 1)))], axis=1)
+            empty = np.zeros((len(made), 0))
+            yield pa.RecordBatch.from_arrays([a.column("graph_id"), a.column("atom_id"), a.column("z_num"), _packed(made), _packed(empty), _lists(empty)], names=NODE)
+
+    def send(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+        for e in batches:
+            if not e.num_rows:
+                continue
+            x = unflat(_rows(e.column("h"), c * size, "an edge from"), c, l_max)
+            r = e.column("dist").to_numpy()
+            y = harmonics(_numbers(e, "dx", "dy", "dz") / (r[:, None] + 1e-8), l_max)
+            basis = bessel(r, cutoff, radial) * cosine_envelope(r, cutoff)[:, None]
+            hidden = silu(dense(silu(dense(basis, w, f"radial{k}_0")), w, f"radial{k}_1"))
+            weight = dense(hidden, w, f"radial{k}_2").reshape(len(r), -1, c)
+            x = mixed(by_degree(x, l_max), [w[f"up{k}_{d}"] for d in degrees])
+            # the layer behind the sum is linear, so it can come before it
+            sent = flat(mixed(coupled(x, y, l_max, weight), [w[f"down{k}_{d}"] for d in degrees]), l_max) / avg_neighbors
+            ends = np.stack([e.column("graph_id").to_numpy(), e.column("dst").to_numpy()], axis=1)
+            order_ = np.lexsort(ends.T[::-1])
+            first = np.flatnonzero(np.r_[True, (np.diff(ends[order_], axis=0) != 0).any(1)])
+            own = ends[order_][first]
+            sums = np.add.reduceat(sent[order_], first, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), _packed(sums)], names=["graph_id", "atom_id", "sent"])
+
+    def norm(x: np.ndarray, k: int) -> np.ndarray:
+        if not layer_norm:
+            return x
+        centered = x - x.mean(1, keepdims=True)
+        return centered / np.sqrt((centered**2).mean(1, keepdims=True) + 1e-5) * w[f"norm{k}"] + w[f"norm{k}_b"]
+
+    def update(z: np.ndarray, h: np.ndarray, message: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """What atoms are after a layer, and the layer's features."""
+        kind = kinds_of(z, species)
+        if products == "channels":
+            orders = w[f"orders{k}"][kind]
+            power, basis = message, np.zeros_like(message)
+            for i in range(order):
+                basis = basis + orders[:, i] * power
+                power = power * message
+            made = dense(basis, w, f"head{k}")
+            if k + 1 == layers:
+                return h, made
+            back = dense(made, w, f"back{k}")
+            moved = np.empty_like(back)
+            for s in np.unique(kind):
+                moved[kind == s] = back[kind == s] @ w[f"update{k}"][s]
+            return norm(h + moved, k), made
+        own = {name.removeprefix(f"products{k}_"): v for name, v in w.items() if name.startswith(f"products{k}_")}
+        basis = np.concatenate(contract(unflat(message, c, l_max), kind, own, l_max, order, degrees), axis=2)
+        made = dense(basis[:, :, 0], w, f"head{k}")
+        if k + 1 == layers:
+            return h, made
+        moved = np.empty_like(basis)
+        for s in np.unique(kind):
+            rows = kind == s
+            moved[rows] = mixed(by_degree(basis[rows], l_max), [w[f"update{k}_{d}"][s] for d in degrees])
+        return h + flat(moved, l_max), made
+
+    def meet(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of their atom, the atom's own before the sums that were sent to it; an atom's rows may be cut by
+        a batch's end, so its last rows wait for the next batch."""
+        waiting: pa.Table | None = None
+
+        def made(t: pa.Table) -> pa.RecordBatch:
+            own = t.column("own").to_numpy()
+            key = np.stack([t.column("graph_id").to_numpy(), t.column("atom_id").to_numpy()], axis=1)
+            first = np.flatnonzero(np.r_[True, (np.diff(key, axis=0) != 0).any(1)])
+            if not own[first].all() or own.sum() != len(first):
+                raise ValueError("an edge to what is no atom, or two atoms of one id")
+            values = _rows(t.column("h").combine_chunks(), c * size, "an edge to")
+            before = values[first].copy()
+            message = np.add.reduceat(np.where(own[:, None], 0.0, values), first, axis=0)
+            atoms_ = t.take(pa.array(first))
+            h, out = update(atoms_.column("z_num").to_numpy(), before, message, k)
+            so_far = np.frombuffer(b"".join(atoms_.column("features").to_pylist()), np.float64).reshape(len(first), k * c)
+            so_far = np.concatenate([so_far, out], axis=1)
+            vectors = message[:, c : 4 * c].reshape(len(first), 3, c).transpose(0, 2, 1).reshape(len(first), -1) if l_max else np.zeros((len(first), 0))
+            columns = [atoms_.column(n).combine_chunks() for n in ("graph_id", "atom_id", "z_num")]
+            return pa.RecordBatch.from_arrays([*columns, _packed(h), _packed(so_far), _lists(vectors)], names=NODE)
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if waiting is None else pa.concat_tables([waiting, pa.Table.from_batches([batch])])
+            if not t.num_rows:
+                continue
+            key = np.stack([t.column("graph_id").to_numpy(), t.column("atom_id").to_numpy()], axis=1)
+            same = (key == key[-1]).all(1)
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if cut:
+                yield made(t.slice(0, cut))
+            waiting = t.slice(cut)
+            if waiting.num_rows > 2 * MEET_ROWS:  # one atom's rows alone: its sums so far as one row
+                waiting = _folded(waiting, c * size)
+        if waiting is not None and waiting.num_rows:
+            yield made(waiting)
+
+    spark, paths_written = atoms.sparkSession, []
+    near, path = _near(edges)
+    paths_written.append(path)
+    few = _few(atoms)
+    narrow = atoms.select(_known("graph_id"), _known("atom_id"), F.coalesce(F.col("z_num").cast("int"), F.lit(-1)).alias("z_num"))
+    nodes = narrow.mapInArrow(start, NODE_DDL)
     for k in range(layers):
-        sent = near.join(few(nodes.select("graph_id", F.col("atom_id").alias("src"), "h")), ["graph_id", "src"], "left")
-        parts = sent.mapInPandas(lambda p, k=k: send(p, k), "graph_id long, dst long, " + ", ".join(f"{x} double" for x in m))
-        sums = parts.groupBy("graph_id", F.col("dst").alias("atom_id")).agg(*[F.sum(x).alias(x) for x in m])
-        met = nodes.join(sums, ["graph_id", "atom_id"], "full").select(*keys, "h", "features", *[F.coalesce(x, F.lit(0.0)).alias(x) for x in m])
-        nodes, path = written(met.mapInPandas(lambda p, k=k: update(p, k), schema), "nodes")
-        written_to.append(path)
-    for path in written_to[:-1]:
+        joined = near.join(few(nodes.select("graph_id", F.col("atom_id").alias("src"), "h")), ["graph_id", "src"], "left")
+        sums = joined.mapInArrow(lambda b, k=k: send(b, k), "graph_id long, atom_id long, sent binary")
+        empty = F.lit(None).cast("binary")
+        sums = sums.select("graph_id", "atom_id", F.lit(-1).alias("z_num"), F.col("sent").alias("h"), empty.alias("features"), F.lit(False).alias("own"))
+        both = nodes.select("graph_id", "atom_id", "z_num", "h", "features", F.lit(True).alias("own")).unionAll(sums)
+        met = both.repartition("graph_id", "atom_id").sortWithinPartitions("graph_id", "atom_id", F.desc("own"))
+        nodes, path = written(met.mapInArrow(lambda b, k=k: meet(b, k), NODE_DDL), "nodes")
+        paths_written.append(path)
+    for path in paths_written[:-1]:
         drop_written(spark, path)
-    places = [ch * size + 1 + a for ch in range(c) for a in range(3)] if l_max else []
-    vectors = F.array(*[F.get("h", F.lit(p)) for p in places]) if places else F.array().cast("array<double>")
-    return nodes.select("graph_id", "atom_id", "features", vectors.alias("vectors"))
+
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a in batches:
+            values = np.frombuffer(b"".join(a.column("features").to_pylist()), np.float64).reshape(a.num_rows, layers * c)
+            yield pa.RecordBatch.from_arrays([a.column("graph_id"), a.column("atom_id"), _lists(values), a.column("vectors")], names=["graph_id", "atom_id", "features", "vectors"])
+
+    out = nodes.mapInArrow(shown, "graph_id long, atom_id long, features array<double>, vectors array<double>")
+    out.written_to = paths_written[-1:]
+    return out
+
+
+NODE = ["graph_id", "atom_id", "z_num", "h", "features", "vectors"]
+NODE_DDL = "graph_id long, atom_id long, z_num int, h binary, features binary, vectors array<double>"
+
+
+def _folded(t: pa.Table, width: int) -> pa.Table:
+    """An atom's own row, if it is there, and the sum of the others."""
+    own = t.column("own").to_numpy()
+    values = _rows(t.column("h").combine_chunks(), width, "an edge to")
+    head = t.slice(0, int(own.sum()))
+    rest = t.slice(int(own.sum()), 1)
+    at = rest.schema.get_field_index("h")
+    return pa.concat_tables([head, rest.set_column(at, rest.schema.field(at), _packed(values[~own].sum(0, keepdims=True)))])
 
 
 # -- edges
 
 
-def edge_shapes(species: int, *, features: int = 8, radial: int = 8, layers: int = 2, l_max: int = 2) -> dict[str, tuple[int, ...]]:
+def edge_shapes(
+    species: int, *, scalars: int = 8, tensors: int = 8, embedding: int = 16, radial: int = 8, layers: int = 2, l_max: int = 2,
+    first_hidden: list[int] | None = None, latent_hidden: list[int] | None = None,
+) -> dict[str, tuple[int, ...]]:
     """The weights of :func:`edge_encoder`."""
-    c = features
-    into = [sum(p[2] == k for p in paths(l_max)) * c for k in range(l_max + 1)]
-    out: dict[str, tuple[int, ...]] = {"embed": (species, c), "first0": (2 * c + radial, c), "first1": (c, c), "tensor": (c, c)}
+    into = [sum(p[2] == k for p in paths(l_max)) * tensors for k in range(l_max + 1)]
+    first = [scalars, scalars] if first_hidden is None else first_hidden
+    out: dict[str, tuple[int, ...]] = {"embed": (species, embedding)} | _network("first", [radial + 2 * embedding, *first, scalars]) | _layer("tensor", scalars, tensors)
     for k in range(layers):
-        out |= {f"env{k}": (c, c), f"latent{k}": (2 * c, c), f"out{k}": (c, c)} | {f"mix{k}_{d}": (into[d], c) for d in range(l_max + 1)}
+        out |= _layer(f"env{k}", scalars, tensors) | {f"paths{k}": (len(paths(l_max)), tensors)} | {f"mix{k}_{d}": (into[d], tensors) for d in range(l_max + 1)}
+        out |= _network(f"latent{k}_", [scalars + tensors, *(latent_hidden or []), scalars]) | _layer(f"out{k}", scalars, tensors)
     return out
 
 
@@ -279,63 +408,81 @@ def edge_encoder(
     cutoff: float,
     species: list[int],
     weights: DataFrame | None = None,
-    features: int = 8,
+    scalars: int = 8,
+    tensors: int = 8,
+    embedding: int = 16,
     radial: int = 8,
     layers: int = 2,
     l_max: int = 2,
+    exponent: int = 6,
+    first_hidden: list[int] | None = None,
+    latent_hidden: list[int] | None = None,
+    avg_neighbors: float | None = None,
+    alpha: float = 0.5,
     seed: int = 0,
 ) -> DataFrame:
-    """An encoder of edges: ``(graph_id, src, dst, features array<double>, vectors array<double>)``, invariants of each
-    edge, and the vectors of its tensor track, ``x, y, z`` for each channel.
-
-    An edge begins with a small network of both species and the distance, and with its harmonics weighted by that. In
-    each layer the harmonics of all edges of a source, weighted by their invariants, are added up (over the root of
-    their number) and multiplied with the edge's tensors; the scalars among the products update the invariants by a
-    small network, the others are the new tensors. Invariants end times the cutoff. ``weights`` has the shapes of
-    :func:`edge_shapes`; without it, weights are drawn by ``seed``.
-
-    Species come by joins with both ends, and a layer is a window sum over a source's edges."""
-    shapes = edge_shapes(len(species), features=features, radial=radial, layers=layers, l_max=l_max)
+    """An encoder of edges: ``(graph_id, src, dst, features array<double>, vectors array<double>)``, ``scalars`` invariants
+    for each layer, one layer behind the other, and the vectors of the tensor track's end, ``x, y, z`` for each channel.
+
+    An edge begins with a network of the distance (Bessel functions times a polynomial cutoff) and both species, and with
+    its harmonics times a dense layer of that. In each layer the tensors, scaled by a dense layer of the invariants, are
+    multiplied with the harmonics of all edges of the source, added up over the root of ``avg_neighbors`` (without it,
+    of the source's own number of edges), weighted for each path and channel, and mixed within each degree. Invariants become
+    ``(x + alpha network(x, scalars of the tensors)) / sqrt(1 + alpha^2)``; a dense layer of them scales the new tensors. Invariants
+    are given out times the cutoff, and go on without it.
+
+    ``weights`` has the shapes of :func:`edge_shapes`; without it, weights are drawn by ``seed``. The harmonics that are added up
+    are the edges' own and the same in every layer: they are summed once for each source, partly before the one shuffle, and
+    joined back with the species. All layers are then one pass over the edges. ``written_to`` on the result has the paths that can be
+    dropped after use."""
+    shapes = edge_shapes(
+        len(species), scalars=scalars, tensors=tensors, embedding=embedding, radial=radial, layers=layers, l_max=l_max, first_hidden=first_hidden, latent_hidden=latent_hidden
+    )
     w = seeded_weights(shapes, seed) if weights is None else weights_of(weights, shapes)
-    c, size = features, (l_max + 1) ** 2
-    m = [f"m{k}" for k in range(c * size)]
-    keys = ["graph_id", "src", "dst", "dx", "dy", "dz", "dist"]
-
-    def weighted(e: pd.DataFrame, x: np.ndarray, v: np.ndarray, y: np.ndarray, k: int) -> pd.DataFrame:
-        return wide(e, keys, m, (x @ w[f"env{k}"])[:, :, None] * y, x=list(x), v=list(v.reshape(len(e), -1)))
-
-    def start(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for e in parts:
-            if len(e):
-                basis, y = edge_parts(e, cutoff, radial, l_max)
-                ends = [w["embed"][kinds_of(e[f"z_{end}"], species)] for end in ("src", "dst")]
-                x = silu(np.concatenate([*ends, basis], axis=1) @ w["first0"]) @ w["first1"]
-                x = x * cutoff_envelope(e["dist"].to_numpy(float), cutoff)[:, None]
-                yield weighted(e, x, (x @ w["tensor"])[:, :, None] * y, y, 0)
-
-    def update(parts: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-        for e in parts:
-            if len(e):
-                _, y = edge_parts(e, cutoff, radial, l_max)
-                x, v = stacked(e["x"], c), stacked(e["v"], c, size)
-                around = e[m].to_numpy(float).reshape(len(e), c, size) / np.sqrt(e["n"].to_numpy())[:, None, None]
-                v = mixed(coupled(v, around, l_max, np.ones((1, len(paths(l_max)), c))), [w[f"mix{k}_{d}"] for d in range(l_max + 1)])
-                latent = silu(np.concatenate([x, v[:, :, 0]], axis=1) @ w[f"latent{k}"]) @ w[f"out{k}"]
-                x = (x + 0.5 * latent) / np.sqrt(1.25) * cutoff_envelope(e["dist"].to_numpy(float), cutoff)[:, None]
-                if k + 1 < layers:
-                    yield weighted(e, x, v, y, k + 1)
-                else:
-                    yield e[keys[:3]].assign(features=list(x), vectors=list(v[:, :, 1:4].reshape(len(e), -1) if l_max else np.zeros((len(e), 0))))
-
-    out = edges.select(*keys)
-    for end in ("src", "dst"):
-        own = atoms.select(F.col("graph_id").alias("graph_id"), F.col("atom_id").alias(end), F.col("z_num").alias(f"z_{end}"))
-        out = out.join(own, ["graph_id", end], "left")
-    head = "graph_id long, src long, dst long, "
-    full = head + "dx double, dy double, dz double, dist double, x array<double>, v array<double>, " + ", ".join(f"{x} double" for x in m)
-    out = out.select(*keys, "z_src", "z_dst").mapInPandas(start, full)
-    whole = W.partitionBy("graph_id", "src")
-    for k in range(layers):
-        summed = out.select(*keys, "x", "v", *[F.sum(x).over(whole).alias(x) for x in m], F.count("*").over(whole).alias("n"))
-        out = summed.mapInPandas(lambda p, k=k: update(p, k), full if k + 1 < layers else head + "features array<double>, vectors array<double>")
+    size, degrees = (l_max + 1) ** 2, range(l_max + 1)
+    y_names = [f"y{k}" for k in range(size)]
+    n_first, n_latent = (sum(k.startswith(p) and not k.endswith("_b") for k in shapes) for p in ("first", "latent0_"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for e in batches:
+            if not e.num_rows:
+                continue
+            ends = []
+            for end in ("src", "dst"):
+                if e.column(f"z_{end}").null_count:
+                    raise ValueError(f"an edge's {end} is no atom")
+                ends.append(w["embed"][kinds_of(e.column(f"z_{end}").to_numpy(), species)])
+            r = e.column("dist").to_numpy()
+            y = harmonics(_numbers(e, "dx", "dy", "dz") / (r[:, None] + 1e-8), l_max)
+            around = _numbers(e, *y_names)
+            around = around / np.sqrt(np.maximum(e.column("n").to_numpy(), 1)[:, None] if avg_neighbors is None else avg_neighbors)
+            envelope = polynomial_envelope(r, cutoff, exponent)[:, None]
+            x = np.concatenate([bessel(r, cutoff, radial) * envelope, *ends], axis=1)
+            for i in range(n_first):
+                x = silu(dense(x, w, f"first{i}"))
+            v = dense(x, w, "tensor")[:, :, None] * y[:, None, :]
+            out = []
+            for k in range(layers):
+                v = v * dense(x, w, f"env{k}")[:, :, None]
+                v = mixed(coupled(v, around, l_max, w[f"paths{k}"][None]), [w[f"mix{k}_{d}"] for d in degrees])
+                latent = np.concatenate([x, v[:, :, 0]], axis=1)
+                for i in range(n_latent):
+                    latent = dense(latent if i == 0 else silu(latent), w, f"latent{k}_{i}")
+                x = (x + alpha * latent) / np.sqrt(1 + alpha * alpha)
+                v = v * dense(x, w, f"out{k}")[:, :, None]
+                out.append(x * envelope)
+            vectors = v[:, :, 1:4].reshape(len(r), -1) if l_max else np.zeros((len(r), 0))
+            yield pa.RecordBatch.from_arrays([e.column("graph_id"), e.column("src"), e.column("dst"), _lists(np.concatenate(out, axis=1)), _lists(vectors)], names=["graph_id", "src", "dst", "features", "vectors"])
+
+    near, path = _near(edges)
+    unit = [F.col(f"d{a}") / (F.col("dist") + 1e-8) for a in "xyz"]
+    summed = near.groupBy("graph_id", "src").agg(*[F.sum(h).alias(n) for n, h in zip(y_names, harmonic_columns(*unit, l_max), strict=True)], F.count("*").alias("n"))
+    few = _few(atoms)
+    kinds = atoms.select(_known("graph_id"), _known("atom_id"), F.coalesce(F.col("z_num").cast("int"), F.lit(-1)).alias("z_num"))
+    # what a source's edges need: its species, and the sums
+    sources = kinds.withColumnsRenamed({"atom_id": "src", "z_num": "z_src"}).join(summed, ["graph_id", "src"])
+    targets = kinds.withColumnsRenamed({"atom_id": "dst", "z_num": "z_dst"})
+    met = near.join(few(sources), ["graph_id", "src"], "left").join(few(targets), ["graph_id", "dst"], "left")
+    out = met.mapInArrow(encode, "graph_id long, src long, dst long, features array<double>, vectors array<double>")
+    out.written_to = [path]
     return out

@@ -1127,6 +1127,37 @@ def activations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return atoms_of(spark, sf_dir).select("atom_id", *[r6(act[n](c)).alias(n) for n, c in (("gelu", F.col("x") * 3), ("relu", F.col("y")), ("tanh", F.col("z")))])
 
 
+#: Symmetric products of a scalar ``s = 1 + x`` and a vector ``(x, y, z)``, with the weights of species.
+SQL_COUPLED = f"""WITH {SQL_ATOMS}, {SQL_SPECIES}, v AS (SELECT *, 1 + x AS s, x*x + y*y + z*z AS vv FROM atoms JOIN species USING (z_num)),
+p AS (SELECT *, w0*s + w1*s*s + w2*vv/sqrt(3) + w3*s*s*s + w4*s*vv AS scalar, w0 + w1*sqrt(2)*s + w2*sqrt(3)*s*s + w3*3/sqrt(15)*vv AS along FROM v)"""
+
+
+def coupled_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column, list[Column]]:
+    """Atoms with their species' weights, and the contraction of their scalar and vector to both degrees."""
+    from graphloom.operators import equivariant as eq
+    from graphloom.operators.harmonics import contracted
+
+    w = [F.col(f"w{k}") for k in range(5)]
+    x = [F.col("x") + 1, F.col("x"), F.col("y"), F.col("z")]
+    scalar = contracted(x, [w[:1], w[1:3], w[3:5]], 1, 0)[0]
+    return eq.by_species(atoms_of(spark, sf_dir), species(spark)), scalar, contracted(x, [w[:1], w[1:2], w[2:4]], 1, 1)
+
+
+@query(f"{SQL_COUPLED} SELECT atom_id, round(scalar, 6) AS s, round(along * x, 6) AS vx, round(along * y, 6) AS vy, round(along * z, 6) AS vz FROM p")
+def coupled_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    atoms, scalar, vector = coupled_of(spark, sf_dir)
+    return atoms.select("atom_id", r6(scalar).alias("s"), *[r6(c).alias(f"v{a}") for a, c in zip("xyz", vector, strict=True)])
+
+
+@query(f"{SQL_COUPLED} SELECT atom_id, round(2*scalar - 0.5::DOUBLE, 6) AS out0, round(0.25::DOUBLE - scalar, 6) AS out1 FROM p")
+def coupled_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators.equivariant import linear_scalars
+
+    atoms, scalar, _ = coupled_of(spark, sf_dir)
+    out = [c + b for c, b in zip(linear_scalars([scalar], [[2.0], [-1.0]]), (-0.5, 0.25), strict=True)]
+    return atoms.select("atom_id", r6(out[0]).alias("out0"), r6(out[1]).alias("out1"))
+
+
 @query(f"""WITH {SQL_ATOMS}, {SQL_SPECIES}, p AS (SELECT atom_id, w0*x + w1*x*x AS a, w2*y + w3*y*y AS b FROM atoms JOIN species USING (z_num))
 SELECT atom_id, round(2*a - b + 0.5::DOUBLE, 6) AS out0, round(0.25::DOUBLE*a + 0.75::DOUBLE*b, 6) AS out1 FROM p""")
 def product_head(spark: SparkSession, sf_dir: str) -> DataFrame:

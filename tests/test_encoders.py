@@ -1,4 +1,6 @@
-"""Encoders against plain loops over atoms and edges, and under rotations."""
+"""Encoders against plain loops over atoms and edges that share nothing with them, and under rotations."""
+
+import itertools
 
 import numpy as np
 import pytest
@@ -28,11 +30,41 @@ def near(pos):
     return [(i, j, pos[j] - pos[i]) for i in range(len(pos)) for j in range(len(pos)) if i != j and (i - j) % 2 == 0 and np.linalg.norm(pos[j] - pos[i]) <= CUTOFF]
 
 
-def parts(d, l_max):
-    r = np.linalg.norm(d)
-    bessel = [np.sqrt(2 / CUTOFF) * np.sin(k * np.pi * r / CUTOFF) / (r + 1e-8) for k in range(1, RADIAL + 1)]
-    cut = 0.5 * (np.cos(np.pi * r / CUTOFF) + 1) if r < CUTOFF else 0.0
-    return np.array(bessel) * cut, en.harmonics((d / (r + 1e-8))[None], l_max)[0], cut
+# -- the plain version: its own harmonics, and couplings as integrals over the sphere
+
+
+def harmonics(x, y, z):
+    s3, s15 = 3**0.5, 15**0.5
+    return np.array([1.0, s3 * x, s3 * y, s3 * z, s15 * x * y, s15 * y * z, 5**0.5 / 2 * (2 * z * z - x * x - y * y), s15 * x * z, s15 / 2 * (x * x - y * y)])
+
+
+DEGREE = [0, 1, 1, 1, 2, 2, 2, 2, 2]
+
+
+def gaunt():
+    """All integrals of three harmonics, each triple of degrees scaled to squares of ``2 l3 + 1``."""
+    z, weight = np.polynomial.legendre.leggauss(8)
+    phi = 2 * np.pi * np.arange(15) / 15
+    out = np.zeros((9, 9, 9))
+    for c, w in zip(z, weight, strict=True):
+        for p in phi:
+            s = (1 - c * c) ** 0.5
+            y = harmonics(s * np.cos(p), s * np.sin(p), c)
+            out += w * np.einsum("i,j,k->ijk", y, y, y)
+    out[np.abs(out) < 1e-10] = 0
+    for a, b, c in itertools.product(range(3), repeat=3):
+        part = np.ix_(*[[i for i in range(9) if DEGREE[i] == k] for k in (a, b, c)])
+        norm = (out[part] ** 2).sum()
+        if norm:
+            out[part] *= ((2 * c + 1) / norm) ** 0.5
+    return out
+
+
+GAUNT = gaunt()
+
+
+def triples(l_max):
+    return [t for t in itertools.product(range(l_max + 1), repeat=3) if abs(t[0] - t[1]) <= t[2] <= t[0] + t[1] and sum(t) % 2 == 0]
 
 
 def silu(x):
@@ -40,125 +72,167 @@ def silu(x):
 
 
 def product(x, y, l_max, weight):
-    """For each degree a list of ``(path, channel)`` products, one coefficient at a time."""
-    out = [[] for _ in range(l_max + 1)]
-    for k, (a, b, c) in enumerate(en.paths(l_max)):
-        t = en.couplings(l_max)[a, b, c]
+    """For each degree, the products of ``x[c][9]`` with ``y[9]`` by path and channel, a list of rows of nine."""
+    out = {d: [] for d in range(l_max + 1)}
+    for n, (a, b, c) in enumerate(triples(l_max)):
         for ch in range(C):
-            v = np.zeros(2 * c + 1)
-            for i in range(2 * a + 1):
-                for j in range(2 * b + 1):
-                    v += t[i, j] * x[ch, a * a + i] * y[ch if len(y) > 1 else 0, b * b + j]
-            out[c].append(v * weight[k, ch])
+            row = np.zeros(9)
+            for i, j, k in itertools.product(range(9), repeat=3):
+                if (DEGREE[i], DEGREE[j], DEGREE[k]) == (a, b, c):
+                    row[k] += GAUNT[i, j, k] * x[ch][i] * y[j]
+            out[c].append(row * weight[n][ch])
     return out
 
 
-def dense(channels, w, l_max):
-    out = np.zeros((C, (l_max + 1) ** 2))
+def mix(rows, w, name, l_max):
+    """A matrix for each degree over rows of nine."""
+    out = [np.zeros(9) for _ in range(C)]
     for d in range(l_max + 1):
         for o in range(C):
-            out[o, d * d : (d + 1) ** 2] = sum(channels[d][i] * w[d][i, o] for i in range(len(channels[d])))
+            for i, row in enumerate(rows[d]):
+                for k in range(9):
+                    if DEGREE[k] == d:
+                        out[o][k] += row[k] * w[f"{name}_{d}"][i, o]
     return out
 
 
-def split(h, l_max):
-    return [[h[ch, d * d : (d + 1) ** 2] for ch in range(C)] for d in range(l_max + 1)]
+def line(x, w, name):
+    return np.array([sum(x[i] * w[name][i, o] for i in range(len(x))) + w[f"{name}_b"][o] for o in range(w[name].shape[1])])
+
+
+def listed(x, l_max):
+    """Component by component, the channels side by side."""
+    return np.array([x[ch][k] for k in range((l_max + 1) ** 2) for ch in range(C)])
+
 
+def unlisted(v):
+    return [np.array([v[k * C + ch] if k * C + ch < len(v) else 0.0 for k in range(9)]) for ch in range(C)]
 
-def plain_nodes(pos, z, w, l_max, layers, avg):
-    size, kind, n = (l_max + 1) ** 2, [SPECIES.index(k) for k in z], len(en.paths(l_max))
-    h = [np.zeros((C, size)) for _ in z]
-    for i, k in enumerate(kind):
-        h[i][:, 0] = w["embed"][k]
+
+def edge(d, envelope):
+    r = np.linalg.norm(d)
+    bessel = np.array([(2 / CUTOFF) ** 0.5 * np.sin(k * np.pi * r / CUTOFF) / (r + 1e-8) for k in range(1, RADIAL + 1)])
+    return bessel * envelope(r / CUTOFF), harmonics(*(d / (r + 1e-8)))
+
+
+def cosine(x):
+    return 0.5 * (np.cos(np.pi * x) + 1) if x < 1 else 0.0
+
+
+def polynomial(x):
+    return 1 - 28 * x**6 + 48 * x**7 - 21 * x**8 if x < 1 else 0.0
+
+
+def plain_nodes(pos, z, w, l_max, layers, order, avg, normalized):
+    kind = [SPECIES.index(k) for k in z]
+    h = [line(w["embed"][k], w, "start") for k in kind]
     features = [[] for _ in z]
-    for k in range(layers):
-        of = lambda name, k=k: [w[f"{name}{k}_{d}"] for d in range(l_max + 1)]
-        sums = [np.zeros((C, size)) for _ in z]
+    for n in range(layers):
+        sums = [[np.zeros(9) for _ in range(C)] for _ in z]
         for i, j, d in near(pos):
-            basis, y, _ = parts(d, l_max)
-            weight = (silu(basis @ w[f"radial{k}"]) @ w[f"paths{k}"]).reshape(n, C)
-            sums[j] += dense(product(dense(split(h[i], l_max), of("up"), l_max), y[None], l_max, weight), of("down"), l_max) / avg
+            basis, y = edge(d, cosine)
+            weight = line(silu(line(silu(line(basis, w, f"radial{n}_0")), w, f"radial{n}_1")), w, f"radial{n}_2").reshape(-1, C)
+            up = mix({k: unlisted(h[i]) for k in range(l_max + 1)}, w, f"up{n}", l_max)
+            for ch, row in enumerate(mix(product(up, y, l_max, weight), w, f"down{n}", l_max)):
+                sums[j][ch] += row / avg
         for i, t in enumerate(kind):
-            s, orders = sums[i], w[f"orders{k}"][t]
-            pairs = dense(product(s, s, l_max, np.ones((n, C))), of("pairs"), l_max)
-            b = np.array([orders[0, ch] * s[ch] + orders[1, ch] * pairs[ch] + orders[2, ch] * (s[ch] @ s[ch]) / size * s[ch] for ch in range(C)])
-            h[i] = w[f"keep{k}"][t][:, None] * h[i] + dense(split(b, l_max), of("mix"), l_max)
-            features[i] += list(h[i][:, 0])
-    return features, [x[:, 1:4].ravel() for x in h]
-
-
-def plain_edges(pos, z, w, l_max, layers):
-    kind, edges, n = [SPECIES.index(k) for k in z], near(pos), len(en.paths(l_max))
-    geo = [parts(d, l_max) for _, _, d in edges]
-    x = [silu(np.concatenate([w["embed"][kind[i]], w["embed"][kind[j]], g[0]]) @ w["first0"]) @ w["first1"] * g[2] for (i, j, _), g in zip(edges, geo, strict=True)]
-    v = [np.outer(a @ w["tensor"], g[1]) for a, g in zip(x, geo, strict=True)]
-    for k in range(layers):
-        sent = [np.outer(a @ w[f"env{k}"], g[1]) for a, g in zip(x, geo, strict=True)]
-        for e, (i, _, _) in enumerate(edges):
-            own = [s for s, (src, _, _) in zip(sent, edges, strict=True) if src == i]
-            v[e] = dense(product(v[e], sum(own) / np.sqrt(len(own)), l_max, np.ones((n, C))), [w[f"mix{k}_{d}"] for d in range(l_max + 1)], l_max)
-            latent = silu(np.concatenate([x[e], v[e][:, 0]]) @ w[f"latent{k}"]) @ w[f"out{k}"]
-            x[e] = (x[e] + 0.5 * latent) / np.sqrt(1.25) * geo[e][2]
-    return {(i, j): (a, t[:, 1:4].ravel()) for (i, j, _), a, t in zip(edges, x, v, strict=True)}
-
-
-@pytest.mark.parametrize("l_max", [1, 2])
-def test_couplings_turn_with_their_arguments(l_max):
-    rng, turn = np.random.default_rng(2), np.array(random_rotation(4))
-    u = rng.normal(size=(30, 3))
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    y, turned = en.harmonics(u, l_max), en.harmonics(u @ turn.T, l_max)
-    d = [np.linalg.lstsq(y[:, en.degree(k)], turned[:, en.degree(k)], rcond=None)[0].T for k in range(l_max + 1)]
-    for (a, b, c), t in en.couplings(l_max).items():
-        assert np.allclose(np.einsum("ijk,ai,bj,ck->abc", t, d[a], d[b], d[c]), t, atol=1e-10) and (t * t).sum() == pytest.approx(2 * c + 1)
-    assert len(en.paths(2)) == 11 and (0, 1, 0) not in en.paths(2)
-
-
-@pytest.mark.parametrize("l_max,layers", [(1, 1), (2, 2)])
-def test_node_encoder_matches_plain_loops(spark, l_max, layers, monkeypatch):
+            m = listed(sums[i], l_max)
+            basis = sum(w[f"orders{n}"][t][p] * m ** (p + 1) for p in range(order))
+            made = line(basis, w, f"head{n}")
+            features[i] += list(made)
+            if n + 1 < layers:
+                h[i] = h[i] + line(made, w, f"back{n}") @ w[f"update{n}"][t]
+                if normalized:
+                    h[i] = (h[i] - h[i].mean()) / (h[i].var() + 1e-5) ** 0.5 * w[f"norm{n}"] + w[f"norm{n}_b"]
+    return features, [np.array([sums[i][ch][k] for ch in range(C) for k in (1, 2, 3)]) for i in range(len(z))]
+
+
+def plain_edges(pos, z, w, l_max, layers, avg, deep):
+    kind, edges = [SPECIES.index(k) for k in z], near(pos)
+    geo = [edge(d, polynomial) for _, _, d in edges]
+    cut = [polynomial(np.linalg.norm(d) / CUTOFF) for _, _, d in edges]
+    out = {}
+    for e, (i, j, _) in enumerate(edges):
+        own = [y for (src, _, _), (_, y) in zip(edges, geo, strict=True) if src == i]
+        around = sum(own) / (len(own) if avg is None else avg) ** 0.5
+        x = np.concatenate([geo[e][0], w["embed"][kind[i]], w["embed"][kind[j]]])
+        for k in range(3):
+            x = silu(line(x, w, f"first{k}"))
+        v = [t * geo[e][1] for t in line(x, w, "tensor")]
+        shown = []
+        for n in range(layers):
+            v = [a * b for a, b in zip(v, line(x, w, f"env{n}"), strict=True)]
+            v = mix(product(v, around, l_max, w[f"paths{n}"]), w, f"mix{n}", l_max)
+            latent = line(np.concatenate([x, [t[0] for t in v]]), w, f"latent{n}_0")
+            if deep:
+                latent = line(silu(latent), w, f"latent{n}_1")
+            x = x / 1.25**0.5 + 0.5 / 1.25**0.5 * latent
+            v = [a * b for a, b in zip(v, line(x, w, f"out{n}"), strict=True)]
+            shown += list(x * cut[e])
+        out[i, j] = shown, np.array([t[k] for t in v for k in (1, 2, 3)])
+    return out
+
+
+@pytest.mark.parametrize("l_max,layers,order,normalized", [(1, 1, 1, False), (2, 2, 3, False), (1, 2, 2, True)])
+def test_node_encoder_matches_plain_loops(spark, l_max, layers, order, normalized, monkeypatch):
     pos, z = graph()
-    shapes = en.node_shapes(len(SPECIES), features=C, radial=RADIAL, layers=layers, l_max=l_max)
-    w = en.seeded_weights(shapes, 3)
+    kwargs = {"features": C, "radial": RADIAL, "layers": layers, "l_max": l_max, "order": order, "layer_norm": normalized}
+    w = {k: v * 0.5 for k, v in en.seeded_weights(en.node_shapes(len(SPECIES), **kwargs), 3).items()}
     atoms, edges = tables(spark, pos, z)
-    features, vectors = plain_nodes(pos, z, w, l_max, layers, 2.0)
+    features, vectors = plain_nodes(pos, z, w, l_max, layers, order, 2.0, normalized)
     for limit in (en.BROADCAST_ATOMS, 0):
         monkeypatch.setattr(en, "BROADCAST_ATOMS", limit)
-        out = en.node_encoder(atoms, edges, cutoff=CUTOFF, species=SPECIES, weights=en.weights_table(spark, w), features=C, radial=RADIAL, layers=layers, l_max=l_max, avg_neighbors=2.0)
-        rows = out.collect()
+        rows = en.node_encoder(atoms, edges, cutoff=CUTOFF, species=SPECIES, weights=en.weights_table(spark, w), avg_neighbors=2.0, **kwargs).collect()
         assert len(rows) == len(z)
         for r in rows:
             assert r.features == pytest.approx(features[r.atom_id], rel=1e-8, abs=1e-10) and r.vectors == pytest.approx(vectors[r.atom_id], rel=1e-8, abs=1e-10)
 
 
-@pytest.mark.parametrize("l_max,layers", [(1, 1), (2, 2)])
-def test_edge_encoder_matches_plain_loops(spark, l_max, layers):
+@pytest.mark.parametrize("l_max,layers,avg,deep", [(1, 1, None, False), (2, 2, 3.0, False), (2, 2, None, True)])
+def test_edge_encoder_matches_plain_loops(spark, l_max, layers, avg, deep):
     pos, z = graph(1)
-    w = en.seeded_weights(en.edge_shapes(len(SPECIES), features=C, radial=RADIAL, layers=layers, l_max=l_max), 5)
-    want = plain_edges(pos, z, w, l_max, layers)
-    rows = en.edge_encoder(*tables(spark, pos, z), cutoff=CUTOFF, species=SPECIES, weights=en.weights_table(spark, w), features=C, radial=RADIAL, layers=layers, l_max=l_max).collect()
+    kwargs = {"scalars": 4, "tensors": C, "embedding": 5, "radial": RADIAL, "layers": layers, "l_max": l_max, "latent_hidden": [6] if deep else None}
+    w = en.seeded_weights(en.edge_shapes(len(SPECIES), **kwargs), 5)
+    want = plain_edges(pos, z, w, l_max, layers, avg, deep)
+    rows = en.edge_encoder(*tables(spark, pos, z), cutoff=CUTOFF, species=SPECIES, weights=en.weights_table(spark, w), avg_neighbors=avg, **kwargs).collect()
     assert {(r.src, r.dst) for r in rows} == want.keys() and len(rows) > 10
     for r in rows:
         assert r.features == pytest.approx(want[r.src, r.dst][0], rel=1e-8, abs=1e-10) and r.vectors == pytest.approx(want[r.src, r.dst][1], rel=1e-8, abs=1e-10)
 
 
-@pytest.mark.parametrize("encoder", [en.node_encoder, en.edge_encoder])
-def test_scalars_stay_and_vectors_turn(spark, encoder):
+@pytest.mark.parametrize("encoder,kwargs", [(en.node_encoder, {"products": "coupled", "order": 3, "features": C}), (en.node_encoder, {"products": "coupled", "order": 2, "l_max": 3, "features": 2}), (en.edge_encoder, {})])
+def test_scalars_stay_and_vectors_turn(spark, encoder, kwargs):
     pos, z = graph(7)
     turn = np.array(random_rotation(9))
     out = []
     for p in (pos, pos @ turn.T + [3.0, -1.0, 0.5]):
-        rows = encoder(*tables(spark, p, z), cutoff=CUTOFF, species=SPECIES, features=C, radial=RADIAL).collect()
+        rows = encoder(*tables(spark, p, z), cutoff=CUTOFF, species=SPECIES, radial=RADIAL, **kwargs).collect()
         out.append({tuple(r[k] for k in r.asDict() if k not in ("features", "vectors")): r for r in rows})
     assert out[0].keys() == out[1].keys()
     largest = 0.0
     for k, r in out[0].items():
-        assert out[1][k].features == pytest.approx(r.features, rel=1e-7, abs=1e-9)
+        assert out[1][k].features == pytest.approx(r.features, rel=1e-6, abs=1e-8)
         turned = (np.array(r.vectors).reshape(-1, 3) @ turn.T).ravel()
-        assert out[1][k].vectors == pytest.approx(turned, rel=1e-7, abs=1e-9)
+        assert out[1][k].vectors == pytest.approx(turned, rel=1e-6, abs=1e-8)
         largest = max(largest, np.abs(turned).max())
     assert largest > 1e-3
 
 
+def test_an_atom_with_many_sums_spans_batches(spark, monkeypatch):
+    pos, z = graph()
+    tables_ = tables(spark, pos, z)
+    want = {r.atom_id: r.features for r in en.node_encoder(*tables_, cutoff=CUTOFF, species=SPECIES, features=C, radial=RADIAL).collect()}
+    monkeypatch.setattr(en, "MEET_ROWS", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = en.node_encoder(*tables_, cutoff=CUTOFF, species=SPECIES, features=C, radial=RADIAL)
+        for r in got.collect():
+            assert r.features == pytest.approx(want[r.atom_id], rel=1e-9)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got.written_to) == 1
+
+
 def test_weights_must_fit(spark):
     pos, z = graph()
     w = en.seeded_weights(en.node_shapes(len(SPECIES), features=C, radial=RADIAL))
@@ -168,10 +242,15 @@ def test_weights_must_fit(spark):
 
 
 @pytest.mark.parametrize("encoder", [en.node_encoder, en.edge_encoder])
-def test_no_task_sees_a_graph_and_unknown_species_are_errors(spark, encoder):
+def test_no_task_sees_a_graph_and_what_is_unknown_is_an_error(spark, encoder):
     sf = "/root/testdata/sf0.001"
     atoms, edges = queries.atoms_of(spark, sf), queries.edges_of(spark, sf)
     out = encoder(atoms, edges, cutoff=queries.CUTOFF, species=queries.ELEMENTS)
-    assert "GroupsInPandas" not in out._jdf.queryExecution().toString()
+    plan = out._jdf.queryExecution().toString()
+    assert "GroupsInPandas" not in plan and "Window" not in plan
     with pytest.raises(Exception, match="no species for"):
         encoder(atoms, edges, cutoff=queries.CUTOFF, species=queries.ELEMENTS[:4]).collect()
+    with pytest.raises(Exception, match="no atom"):
+        encoder(atoms.filter("atom_id <> 7"), edges, cutoff=queries.CUTOFF, species=queries.ELEMENTS).collect()
+    with pytest.raises(Exception, match="without src"):
+        encoder(atoms, edges.selectExpr("graph_id", "CASE WHEN src <> 7 THEN src END AS src", "dst", "dx", "dy", "dz", "dist"), cutoff=queries.CUTOFF, species=queries.ELEMENTS).collect()
