@@ -660,7 +660,7 @@ def polarization(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pme_reciprocal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphloom.operators.kernels import ewald_reciprocal
+    from graphloom.operators.mesh import ewald_reciprocal
 
     return ewald_reciprocal(params_of(spark, sf_dir), box=(1.0, 1.0, 1.0), alpha=3.0)
 

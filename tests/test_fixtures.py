@@ -9,7 +9,8 @@ from graphloom.functions import features as ft
 from graphloom.functions import physics as ph
 from graphloom.operators import collate, metrics, neighbors, pooling
 from graphloom.operators.encoders import edge_encoder, node_encoder
-from graphloom.operators.kernels import ewald_reciprocal, polarization
+from graphloom.operators.kernels import polarization
+from graphloom.operators.mesh import ewald_reciprocal
 from graphloom.plans.cache import cache_key, classify
 from graphloom.plans.pipeline import Pipeline
 from graphloom.plans.tasks import AtomicDress, MeanShift

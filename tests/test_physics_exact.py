@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import physics as ph
-from graphloom.operators import kernels, neighbors, pooling, potentials
+from graphloom.operators import kernels, mesh, neighbors, pooling, potentials
 
 WATER = ([(0, 0, 0), (0.96, 0, 0), (-0.24, 0.93, 0)], [-0.8, 0.4, 0.4], [1.0, 0.5, 0.5])
 
@@ -148,7 +148,7 @@ def test_neighbor_pairs_against_all_pairs(spark):
 def test_reciprocal_energy_matches_a_sum_over_waves(spark, box):
     rng = np.random.default_rng(6)
     pos, q = rng.uniform(-5, 5, size=(9, 3)), rng.normal(size=9)
-    cell, alpha = kernels.cell_of(box), 1.1
+    cell, alpha = mesh.cell_of(box), 1.1
     inverse, volume, total = np.linalg.inv(cell), abs(np.linalg.det(cell)), 0.0
     n = range(-8, 9)
     for m in ((a, b, c) for a in n for b in n for c in n if (a, b, c) != (0, 0, 0)):
@@ -156,7 +156,7 @@ def test_reciprocal_energy_matches_a_sum_over_waves(spark, box):
         k2 = wave @ wave
         total += math.exp(-(math.pi**2) * k2 / alpha**2) / k2 * abs(np.sum(q * np.exp(2j * math.pi * (pos @ wave)))) ** 2
     atoms = spark.createDataFrame([(0, i, *map(float, p), float(c)) for i, (p, c) in enumerate(zip(pos, q, strict=True))], "graph_id long, atom_id long, x double, y double, z double, q double")
-    got = kernels.ewald_reciprocal(atoms, box=box, alpha=alpha, grid=24, order=6).first().energy
+    got = mesh.ewald_reciprocal(atoms, box=box, alpha=alpha, grid=24, order=6).first().energy
     assert got == pytest.approx(total / (2 * math.pi * volume), rel=1e-4)
 
 
