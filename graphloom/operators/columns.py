@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.neighbors import known_join
+
 from graphloom.functions.features import mlp
 from graphloom.operators.metrics import throughput, value_stats
 
@@ -57,11 +59,12 @@ def oriented(edges: Column) -> Column:
 
 
 def joint_embedding(df: DataFrame, code: str, table: DataFrame, continuous: list[Column], weights: list[tuple[list[float], float]], names: list[str]) -> DataFrame:
-    """One dense layer over a looked-up row ``table(code, e0, e1, ...)`` and continuous columns."""
+    """One dense layer over a looked-up row ``table(code, e0, e1, ...)`` and continuous columns; a code that the table
+    lacks is an error when the row is read."""
     if len(set(names)) != len(names):
         raise ValueError("output names repeat")
     looked_up = [c for c in table.columns if c != code]
-    joined = df.join(table, code)
+    joined = known_join(df, table, [code], "no embedding for")
     inputs = [F.col(c) for c in looked_up] + continuous
     outputs = {n: sum((x * w for x, w in zip(inputs, row, strict=True)), F.lit(bias)) for n, (row, bias) in zip(names, weights, strict=True)}
     return joined.withColumns(outputs).drop(*looked_up)

@@ -176,7 +176,7 @@ def _near(edges: DataFrame) -> tuple[DataFrame, str]:
 
 
 def node_shapes(
-    species: int, *, features: int = 8, radial: int = 8, layers: int = 2, l_max: int = 2, order: int = 2, products: str = "channels", layer_norm: bool = False
+    species: int, *, features: int = 8, radial: int = 8, layers: int = 2, l_max: int = 2, order: int = 2, products: str = "coupled", layer_norm: bool = False
 ) -> dict[str, tuple[int, ...]]:
     """The weights of :func:`node_encoder`."""
     c, n, size = features, len(paths(l_max)), (l_max + 1) ** 2
@@ -212,7 +212,7 @@ def node_encoder(
     l_max: int = 2,
     order: int = 2,
     avg_neighbors: float = 1.0,
-    products: str = "channels",
+    products: str = "coupled",
     layer_norm: bool = False,
     seed: int = 0,
 ) -> DataFrame:
@@ -226,10 +226,10 @@ def node_encoder(
     a dense layer give the layer's features. These are projected back, multiplied by the species' own matrix and
     added to what the atom was before the layer; then the layer can be normalized.
 
-    ``products="channels"`` takes every number of the message for a channel of its own: powers, each with a weight. This and the
-    projections to all numbers treat components of vectors as scalars, so the features change with the frame of reference.
     ``products="coupled"`` takes all symmetric products of degrees (:func:`graphloom.operators.harmonics.contract`), begins
     with scalars alone and updates each degree by itself: features stay under rotations, and vectors turn.
+    ``products="channels"`` takes every number of the message for a channel of its own: powers, each with a weight. This and the
+    projections to all numbers treat components of vectors as scalars, so the features change with the frame of reference.
 
     ``weights`` has the shapes of :func:`node_shapes`; without it, weights are drawn by ``seed``. A layer is a join of the
     edges with their sources, sums for each target in each batch of edges, and one shuffle of these sums and the atoms. The

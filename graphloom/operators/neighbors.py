@@ -134,13 +134,26 @@ def without_pairs(pairs: DataFrame, excluded: DataFrame) -> DataFrame:
 
 
 def with_ends(edges: DataFrame, atoms: DataFrame, *columns: str, ends: tuple[str, ...] = ("src", "dst")) -> DataFrame:
-    """Edges with atom columns of their ends, as ``<column>_src`` and ``<column>_dst``."""
+    """Edges with atom columns of their ends, as ``<column>_src`` and ``<column>_dst``; an end that is no atom is an error
+    when the row is read."""
     for end in ends:
         own = atoms.select(F.col("graph_id"), F.col("atom_id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
-        edges = edges.join(own, ["graph_id", end])
+        edges = known_join(edges, own, ["graph_id", end], "an edge whose end is no atom")
     return edges
 
 
+def known_join(rows: DataFrame, table: DataFrame, keys: list[str], otherwise: str) -> DataFrame:
+    """``rows`` joined with ``table`` on ``keys``, its columns behind theirs. A row without a match is an error when it is
+    read, never dropped: each column of ``table`` and the last key check for it."""
+    more = [c for c in table.columns if c not in keys]
+    joined = rows.join(table.withColumn("_known", F.lit(True)), keys, "left")
+    # the error is raised where a column is read, so that no column's use is without the check
+    wrong = F.raise_error(F.concat(F.lit(f"{otherwise}: "), F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])))
+    checked = {c: F.when(F.col("_known"), F.col(c)).otherwise(wrong.cast(joined.schema[c].dataType)).alias(c) for c in [keys[-1], *more]}
+    order = [*keys, *[c for c in rows.columns if c not in keys], *more]
+    return joined.select(*[checked.get(c, F.col(c)) for c in order])
+
+
 def lookup(atoms: DataFrame, table: DataFrame, key: str = "z_num") -> DataFrame:
     """Element parameters by key; an element that the table lacks is an error when the row is read."""
     known = table.withColumn("_known", F.lit(True))

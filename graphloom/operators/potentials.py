@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions import physics as ph
+from graphloom.operators.neighbors import known_join
 
 
 def mix_pairs(
@@ -27,7 +28,7 @@ def mix_pairs(
     names = [*rules, *carry]
     for end in ("i", "j"):
         own = params.selectExpr("graph_id", f"atom_id AS {end}", *[f"{n} AS {n}_{end}" for n in names])
-        pairs = pairs.join(own, ["graph_id", end])
+        pairs = known_join(pairs, own, ["graph_id", end], "a pair whose end is no atom")
     kept = ["graph_id", "i", "j", "dx", "dy", "dz", "dist"]
     mixed = [f(F.col(f"{n}_i"), F.col(f"{n}_j")).alias(n) for n, f in rules.items()]
     return pairs.select(*kept, *mixed, *[f"{n}_{e}" for n in carry for e in ("i", "j")])
@@ -115,7 +116,7 @@ def placed_pairs(pairs: DataFrame, atoms: DataFrame) -> DataFrame:
     """Pairs with ``d = pos[i] - pos[j]`` and ``dist`` from the atoms' positions."""
     for end in ("i", "j"):
         own = atoms.select("graph_id", F.col("atom_id").alias(end), *[F.col(a).alias(f"{a}_{end}") for a in "xyz"])
-        pairs = pairs.join(own, ["graph_id", end])
+        pairs = known_join(pairs, own, ["graph_id", end], "a pair whose end is no atom")
     d = {f"d{a}": F.col(f"{a}_i") - F.col(f"{a}_j") for a in "xyz"}
     return pairs.withColumns(d).withColumn("dist", ph.norm((F.col("dx"), F.col("dy"), F.col("dz")))).drop(*[f"{a}_{e}" for a in "xyz" for e in "ij"])
 
@@ -144,8 +145,8 @@ def _bonded_rows(atoms: DataFrame, topology: DataFrame, kinds: DataFrame, n: int
     rows = topology
     for k in range(1, n + 1):
         own = atoms.select("graph_id", F.col("atom_id").alias(f"a{k}"), *[F.col(a).alias(f"{a}{k}") for a in "xyz"])
-        rows = rows.join(own, ["graph_id", f"a{k}"])
-    return rows.join(kinds, "kind")
+        rows = known_join(rows, own, ["graph_id", f"a{k}"], "a term whose atom is not there")
+    return known_join(rows, kinds, ["kind"], "a term of an unknown kind")
 
 
 def _between(a: int, b: int) -> tuple[Column, ...]:
@@ -182,6 +183,17 @@ def bonded_forces(atoms: DataFrame, topology: DataFrame, kinds: DataFrame, what:
     return out.select("graph_id", "atom_id", *[F.coalesce(f"f{a}", F.lit(0.0)).alias(f"f{a}") for a in "xyz"])
 
 
+def bonded_stress(atoms: DataFrame, topology: DataFrame, kinds: DataFrame, what: str, volume: float) -> DataFrame:
+    """``(graph_id, xx, yy, zz, xy, xz, yz)``: slopes of the same energy under a strain of the atoms, over the volume; the
+    gradients of a term add up to nothing, so its first atom can be the origin."""
+    n, value, gradients = BONDED[what]
+    rows = _bonded_rows(atoms, topology, kinds, n).withColumn("slope", F.col("k") * (value() - F.col("x0")))
+    arms = [(_between(1, k), g) for k, g in enumerate(gradients(), 1) if k > 1]
+    axes = [(a, b) for a in range(3) for b in range(a, 3)]
+    parts = {"xyz"[a] + "xyz"[b]: sum((g[a] * arm[b] for arm, g in arms), F.lit(0.0)) * F.col("slope") / volume for a, b in axes}
+    return rows.groupBy("graph_id").agg(*[F.sum(parts[n]).alias(n) for n in ("xx", "yy", "zz", "xy", "xz", "yz")])
+
+
 def conserve_charge(atoms: DataFrame, charge: str, total: Column) -> DataFrame:
     """Charges shifted evenly so that each graph's sum is ``total``. Sums are made before the shuffle and joined
     back, so a graph with most of the atoms is no hot group."""

@@ -665,6 +665,50 @@ def pme_reciprocal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ewald_reciprocal(params_of(spark, sf_dir), box=(1.0, 1.0, 1.0), alpha=3.0)
 
 
+@query()
+def pme_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators.mesh import ewald_reciprocal_forces
+
+    return ewald_reciprocal_forces(params_of(spark, sf_dir), box=(1.0, 1.0, 1.0), alpha=3.0)
+
+
+@query()
+def pme_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators.mesh import ewald_reciprocal_stress
+
+    return ewald_reciprocal_stress(params_of(spark, sf_dir), box=(1.0, 1.0, 1.0), alpha=3.0)
+
+
+@query(f"""WITH {SQL_PARAMS}, f AS (SELECT graph_id, i, j, q_i * q_j * ({SQL_ERFC} / (dist * dist) + exp(-9 * dist * dist) * (6 / sqrt(pi())) / dist) / dist AS s, dx, dy, dz FROM mixed),
+sides AS (SELECT graph_id, i AS atom_id, s * dx AS fx, s * dy AS fy, s * dz AS fz FROM f UNION ALL SELECT graph_id, j, -s * dx, -s * dy, -s * dz FROM f)
+SELECT a.graph_id, a.atom_id, """ + ", ".join(f"{sql_logged(f'coalesce(sum(f{a}), 0)')} AS log_f{a}" for a in "xyz") + """
+FROM atoms a LEFT JOIN sides b ON a.graph_id = b.graph_id AND a.atom_id = b.atom_id GROUP BY a.graph_id, a.atom_id""")
+def pme_direct_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators.potentials import forces
+
+    slope = ph.ewald_direct_slope(F.col("dist"), F.col("q_i"), F.col("q_j"), 3.0)
+    out = forces(mixed_of(spark, sf_dir), slope, atoms_of(spark, sf_dir))
+    return out.select("graph_id", "atom_id", *[logged(F.col(c)).alias(f"log_{c}") for c in ("fx", "fy", "fz")])
+
+
+@query()
+def polarization_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators.kernels import polarization_forces as pulled
+
+    a = params_of(spark, sf_dir).withColumn("alpha", F.lit(0.0001))
+    return pulled(a, edges_of(spark, sf_dir))
+
+
+@query(f"""WITH {SQL_CHAIN}, b AS (SELECT graph_id, x2-x AS bx, y2-y AS by_, z2-z AS bz, k, x0 FROM c JOIN kinds ON kind = (rn - 1) % 3 WHERE a2 IS NOT NULL),
+s AS (SELECT *, k * (sqrt(bx*bx+by_*by_+bz*bz) - x0) / greatest(sqrt(bx*bx+by_*by_+bz*bz), 1e-8) / 8 AS s FROM b)
+SELECT graph_id, round(sum(s*bx*bx), 4) AS xx, round(sum(s*by_*by_), 4) AS yy, round(sum(s*bz*bz), 4) AS zz, round(sum(s*bx*by_), 4) AS xy FROM s GROUP BY graph_id""")
+def bond_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators.potentials import bonded_stress
+
+    out = bonded_stress(*chain_of(spark, sf_dir, 2), "bond", volume=8.0)
+    return out.select("graph_id", *[(r6(n, 4) + 0.0).alias(n) for n in ("xx", "yy", "zz", "xy")])
+
+
 # -- features
 
 
@@ -759,15 +803,24 @@ def allegro_env(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("graph_id", "src", "dst", r6(pooling.environment("y"), 5).alias("env"))
 
 
-@query()
-def mace_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+def node_features(spark: SparkSession, sf_dir: str, products: str, order: int) -> DataFrame:
     from graphloom.operators import encoders
 
-    weights = encoders.weights_table(spark, encoders.seeded_weights(encoders.node_shapes(len(ELEMENTS))))
-    out = encoders.node_encoder(atoms_of(spark, sf_dir), edges_of(spark, sf_dir), cutoff=CUTOFF, species=ELEMENTS, weights=weights, avg_neighbors=64.0)
+    weights = encoders.weights_table(spark, encoders.seeded_weights(encoders.node_shapes(len(ELEMENTS), products=products, order=order)))
+    out = encoders.node_encoder(atoms_of(spark, sf_dir), edges_of(spark, sf_dir), cutoff=CUTOFF, species=ELEMENTS, weights=weights, avg_neighbors=64.0, products=products, order=order)
     return out.select("graph_id", "atom_id", *[r6(F.get("features", F.lit(k)), 5).alias(f"f{k}") for k in (0, 7, 8, 15)], r6(F.get("vectors", F.lit(0)), 5).alias("v0x"))
 
 
+@query()
+def mace_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return node_features(spark, sf_dir, "channels", 2)
+
+
+@query()
+def mace_coupled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return node_features(spark, sf_dir, "coupled", 3)
+
+
 @query()
 def allegro_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.operators import encoders

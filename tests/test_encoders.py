@@ -176,7 +176,7 @@ def plain_edges(pos, z, w, l_max, layers, avg, deep):
 @pytest.mark.parametrize("l_max,layers,order,normalized", [(1, 1, 1, False), (2, 2, 3, False), (1, 2, 2, True)])
 def test_node_encoder_matches_plain_loops(spark, l_max, layers, order, normalized, monkeypatch):
     pos, z = graph()
-    kwargs = {"features": C, "radial": RADIAL, "layers": layers, "l_max": l_max, "order": order, "layer_norm": normalized}
+    kwargs = {"features": C, "radial": RADIAL, "layers": layers, "l_max": l_max, "order": order, "layer_norm": normalized, "products": "channels"}
     w = {k: v * 0.5 for k, v in en.seeded_weights(en.node_shapes(len(SPECIES), **kwargs), 3).items()}
     atoms, edges = tables(spark, pos, z)
     features, vectors = plain_nodes(pos, z, w, l_max, layers, order, 2.0, normalized)
