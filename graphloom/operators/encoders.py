@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from graphloom.operators.harmonics import contract, contraction_shapes, couplings, degree, harmonic_columns, harmonics, paths
 from graphloom.plans.cache import drop_written, written
 
-#: Atoms up to which the node encoder sends their features to all tasks; some dozen MB.
-BROADCAST_ATOMS = 1 << 15
+#: Edges in a file at most.
+EDGE_ROWS = 1 << 14
 #: Rows of one atom that wait at most before they are added up.
 MEET_ROWS = 1 << 14
 #: Numbers in a table of weights at most: it is collected, and sent to all tasks.
@@ -39,8 +39,8 @@ def seeded_weights(shapes: dict[str, tuple[int, ...]], seed: int = 0) -> dict[st
 
 def weights_table(spark: SparkSession, weights: dict[str, np.ndarray]) -> DataFrame:
     """``(name, shape array<int>, value array<double>)``, a row for each matrix."""
-    rows = [(k, list(w.shape), w.ravel().tolist()) for k, w in weights.items()]
-    return spark.createDataFrame(rows, "name string, shape array<int>, value array<double>")
+    shapes = pa.array([list(w.shape) for w in weights.values()], pa.list_(pa.int32()))
+    return spark.createDataFrame(pa.table({"name": list(weights), "shape": shapes, "value": pa.array([w.ravel() for w in weights.values()], pa.list_(pa.float64()))}))
 
 
 def weights_of(table: DataFrame, shapes: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]:
@@ -48,7 +48,8 @@ def weights_of(table: DataFrame, shapes: dict[str, tuple[int, ...]]) -> dict[str
     total = table.agg(F.sum(F.size("value"))).first()[0] or 0
     if total > MAX_WEIGHTS:
         raise ValueError(f"{total} weights are too many to send to all tasks")
-    found = {r.name: np.array(r.value).reshape(r.shape) for r in table.collect()}
+    rows = table.select("name", "shape", "value").toArrow()
+    found = {n.as_py(): np.array(v.values).reshape(s.as_py()) for n, s, v in zip(rows["name"], rows["shape"], rows["value"], strict=True)}
     wrong = [k for k, s in shapes.items() if k not in found or found[k].shape != s]
     if wrong:
         raise ValueError(f"no weights of the right shape for {', '.join(wrong)}")
@@ -162,14 +163,9 @@ def _known(name: str) -> Column:
     return F.coalesce(F.col(name).cast("long"), F.raise_error(F.lit(f"a row without {name}")).cast("long")).alias(name)
 
 
-def _few(atoms: DataFrame):
-    """How to join tables with a row for each atom: by broadcast, if the atoms are few."""
-    return F.broadcast if atoms.count() <= BROADCAST_ATOMS else lambda df: df
-
-
 def _near(edges: DataFrame) -> tuple[DataFrame, str]:
     """The edges, written once: they can be the result of a neighbor join, and are read more than once."""
-    return written(edges.select(_known("graph_id"), _known("src"), _known("dst"), *[F.col(c).cast("double").alias(c) for c in ("dx", "dy", "dz", "dist")]), "edges")
+    return written(edges.select(_known("graph_id"), _known("src"), _known("dst"), *[F.col(c).cast("double").alias(c) for c in ("dx", "dy", "dz", "dist")]), "edges", rows_a_file=EDGE_ROWS)
 
 
 # -- atoms
@@ -345,11 +341,10 @@ def node_encoder(
     spark, paths_written = atoms.sparkSession, []
     near, path = _near(edges)
     paths_written.append(path)
-    few = _few(atoms)
     narrow = atoms.select(_known("graph_id"), _known("atom_id"), F.coalesce(F.col("z_num").cast("int"), F.lit(-1)).alias("z_num"))
     nodes = narrow.mapInArrow(start, NODE_DDL)
     for k in range(layers):
-        joined = near.join(few(nodes.select("graph_id", F.col("atom_id").alias("src"), "h")), ["graph_id", "src"], "left")
+        joined = near.join(nodes.select("graph_id", F.col("atom_id").alias("src"), "h"), ["graph_id", "src"], "left")
         sums = joined.mapInArrow(lambda b, k=k: send(b, k), "graph_id long, atom_id long, sent binary")
         empty = F.lit(None).cast("binary")
         sums = sums.select("graph_id", "atom_id", F.lit(-1).alias("z_num"), F.col("sent").alias("h"), empty.alias("features"), F.lit(False).alias("own"))
@@ -477,12 +472,11 @@ def edge_encoder(
     near, path = _near(edges)
     unit = [F.col(f"d{a}") / (F.col("dist") + 1e-8) for a in "xyz"]
     summed = near.groupBy("graph_id", "src").agg(*[F.sum(h).alias(n) for n, h in zip(y_names, harmonic_columns(*unit, l_max), strict=True)], F.count("*").alias("n"))
-    few = _few(atoms)
     kinds = atoms.select(_known("graph_id"), _known("atom_id"), F.coalesce(F.col("z_num").cast("int"), F.lit(-1)).alias("z_num"))
     # what a source's edges need: its species, and the sums
     sources = kinds.withColumnsRenamed({"atom_id": "src", "z_num": "z_src"}).join(summed, ["graph_id", "src"])
     targets = kinds.withColumnsRenamed({"atom_id": "dst", "z_num": "z_dst"})
-    met = near.join(few(sources), ["graph_id", "src"], "left").join(few(targets), ["graph_id", "dst"], "left")
+    met = near.join(sources, ["graph_id", "src"], "left").join(targets, ["graph_id", "dst"], "left")
     out = met.mapInArrow(encode, "graph_id long, src long, dst long, features array<double>, vectors array<double>")
     out.written_to = [path]
     return out

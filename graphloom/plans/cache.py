@@ -69,6 +69,14 @@ def source_id(kind: str, version: str, total: int | None = None, targets: list[s
     return ":".join(parts)
 
 
+def content_id(df: DataFrame) -> str:
+    """What a table holds, whatever its path and the order of its rows: its columns, and the number and the summed hashes of
+    its rows. One pass over the table."""
+    h = F.xxhash64(*[F.coalesce(F.to_json(F.struct(c)), F.lit("null")) for c in df.columns]) if df.columns else F.lit(0)
+    row = df.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(20,0)")).alias("s"), F.bit_xor(h).alias("x")).first()
+    return "content:" + hashlib.sha256(f"{df.schema.simpleString()}|{row.n}|{row.s}|{row.x}".encode()).hexdigest()[:16]
+
+
 def memory_id(name: str, n: int) -> str:
     return f"memory:{name}:{n}"
 
@@ -84,8 +92,8 @@ FORMAT_VERSION = 1
 
 
 def run_cached(spec: PipelineSpec, source: DataFrame, source_key: str, *, fit_source: DataFrame | None = None, fit_key: str | None = None, overwrite: bool = False) -> DataFrame:
-    """The result of a pipeline through a cache named by the pipeline, the source and what its tasks were fitted on
-    (the source itself by default); the fitted states are stored beside it, and restored when it is read again."""
+    """The result of a pipeline through a cache named by the pipeline (with what each task does and its options), the source
+    and what its tasks were fitted on (the source itself by default); the fitted states are stored beside it, and restored when it is read again."""
     spark = source.sparkSession
     path = f"{cache_root(spark)}/{cache_key(spec.id, source_key, fit_key or source_key)}"
     if overwrite or not is_ready(spark, f"{path}/states"):
@@ -104,11 +112,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{cache_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` through a Parquet table of its own, so that its lineage ends there, and the table's path."""
+def written(df: DataFrame, name: str, *, rows_a_file: int = 0) -> tuple[DataFrame, str]:
+    """``df`` through a Parquet table of its own, so that its lineage ends there, and the table's path. Files of at most
+    ``rows_a_file`` rows let a small table with much work for each row be read by many tasks."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -19,7 +19,7 @@ class AtomicDress:
     elements: list[str | int]
     target: str
     counts: list[str]
-    energies: dict = field(default_factory=dict)
+    energies: dict = field(default_factory=dict, compare=False)
 
     def fit(self, df: DataFrame) -> DataFrame:
         k = len(self.counts)
@@ -53,7 +53,7 @@ class MeanShift:
     """Takes the mean of a column off it."""
 
     column: str
-    mean: float = 0.0
+    mean: float = field(default=0.0, compare=False)
 
     def fit(self, df: DataFrame) -> DataFrame:
         out = df.agg(F.coalesce(F.avg(self.column), F.lit(0.0)).alias("mean"))

@@ -125,9 +125,10 @@ def target_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_ATOMS} SELECT graph_id, atom_id, z_num, x, y, z FROM atoms")
 def cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphloom.plans.cache import cached
+    from graphloom.plans.cache import cached, content_id
 
-    return cached(atoms_of(spark, sf_dir), ["embeddings", sf_dir, "atoms-v1"])
+    atoms = atoms_of(spark, sf_dir)
+    return cached(atoms, [content_id(atoms), "atoms-v1"])
 
 
 @query("SELECT p_partkey, substr(sha256('part|v1|' || p_partkey || '|' || p_brand), 1, 12) AS key FROM part")
@@ -1322,7 +1323,7 @@ def custom_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH t AS (SELECT o_orderkey, o_totalprice / 1000 + 1 AS energy, o_orderkey % 10 = 0 AS fit FROM orders)
 SELECT o_orderkey, round(energy - (SELECT avg(energy) FROM t WHERE fit), 5) AS energy FROM t""")
 def cached_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphloom.plans.cache import run_cached, source_id
+    from graphloom.plans.cache import content_id, run_cached
     from graphloom.plans.pipeline import Pipeline
     from graphloom.plans.tasks import MeanShift
 
@@ -1334,8 +1335,8 @@ def cached_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         return df.withColumn("energy", F.col("energy") + 1)
 
     spec = pipeline.add(MeanShift("energy"), "mean").build()
-    key = source_id(f"orders-{sf_dir}", "1")
-    out = run_cached(spec, orders, key, fit_source=orders.filter("o_orderkey % 10 = 0"), fit_key=f"{key}:tenth", overwrite=True)
+    key = content_id(orders)
+    out = run_cached(spec, orders, key, fit_source=orders.filter("o_orderkey % 10 = 0"), fit_key=f"{key}:tenth")
     # fitted states move to another pipeline of the same tasks
     again = Pipeline("other").add(MeanShift("energy"), "mean").build()
     again.load(spec.states())

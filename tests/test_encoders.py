@@ -174,18 +174,19 @@ def plain_edges(pos, z, w, l_max, layers, avg, deep):
 
 
 @pytest.mark.parametrize("l_max,layers,order,normalized", [(1, 1, 1, False), (2, 2, 3, False), (1, 2, 2, True)])
-def test_node_encoder_matches_plain_loops(spark, l_max, layers, order, normalized, monkeypatch):
+def test_node_encoder_matches_plain_loops(spark, l_max, layers, order, normalized):
     pos, z = graph()
     kwargs = {"features": C, "radial": RADIAL, "layers": layers, "l_max": l_max, "order": order, "layer_norm": normalized, "products": "channels"}
     w = {k: v * 0.5 for k, v in en.seeded_weights(en.node_shapes(len(SPECIES), **kwargs), 3).items()}
     atoms, edges = tables(spark, pos, z)
     features, vectors = plain_nodes(pos, z, w, l_max, layers, order, 2.0, normalized)
-    for limit in (en.BROADCAST_ATOMS, 0):
-        monkeypatch.setattr(en, "BROADCAST_ATOMS", limit)
+    for limit in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
         rows = en.node_encoder(atoms, edges, cutoff=CUTOFF, species=SPECIES, weights=en.weights_table(spark, w), avg_neighbors=2.0, **kwargs).collect()
         assert len(rows) == len(z)
         for r in rows:
             assert r.features == pytest.approx(features[r.atom_id], rel=1e-8, abs=1e-10) and r.vectors == pytest.approx(vectors[r.atom_id], rel=1e-8, abs=1e-10)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 @pytest.mark.parametrize("l_max,layers,avg,deep", [(1, 1, None, False), (2, 2, 3.0, False), (2, 2, None, True)])

@@ -142,3 +142,42 @@ def test_streams_of_nothing_and_of_files_that_come_later(spark, tmp_path):
     assert got == {"a": (2, 4.0, 3.0), "b": (1, 2.0, 2.0)}
     flat = parquet_stream(spark, path).filter("v > 1")
     assert sorted(r.v for r in run_available(flat, "append").collect()) == [2.0, 3.0]
+
+
+def test_ids_of_pipelines_hold_what_tasks_do(spark):
+    def plus(df):
+        return df.withColumn("a", F.col("a") + 1)
+
+    def build(*tasks, name="p"):
+        p = Pipeline(name)
+        for t in tasks:
+            p.add(*t) if isinstance(t, tuple) else p.add(t)
+        return p.build().id
+
+    assert build(MeanShift("a"), plus) == build(MeanShift("a"), plus)
+    others = [
+        build(MeanShift("b"), plus), build(plus, MeanShift("a")), build(MeanShift("a"), (plus, None, "2")), build(MeanShift("a"), plus, name="q"),
+        build(AtomicDress([1], "e", ["h"])), build(AtomicDress([6], "e", ["h"])), build(AtomicDress([1, 6], "e", ["h", "c"])), build(AtomicDress([1], "f", ["h"])),
+    ]
+    assert len({build(MeanShift("a"), plus), *others}) == 9
+    fitted = MeanShift("a")
+    fitted.mean = 7.0
+    assert build(fitted) == build(MeanShift("a"))
+    with pytest.raises(ValueError, match="version"):
+        build(lambda df: df)
+    assert build((lambda df: df, "same", "1")) != build((lambda df: df, "same", "2"))
+
+
+def test_caches_of_pipelines_with_other_options_are_apart(spark):
+    df = spark.createDataFrame([(1.0, 5.0), (3.0, 9.0)], "a double, b double")
+    for column, want in (("a", [(-1.0, 5.0), (1.0, 9.0)]), ("b", [(1.0, -2.0), (3.0, 2.0)]), ("a", [(-1.0, 5.0), (1.0, 9.0)])):
+        out = cache.run_cached(Pipeline("apart").add(MeanShift(column), "shift").build(), df, "memory:apart:2")
+        assert sorted(map(tuple, out.collect())) == want
+
+
+def test_content_ids(spark):
+    df = spark.createDataFrame([(1, [1.0]), (2, None), (2, None)], "a int, b array<double>")
+    same = df.repartition(3).orderBy(F.desc("a"))
+    assert cache.content_id(df) == cache.content_id(same)
+    others = [df.distinct(), df.withColumnRenamed("a", "c"), df.withColumn("a", F.col("a") + 1), df.withColumn("b", F.array(F.lit(2.0))), df.withColumn("a", F.col("a").cast("long")), df.limit(0)]
+    assert len({cache.content_id(d) for d in [df, *others]}) == 7
