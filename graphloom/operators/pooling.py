@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.operators.neighbors import with_ends
+from graphloom.plans.cache import written
 
 
 def dense(grouped: DataFrame, spine: DataFrame, keys: list[str], fill: dict[str, float]) -> DataFrame:
@@ -81,7 +81,11 @@ def messages(edges: DataFrame, atoms: DataFrame, sent: dict[str, str], weight: C
     return edge_to_node(weighted, atoms, list(sent), "sum")
 
 
-def environment(value: str) -> Column:
-    """The sum of an edge column over all edges of the source, over the root of their number."""
-    w = W.partitionBy("graph_id", "src")
-    return F.sum(value).over(w) / F.sqrt(F.greatest(F.count("*").over(w), F.lit(1)))
+def environments(edges: DataFrame, value: str, name: str) -> DataFrame:
+    """Edges with the sum of a column over all edges of their source, over the root of their number. The edges are written, summed
+    by source before the shuffle, and joined with the sums; ``written_to`` on the result has the path that can be dropped after use."""
+    rows, path = written(edges, "edges")
+    own = rows.groupBy("graph_id", "src").agg(F.sum(value).alias("_sum"), F.count("*").alias("_n"))
+    out = rows.join(own, ["graph_id", "src"]).withColumn(name, F.col("_sum") / F.sqrt("_n")).drop("_sum", "_n")
+    out.written_to = [path]
+    return out

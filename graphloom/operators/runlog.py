@@ -1,4 +1,4 @@
-"""Run logs: windows over a long table of metrics, and the routing of its rows to sinks."""
+"""Run logs: what rows of a long table of metrics tell beside those before them, and the routing of rows to sinks."""
 
 from __future__ import annotations
 
@@ -6,36 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.operators.ordered import largest, last_known, least, looking_back, number, previous
+
 
 def under(name: Column, prefix: str) -> Column:
     """Whether a dotted name is the prefix or lies below it."""
     return (name == prefix) | name.startswith(prefix + ".")
 
 
-def running_mean(df: DataFrame, by: list[str], order: list[str], value: str) -> Column:
-    return F.avg(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-
-
 def is_best(by: list[str], order: list[str], value: str, mode: str = "min") -> Column:
-    """Strictly better than all before; the first of a group is the best so far."""
+    """Strictly better than all before; the first of a group is the best so far. A window over each group, for groups that
+    fit in a task; :func:`best_so_far` has no such limit."""
     before = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    if mode == "min":
-        return F.coalesce(F.col(value) < F.min(value).over(before), F.lit(True))
-    return F.coalesce(F.col(value) > F.max(value).over(before), F.lit(True))
+    return _better(F.col(value), (F.min if mode == "min" else F.max)(value).over(before), mode)
+
+
+def _better(value: Column, best: Column, mode: str) -> Column:
+    return F.coalesce(value < best if mode == "min" else value > best, F.lit(True))
+
+
+def best_so_far(df: DataFrame, by: list[str], order: list[str], value: str, mode: str = "min", name: str = "best") -> DataFrame:
+    """``df`` with whether a row is strictly better than all before it; the first of a group is."""
+    found = looking_back(df, by, order, {"_best": (least if mode == "min" else largest)(value)})
+    return found.withColumn(name, _better(F.col(value), F.col("_best"), mode)).drop("_best")
 
 
-def changed(by: list[str], order: list[str], value: str) -> Column:
-    """Whether a value differs from the row before (the first row counts as a change)."""
-    return ~F.col(value).eqNullSafe(F.lag(value).over(W.partitionBy(*by).orderBy(*order))) | (F.row_number().over(W.partitionBy(*by).orderBy(*order)) == 1)
+def changes(df: DataFrame, by: list[str], order: list[str], value: str, name: str = "changed") -> DataFrame:
+    """``df`` with whether a value differs from that of the row before (the first row counts as a change)."""
+    found = looking_back(df, by, order, {"_before": previous(value)})
+    return found.withColumn(name, F.col("_before").isNull() | ~F.col(value).eqNullSafe(F.col("_before.value"))).drop("_before")
 
 
 def step_speed(df: DataFrame, by: list[str], order: list[str], ts: str, window: int) -> DataFrame:
     """Steps per second in windows of ``window`` steps; the clock of a window starts at the last step before
     it, or at its own first step."""
-    w = W.partitionBy(*by).orderBy(*order)
-    rows = df.withColumn("_window", F.floor((F.row_number().over(w) - 1) / window)).withColumn("_before", F.lag(ts).over(w))
+    rows = looking_back(df.select(*dict.fromkeys([*by, *order, ts])), by, order, {"_step": number(), "_before": previous(ts)})
+    rows = rows.withColumn("_window", F.floor(F.col("_step") / window))
     grouped = rows.groupBy(*by, F.col("_window").alias("window")).agg(
-        F.count("*").alias("steps"), F.max(ts).alias("_end"), F.coalesce(F.min("_before"), F.min(ts)).alias("_start")
+        F.count("*").alias("steps"), F.max(ts).alias("_end"), F.coalesce(F.min("_before.value"), F.min(ts)).alias("_start")
     )
     end, start = (F.unix_micros(F.col(c).cast("timestamp")) / 1e6 for c in ("_end", "_start"))
     seconds = end - start
@@ -78,8 +86,8 @@ def sinks(channel: Column, kind: Column, level: Column, *, metrics: str = "metri
 def first_headers(rows: DataFrame, by: list[str], order: list[str], kind: str = "kind", columns: str = "columns") -> DataFrame:
     """Rows without the headers whose columns are those of the header before; other rows pass untouched."""
     header = F.col(kind).eqNullSafe(F.lit("header"))
-    before = F.last(F.when(header, F.col(columns)), ignorenulls=True).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
-    return rows.withColumn("_before", before).filter(~header | ~F.col(columns).eqNullSafe(F.col("_before"))).drop("_before")
+    found = looking_back(rows, by, order, {"_before": last_known(F.when(header, F.col(columns)))})
+    return found.filter(~header | ~F.col(columns).eqNullSafe(F.col("_before"))).drop("_before")
 
 
 def csv_field(value: Column) -> Column:
@@ -121,9 +129,8 @@ def tracked_scalars(long: DataFrame, prefixes: list[str], every: int = 1) -> Dat
 
 def kept_checkpoints(steps: DataFrame, by: list[str], order: list[str], value: str, *, every: int, mode: str = "min") -> DataFrame:
     """Rows with why a checkpoint of their step is kept: ``best`` so far, ``periodic``, or the ``last`` of its run."""
-    w = W.partitionBy(*by).orderBy(*order)
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    place = F.row_number().over(w)
-    last = place == F.count("*").over(whole)
-    why = F.array_compact(F.array(F.when(is_best(by, order, value, mode), F.lit("best")), F.when(place % every == 0, F.lit("periodic")), F.when(last, F.lit("last"))))
-    return steps.withColumn("kept_as", why).filter(F.size("kept_as") > 0)
+    found = looking_back(steps, by, order, {"_place": number(), "_best": (least if mode == "min" else largest)(value)}, sizes="_size")
+    place = F.col("_place") + 1
+    best = _better(F.col(value), F.col("_best"), mode)
+    why = F.array_compact(F.array(F.when(best, F.lit("best")), F.when(place % every == 0, F.lit("periodic")), F.when(place == F.col("_size"), F.lit("last"))))
+    return found.withColumn("kept_as", why).filter(F.size("kept_as") > 0).drop("_place", "_best", "_size")

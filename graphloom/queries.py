@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions import features as ft
 from graphloom.functions import physics as ph
 from graphloom.operators import collate, columns, metrics, neighbors, pooling, runlog
+from graphloom.operators.ordered import looking_back, number
 from graphloom.schema import GraphBatch
 from graphloom.session import table
 
@@ -445,28 +445,22 @@ def running_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, user_id, value FROM (SELECT *, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events)
 WHERE best IS NULL OR value < best""")
 def best_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphloom.operators.runlog import is_best
-
-    e = table(spark, sf_dir, "events").withColumn("best", is_best(["user_id"], ["ts", "event_id"], "value"))
+    e = runlog.best_so_far(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")
     return e.filter("best").select("event_id", "user_id", "value")
 
 
 @query("""SELECT event_id, event_type FROM (SELECT *, lag(event_type) OVER w AS prior, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 WHERE rn = 1 OR prior IS DISTINCT FROM event_type""")
 def epoch_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphloom.operators.runlog import changed
-
-    e = table(spark, sf_dir, "events").withColumn("new", changed(["user_id"], ["ts", "event_id"], "event_type"))
-    return e.filter("new").select("event_id", "event_type")
+    e = runlog.changes(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+    return e.filter("changed").select("event_id", "event_type")
 
 
 @query("""WITH c AS (SELECT event_id, user_id, ts, event_type IN ('click', 'view') AS wide FROM events)
 SELECT event_id, wide FROM (SELECT *, lag(wide) OVER w AS prior, row_number() OVER w AS rn FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE rn = 1 OR prior <> wide""")
 def header_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphloom.operators.runlog import changed
-
     e = table(spark, sf_dir, "events").withColumn("wide", F.col("event_type").isin("click", "view"))
-    return e.withColumn("new", changed(["user_id"], ["ts", "event_id"], "wide")).filter("new").select("event_id", "wide")
+    return runlog.changes(e, ["user_id"], ["ts", "event_id"], "wide").filter("changed").select("event_id", "wide")
 
 
 @query("SELECT event_id, event_id % 50 = 0 AS unshifted FROM events WHERE (event_id + 1) % 25 = 0 OR event_id % 50 = 0")
@@ -603,11 +597,14 @@ kinds(kind, k, x0) AS (VALUES (0, 10.0::DOUBLE, 0.3::DOUBLE), (1, 20.0, 0.4), (2
 
 def chain_of(spark: SparkSession, sf_dir: str, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Atoms, a topology of ``n`` consecutive atoms with a kind, and the kinds' parameters."""
-    w = W.partitionBy("graph_id").orderBy("atom_id")
     a = atoms_of(spark, sf_dir)
-    top = a.select("graph_id", F.col("atom_id").alias("a1"), *[F.lead("atom_id", k).over(w).alias(f"a{k + 1}") for k in range(1, n)], ((F.row_number().over(w) - 1) % 3).alias("kind"))
+    placed = looking_back(a.select("graph_id", "atom_id"), ["graph_id"], ["atom_id"], {"at": number()})
+    top = placed.select("graph_id", F.col("atom_id").alias("a1"), "at")
+    for k in range(1, n):
+        top = top.join(placed.select("graph_id", F.col("atom_id").alias(f"a{k + 1}"), (F.col("at") - k).alias("at")), ["graph_id", "at"])
+    top = top.withColumn("kind", (F.col("at") % 3).cast("int")).drop("at")
     kinds = spark.createDataFrame([(0, 10.0, 0.3), (1, 20.0, 0.4), (2, 15.0, 0.35)], "kind int, k double, x0 double")
-    return a, top.filter(F.col(f"a{n}").isNotNull()), kinds
+    return a, top, kinds
 
 
 @query(f"""WITH {SQL_CHAIN} SELECT graph_id, round(sum(0.5::DOUBLE * k * pow(sqrt((x2-x)*(x2-x) + (y2-y)*(y2-y) + (z2-z)*(z2-z)) - x0, 2)), 4) AS energy
@@ -801,7 +798,7 @@ def message_aggregation(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT graph_id, src, dst, round(sum(yx) OVER w / sqrt(greatest(count(*) OVER w, 1)), 5) AS env FROM y WINDOW w AS (PARTITION BY graph_id, src)""")
 def allegro_env(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges_of(spark, sf_dir).withColumn("y", F.col("dx") / (F.col("dist") + 1e-8))
-    return e.select("graph_id", "src", "dst", r6(pooling.environment("y"), 5).alias("env"))
+    return pooling.environments(e, "y", "env").select("graph_id", "src", "dst", r6("env", 5).alias("env"))
 
 
 def node_features(spark: SparkSession, sf_dir: str, products: str, order: int) -> DataFrame:
@@ -1262,11 +1259,12 @@ def rotate_irreps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return atoms_of(spark, sf_dir).select("atom_id", *[r6(out[k]).alias(n) for k, n in ((0, "s0"), (1, "v0x"), (4, "v1y"), (5, "v0z"))])
 
 
-@query("SELECT vec_id, CAST(len(list_distinct([label % 3, label % 2, label % 5])) AS DOUBLE) AS n FROM embeddings")
+@query("""SELECT vec_id, CAST(len(list_distinct([label % 3, label % 2, label % 5])) AS DOUBLE) AS n,
+(label % 3) || CASE WHEN label % 2 <> label % 3 THEN ',' || (label % 2) ELSE '' END || CASE WHEN label % 5 NOT IN (label % 3, label % 2) THEN ',' || (label % 5) ELSE '' END AS names FROM embeddings""")
 def ordered_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.col("label")
     names = columns.distinct_in_order(F.array(label % 3, label % 2, label % 5))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(names).cast("double").alias("n"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(names).cast("double").alias("n"), F.array_join(names.cast("array<string>"), ",").alias("names"))
 
 
 # -- schemas, pipelines, small things
