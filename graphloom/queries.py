@@ -370,10 +370,18 @@ def capacity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.5), 6) AS p50,
 round(quantile_cont(value, 0.95), 6) AS p95, min(value) AS min, max(value) AS max FROM events GROUP BY event_type""")
 def timing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = table(spark, sf_dir, "events").groupBy("event_type").agg(*metrics.value_stats(F.col("value")))
+    out = metrics.value_table(table(spark, sf_dir, "events").select("event_type", "value"), ["event_type"], "value")
     return out.select("event_type", *[r6(c).alias(c) for c in ("mean", "std", "p50", "p95")], "min", "max")
 
 
+@query("""SELECT event_type, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.999), 6) AS p999
+FROM events GROUP BY event_type""")
+def percentiles_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_type", "value")
+    out = metrics.percentiles(events, ["event_type"], "value", {"p10": 0.1, "p50": 0.5, "p999": 0.999}, task_values=256)
+    return out.select("event_type", *[r6(c).alias(c) for c in ("p10", "p50", "p999")])
+
+
 @query("SELECT l_returnflag, round(avg(l_quantity) / avg(l_tax), 6) AS per_second FROM lineitem GROUP BY l_returnflag")
 def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(r6(metrics.throughput(F.col("l_quantity"), F.col("l_tax"))).alias("per_second"))
@@ -894,6 +902,29 @@ def kept_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.array_join("kept_as", ",").alias("kept_as"))
 
 
+@query("""SELECT event_id, user_id, value, coalesce(value < best, true) AS best, rn = 1 OR prior IS DISTINCT FROM event_type AS changed FROM (SELECT *, row_number() OVER w AS rn, lag(event_type) OVER w AS prior,
+min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""")
+def stream_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.streaming.metrics import parquet_stream, run_available
+    from graphloom.streaming.runlog import tracked
+
+    events = parquet_stream(spark, f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "value", "event_type")
+    out = run_available(tracked(events, ["user_id"], ["ts", "event_id"], best="value", watched="event_type"), "append")
+    return out.select("event_id", "user_id", "value", "best", "changed")
+
+
+@query("""WITH n AS (SELECT *, CAST(floor((row_number() OVER w - 1) / 10) AS BIGINT) AS win, lag(ts) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT user_id, win, count(*) AS steps, epoch_us(max(ts)) / 1e6 - epoch_us(coalesce(min(before), min(ts))) / 1e6 AS seconds FROM n GROUP BY user_id, win)
+SELECT user_id, win AS window, steps, round(seconds, 3) AS seconds, round(CASE WHEN seconds > 0 THEN steps / seconds ELSE 0 END, 6) AS speed FROM g WHERE steps = 10""")
+def stream_step_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.streaming.metrics import parquet_stream, run_available
+    from graphloom.streaming.runlog import step_speed as speed
+
+    events = parquet_stream(spark, f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id")
+    out = run_available(speed(events, ["user_id"], ["ts", "event_id"], "ts", 10), "append")
+    return out.select("user_id", "window", "steps", r6("seconds", 3).alias("seconds"), r6("speed").alias("speed"))
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total, max(value) AS largest FROM events GROUP BY event_type")
 def stream_running_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.streaming.metrics import parquet_stream, run_available, summaries
@@ -1251,6 +1282,17 @@ def metrics_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(r6("mae", 5).alias("mae"), r6("mse", 4).alias("mse"), r6("rmse", 5).alias("rmse"))
 
 
+@query(f"""WITH {SQL_PRED}, q AS (SELECT l_returnflag, pred + 1000000000 AS p, target + 1000000000 AS t FROM p WHERE pred IS NOT NULL AND target IS NOT NULL)
+SELECT round(1 - sum((p - t) * (p - t)) / (var_pop(t) * count(*)), 5) AS r2, round(avg((round(p, 0) = round(t, 0))::INTEGER), 6) AS near FROM q""")
+def metrics_merged_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    far = predictions(spark, sf_dir).select("l_returnflag", (F.col("pred") + 1e9).alias("p"), (F.col("target") + 1e9).alias("t"))
+    out = metrics.merged(metrics.mergeable(far, "p", "t", ["l_returnflag"]))
+    whole = far.select("l_returnflag", F.round("p", 0).alias("p"), F.round("t", 0).alias("t"))
+    near = metrics.merged(metrics.mergeable(whole, "p", "t", ["l_returnflag"]))
+    one = F.lit(1).alias("one")
+    return out.select(one, r6("r2", 5).alias("r2")).join(near.select(one, r6("accuracy").alias("near")), "one").drop("one")
+
+
 @query(f"WITH {SQL_ATOMS} SELECT atom_id, round(x, 6) AS s0, round(x * cos(0.7::DOUBLE) - y * sin(0.7::DOUBLE), 6) AS v0x, round(x * sin(0.7::DOUBLE) + z * cos(0.7::DOUBLE), 6) AS v1y, round(z, 6) AS v0z FROM atoms")
 def rotate_irreps(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y, z = F.col("x"), F.col("y"), F.col("z")
