@@ -138,13 +138,40 @@ def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", key_column(F.lit("part"), F.lit("v1"), "p_partkey", "p_brand").alias("key"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 8, 0.0::DOUBLE, -1.5::DOUBLE, 0.25::DOUBLE), (1, 1, 1, 1.0, 2e-6, 0.5), (2, 0, 6, 3.5, 0.0, -2.0)) t(graph_id, atom_id, z_num, x, y, z)")
+@query("""WITH k AS (SELECT unnest([0, 1, 2]) AS k) SELECT vec_id AS graph_id, CAST(k AS BIGINT) AS atom_id, CAST(list_extract([6, 1, 8], k + 1) AS INTEGER) AS z_num,
+round(CAST(embedding[3*k + 1] AS DOUBLE), 6) AS x, round(CAST(embedding[3*k + 2] AS DOUBLE), 6) AS y, round(CAST(embedding[3*k + 3] AS DOUBLE), 6) AS z, CAST(label AS DOUBLE) AS gap FROM embeddings, k""")
 def xyz_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphloom.sources.molecules import read_xyz
+    from graphloom.sources.molecules import parse_xyz
 
-    header = "gdb {} " + " ".join(["1.0"] * 15)
-    records = ["2\n" + header.format(1) + "\nO 0.0 -1.5 0.25 -0.1\nH 1.0 2.*^-6 0.5 0.2\n0 0", "1\n" + header.format(2) + "\nC 3.5 0.0 -2.0 0.0\n0"]
-    return read_xyz(spark, text_files(spark, records)).select("graph_id", "atom_id", "z_num", "x", "y", "z")
+    def atom(symbol: str, k: int) -> Column:
+        places = [F.replace(F.get("embedding", F.lit(3 * k + i)).cast("double").cast("string"), F.lit("E"), F.lit("*^")) for i in range(3)]
+        return F.concat_ws("\t", F.lit(symbol), *places, F.lit("0.1"))
+
+    props = [F.col("label").cast("string") if k == 7 else F.lit("1.0") for k in range(15)]
+    lines = [F.lit("3"), F.concat_ws(" ", F.lit("gdb"), "vec_id", *props), *[atom(s, k) for k, s in enumerate("CHO")], F.lit("0 0")]
+    records = table(spark, sf_dir, "embeddings").select(F.concat_ws("\n", *lines).alias("value"))
+    atoms = parse_xyz(records, targets=["gap"])
+    return atoms.select("graph_id", "atom_id", "z_num", *[r6(a).alias(a) for a in "xyz"], F.col("targets.gap").alias("gap"))
+
+
+@query(f"""WITH {SQL_ATOMS}, n AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY atom_id) - 1 AS k FROM atoms)
+SELECT graph_id, CAST(k AS BIGINT) AS atom_id, z_num, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(-x, 6) AS fx FROM n""")
+def extended_xyz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atoms written as frames of text, a graph in each, and read again."""
+    from graphloom.plans.cache import new_path
+    from graphloom.sources.molecules import SYMBOLS, read_extended_xyz
+
+    a = atoms_of(spark, sf_dir)
+    symbol = F.create_map(*[F.lit(x) for z in ELEMENTS for x in (z, next(s for s, k in SYMBOLS.items() if k == z))])
+    row = F.concat_ws(" ", F.try_element_at(symbol, F.col("z_num")), "x", "y", "z", -F.col("x"), F.lit("0.0"), F.lit("0.0"))
+    rows = a.select("graph_id", F.lit(2).alias("part"), "atom_id", row.alias("value"))
+    heads = a.groupBy("graph_id").agg(F.count("*").alias("n"))
+    heads = heads.select("graph_id", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.col("n").cast("string").alias("value")), F.struct(F.lit(1).alias("part"), F.concat(F.lit("pbc=F energy="), "graph_id").alias("value")))).alias("h"))
+    text = rows.unionByName(heads.select("graph_id", "h.part", F.lit(0).cast("long").alias("atom_id"), "h.value"))
+    path = new_path(spark, "frames")
+    text.repartitionByRange("graph_id").sortWithinPartitions("graph_id", "part", "atom_id").select("value").write.text(path)
+    out = read_extended_xyz(spark, path)
+    return out.select(F.col("energy").cast("long").alias("graph_id"), "atom_id", "z_num", *[r6(c).alias(c) for c in ("x", "y", "z", "fx")])
 
 
 @query("SELECT * FROM (VALUES ('elements', 'atom'), ('positions', 'atom'), ('total', 'graph'), ('partners', 'edge')) t(name, level)")
@@ -1337,13 +1364,13 @@ def batch_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.pipe(lambda b: GraphBatch(b.atoms.select("graph_id", "atom_id"))).atoms.groupBy("graph_id").agg(F.count("*").alias("num_atoms"))
 
 
-@query("""WITH g AS (SELECT 0.2::DOUBLE * i / 4096 AS r FROM range(1, 4097) t(i)), k AS (SELECT unnest([1, 2, 3, 4]) AS k),
-p AS (SELECT k, sqrt(2 / 0.2::DOUBLE) * sin(k * pi() * r / 0.2::DOUBLE) / (r + 1e-8) AS phi FROM g, k)
-SELECT CAST(k AS INTEGER) AS k, round(avg(phi), 6) AS mean, round(stddev_samp(phi), 6) AS std FROM p GROUP BY k""")
+@query(f"""WITH {SQL_HALF}, k AS (SELECT unnest([1, 2, 3, 4]) AS k), p AS (SELECT k, sqrt(2 / 0.2::DOUBLE) * sin(k * pi() * dist / 0.2::DOUBLE) / (dist + 1e-8) AS phi FROM half, k)
+SELECT CAST(k AS INTEGER) AS k, round(avg(phi), 5) AS mean, round(stddev_samp(phi), 5) AS std FROM p GROUP BY k""")
 def bessel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mean, std = ft.bessel_statistics(CUTOFF, 4)
-    rows = spark.createDataFrame([(k, m, s) for k, (m, s) in enumerate(zip(mean, std, strict=True), 1)], "k int, mean double, std double")
-    return rows.select("k", r6("mean").alias("mean"), r6("std").alias("std"))
+    basis = pairs_of(spark, sf_dir).select(*[c.alias(f"b{k}") for k, c in enumerate(ft.bessel(F.col("dist"), CUTOFF, 4), 1)])
+    row = basis.agg(*[F.struct(F.avg(f"b{k}").alias("mean"), F.stddev_samp(f"b{k}").alias("std")).alias(f"b{k}") for k in range(1, 5)])
+    listed = F.array(*[F.struct(F.lit(k).alias("k"), r6(f"b{k}.mean", 5).alias("mean"), r6(f"b{k}.std", 5).alias("std")) for k in range(1, 5)])
+    return row.select(F.inline(listed))
 
 
 @query("SELECT r_regionkey AS l_max, '16x0e' || CASE WHEN r_regionkey >= 1 THEN ' + 16x1o' ELSE '' END || CASE WHEN r_regionkey >= 2 THEN ' + 16x2e' ELSE '' END || CASE WHEN r_regionkey >= 3 THEN ' + 16x3o' ELSE '' END || CASE WHEN r_regionkey >= 4 THEN ' + 16x4e' ELSE '' END AS names FROM region")

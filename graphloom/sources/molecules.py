@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import io
+import struct
 import tarfile
+import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from graphloom.operators.collate import sample
+from graphloom.plans.cache import written
 
 #: The symbols of the elements, in the order of their atomic numbers from 1.
 ELEMENTS = """
@@ -94,8 +103,131 @@ def exclusion_ids(files: DataFrame, text: str = "value", header: int = 9, traile
     return files.select(F.explode(body).alias("line")).select(F.get(F.split(F.trim("line"), r"\s+"), F.lit(0)).cast("long").alias("id"))
 
 
+def archived_records(spark: SparkSession, path: str, suffix: str = ".xyz") -> DataFrame:
+    """``(name, value)``: the text members of tar archives (compressed or not) that Spark can read, sorted by no name; an archive is a
+    task, and nothing passes through the driver."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for content in part["content"]:
+                names, values = [], []
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as f:
+                    for member in f:
+                        if member.isfile() and member.name.endswith(suffix):
+                            names.append(member.name)
+                            values.append(f.extractfile(member).read().decode())
+                        if len(names) == RECORDS:
+                            yield pd.DataFrame({"name": names, "value": values})
+                            names, values = [], []
+                yield pd.DataFrame({"name": names, "value": values})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "name string, value string")
+
+
+#: Records in a batch at most; splits of text files, of which a row each is sent to all tasks.
+RECORDS, MAX_SPLITS = 1024, 1 << 20
+
+FRAMES_DDL = "file string, frame long, atom_id long, z_num int, x double, y double, z double, fx double, fy double, fz double, energy double"
+
+
+def _energy(comment: str) -> float | None:
+    found = [t.partition("=")[2] for t in comment.split() if t.startswith("energy=")]
+    return float(found[0]) if found else None
+
+
+def read_extended_xyz(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Frames of ``symbol x y z fx fy fz`` rows with ``energy=`` on the comment line, from files of any size that Spark can read:
+    ``(file, frame, atom_id, z_num, x, y, z, fx, fy, fz, energy)``, frames numbered within their file.
+
+    A file is read in the splits of Spark's text reader, by two passes. The first counts each split's lines and frames, and keeps what
+    it knows of its last frame; a line that is a number alone begins a frame, since a comment without an energy is an error.
+    Added up over the splits of a file, that tells the second pass at which line and in which frame a split begins. Its atoms
+    need no shuffle. A frame with too few or too many rows, in whichever splits, is an error."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+    def starts(values: list[str]) -> list[int]:
+        return [i for i, v in enumerate(values) if v.strip().isdigit()]
+
+    def split_runs(part: pd.DataFrame) -> Iterator[tuple[str, int, pd.DataFrame]]:
+        """The stretches of a batch that lie in one split."""
+        change = np.flatnonzero((part["block"].diff().fillna(0) != 0) | (part["file"] != part["file"].shift(fill_value=part["file"].iloc[0]))) if len(part) else []
+        for a, b in zip([0, *change], [*change, len(part)], strict=True):
+            if b > a:
+                yield part["file"].iloc[a], int(part["block"].iloc[a]), part.iloc[a:b]
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: dict | None = None
+        for part in parts:
+            for file, block, own in split_runs(part):
+                if now is None or (now["file"], now["block"]) != (file, block):
+                    if now is not None:
+                        yield pd.DataFrame([now])
+                    now = {"file": file, "block": block, "lines": 0, "frames": 0, "last": -1, "size": -1, "energy": None, "first_energy": _energy(own["value"].iloc[0])}
+                values = own["value"].tolist()
+                if now["last"] >= 0 and now["last"] + 1 == now["lines"]:
+                    now["energy"] = _energy(values[0])
+                found = starts(values)
+                if found:
+                    k = found[-1]
+                    now |= {"frames": now["frames"] + len(found), "last": now["lines"] + k, "size": int(values[k]), "energy": _energy(values[k + 1]) if k + 1 < len(values) else None}
+                now["lines"] += len(values)
+        if now is not None:
+            yield pd.DataFrame([now])
+
+    counted = lines.mapInPandas(count, "file string, block long, lines long, frames long, last long, size long, energy double, first_energy double")
+    counted, index_path = written(counted, "splits")
+    file = W.partitionBy("file").orderBy("block")  # a row for each split
+    before = file.rowsBetween(W.unboundedPreceding, -1)
+    placed = counted.withColumns({"at": F.coalesce(F.sum("lines").over(before), F.lit(0)), "frame": F.coalesce(F.sum("frames").over(before), F.lit(0)), "next_energy": F.lead("first_energy").over(file)})
+    known = F.when(F.col("last") >= 0, F.struct((F.col("at") + F.col("last")).alias("start"), "size", F.coalesce("energy", "next_energy").alias("energy")))
+    placed = placed.withColumn("open", F.last(known, ignorenulls=True).over(before)).withColumn("is_last", F.lead("block").over(file).isNull())
+    placed = placed.select("file", "block", "at", "frame", "open", "next_energy", "is_last", F.col("lines").alias("split_lines"))
+
+    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = frame = start = size = left = 0
+        energy: float | None = None
+        now = None
+        for part in parts:
+            for file, block, own in split_runs(part):
+                head = own.iloc[0]
+                if now != (file, block):
+                    now, at, frame, left = (file, block), int(head["at"]), int(head["frame"]) - 1, int(head["split_lines"])
+                    start, size, energy = (head["open"]["start"], head["open"]["size"], head["open"]["energy"]) if head["open"] is not None else (-1, -2, None)
+                values = own["value"].tolist()
+                made: list[tuple] = []
+                for k, line in enumerate(values):
+                    place = at + k
+                    if line.strip().isdigit():
+                        if place != start + size + 2 and place:
+                            raise ValueError(f"{file}: frame {frame} has other rows than it says")
+                        start, size, frame = place, int(line), frame + 1
+                        energy = None
+                    elif start < 0 or place > start + size + 1:
+                        raise ValueError(f"{file}: line {place} is in no frame")
+                    elif place == start + 1:
+                        energy = _energy(line)
+                    else:
+                        symbol, *rest = line.split()
+                        made.append((file, frame, place - start - 2, SYMBOLS[symbol], *map(float, rest[:6]), energy))
+                    if place == start + 1 and energy is None:
+                        raise ValueError(f"{file}: frame {frame} has no energy")
+                at, left = at + len(values), left - len(values)
+                if left == 0 and head["is_last"] and at != start + size + 2:
+                    raise ValueError(f"{file}: frame {frame} has other rows than it says")
+                if made:
+                    yield pd.DataFrame(made, columns=[c.split()[0] for c in FRAMES_DDL.split(", ")])
+
+    n_splits = spark.read.parquet(index_path).count()
+    if n_splits > MAX_SPLITS:
+        raise ValueError(f"{n_splits} splits: read with larger ones (spark.sql.files.maxPartitionBytes)")
+    # a row for each split, sent to the lines, which stay in order where they are
+    out = lines.join(F.broadcast(placed), ["file", "block"]).select("value", "file", "block", "at", "frame", "open", "is_last", "split_lines").mapInPandas(parse, FRAMES_DDL)
+    out.written_to = [index_path]
+    return out
+
+
 class _Files(DataSource):
-    """Options ``paths``: files, separated by commas, that every worker can open."""
+    """Options ``paths``: files, separated by commas, that every worker can open; URIs are opened by Arrow's file systems."""
 
     def paths(self) -> list[str]:
         found = self.options.get("paths") or self.options.get("path")
@@ -103,18 +235,17 @@ class _Files(DataSource):
             raise FileNotFoundError("no files given, and nothing is downloaded")
         return found.split(",")
 
+    def schema(self) -> str:
+        return FRAMES_DDL
+
 
 class ExtendedXyz(_Files):
-    """``spark.read.format("extxyz")``: frames of ``symbol x y z fx fy fz`` rows, with ``energy=`` on the comment
-    line. A frame's start depends on those before it, so a file is one partition."""
+    """``spark.read.format("extxyz")``: the frames of :func:`read_extended_xyz` for a few small files; a file is one partition."""
 
     @classmethod
     def name(cls) -> str:
         return "extxyz"
 
-    def schema(self) -> str:
-        return "file string, frame long, atom_id long, z_num int, x double, y double, z double, fx double, fy double, fz double, energy double"
-
     def reader(self, schema: StructType) -> DataSourceReader:
         return _ExtendedXyzReader(self.paths())
 
@@ -130,19 +261,19 @@ class _ExtendedXyzReader(DataSourceReader):
         with open(partition.value, encoding="utf-8") as f:
             frame = 0
             while (line := f.readline()).strip():
-                n, comment = int(line), f.readline()
-                energy = [t.partition("=")[2] for t in comment.split() if t.startswith("energy=")]
-                if not energy:
+                n, energy = int(line), _energy(f.readline())
+                if energy is None:
                     raise ValueError(f"{partition.value}: frame {frame} has no energy")
                 for k in range(n):
                     symbol, *values = f.readline().split()
-                    yield (partition.value, frame, k, SYMBOLS[symbol], *map(float, values[:6]), float(energy[0]))
+                    yield (partition.value, frame, k, SYMBOLS[symbol], *map(float, values[:6]), energy)
                 frame += 1
 
 
 class NpzFrames(_Files):
-    """``spark.read.format("npz_frames")``: arrays ``nuclear_charges, coords, energies, forces`` of one molecule;
-    a partition for each range of ``frames_per_partition`` frames."""
+    """``spark.read.format("npz_frames")``: arrays ``nuclear_charges, coords, energies, forces`` of one molecule; a
+    partition for each range of ``frames_per_partition`` frames. Members that are not compressed are read by their offsets, a
+    partition's own frames alone; a partition of a compressed one unpacks what comes before its frames too."""
 
     KEYS = ("nuclear_charges", "coords", "energies", "forces")
 
@@ -150,39 +281,76 @@ class NpzFrames(_Files):
     def name(cls) -> str:
         return "npz_frames"
 
-    def schema(self) -> str:
-        return "file string, frame long, atom_id long, z_num int, x double, y double, z double, fx double, fy double, fz double, energy double"
-
     def reader(self, schema: StructType) -> DataSourceReader:
         return _NpzReader(self.paths(), int(self.options.get("frames_per_partition", "1000")))
 
 
+def _opened(path: str):
+    """A file for random access, wherever Arrow finds it."""
+    if "://" not in path:
+        return open(path, "rb")
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
+class _Member:
+    """An array in an NPZ file, of which rows are read without the others."""
+
+    def __init__(self, f, archive: zipfile.ZipFile, name: str) -> None:
+        info = archive.getinfo(f"{name}.npy")
+        self.file, self.archive, self.info = f, archive, info
+        with archive.open(info) as m:
+            version = np.lib.format.read_magic(m)
+            self.shape, fortran, self.dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(m)
+            self.head = m.tell()
+        if fortran or self.dtype.hasobject:
+            raise ValueError(f"{name} is no plain array")
+        self.width = int(np.prod(self.shape[1:])) * self.dtype.itemsize
+
+    def rows(self, a: int, b: int) -> np.ndarray:
+        size = (b - a) * self.width
+        if self.info.compress_type == zipfile.ZIP_STORED:
+            self.file.seek(self.info.header_offset + 26)
+            name, extra = struct.unpack("<HH", self.file.read(4))
+            self.file.seek(self.info.header_offset + 30 + name + extra + self.head + a * self.width)
+            raw = self.file.read(size)
+        else:
+            with self.archive.open(self.info) as m:
+                m.seek(self.head + a * self.width)
+                raw = m.read(size)
+        return np.frombuffer(raw, self.dtype).reshape(b - a, *self.shape[1:])
+
+
 class _NpzReader(DataSourceReader):
     def __init__(self, paths: list[str], step: int) -> None:
         self.paths, self.step = paths, step
 
     def partitions(self) -> list[InputPartition]:
-        import numpy as np
-
         out = []
         for p in self.paths:
-            with np.load(p) as data:
-                missing = [k for k in NpzFrames.KEYS if k not in data]
+            with _opened(p) as f, zipfile.ZipFile(f) as archive:
+                missing = [k for k in NpzFrames.KEYS if f"{k}.npy" not in archive.namelist()]
                 if missing:
                     raise KeyError("missing: " + ", ".join(missing))
-                n = len(data["energies"])
+                n = _Member(f, archive, "energies").shape[0]
             out += [InputPartition((p, a, min(n, a + self.step))) for a in range(0, n, self.step)]
         return out
 
     def read(self, partition: InputPartition):
-        import numpy as np
-
-        path, a, b = partition.value
-        with np.load(path) as data:
-            z, xyz, e, f = (data[k] for k in NpzFrames.KEYS)
-            for k in range(a, b):
-                for i in range(len(z)):
-                    yield (path, k, i, int(z[i]), *map(float, xyz[k, i]), *map(float, f[k, i]), float(e[k]))
+        path, first, last = partition.value
+        with _opened(path) as f, zipfile.ZipFile(f) as archive:
+            members = {k: _Member(f, archive, k) for k in NpzFrames.KEYS}
+            z = members["nuclear_charges"].rows(0, members["nuclear_charges"].shape[0]).astype(np.int32)
+            step = max(1, (1 << 16) // max(1, len(z)))
+            for a in range(first, last, step):
+                b = min(last, a + step)
+                xyz, force = (members[k].rows(a, b).reshape(-1, 3).astype(float) for k in ("coords", "forces"))
+                energy, frames = members["energies"].rows(a, b).reshape(-1).astype(float), np.arange(a, b)
+                columns = [np.repeat(frames, len(z)), np.tile(np.arange(len(z)), b - a), np.tile(z, b - a), *xyz.T, *force.T, np.repeat(energy, len(z))]
+                names = [c.split()[0] for c in FRAMES_DDL.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(columns[0])), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=names)
 
 
 def register(spark: SparkSession) -> None:
