@@ -114,9 +114,11 @@ def write_metrics_csv(wide: DataFrame, columns: list[str], path: str) -> None:
     wide.select(*shown).write.option("header", True).option("emptyValue", "").option("nullValue", "").option("escape", '"').csv(path)
 
 
-def logged_metrics(long: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
-    """The wide table of long rows ``(step, key, value)``, a column for each listed key; a key that a step lacks is null."""
-    return long.groupBy(*(by or ["step"])).agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys])
+def logged_metrics(long: DataFrame, keys: list[str], by: list[str] | None = None, missing: float | None = None) -> DataFrame:
+    """The wide table of long rows ``(step, key, value)``, a column for each listed key; a key that a step lacks is null, or
+    ``missing`` (such as NaN, as a console shows it)."""
+    found = [F.max(F.when(F.col("key") == k, F.col("value"))) for k in keys]
+    return long.groupBy(*(by or ["step"])).agg(*[(c if missing is None else F.coalesce(c, F.lit(missing))).alias(k) for k, c in zip(keys, found, strict=True)])
 
 
 def tracked_scalars(long: DataFrame, prefixes: list[str], every: int = 1) -> DataFrame:

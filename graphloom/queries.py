@@ -775,6 +775,17 @@ def spherical_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs_of(spark, sf_dir).select("graph_id", "i", "j", r6(s[1]).alias("y1"), r6(s[4]).alias("xy"), r6(s[6]).alias("zz"), r6(s[8]).alias("xxyy"))
 
 
+@query(f"""WITH {SQL_HALF}, u AS (SELECT graph_id, i, j, dx/(dist+1e-8) AS x, dy/(dist+1e-8) AS y, dz/(dist+1e-8) AS z FROM half), r AS (SELECT *, x*x + y*y + z*z AS r FROM u)
+SELECT graph_id, i, j, round(3/8::DOUBLE*(35*z*z*z*z - 30*z*z*r + 3*r*r), 5) + 0 AS y40, round(3/8::DOUBLE*sqrt(35)*(x*x*x*x - 6*x*x*y*y + y*y*y*y), 5) + 0 AS y44,
+round(sqrt(11)/8*(63*z*z*z*z*z - 70*z*z*z*r + 15*z*r*r), 5) + 0 AS y50 FROM r""")
+def harmonics_any_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators.harmonics import harmonic_columns
+
+    n = F.col("dist") + 1e-8
+    y = harmonic_columns(F.col("dx") / n, F.col("dy") / n, F.col("dz") / n, 5)
+    return pairs_of(spark, sf_dir).select("graph_id", "i", "j", *[(r6(y[k], 5) + 0.0).alias(name) for name, k in (("y40", 20), ("y44", 24), ("y50", 30))])
+
+
 @query(f"WITH {SQL_ATOMS} SELECT atom_id, round(x * cos(0.7::DOUBLE) - y * sin(0.7::DOUBLE), 6) AS x, round(x * sin(0.7::DOUBLE) + y * cos(0.7::DOUBLE), 6) AS y, round(z, 6) AS z FROM atoms")
 def rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y, z = ft.rotate(F.col("x"), F.col("y"), F.col("z"), ft.axis_rotation("z", 0.7))
@@ -915,6 +926,12 @@ def metrics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlog.logged_metrics(long, ["click", "view", "absent"])
 
 
+@query("""SELECT user_id AS step, coalesce(max(value) FILTER (WHERE event_type = 'click'), -1) AS click, coalesce(max(value) FILTER (WHERE event_type = 'absent'), -1) AS absent FROM events GROUP BY user_id""")
+def metrics_table_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = table(spark, sf_dir, "events").select(F.col("user_id").alias("step"), F.col("event_type").alias("key"), "value")
+    return runlog.logged_metrics(long, ["click", "absent"], missing=-1.0)
+
+
 @query("SELECT event_id AS step, event_type AS key, value FROM events WHERE (starts_with(event_type, 'cl') OR starts_with(event_type, 'p')) AND event_id % 10 = 0")
 def tracked_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("key"), "value")
@@ -1085,6 +1102,17 @@ def species(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SPECIES_ROWS, "z_num int, w0 double, w1 double, w2 double, w3 double, w4 double")
 
 
+@query(f"WITH {SQL_ATOMS} SELECT atom_id, round(0.5::DOUBLE*x + 2*y, 6) AS s0, round(x - y, 6) AS s1, round(0.5::DOUBLE*x + 2*y, 6) AS v0x, round(0.5::DOUBLE*y + 2*z, 6) AS v0y, round(z - x, 6) AS v1z FROM atoms")
+def equivariant_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.operators import equivariant as eq
+
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    weights = [[0.5, 2.0], [1.0, -1.0]]
+    s, v = eq.linear_scalars([x, y], weights), eq.linear_vectors([(x, y, z), (y, z, x)], weights)
+    shown = {"s0": s[0], "s1": s[1], "v0x": v[0][0], "v0y": v[0][1], "v1z": v[1][2]}
+    return atoms_of(spark, sf_dir).select("atom_id", *[r6(c).alias(n) for n, c in shown.items()])
+
+
 @query(f"WITH {SQL_ATOMS}, {SQL_SPECIES} SELECT atom_id, round(x + w0 * y + w1 * z, 6) AS h0, round(y + w2 * y + w3 * z, 6) AS h1 FROM atoms JOIN species USING (z_num)")
 def element_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.operators import equivariant as eq

@@ -22,9 +22,10 @@ def summaries(events: DataFrame, by: list[str], value: str) -> DataFrame:
     return events.groupBy(*by).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max(value).alias("largest"))
 
 
-def windowed_speed(events: DataFrame, ts: str, width: str, late: str = "10 minutes") -> DataFrame:
-    """Events by tumbling window, with a watermark."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w")).agg(F.count("*").alias("n")).select("w.start", "w.end", "n")
+def windowed_speed(events: DataFrame, ts: str, width: str, late: str | None = None) -> DataFrame:
+    """Events by tumbling window. With ``late``, the watermark's delay, a stream in append mode gives out each window once it is over, and
+    drops its state; in complete mode all windows stay, and a watermark would have no effect."""
+    return (events if late is None else events.withWatermark(ts, late)).groupBy(F.window(ts, width).alias("w")).agg(F.count("*").alias("n")).select("w.start", "w.end", "n")
 
 
 def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:

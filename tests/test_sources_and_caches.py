@@ -181,3 +181,36 @@ def test_content_ids(spark):
     assert cache.content_id(df) == cache.content_id(same)
     others = [df.distinct(), df.withColumnRenamed("a", "c"), df.withColumn("a", F.col("a") + 1), df.withColumn("b", F.array(F.lit(2.0))), df.withColumn("a", F.col("a").cast("long")), df.limit(0)]
     assert len({cache.content_id(d) for d in [df, *others]}) == 7
+
+
+def test_targets_go_to_graphs_and_atoms(spark):
+    atoms = spark.createDataFrame([(1, 5, 8), (1, 2, 1), (2, 0, 6)], "graph_id long, atom_id long, z_num int")
+    samples = spark.createDataFrame([(1, (1.5, [0.1, 0.2])), (2, (2.5, [0.3]))], "graph_id long, targets struct<energy: double, forces: array<double>>")
+    out = collate.with_targets(GraphBatch(atoms), samples)
+    assert sorted(map(tuple, out.atoms.collect())) == [(1, 2, 1, 0.1), (1, 5, 8, 0.2), (2, 0, 6, 0.3)]
+    assert sorted(map(tuple, out.graphs.collect())) == [(1, 1.5), (2, 2.5)]
+    for wrong in ([0.1], [0.1, 0.2, 0.3]):
+        short = spark.createDataFrame([(1, (1.5, wrong)), (2, (2.5, [0.3]))], samples.schema)
+        with pytest.raises(Exception, match="as many targets as atoms: graph 1"):
+            collate.with_targets(GraphBatch(atoms), short).atoms.collect()
+
+
+def test_written_sets_and_filled_logs(spark):
+    df = spark.range(5)
+    _, path = cache.written(df, "set")
+    kept = cache.dataset(spark, path, in_memory=True)
+    assert kept.storageLevel.useMemory and sorted(r.id for r in kept.collect()) == [0, 1, 2, 3, 4] == sorted(r.id for r in cache.dataset(spark, path).collect())
+    kept.unpersist()
+    long = spark.createDataFrame([(1, "a", 2.0), (2, "b", 3.0)], "step long, key string, value double")
+    rows = runlog.logged_metrics(long, ["a", "b"], missing=float("nan")).orderBy("step").collect()
+    assert (rows[0].a, rows[1].b) == (2.0, 3.0) and rows[0].b != rows[0].b and rows[1].a != rows[1].a
+
+
+def test_rows_of_a_stream_are_routed(spark, tmp_path):
+    from graphloom.streaming.metrics import routed, windowed_speed
+
+    spark.range(20).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS sink", "timestamp_seconds(id * 60) AS ts").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id long, sink string, ts timestamp").parquet(f"{tmp_path}/in")
+    routed(stream.select("id", "sink"), "sink", f"{tmp_path}/out", f"{tmp_path}/log").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out/sink=a").count() == 7 and spark.read.parquet(f"{tmp_path}/out").count() == 20
+    assert "EventTimeWatermark" in windowed_speed(stream, "ts", "5 minutes", "1 minute")._jdf.queryExecution().toString()
