@@ -8,6 +8,8 @@ import json
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,11 +114,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{cache_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_NOTED: list[list[str]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths of all tables that operators write while this is open, to drop (:func:`drop_written`) once results were used."""
+    paths: list[str] = []
+    _NOTED.append(paths)
+    try:
+        yield paths
+    finally:
+        _NOTED[:] = [p for p in _NOTED if p is not paths]
+
+
 def written(df: DataFrame, name: str, *, rows_a_file: int = 0) -> tuple[DataFrame, str]:
     """``df`` through a Parquet table of its own, so that its lineage ends there, and the table's path. Files of at most
     ``rows_a_file`` rows let a small table with much work for each row be read by many tasks."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    for paths in _NOTED:
+        paths.append(path)
     df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

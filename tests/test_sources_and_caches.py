@@ -214,3 +214,19 @@ def test_rows_of_a_stream_are_routed(spark, tmp_path):
     routed(stream.select("id", "sink"), "sink", f"{tmp_path}/out", f"{tmp_path}/log").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out/sink=a").count() == 7 and spark.read.parquet(f"{tmp_path}/out").count() == 20
     assert "EventTimeWatermark" in windowed_speed(stream, "ts", "5 minutes", "1 minute")._jdf.queryExecution().toString()
+
+
+def test_tables_left_behind_can_be_dropped(spark):
+    df = spark.range(20).selectExpr("id % 3 AS g", "id AS k", "id * 1.0D AS v")
+    with cache.noted() as outer:
+        with cache.noted() as paths:
+            best = runlog.best_so_far(df, ["g"], ["k"], "v", "max")
+            sums = collate.running_sums(df, ["g"], ["k"], "v")
+        collate.numbered(df, ["k"])
+    assert best.filter("best").count() == 20 and sums.count() == 20 and len(paths) == 2 and outer[:2] == paths and len(outer) == 3
+    for path in outer:
+        assert cache.is_ready(spark, path)
+        cache.drop_written(spark, path)
+        assert not cache.is_ready(spark, path)
+    cache.written(df, "later")
+    assert len(outer) == 3
