@@ -228,8 +228,8 @@ def node_encoder(
     projections to all numbers treat components of vectors as scalars, so the features change with the frame of reference.
 
     ``weights`` has the shapes of :func:`node_shapes`; without it, weights are drawn by ``seed``. A layer is a join of the
-    edges with their sources, sums for each target in each batch of edges, and one shuffle of these sums and the atoms. The
-    result is read from a table; ``written_to`` on it has the paths that can be dropped after use."""
+    edges with their sources, sums for each target in each batch of edges, and one shuffle of these sums and the atoms; all but the
+    last are written. ``written_to`` on the result has the paths that can be dropped after use."""
     if products not in ("channels", "coupled"):
         raise ValueError(f"no products named {products}")
     if products == "coupled" and layer_norm:
@@ -350,10 +350,12 @@ def node_encoder(
         sums = sums.select("graph_id", "atom_id", F.lit(-1).alias("z_num"), F.col("sent").alias("h"), empty.alias("features"), F.lit(False).alias("own"))
         both = nodes.select("graph_id", "atom_id", "z_num", "h", "features", F.lit(True).alias("own")).unionAll(sums)
         met = both.repartition("graph_id", "atom_id").sortWithinPartitions("graph_id", "atom_id", F.desc("own"))
-        nodes, path = written(met.mapInArrow(lambda b, k=k: meet(b, k), NODE_DDL), "nodes")
-        paths_written.append(path)
-    for path in paths_written[:-1]:
-        drop_written(spark, path)
+        nodes = met.mapInArrow(lambda b, k=k: meet(b, k), NODE_DDL)
+        if k + 1 < layers:
+            nodes, path = written(nodes, "nodes")
+            paths_written.append(path)
+            if k:  # the layer before is not read again
+                drop_written(spark, paths_written.pop(-2))
 
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a in batches:
@@ -361,7 +363,7 @@ def node_encoder(
             yield pa.RecordBatch.from_arrays([a.column("graph_id"), a.column("atom_id"), _lists(values), a.column("vectors")], names=["graph_id", "atom_id", "features", "vectors"])
 
     out = nodes.mapInArrow(shown, "graph_id long, atom_id long, features array<double>, vectors array<double>")
-    out.written_to = paths_written[-1:]
+    out.written_to = paths_written
     return out
 
 
