@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import trim_memory
-from graphloom.llm.hashing import prefix_hashes, spans, window_hashes
+from graphloom.llm.hashing import mix, prefix_hashes, spans, window_hashes
 
 K, GRAM = 50, 25
 PACK_BYTES = 3 << 20
@@ -107,7 +107,8 @@ class Runs:
         count = np.diff(np.append(head, len(place)))
         begin, anchor = place[head], anchor[head].astype(np.int64)
         which = np.searchsorted(ends, begin, side="right")
-        return np.array(docs, np.int64)[which], begin - starts[which], count, h[anchor], anchor - begin
+        # minimizers are the smallest hashes, so buckets in hash order would be uneven; mixed again (one to one) they are even
+        return np.array(docs, np.int64)[which], begin - starts[which], count, mix(h[anchor]), anchor - begin
 
     def bytes_of(self, which: np.ndarray) -> list[bytes]:
         """The bytes of each of these runs."""
@@ -125,15 +126,19 @@ def numbered(strings: list[bytes], in_order: bool = False) -> tuple[np.ndarray,
 
 
 def _trimmed(f, two: bool = False):
-    """``f`` with the memory of the group before given back first."""
+    """``f`` with the memory of the group before given back first, and its own after it: the worker may be idle next."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         trim_memory()
-        return f(pdf)
+        out = f(pdf)
+        trim_memory()
+        return out
 
     def both(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         trim_memory()
-        return f(pdf, answers)
+        out = f(pdf, answers)
+        trim_memory()
+        return out
 
     return both if two else one
 
