@@ -163,9 +163,15 @@ def classify(samples: DataFrame, n_atoms: Column, n_edges: Column | None, column
     """``(name, level)`` of array columns: ``atom`` if the length is the atom count in every sample, else
     ``edge`` if it is the edge count, else ``graph`` if all lengths are equal; otherwise an error. Null arrays
     are an error too. One pass over the samples."""
-    aggs = []
-    for c in columns:
-        n = F.coalesce(F.size(c), F.lit(-1))
+    return classify_lengths(samples, n_atoms, n_edges, {c: F.when(F.col(c).isNotNull(), F.size(c)) for c in columns})
+
+
+def classify_lengths(samples: DataFrame, n_atoms: Column, n_edges: Column | None, lengths: dict[str, Column]) -> DataFrame:
+    """:func:`classify` by the lengths alone, ``name -> length`` in each sample: they can be counts of long tables, so that no
+    sample need be gathered in a row."""
+    columns, aggs = list(lengths), []
+    for c, length in lengths.items():
+        n = F.coalesce(length, F.lit(-1))
         aggs += [F.bool_and(n == n_atoms).alias(f"{c}__atom"), F.bool_and(n == n_edges if n_edges is not None else F.lit(False)).alias(f"{c}__edge")]
         aggs += [(F.min(n) == F.max(n)).alias(f"{c}__graph")]
     row = samples.agg(*aggs)
