@@ -34,6 +34,12 @@ def power(x: Column, n: int) -> Column:
     return half * half if n % 2 == 0 else half * half * x
 
 
+def apart(r: Column) -> Column:
+    """1, and 0 for distances under the least one. Under a condition, Spark computes each repeated part of an expression again,
+    and its code for a join with such sums gets too long to be compiled."""
+    return (r >= R_MIN).cast("double")
+
+
 def lennard_jones(r: Column, eps: Column, sigma: Column) -> Column:
     q6 = power(sigma / clamped(r), 6)
     return eps * 4 * (q6 * q6 - q6)
@@ -41,7 +47,7 @@ def lennard_jones(r: Column, eps: Column, sigma: Column) -> Column:
 
 def lennard_jones_slope(r: Column, eps: Column, sigma: Column) -> Column:
     q6 = power(sigma / clamped(r), 6)
-    return F.when(r < R_MIN, 0.0).otherwise(eps * 4 * (q6 * 6 - q6 * q6 * 12) / clamped(r))
+    return eps * 4 * (q6 * 6 - q6 * q6 * 12) / clamped(r) * apart(r)
 
 
 def repulsion(r: Column, eps: Column, lam: Column, r_star: Column, s: float = 1.5) -> Column:
@@ -61,7 +67,7 @@ def dispersion(r: Column, c6: Column, r_star: Column, s: float = 120.0) -> Colum
 def dispersion_slope(r: Column, c6: Column, r_star: Column, s: float = 120.0) -> Column:
     d = clamped(r)
     below = power(r_star, 6) * s + power(d, 6)
-    return F.when(r < R_MIN, 0.0).otherwise(c6 * 6 * power(d, 5) / (below * below))
+    return c6 * 6 * power(d, 5) / (below * below) * apart(r)
 
 
 def charge_transfer(r: Column, eps: Column, lam: Column, r_star: Column) -> Column:

@@ -43,22 +43,24 @@ def _right(*more: str) -> list[str]:
 FORWARD = [(0, 0, 0), *(step for step in product((-1, 0, 1), repeat=3) if step > (0, 0, 0))]
 
 
-def neighbor_pairs(atoms: DataFrame, cutoff: float, *, inclusive: bool = True) -> DataFrame:
+def neighbor_pairs(atoms: DataFrame, cutoff: float, *, inclusive: bool = True, carry: list[str] = ()) -> DataFrame:
     """Half list ``(graph_id, i, j, dx, dy, dz, dist)`` with ``i > j``, ``d = pos[i] - pos[j]`` and
-    ``0 < dist <= cutoff``; never cut short.
+    ``0 < dist <= cutoff``; never cut short. Columns of the atoms to ``carry`` follow as ``<name>_i`` and ``<name>_j``: what pairs
+    need of their ends comes with them, so that they need not be joined with the atoms again.
 
     Space is binned into cells as wide as the cutoff and the join's key is the cell, so a graph that holds
     most of all atoms is spread over as many keys as it has cells. An atom is sent to its own cell and to the half
     of the cells around it that come later; two atoms of different cells meet there whichever has the larger id."""
     width = literal(cutoff)
     around = ", ".join(f"struct({', '.join(map(str, step))})" for step in FORWARD)
-    sent = atoms.selectExpr(*_left(*[f"floor({a} / {width}) AS c{a}" for a in "xyz"], f"inline(array({around})) AS (sx, sy, sz)"))
-    sent = sent.selectExpr("graph_id", "i", "xi", "yi", "zi", "sx = 0 AND sy = 0 AND sz = 0 AS here", *[f"c{a} + s{a} AS n{a}" for a in "xyz"])
-    own = atoms.selectExpr(*_right(*[f"floor({a} / {width}) AS b{a}" for a in "xyz"]))
+    sent = atoms.selectExpr(*_left(*[f"floor({a} / {width}) AS c{a}" for a in "xyz"], *[f"{c} AS _{c}" for c in carry], f"inline(array({around})) AS (sx, sy, sz)"))
+    sent = sent.selectExpr("graph_id", "i", "xi", "yi", "zi", "sx = 0 AND sy = 0 AND sz = 0 AS here", *[f"c{a} + s{a} AS n{a}" for a in "xyz"], *[f"_{c}" for c in carry])
+    own = atoms.selectExpr(*_right(*[f"floor({a} / {width}) AS b{a}" for a in "xyz"], *[f"{c} AS _{c}2" for c in carry]))
     once = "CASE WHEN here THEN i > j ELSE i <> j END"
     met = sent.join(own, F.expr(f"graph_id = g2 AND nx = bx AND ny = by AND nz = bz AND {once} AND {_within(f'({SQUARED})', cutoff, inclusive)}"))
     ways = [f"CASE WHEN i > j THEN {d} ELSE -{d} END AS d{a}" for a, d in APART.items()]
-    return met.selectExpr("graph_id", "greatest(i, j) AS i", "least(i, j) AS j", *ways, f"sqrt({SQUARED}) AS dist")
+    ends = [f"CASE WHEN i {turn} j THEN _{c} ELSE _{c}2 END AS {c}_{end}" for c in carry for end, turn in (("i", ">"), ("j", "<"))]
+    return met.selectExpr("graph_id", "greatest(i, j) AS i", "least(i, j) AS j", *ways, f"sqrt({SQUARED}) AS dist", *ends)
 
 
 def neighbor_pairs_simple(atoms: DataFrame, cutoff: float, *, inclusive: bool = True) -> DataFrame:

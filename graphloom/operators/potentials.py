@@ -23,12 +23,15 @@ def mix_pairs(
     custom: dict[str, Callable[[Column, Column], Column]] | None = None,
 ) -> DataFrame:
     """Pairs with mixed parameters of both atoms; ``carry`` keeps ``<name>_i`` and ``<name>_j``; ``custom`` maps
-    names to rules of one's own."""
+    names to rules of one's own. Parameters that the pairs carry already (see
+    :func:`graphloom.operators.neighbors.neighbor_pairs`) are not joined again."""
     rules = {n: ph.geometric for n in geometric} | {n: ph.arithmetic for n in arithmetic} | (custom or {})
     names = [*rules, *carry]
     for end in ("i", "j"):
-        own = params.selectExpr("graph_id", f"atom_id AS {end}", *[f"{n} AS {n}_{end}" for n in names])
-        pairs = known_join(pairs, own, ["graph_id", end], "a pair whose end is no atom")
+        missing = [n for n in names if f"{n}_{end}" not in pairs.columns]
+        if missing:
+            own = params.selectExpr("graph_id", f"atom_id AS {end}", *[f"{n} AS {n}_{end}" for n in missing])
+            pairs = known_join(pairs, own, ["graph_id", end], "a pair whose end is no atom")
     kept = ["graph_id", "i", "j", "dx", "dy", "dz", "dist"]
     mixed = [f(F.col(f"{n}_i"), F.col(f"{n}_j")).alias(n) for n, f in rules.items()]
     return pairs.select(*kept, *mixed, *[f"{n}_{e}" for n in carry for e in ("i", "j")])
