@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.blocks import by_block, close, meeting, numbers, open_cells, runs
 from graphloom.operators.harmonics import contract, contraction_shapes, couplings, degree, harmonic_columns, harmonics, paths
 from graphloom.plans.cache import drop_written, written
 
@@ -24,6 +25,8 @@ from graphloom.plans.cache import drop_written, written
 EDGE_ROWS = 1 << 14
 #: Rows of one atom that wait at most before they are added up.
 MEET_ROWS = 1 << 14
+#: Pairs that a block tries at once: what is made of its edges should stay near the processor.
+BLOCK_PAIRS = 1 << 16
 #: Numbers in a table of weights at most: it is collected, and sent to all tasks.
 MAX_WEIGHTS = 50_000_000
 
@@ -168,6 +171,11 @@ def _near(edges: DataFrame) -> tuple[DataFrame, str]:
     return written(edges.select(_known("graph_id"), _known("src"), _known("dst"), *[F.col(c).cast("double").alias(c) for c in ("dx", "dy", "dz", "dist")]), "edges", rows_a_file=EDGE_ROWS)
 
 
+def _placed(atoms: DataFrame) -> DataFrame:
+    """Atoms with their places."""
+    return atoms.select(_known("graph_id"), _known("atom_id"), F.coalesce(F.col("z_num").cast("int"), F.lit(-1)).alias("z_num"), *[F.col(a).cast("double").alias(a) for a in "xyz"])
+
+
 # -- atoms
 
 
@@ -197,7 +205,7 @@ def node_shapes(
 
 def node_encoder(
     atoms: DataFrame,
-    edges: DataFrame,
+    edges: DataFrame | None,
     *,
     cutoff: float,
     species: list[int],
@@ -229,7 +237,12 @@ def node_encoder(
 
     ``weights`` has the shapes of :func:`node_shapes`; without it, weights are drawn by ``seed``. A layer is a join of the
     edges with their sources, sums for each target in each batch of edges, and one shuffle of these sums and the atoms; all but the
-    last are written. ``written_to`` on the result has the paths that can be dropped after use."""
+    last are written. ``written_to`` on the result has the paths that can be dropped after use.
+
+    Without ``edges``, they are those of :func:`graphloom.operators.neighbors.neighbor_pairs` for the atoms' ``x, y, z`` and the
+    cutoff, both directions, and are neither written nor shuffled: in each layer, atoms meet in blocks. Weights of edges are linear in the
+    network's last hidden layer, so a target adds up the products of these numbers, the harmonics and the sources' features, and is
+    multiplied with the weights once."""
     if products not in ("channels", "coupled"):
         raise ValueError(f"no products named {products}")
     if products == "coupled" and layer_norm:
@@ -241,9 +254,7 @@ def node_encoder(
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a in batches:
-            made = dense(w["embed"][kinds_of(a.column("z_num").to_numpy(zero_copy_only=False), species)], w, "start")
-            if products == "coupled":
-                made = np.concatenate([made, np.zeros((len(made), c * (size - 1)))], axis=1)
+            made = started(kinds_of(a.column("z_num").to_numpy(zero_copy_only=False), species))
             empty = np.zeros((len(made), 0))
             yield pa.RecordBatch.from_arrays([a.column("graph_id"), a.column("atom_id"), a.column("z_num"), _packed(made), _packed(empty), _lists(empty)], names=NODE)
 
@@ -338,24 +349,97 @@ def node_encoder(
         if waiting is not None and waiting.num_rows:
             yield made(waiting)
 
+    class Targets:
+        def __init__(self, own: pa.RecordBatch, k: int):
+            self.own, self.k, self.places = own, k, numbers(own, *"xyz")
+            # in the first layer, sources differ by their species alone
+            self.sums = np.zeros((own.num_rows, (c + 1) * size, len(species) if k == 0 else c * size))
+
+        def take(self, rows: pa.RecordBatch, part: int) -> Iterator[pa.RecordBatch]:
+            if self.k == 0:
+                features_ = np.eye(len(species))[kinds_of(rows.column("z_num").to_numpy(), species)]
+            else:
+                features_ = sources(_rows(rows.column("h"), c * size, "an edge from"), self.k)
+            for dst, src, d, r in close(self.places, numbers(rows, *"xyz"), cutoff, tried=BLOCK_PAIRS):
+                first = runs(dst)
+                y = harmonics((-d / (r + 1e-8)).T, l_max)
+                basis = bessel(r, cutoff, radial) * cosine_envelope(r, cutoff)[:, None]
+                hidden = silu(dense(silu(dense(basis, w, f"radial{self.k}_0")), w, f"radial{self.k}_1"))
+                left = (np.concatenate([hidden, np.ones((len(r), 1))], axis=1)[:, :, None] * y[:, None, :]).reshape(len(r), -1)
+                sent, cuts = features_[src], [*first.tolist(), len(r)]
+                for t, lo, hi in zip(dst[first].tolist(), cuts, cuts[1:], strict=False):
+                    self.sums[t] += left[lo:hi].T @ sent[lo:hi]
+            return iter(())
+
+        def end(self) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, self.own.num_rows, 128):
+                yield self.made(self.own.slice(lo, 128), self.sums[lo : lo + 128])
+
+        def made(self, own: pa.RecordBatch, sums: np.ndarray) -> pa.RecordBatch:
+            k, z = self.k, own.column("z_num").to_numpy()
+            if k == 0:
+                begun = started(kinds_of(np.array(species), species))
+                sums, h = sums @ sources(begun, 0), begun[kinds_of(z, species)]
+                so_far = np.zeros((len(z), 0))
+            else:
+                h = _rows(own.column("h"), c * size, "an edge to")
+                so_far = _rows(own.column("features"), k * c, "an edge to")
+            sums = sums.reshape(len(z), c + 1, size, c, size)
+            weight = np.concatenate([w[f"radial{k}_2"], w[f"radial{k}_2_b"][None]]).reshape(c + 1, -1, c)
+            parts: list[list[np.ndarray]] = [[] for _ in degrees]
+            for p, (one, two, both) in enumerate(paths(l_max)):
+                weighted = np.einsum("tqmca,qc->tmca", sums[:, :, degree(two), :, degree(one)], weight[:, p])
+                parts[both].append(np.einsum("tmca,amo->tco", weighted, couplings(l_max)[one, two, both]))
+            message = flat(mixed([np.concatenate(x, axis=1) for x in parts], [w[f"down{k}_{d}"] for d in degrees]), l_max) / avg_neighbors
+            h, out = update(z, h, message, k)
+            vectors = message[:, c : 4 * c].reshape(len(z), 3, c).transpose(0, 2, 1).reshape(len(z), -1) if l_max else np.zeros((len(z), 0))
+            columns = [own.column(n) for n in ("graph_id", "atom_id", "z_num")]
+            return pa.RecordBatch.from_arrays([*columns, _packed(h), _packed(np.concatenate([so_far, out], axis=1)), _lists(vectors), *[own.column(a) for a in "xyz"]], names=[*NODE, *"xyz"])
+
+    def started(kinds: np.ndarray) -> np.ndarray:
+        made = dense(w["embed"][kinds], w, "start")
+        return np.concatenate([made, np.zeros((len(made), c * (size - 1)))], axis=1) if products == "coupled" else made
+
+    def sources(h: np.ndarray, k: int) -> np.ndarray:
+        """Features as edges send them, ``c`` channels of all degrees."""
+        return mixed(by_degree(unflat(h, c, l_max), l_max), [w[f"up{k}_{d}"] for d in degrees]).reshape(len(h), -1)
+
     spark, paths_written = atoms.sparkSession, []
-    near, path = _near(edges)
-    paths_written.append(path)
-    narrow = atoms.select(_known("graph_id"), _known("atom_id"), F.coalesce(F.col("z_num").cast("int"), F.lit(-1)).alias("z_num"))
-    nodes = narrow.mapInArrow(start, NODE_DDL)
-    for k in range(layers):
-        joined = near.join(nodes.select("graph_id", F.col("atom_id").alias("src"), "h"), ["graph_id", "src"], "left")
-        sums = joined.mapInArrow(lambda b, k=k: send(b, k), "graph_id long, atom_id long, sent binary")
-        empty = F.lit(None).cast("binary")
-        sums = sums.select("graph_id", "atom_id", F.lit(-1).alias("z_num"), F.col("sent").alias("h"), empty.alias("features"), F.lit(False).alias("own"))
-        both = nodes.select("graph_id", "atom_id", "z_num", "h", "features", F.lit(True).alias("own")).unionAll(sums)
-        met = both.repartition("graph_id", "atom_id").sortWithinPartitions("graph_id", "atom_id", F.desc("own"))
-        nodes = met.mapInArrow(lambda b, k=k: meet(b, k), NODE_DDL)
-        if k + 1 < layers:
-            nodes, path = written(nodes, "nodes")
-            paths_written.append(path)
-            if k:  # the layer before is not read again
-                drop_written(spark, paths_written.pop(-2))
+
+    def over(edges: DataFrame) -> DataFrame:
+        """The same over edges that are given."""
+        near, path = _near(edges)
+        paths_written.append(path)
+        narrow = atoms.select(_known("graph_id"), _known("atom_id"), F.coalesce(F.col("z_num").cast("int"), F.lit(-1)).alias("z_num"))
+        nodes = narrow.mapInArrow(start, NODE_DDL)
+        for k in range(layers):
+            joined = near.join(nodes.select("graph_id", F.col("atom_id").alias("src"), "h"), ["graph_id", "src"], "left")
+            sums = joined.mapInArrow(lambda b, k=k: send(b, k), "graph_id long, atom_id long, sent binary")
+            empty = F.lit(None).cast("binary")
+            sums = sums.select("graph_id", "atom_id", F.lit(-1).alias("z_num"), F.col("sent").alias("h"), empty.alias("features"), F.lit(False).alias("own"))
+            both = nodes.select("graph_id", "atom_id", "z_num", "h", "features", F.lit(True).alias("own")).unionAll(sums)
+            met = both.repartition("graph_id", "atom_id").sortWithinPartitions("graph_id", "atom_id", F.desc("own"))
+            nodes = met.mapInArrow(lambda b, k=k: meet(b, k), NODE_DDL)
+            if k + 1 < layers:
+                nodes, path = written(nodes, "nodes")
+                paths_written.append(path)
+                if k:  # the layer before is not read again
+                    drop_written(spark, paths_written.pop(-2))
+        return nodes
+
+    if edges is None:
+        nodes, placed = None, _placed(atoms)
+        for k in range(layers):
+            own, around = (["atom_id"], ["x", "y", "z", "z_num"]) if k == 0 else (["atom_id", "z_num", "features"], ["x", "y", "z", "h"])
+            met = meeting(placed if k == 0 else nodes, open_cells(cutoff), own, around)
+            nodes = met.mapInArrow(lambda batches, k=k: by_block(batches, lambda own: Targets(own, k)), f"{NODE_DDL}, x double, y double, z double")
+            if k + 1 < layers:
+                nodes, path = written(nodes, "nodes")
+                paths_written.append(path)
+                if k:
+                    drop_written(spark, paths_written.pop(-2))
+    else:
+        nodes = over(edges)
 
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a in batches:
@@ -400,7 +484,7 @@ def edge_shapes(
 
 def edge_encoder(
     atoms: DataFrame,
-    edges: DataFrame,
+    edges: DataFrame | None,
     *,
     cutoff: float,
     species: list[int],
@@ -431,7 +515,11 @@ def edge_encoder(
     ``weights`` has the shapes of :func:`edge_shapes`; without it, weights are drawn by ``seed``. The harmonics that are added up
     are the edges' own and the same in every layer: they are summed once for each source, partly before the one shuffle, and
     joined back with the species. All layers are then one pass over the edges. ``written_to`` on the result has the paths that can be
-    dropped after use."""
+    dropped after use.
+
+    Without ``edges``, they are those of :func:`graphloom.operators.neighbors.neighbor_pairs` for the atoms' ``x, y, z`` and the
+    cutoff, both directions, and are neither written nor shuffled: atoms meet in blocks, once for the sums and once for the layers. What a
+    layer multiplies tensors with is the same for all edges of a source, so it is one matrix for each source."""
     shapes = edge_shapes(
         len(species), scalars=scalars, tensors=tensors, embedding=embedding, radial=radial, layers=layers, l_max=l_max, first_hidden=first_hidden, latent_hidden=latent_hidden
     )
@@ -471,6 +559,67 @@ def edge_encoder(
             vectors = v[:, :, 1:4].reshape(len(r), -1) if l_max else np.zeros((len(r), 0))
             yield pa.RecordBatch.from_arrays([e.column("graph_id"), e.column("src"), e.column("dst"), _lists(np.concatenate(out, axis=1)), _lists(vectors)], names=["graph_id", "src", "dst", "features", "vectors"])
 
+    def products(around: np.ndarray, k: int) -> np.ndarray:
+        """For each source the matrix that couples the tensors of its edges with ``around`` and mixes them."""
+        out, seen = np.zeros((len(around), tensors, size, tensors, size)), [0] * (l_max + 1)
+        for p, (a, b, c) in enumerate(paths(l_max)):
+            turned = np.tensordot(around[:, degree(b)], couplings(l_max)[a, b, c], ([1], [1]))
+            own = w[f"paths{k}"][p][:, None] * w[f"mix{k}_{c}"][seen[c] * tensors : (seen[c] + 1) * tensors]
+            out[:, :, degree(a), :, degree(c)] += own[None, :, None, :, None] * turned[:, None, :, None, :]
+            seen[c] += 1
+        return out.reshape(len(around), tensors * size, tensors * size)
+
+    class Sources:
+        def __init__(self, own: pa.RecordBatch):
+            self.graph, self.ids, self.places = own.column("graph_id")[0].as_py(), own.column("atom_id").to_numpy(), numbers(own, *"xyz")
+            self.kinds = kinds_of(own.column("z_num").to_numpy(), species)
+            self.sums, self.n = np.zeros((len(self.ids), size)), np.zeros(len(self.ids))
+
+        def take(self, rows: pa.RecordBatch, part: int) -> Iterator[pa.RecordBatch]:
+            ids, kinds = rows.column("atom_id").to_numpy(), kinds_of(rows.column("z_num").to_numpy(), species)
+            for src, dst, d, r in close(self.places, numbers(rows, *"xyz"), cutoff, tried=BLOCK_PAIRS):
+                first = runs(src)
+                y = harmonics((d / (r + 1e-8)).T, l_max)
+                if part == 1:
+                    self.sums[src[first]] += np.add.reduceat(y, first, axis=0)
+                    self.n[src[first]] += np.diff(np.r_[first, len(src)])
+                    continue
+                yield self.encoded(src, first, ids[dst], kinds[dst], r, y)
+
+        def encoded(self, src: np.ndarray, first: np.ndarray, dst: np.ndarray, kinds: np.ndarray, r: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+            at, cuts = src[first], [*first.tolist(), len(src)]
+            around = self.sums[at] / np.sqrt(np.maximum(self.n[at], 1)[:, None] if avg_neighbors is None else avg_neighbors)
+            envelope = polynomial_envelope(r, cutoff, exponent)[:, None]
+            x = np.concatenate([bessel(r, cutoff, radial) * envelope, w["embed"][self.kinds[src]], w["embed"][kinds]], axis=1)
+            for i in range(n_first):
+                x = silu(dense(x, w, f"first{i}"))
+            v = dense(x, w, "tensor")[:, :, None] * y[:, None, :]
+            out = []
+            for k in range(layers):
+                v = (v * dense(x, w, f"env{k}")[:, :, None]).reshape(len(r), -1)
+                made = np.empty_like(v)
+                for m, lo, hi in zip(products(around, k), cuts, cuts[1:], strict=False):
+                    np.matmul(v[lo:hi], m, out=made[lo:hi])
+                v = made.reshape(len(r), tensors, size)
+                latent = np.concatenate([x, v[:, :, 0]], axis=1)
+                for i in range(n_latent):
+                    latent = dense(latent if i == 0 else silu(latent), w, f"latent{k}_{i}")
+                x = (x + alpha * latent) / np.sqrt(1 + alpha * alpha)
+                v = v * dense(x, w, f"out{k}")[:, :, None]
+                out.append(x * envelope)
+            vectors = v[:, :, 1:4].reshape(len(r), -1) if l_max else np.zeros((len(r), 0))
+            ends = [pa.array(np.full(len(r), self.graph)), pa.array(self.ids[src]), pa.array(dst)]
+            return pa.RecordBatch.from_arrays([*ends, _lists(np.concatenate(out, axis=1)), _lists(vectors)], names=["graph_id", "src", "dst", "features", "vectors"])
+
+        def end(self) -> Iterator[pa.RecordBatch]:
+            return iter(())
+
+    ddl = "graph_id long, src long, dst long, features array<double>, vectors array<double>"
+    if edges is None:
+        met = meeting(_placed(atoms), open_cells(cutoff), [], ["atom_id", "x", "y", "z", "z_num"], passes=2)
+        out = met.mapInArrow(lambda batches: by_block(batches, Sources), ddl)
+        out.written_to = []
+        return out
     near, path = _near(edges)
     unit = [F.col(f"d{a}") / (F.col("dist") + 1e-8) for a in "xyz"]
     summed = near.groupBy("graph_id", "src").agg(*[F.sum(h).alias(n) for n, h in zip(y_names, harmonic_columns(*unit, l_max), strict=True)], F.count("*").alias("n"))
@@ -479,6 +628,6 @@ def edge_encoder(
     sources = kinds.withColumnsRenamed({"atom_id": "src", "z_num": "z_src"}).join(summed, ["graph_id", "src"])
     targets = kinds.withColumnsRenamed({"atom_id": "dst", "z_num": "z_dst"})
     met = near.join(sources, ["graph_id", "src"], "left").join(targets, ["graph_id", "dst"], "left")
-    out = met.mapInArrow(encode, "graph_id long, src long, dst long, features array<double>, vectors array<double>")
+    out = met.mapInArrow(encode, ddl)
     out.written_to = [path]
     return out
